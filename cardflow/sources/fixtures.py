@@ -11,6 +11,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow import schemas as S
+from cardflow.functions.ids import prefixed_account_key
+from cardflow.functions.json_text import encode_json
+from cardflow.operators.ledger import as_order_events
+from cardflow.plans.fraud import cleared_orders
+from cardflow.plans.orders import orders_in_progress
 from cardflow.session import use_utc
 
 ORDERS_SQL = """
@@ -82,6 +87,21 @@ FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS amount
       FROM events WHERE event_type = 'signup') signups
 """
 
+# All events of a user as events of one order: some dated, some not, any status.
+ORDER_EVENTS_SQL = """
+SELECT CAST(user_id AS STRING) AS order_id,
+       CASE WHEN event_type <> 'error' THEN 'acct-' || CAST(user_id AS STRING) END AS account_id,
+       CASE WHEN event_type = 'view' THEN 4000000000000000 + event_id END AS credit_card_number,
+       CASE WHEN event_type IN ('purchase', 'signup') THEN CAST(value AS DECIMAL(18,2)) END
+         AS order_amount,
+       CASE event_type WHEN 'click' THEN 'CREATED' WHEN 'view' THEN 'NOT_FRAUD'
+         WHEN 'purchase' THEN 'EXECUTED' WHEN 'signup' THEN 'NOT_EXECUTED' END AS payment_status,
+       CASE WHEN event_type IN ('purchase', 'view') THEN ts END AS order_date,
+       CAST(value AS DECIMAL(18,2)) AS credit_limit,
+       event_id AS event_seq
+FROM events
+"""
+
 _ISO = "date_format(CAST(ts AS TIMESTAMP), \"yyyy-MM-dd'T'HH:mm:ss.SSSxxx\")"
 _MS = "CAST(unix_millis(CAST(ts AS TIMESTAMP)) AS STRING)"
 
@@ -149,3 +169,65 @@ def order_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 def balance_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _run(spark, sf_dir, "events", BALANCE_REQUESTS_SQL)
     return _records(df, S.BALANCES_INPUT, F.col("ts").cast("timestamp"))
+
+
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table in the shape of a topic, keyed by user."""
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("key"),
+        F.col("props").alias("value"),
+        F.lit("events").alias("topic"),
+        F.lit(0).alias("partition"),
+        F.col("event_id").alias("offset"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+    )
+
+
+def account_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the second way in: one per customer, under a prefixed key."""
+    message = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("account_id"),
+        F.col("c_name").alias("account_name"),
+        F.col("c_mktsegment").alias("message_content"),
+        F.col("c_custkey").alias("seq"),
+    )
+    keyed = message.select(
+        prefixed_account_key(F.col("account_id")).alias("key"),
+        encode_json(S.ACCOUNT_MESSAGE).alias("value"),
+        "seq",
+    )
+    return _records(keyed, S.ACCOUNTS_INPUT, F.timestamp_seconds(F.col("seq")))
+
+
+def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _run(spark, sf_dir, "events", ORDER_EVENTS_SQL)
+    date = F.timestamp_millis(F.unix_millis(F.col("order_date").cast("timestamp")))
+    return df.withColumn("order_date", date)
+
+
+def _as_topic(df: DataFrame, stage: int) -> DataFrame:
+    """Orders as text records of the order topic; the producers' order is the stage."""
+    return df.select(
+        F.col("order_id").alias("key"),
+        encode_json(S.ORDER, epoch_millis=stage > 0).alias("value"),
+        F.lit(S.ORDERS_INPUT).alias("topic"),
+        F.lit(stage).alias("partition"),
+        F.col("event_seq").alias("offset"),
+        F.col("event_ts").alias("timestamp"),
+    )
+
+
+def orders_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order topic with created orders and their cleared copies."""
+    created = orders(spark, sf_dir)
+    return _as_topic(created, 0).unionByName(_as_topic(cleared_orders(created), 1))
+
+
+def full_orders_topic(spark: SparkSession, sf_dir: str, changes: DataFrame) -> DataFrame:
+    """Order topic with the ledger's outcomes as well."""
+    return orders_topic(spark, sf_dir).unionByName(_as_topic(as_order_events(changes), 2))
+
+
+def orders_output_topic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    progress = orders_in_progress(cleared_orders(orders(spark, sf_dir)))
+    return _as_topic(progress, 1).withColumn("topic", F.lit(S.ORDERS_OUTPUT))
