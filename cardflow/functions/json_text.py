@@ -82,7 +82,8 @@ def _read_money(value: Column, text: Column, field: Field) -> tuple[Column, Colu
     wide = F.when(~_absent(text), wide)
     narrow = wide.try_cast(MONEY)
     # More than six decimals would have to be rounded: refuse instead.
-    return narrow, _absent(text) | F.coalesce(narrow == wide, F.lit(False))
+    same = narrow.try_cast(_WIDE_MONEY) == wide
+    return narrow, _absent(text) | F.coalesce(same, F.lit(False))
 
 
 def _read_instant(value: Column, text: Column, field: Field) -> tuple[Column, Column]:

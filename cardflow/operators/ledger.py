@@ -60,10 +60,14 @@ def unfit_events(events: DataFrame) -> DataFrame:
     return events.withColumn("reason", _unfit()).filter(F.col("reason").isNotNull())
 
 
+def fit_events(events: DataFrame) -> DataFrame:
+    return events.filter(_unfit().isNull())
+
+
 def _prepared(events: DataFrame) -> DataFrame:
     topup = F.col("payment_status") == S.ADD_BALANCE
     amount = F.col("order_amount").cast(S.MONEY)
-    return events.filter(_unfit().isNull()).select(
+    return fit_events(events).select(
         "account_id",
         "order_id",
         "credit_card_number",
