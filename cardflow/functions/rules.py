@@ -8,15 +8,14 @@ from pyspark.sql import functions as F
 from cardflow import schemas as S
 
 
-def time_of_day_ms(instant: Column) -> Column:
-    """Milliseconds after UTC midnight; independent of the session time zone."""
-    return F.pmod(F.unix_millis(instant), F.lit(S.DAY_MS))
-
-
 def is_night(instant: Column) -> Column:
-    """Strictly between 00:00 and 04:00 UTC: such orders count as fraud."""
-    tod = time_of_day_ms(instant)
-    return (tod > S.NIGHT_START_MS) & (tod < S.NIGHT_END_MS)
+    """Strictly between 00:00 and 04:00 UTC: such orders count as fraud.
+
+    Independent of the session time zone.  Counting from one millisecond past
+    midnight turns the open interval into one comparison.
+    """
+    past_start = F.unix_millis(instant) - F.lit(S.NIGHT_START_MS + 1)
+    return F.pmod(past_start, F.lit(S.DAY_MS)) < S.NIGHT_END_MS - S.NIGHT_START_MS - 1
 
 
 def is_accepted_brand(brand: Column) -> Column:

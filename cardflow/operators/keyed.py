@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardflow.operators.skew import HOT_ROWS, join_unique
+
 
 def rekey(df: DataFrame, new_key: Column, key: str = "key") -> DataFrame:
     """Replace the key by a value field; the next grouping does the shuffle."""
@@ -58,10 +60,9 @@ def latest_per_key(df: DataFrame, key: str, values: list[str], order: Column) ->
     return grouped.agg(newest.alias("__newest")).select(key, "__newest.*")
 
 
-def lookup(keys: DataFrame, state: DataFrame, key: str) -> DataFrame:
+def lookup(keys: DataFrame, state: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """State per asked key, null columns where the key is unknown.
 
-    ``state`` has one row per key.  No broadcast is forced: Spark picks the join
-    from sizes, and a key asked for very often is split by its skew-join rule.
+    ``state`` has one row per key; a key asked for very often is no bottleneck.
     """
-    return keys.join(state, key, "left")
+    return join_unique(keys, state, key, "left", hot_rows)

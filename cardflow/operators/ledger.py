@@ -17,18 +17,15 @@ from pyspark.sql import types as T
 from cardflow import schemas as S
 from cardflow.operators import ledger_fold
 from cardflow.operators.keyed import merge
+from cardflow.operators.skew import HOT_ROWS, hot_keys
 from cardflow.session import cut_lineage
 
-# Rows of one account that a single task may fold; bigger accounts are cut.
-HOT_ROWS = 5_000_000
+# Accounts with more than HOT_ROWS events are cut into chunks of about this size.
 CHUNK_ROWS = 2_000_000
-# Bounds on driver and broadcast state, whatever the size of the data.
-MAX_HOT_ACCOUNTS = 100_000
+# Bound on the chunk summaries, whatever the size of the data.
 MAX_CHUNKS = 10_000
 
 ORDER = ("event_ts", "source_rank", "event_seq")
-_PASSED = ("account_id", "order_id", "credit_card_number", "credit_limit", "event_amount",
-           "is_topup", *ORDER)
 _MONEY = "decimal(38,6)"
 
 
@@ -72,7 +69,6 @@ def _prepared(events: DataFrame) -> DataFrame:
         "order_id",
         "credit_card_number",
         F.col("credit_limit").cast(S.MONEY).alias("credit_limit"),
-        amount.alias("event_amount"),
         topup.alias("is_topup"),
         *ORDER,
         F.when(topup, amount).otherwise(-amount).cast(S.MONEY).alias("delta"),
@@ -84,7 +80,7 @@ def _folded_schema(df: DataFrame) -> T.StructType:
     kept = [
         T.StructField(f.name, f.dataType, f.nullable and f.name not in ("account_id", "event_ts"))
         for f in df.schema.fields
-        if f.name not in ("delta", "opening")
+        if f.name != "opening"
     ]
     return T.StructType(
         [
@@ -96,7 +92,19 @@ def _folded_schema(df: DataFrame) -> T.StructType:
 
 
 def _fold(df: DataFrame, keys: list[str], last_only: bool) -> DataFrame:
-    return df.mapInArrow(ledger_fold.fold(keys, last_only), _folded_schema(df))
+    folded = df.mapInArrow(ledger_fold.fold(keys, last_only), _folded_schema(df))
+    delta = F.col("delta")
+    return folded.select(
+        "account_id",
+        "order_id",
+        "credit_card_number",
+        "credit_limit",
+        F.when(F.col("is_topup"), delta).otherwise(-delta).cast(S.MONEY).alias("event_amount"),
+        "is_topup",
+        *ORDER,
+        "balance",
+        F.when(F.col("accepted"), S.EXECUTED).otherwise(S.NOT_EXECUTED).alias("payment_status"),
+    )
 
 
 def _fold_accounts(df: DataFrame, last_only: bool) -> DataFrame:
@@ -129,7 +137,7 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
     )
 
     def linked(summaries: DataFrame) -> DataFrame:
-        # At most one row per chunk and account: MAX_CHUNKS + MAX_HOT_ACCOUNTS.
+        # At most one row per chunk and account: MAX_CHUNKS + MAX_HOT_KEYS.
         placed = summaries.repartition("account_id").sortWithinPartitions(*keys)
         schema = f"{summary}, opening {_MONEY}, settled boolean"
         return cut_lineage(placed.mapInArrow(ledger_fold.link, schema))
@@ -145,47 +153,27 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
         plan = linked(known.unionByName(again))
 
     opened = laid.join(F.broadcast(plan.select(*keys, "opening")), keys)
-    return _fold(opened, keys, last_only).drop("chunk")
-
-
-def _hot_accounts(df: DataFrame, hot_rows: int) -> tuple[DataFrame, int] | None:
-    """Accounts with more than ``hot_rows`` events and the number of their events.
-
-    The limit rises with the data so that never more than MAX_HOT_ACCOUNTS pass
-    it; that is what allows broadcasting the list.
-    """
-    sizes = df.groupBy("account_id").agg(F.count("*").alias("n"))
-    total, biggest = sizes.agg(F.sum("n"), F.max("n")).first()
-    limit = max(hot_rows, (total or 0) // MAX_HOT_ACCOUNTS)
-    if (biggest or 0) <= limit:
-        return None
-    hot = cut_lineage(sizes.filter(F.col("n") > limit))
-    return hot.select("account_id"), hot.agg(F.sum("n")).first()[0]
+    return _fold(opened, keys, last_only)
 
 
 def _run(events: DataFrame, last_only: bool, hot_rows: int, chunk_rows: int) -> DataFrame:
     prepared = _prepared(events)
-    found = _hot_accounts(prepared, hot_rows)
+    found = hot_keys(prepared, "account_id", hot_rows)
     if found is None:
         return _fold_accounts(prepared, last_only)
-    hot, rows = found
-    usual = prepared.join(F.broadcast(hot), "account_id", "left_anti")
-    big = prepared.join(F.broadcast(hot), "account_id", "left_semi")
+    hot = F.broadcast(found.keys)
+    usual = prepared.join(hot, "account_id", "left_anti")
+    big = prepared.join(hot, "account_id", "left_semi")
     return _fold_accounts(usual, last_only).unionByName(
-        _fold_chunks(big, rows, last_only, chunk_rows)
+        _fold_chunks(big, found.rows, last_only, chunk_rows)
     )
 
 
-def _status() -> Column:
-    return F.when(F.col("accepted"), S.EXECUTED).otherwise(S.NOT_EXECUTED)
-
-
 def ledger_changes(
     events: DataFrame, *, hot_rows: int = HOT_ROWS, chunk_rows: int = CHUNK_ROWS
 ) -> DataFrame:
     """One row per applied event: the account's balance after it and the outcome."""
-    folded = _run(events, False, hot_rows, chunk_rows)
-    return folded.select(*_PASSED, "balance", _status().alias("payment_status"))
+    return _run(events, False, hot_rows, chunk_rows)
 
 
 def account_balances(
@@ -195,7 +183,7 @@ def account_balances(
 
     Tasks hand on one row per account (or chunk), so the last step is small.
     """
-    last = _run(events, True, hot_rows, chunk_rows).withColumn("payment_status", _status())
+    last = _run(events, True, hot_rows, chunk_rows)
     columns = ["credit_card_number", "balance", "credit_limit", "order_id", "payment_status"]
     newest = F.max_by(F.struct(*columns), F.struct(*ORDER))
     return last.groupBy("account_id").agg(newest.alias("s")).select("account_id", "s.*")

@@ -54,6 +54,10 @@ def money(values: list[int | None]) -> pa.Array:
     return pa.Array.from_buffers(MONEY, len(filled), [validity, pa.py_buffer(words.tobytes())])
 
 
+def flags(column: pa.Array) -> list[bool]:
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
     """Start positions of runs of equal keys, with the batch length at the end."""
     n = batch.num_rows
@@ -71,8 +75,8 @@ def fold(keys: list[str], last_only: bool) -> Callable:
     """Apply every event to its account's balance, in order.
 
     Input: sorted rows with ``keys``, ``delta`` (signed amount), ``is_topup`` and
-    optionally ``opening``.  Output: the other columns plus ``balance`` and
-    ``accepted``, one row per event, or only the last row of every run.
+    optionally ``opening``.  Output: all columns but ``opening`` plus ``balance``
+    and ``accepted``, one row per event, or only the last row of every run.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,17 +85,18 @@ def fold(keys: list[str], last_only: bool) -> Callable:
             if batch.num_rows == 0:
                 continue
             deltas = unscaled(batch.column("delta"))
-            topups = batch.column("is_topup").to_pylist()
+            topups = flags(batch.column("is_topup"))
             has_opening = "opening" in batch.schema.names
             openings = unscaled(batch.column("opening")) if has_opening else None
             key_lists = [batch.column(k) for k in keys]
             balances: list[int] = []
             accepted: list[bool] = []
             starts = _runs(batch, keys)
+            first = tuple(c[0].as_py() for c in key_lists)
             for lo, hi in zip(starts, starts[1:]):
-                key = tuple(c[lo].as_py() for c in key_lists)
-                if key != current:
-                    current, balance = key, openings[lo] if has_opening else 0
+                # Only the first run of a batch can continue the one before.
+                if lo or first != current:
+                    balance = openings[lo] if has_opening else 0
                 for delta, topup in zip(deltas[lo:hi], topups[lo:hi]):
                     after = balance + delta
                     ok = topup or after >= 0
@@ -99,7 +104,8 @@ def fold(keys: list[str], last_only: bool) -> Callable:
                         balance = after
                     accepted.append(ok)
                     balances.append(balance)
-            kept = [c for c in batch.schema.names if c not in ("delta", "opening")]
+            before, current = current, tuple(c[-1].as_py() for c in key_lists)
+            kept = [c for c in batch.schema.names if c != "opening"]
             out = pa.RecordBatch.from_arrays(
                 [*[batch.column(c) for c in kept], money(balances), pa.array(accepted)],
                 names=[*kept, "balance", "accepted"],
@@ -108,10 +114,8 @@ def fold(keys: list[str], last_only: bool) -> Callable:
                 yield out
                 continue
             # The last run may go on in the next batch: hold its last row back.
-            if held is not None:
-                first = tuple(c[0].as_py() for c in key_lists)
-                if first != tuple(held.column(k)[0].as_py() for k in keys):
-                    yield held
+            if held is not None and first != before:
+                yield held
             ends = [s - 1 for s in starts[1:]]
             if len(ends) > 1:
                 yield out.take(pa.array(ends[:-1]))
@@ -138,7 +142,7 @@ def simulate(keys: list[str]) -> Callable:
             if batch.num_rows == 0:
                 continue
             deltas = unscaled(batch.column("delta"))
-            topups = batch.column("is_topup").to_pylist()
+            topups = flags(batch.column("is_topup"))
             openings = unscaled(batch.column("opening"))
             key_lists = [batch.column(k) for k in keys]
             starts = _runs(batch, keys)

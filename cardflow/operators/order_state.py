@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.functions.rules import stored_status
+from cardflow.operators.skew import HOT_ROWS, join_unique
 
 _FIRST_FIELDS = ("account_id", "credit_card_number", "order_amount", "order_date")
 
 
-def order_state(events: DataFrame, order: Column) -> DataFrame:
+def order_state(events: DataFrame, order: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """One row per order id.
 
     * account, card, amount and date: first non-null value;
@@ -28,12 +29,14 @@ def order_state(events: DataFrame, order: Column) -> DataFrame:
     keyed = events.filter(F.col("order_id").isNotNull()).withColumn("__seq", order)
     base = keyed.groupBy("order_id").agg(
         *[F.min_by(c, F.when(F.col(c).isNotNull(), seq)).alias(c) for c in _FIRST_FIELDS],
-        F.max_by(stored_status(F.col("payment_status")), seq).alias("payment_status"),
+        F.max_by("payment_status", seq).alias("payment_status"),
         F.min(F.when(dated, seq)).alias("__first_dated"),
         F.min(F.when(undated, seq)).alias("__first_undated"),
         F.max(F.when(undated, seq)).alias("__last_undated"),
         F.max_by("credit_limit", F.when(undated, seq)).alias("credit_limit"),
     )
+    # The step a status moves on by depends on the status alone: do it per order.
+    base = base.withColumn("payment_status", stored_status(F.col("payment_status")))
     before = F.col("__first_dated").isNull() | (F.col("__last_undated") < F.col("__first_dated"))
     columns = ["order_id", *_FIRST_FIELDS, "payment_status"]
     limit = F.when(before, F.col("credit_limit")).alias("credit_limit")
@@ -51,7 +54,7 @@ def order_state(events: DataFrame, order: Column) -> DataFrame:
         "order_id", F.col("credit_limit").alias("__limit"), "__seq"
     )
     resolved = (
-        candidates.join(base.filter(mixed), "order_id")
+        join_unique(candidates, base.filter(mixed), "order_id", "inner", hot_rows)
         .filter(seq < F.col("__first_dated"))
         .groupBy("order_id")
         .agg(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from cardflow import schemas as S
 from cardflow.functions.json_text import encode_json
 from cardflow.functions.rules import fraud_report, is_night, verdict
-from cardflow.operators.keyed import latest_per_key, with_branch
+from cardflow.operators.keyed import latest_per_key
 
 
 @dataclass(frozen=True)
@@ -23,8 +23,9 @@ class FraudScreen:
 
 def branch_orders(created: DataFrame) -> DataFrame:
     """Dated orders with branch 0 (clean) or 1 (placed at night)."""
-    night = is_night(F.col("order_date"))
-    return with_branch(created.filter(F.col("order_date").isNotNull()), ~night, night)
+    # The two predicates are complements on dated orders: one test gives the branch.
+    dated = created.filter(F.col("order_date").isNotNull())
+    return dated.withColumn("branch", is_night(F.col("order_date")).cast("int"))
 
 
 def fraud_verdicts(created: DataFrame, key: str, order: Column) -> DataFrame:

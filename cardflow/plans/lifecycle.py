@@ -33,15 +33,16 @@ def ledger_feed(created: DataFrame, topups: DataFrame) -> DataFrame:
 def order_lifecycle(created: DataFrame, topups: DataFrame, **ledger_options: int) -> DataFrame:
     """Final state of every order; each top-up counts as an order of its own.
 
-    Both inputs carry the order columns plus ``event_ts`` and ``event_seq``.
+    Both inputs carry the order columns plus ``event_ts`` and ``event_seq``, which is
+    unique and follows arrival within one order id.
     """
     changes = ledger_changes(ledger_feed(created, topups), **ledger_options)
     outcomes = as_order_events(changes).withColumn("stage", F.lit(2))
     events = merge(
-        _screened_events(created).select(*_EVENT, "stage", "event_ts", "event_seq"),
-        outcomes.select(*_EVENT, "stage", "event_ts", "event_seq"),
+        _screened_events(created).select(*_EVENT, "stage", "event_seq"),
+        outcomes.select(*_EVENT, "stage", "event_seq"),
     )
-    return order_state(events, F.struct("stage", "event_ts", "event_seq"))
+    return order_state(events, F.struct("stage", "event_seq"))
 
 
 def _screened_events(created: DataFrame) -> DataFrame:

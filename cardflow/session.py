@@ -18,6 +18,7 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
+        "spark.ui.showConsoleProgress": "false",
         "spark.sql.streaming.stateStore.providerClass":
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         **extra,
@@ -49,13 +50,15 @@ def checkpoint_root(spark: SparkSession) -> str:
         return root
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    root = tempfile.mkdtemp(prefix="cardflow-checkpoint-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    return tempfile.mkdtemp(prefix="cardflow-checkpoint-")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise a frame on reliable storage; partitions and row order are kept."""
+    """Materialise a frame on reliable storage; partitions and row order are kept.
+
+    The files outlive a lost executor.  Spark removes them with the frame if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))

@@ -82,8 +82,8 @@ def test_credit_limit_rule(spark):
     assert limits == {"late": 7, "early": None, "mixed": 5, "never": None}
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_order_state_equals_loop(spark, seed):
+@pytest.mark.parametrize("seed, hot_rows", [(1, 10**9), (2, 50)])
+def test_order_state_equals_loop(spark, seed, hot_rows):
     rng = random.Random(seed)
     events = []
     for i in range(600):
@@ -98,7 +98,7 @@ def test_order_state_equals_loop(spark, seed):
     df = spark.createDataFrame(rng.sample(events, len(events)), ORDER).repartition(3)
     got = {
         r.order_id: (r.account_id, r.order_amount, r.order_date, r.credit_limit, r.payment_status)
-        for r in order_state(df, F.col("event_seq")).collect()
+        for r in order_state(df, F.col("event_seq"), hot_rows).collect()
     }
     assert got == expected
 
@@ -135,11 +135,14 @@ def test_lifecycle_runs_the_ledger_once(spark):
     assert "ReusedExchange" in final or "ReusedQueryStage" in final
 
 
-def test_lookup_of_unknown_key(spark):
-    state = spark.createDataFrame([("a", 1)], "key string, v int")
-    asked = spark.createDataFrame([("a",), ("zz",), ("a",)], "key string")
-    got = sorted(map(tuple, keyed.lookup(asked, state, "key").collect()), key=repr)
-    assert got == [("a", 1), ("a", 1), ("zz", None)]
+@pytest.mark.parametrize("hot_rows", [1, 10**9])
+def test_lookup_of_unknown_and_hot_keys(spark, hot_rows):
+    state = spark.createDataFrame([("a", 1), ("b", 2)], "key string, v int")
+    asks = ["a", "zz", "a", "b", "hot", "hot", None, None]
+    asked = spark.createDataFrame([(a,) for a in asks], "key string")
+    got = sorted(map(tuple, keyed.lookup(asked, state, "key", hot_rows).collect()), key=repr)
+    expected = [(a, {"a": 1, "b": 2}.get(a)) for a in asks]
+    assert got == sorted(expected, key=repr)
 
 
 def test_branch_first_match_wins_and_rest_drops(spark):
