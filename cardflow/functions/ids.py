@@ -10,12 +10,8 @@ from cardflow.schemas import ACCOUNT_KEY_PREFIX
 
 def uuid_of(text: Column) -> Column:
     """UUID-shaped id from the SHA-256 of a text."""
-    digest = F.sha2(text, 256)
-    parts, start = [], 1
-    for width in (8, 4, 4, 4, 12):
-        parts.append(F.substring(digest, start, width))
-        start += width
-    return F.concat_ws("-", *parts)
+    groups = r"^(.{8})(.{4})(.{4})(.{4})(.{12}).*$"
+    return F.regexp_replace(F.sha2(text, 256), groups, "$1-$2-$3-$4-$5")
 
 
 def record_uuid(purpose: str) -> Column:

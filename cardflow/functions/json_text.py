@@ -1,9 +1,11 @@
 """Strict JSON decoding and encoding as column expressions.
 
 One lenient pass turns the text into ``map<string,string>``; every field is then
-checked and cast on its own.  Two costlier parses sit behind ``when`` guards and
-run only for the rare rows that need them:
+checked and cast on its own, in stages that each read the columns of the one
+before, so that nothing is computed twice.  Costlier work sits behind ``when``
+guards and runs only for the rare rows that need it:
 
+* repeated or unknown property names,
 * a typed parse for money that a double cannot carry exactly,
 * a variant parse where the text alone cannot tell a JSON string from a nested
   value or from a bare number.
@@ -20,101 +22,82 @@ from cardflow.schemas import MONEY, Field
 
 _PARSE = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _MAP = "__json"
+_CLEAN = "__clean"
 _WIDE_MONEY = "decimal(38,12)"
 
 # Date texts that are accepted.
-_DIGITS = r"^-?[0-9]+$"
-_DAY = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"
-_INSTANT = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?"
-    r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)?$"
-)
-_LOCAL_DATETIME = (
-    r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]{1,9})?)?Z?$"
-    r"|^\[[0-9]{1,4}(,[0-9]{1,9}){4,6}\]$"
-)
+_DIGITS = r"^-?\d+$"
+_FULL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)$"
+_DAY = r"^\d{4}-\d{2}-\d{2}$"
+_SHORT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
+_LOCAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?Z?$"
 _ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSSxxx"
 _MIN_MILLIS, _MAX_MILLIS = -62135596800000, 253402300799999  # years 1 to 9999
 
 
-def _quote(name: str) -> str:
-    return "'" + name.replace("'", "''") + "'"
+def _is_json_string(value: Column, name: str) -> Column:
+    """Whether one property is a string in the source text."""
+    variant = F.try_variant_get(F.try_parse_json(value), f"$.{name}", "variant")
+    return F.schema_of_variant(variant).eqNullSafe(F.lit("STRING"))
 
 
-def _json_type(value: Column, name: str) -> Column:
-    """Type of one property in the source text, e.g. STRING or OBJECT<...>."""
-    return F.schema_of_variant(
-        F.try_variant_get(F.try_parse_json(value), f"$.{name}", "variant")
-    )
-
-
-def _absent(text: Column) -> Column:
-    """Missing, null, blank or the text ``null``: a scalar field reads as null."""
-    return text.isNull() | F.trim(text).isin("", "null")
-
-
-def _read_text(value: Column, text: Column, field: Field) -> tuple[Column, Column]:
+# Readers: value of one field from its text, null if the text does not fit.  Except
+# for text fields, the text is trimmed and null where the field reads as null.
+def _read_text(value: Column, text: Column, field: Field) -> Column:
     looks_nested = text.startswith("{") | text.startswith("[")
-    nested = F.when(
-        looks_nested, ~(_json_type(value, field.json).eqNullSafe(F.lit("STRING")))
-    ).otherwise(False)
-    return text, ~nested
+    return F.when(text.isNull() | ~looks_nested, text).when(
+        _is_json_string(value, field.json), text
+    )
 
 
-def _read_long(value: Column, text: Column, field: Field) -> tuple[Column, Column]:
-    whole = F.trim(text).try_cast("bigint")
-    bare_number = ~_json_type(value, field.json).eqNullSafe(F.lit("STRING"))
-    truncated = F.when(
-        whole.isNull() & ~_absent(text),
-        F.when(bare_number, text.try_cast("decimal(38,6)").try_cast("bigint")),
+def _read_long(value: Column, text: Column, field: Field) -> Column:
+    whole = text.try_cast("bigint")
+    bare_number = ~_is_json_string(value, field.json)
+    return F.when(whole.isNotNull(), whole).when(
+        text.isNotNull() & bare_number, text.try_cast("decimal(38,6)").try_cast("bigint")
     )
-    result = F.when(~_absent(text), F.coalesce(whole, truncated))
-    return result, _absent(text) | result.isNotNull()
 
 
-def _read_money(value: Column, text: Column, field: Field) -> tuple[Column, Column]:
-    trimmed = F.trim(text)
-    beyond_double = (F.length(trimmed) > 15) | F.lower(trimmed).contains("e")
+def _read_money(value: Column, text: Column, field: Field) -> Column:
+    beyond_double = (F.length(text) > 15) | F.lower(text).contains("e")
     typed = F.from_json(value, f"`{field.json}` {_WIDE_MONEY}", _PARSE)[field.json]
-    wide = F.when(
-        beyond_double, F.coalesce(typed, trimmed.try_cast(_WIDE_MONEY))
-    ).otherwise(trimmed.try_cast(_WIDE_MONEY))
-    wide = F.when(~_absent(text), wide)
+    wide = F.when(text.isNull() | ~beyond_double, text.try_cast(_WIDE_MONEY)).otherwise(
+        F.coalesce(typed, text.try_cast(_WIDE_MONEY))
+    )
     narrow = wide.try_cast(MONEY)
     # More than six decimals would have to be rounded: refuse instead.
-    same = narrow.try_cast(_WIDE_MONEY) == wide
-    return narrow, _absent(text) | F.coalesce(same, F.lit(False))
+    return F.when(narrow.try_cast(_WIDE_MONEY) == wide, narrow)
 
 
-def _read_instant(value: Column, text: Column, field: Field) -> tuple[Column, Column]:
-    t = F.trim(text)
-    with_seconds = F.regexp_replace(t, r"(T[0-9]{2}:[0-9]{2})(Z|[+-]|$)", "$1:00$2")
-    zoned = F.when(
-        with_seconds.rlike(r"(Z|[+-][0-9]{2}(:?[0-9]{2})?)$"), with_seconds
-    ).otherwise(F.concat(with_seconds, F.lit("Z")))
+def _read_instant(value: Column, text: Column, field: Field) -> Column:
+    def millis_of(iso: Column) -> Column:
+        return F.unix_millis(iso.try_cast("timestamp"))
+
+    seconds = F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
+    zoned = F.when(seconds.rlike(_FULL), seconds).otherwise(F.concat(seconds, F.lit("Z")))
+    # Patterns first: a failed cast costs far more than a failed match.
     millis = (
-        F.when(t.rlike(_DIGITS), t.try_cast("bigint"))
-        .when(t.rlike(_DAY), F.unix_millis(F.concat(t, F.lit("T00:00:00Z")).try_cast("timestamp")))
-        .when(t.rlike(_INSTANT), F.unix_millis(zoned.try_cast("timestamp")))
-    )
-    result = F.when(
-        ~_absent(text) & millis.between(_MIN_MILLIS, _MAX_MILLIS), F.timestamp_millis(millis)
+        F.when(text.rlike(_FULL), millis_of(text))
+        .when(text.rlike(_DIGITS), text.try_cast("bigint"))
+        .when(text.rlike(_DAY), millis_of(F.concat(text, F.lit("T00:00:00Z"))))
+        .when(text.rlike(_SHORT), millis_of(zoned))
     )
-    return result, _absent(text) | result.isNotNull()
+    return F.when(millis.between(_MIN_MILLIS, _MAX_MILLIS), F.timestamp_millis(millis))
 
 
-def _read_local_datetime(value: Column, text: Column, field: Field) -> tuple[Column, Column]:
-    t = F.trim(text)
-    result = F.when(~_absent(text), F.rtrim(t, F.lit("Z")).try_cast("timestamp_ntz"))
-    ok = F.when(t.startswith("["), t.rlike(_LOCAL_DATETIME)).otherwise(
-        t.rlike(_LOCAL_DATETIME) & result.isNotNull()
+def _read_local_datetime(value: Column, text: Column, field: Field) -> Column:
+    part = F.from_json(text, "array<int>")
+    seconds = F.coalesce(F.get(part, 5), F.lit(0)) + F.coalesce(F.get(part, 6), F.lit(0)) / 1e9
+    from_parts = F.try_make_timestamp_ntz(
+        *[F.get(part, i) for i in range(5)], seconds.cast("decimal(16,6)")
+    )
+    return F.when(text.startswith("["), from_parts).when(
+        text.rlike(_LOCAL), F.rtrim(text, F.lit("Z")).try_cast("timestamp_ntz")
     )
-    return result, _absent(text) | F.coalesce(ok, F.lit(False))
 
 
-def _read_number(value: Column, text: Column, field: Field) -> tuple[Column, Column]:
-    result = F.when(~_absent(text), F.trim(text))
-    return result, _absent(text) | result.try_cast("double").isNotNull()
+def _read_number(value: Column, text: Column, field: Field) -> Column:
+    return F.when(text.try_cast("double").isNotNull(), text)
 
 
 _READERS = {
@@ -127,22 +110,26 @@ _READERS = {
 }
 
 
-def _parsed(value: Column) -> Column:
-    return F.from_json(value, "map<string,string>", _PARSE)
+def _text(field: Field) -> Column:
+    """Text of one field; for scalars, blank and ``null`` count as absent."""
+    text = F.col(_MAP).getItem(field.json)
+    if field.kind == "text":
+        return text
+    trimmed = F.trim(text)
+    return F.when(~trimmed.isin("", "null"), trimmed)
 
 
-def _last_wins(column: str) -> Column:
-    """Repeated property names keep the last value; only such rows pay for it."""
-    keys, values = F.map_keys(F.col(column)), F.map_values(F.col(column))
+def _last_wins() -> Column:
+    """The map with the last value of every repeated name."""
+    keys, values = F.map_keys(F.col(_MAP)), F.map_values(F.col(_MAP))
     distinct = F.array_distinct(keys)
-    rebuilt = F.map_from_arrays(
+    return F.map_from_arrays(
         distinct,
         F.transform(
             distinct,
             lambda k: F.element_at(values, -F.array_position(F.reverse(keys), k).cast("int")),
         ),
     )
-    return F.when(F.size(distinct) < F.size(keys), rebuilt).otherwise(F.col(column))
 
 
 def decode_json(df: DataFrame, fields: tuple[Field, ...], value: str = "value") -> DataFrame:
@@ -152,30 +139,56 @@ def decode_json(df: DataFrame, fields: tuple[Field, ...], value: str = "value")
     fields and a reason.  Every input column is kept unless a field has its name.
     """
     v = F.col(value)
+    kept = [c for c in df.columns if c not in {f.column for f in fields}]
+    texts = {f.column: f"__text_{f.column}" for f in fields}
+
+    parsed = df.withColumn(_MAP, F.from_json(v, "map<string,string>", _PARSE))
+    # As many known names as entries: neither unknown nor repeated names.
+    hits = reduce(
+        lambda a, b: a + b,
+        [F.map_contains_key(_MAP, f.json).cast("int") for f in fields],
+    )
+    marked = parsed.withColumn(_CLEAN, F.coalesce(hits == F.size(_MAP), F.lit(True)))
+    checked = marked.withColumn(
+        _MAP, F.when(F.col(_CLEAN), F.col(_MAP)).otherwise(_last_wins())
+    )
+    spread = checked.select(
+        *df.columns, _MAP, _CLEAN, *[_text(f).alias(texts[f.column]) for f in fields]
+    )
     known = F.array(*[F.lit(f.json) for f in fields])
-    staged = df.withColumn(_MAP, _parsed(v)).withColumn(_MAP, _last_wins(_MAP))
-
-    read = {
-        f.column: _READERS[f.kind](v, F.col(_MAP).getItem(f.json), f) for f in fields
-    }
-    reason = (
+    unknown = F.size(F.array_except(F.map_keys(_MAP), known)) > 0
+    whole = (
         F.when(v.isNull(), "null_value")
         .when(F.trim(v) == "null", "null_document")
         .when(F.col(_MAP).isNull(), "malformed_json")
-        .when(F.size(F.array_except(F.map_keys(_MAP), known)) > 0, "unknown_property")
+        .when(~F.col(_CLEAN) & unknown, "unknown_property")
+    )
+    read = spread.select(
+        *{c: None for c in [*kept, value]},
+        *texts.values(),
+        *[
+            _READERS[f.kind](v, F.col(texts[f.column]), f).alias(f"__{f.column}")
+            for f in fields
+        ],
+        whole.alias("__whole"),
     )
     reason = reduce(
-        lambda acc, f: acc.when(~read[f.column][1], f"bad_{f.column}"), fields, reason
+        lambda acc, f: acc.when(
+            F.col(texts[f.column]).isNotNull() & F.col(f"__{f.column}").isNull(),
+            f"bad_{f.column}",
+        ),
+        fields,
+        F.when(F.col("__whole").isNotNull(), F.col("__whole")),
     )
-    kept = [c for c in df.columns if c not in read]
-    decoded = staged.select(
-        *kept, *[col.alias(name) for name, (col, _) in read.items()], reason.alias("reason")
+    judged = read.select(
+        *kept, *[F.col(f"__{f.column}") for f in fields], reason.alias("reason")
     )
-    outcome = decoded.select(
+    good = F.col("reason").isNull()
+    outcome = judged.select(
         *kept,
         F.struct(
-            *[F.when(F.col("reason").isNull(), F.col(n)).alias(n) for n in read],
-            F.col("reason").isNull().alias("is_valid"),
+            *[F.when(good, F.col(f"__{f.column}")).alias(f.column) for f in fields],
+            good.alias("is_valid"),
             "reason",
         ).alias(_MAP),
     )
