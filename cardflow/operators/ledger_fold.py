@@ -64,7 +64,7 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
     change = np.zeros(max(n - 1, 0), dtype=bool)
     for key in keys:
         column = batch.column(key)
-        if pa.types.is_string(column.type):
+        if not pa.types.is_integer(column.type):
             column = column.dictionary_encode().indices
         codes = column.to_numpy(zero_copy_only=False)
         change |= codes[1:] != codes[:-1]

@@ -190,6 +190,7 @@ def all_oracles() -> dict[str, str]:
     changes = """SELECT account_id, order_id, CAST(order_amount AS DOUBLE) AS event_amount,
                         is_topup, CAST(balance AS DOUBLE) AS balance, status AS payment_status
                  FROM res"""
+    verdicts = _with(f"SELECT order_id AS key, {verdict} AS value FROM o", "o")
     return {
         "scan_raw_events": """
             SELECT CAST(user_id AS VARCHAR) AS key, props AS value, 'events' AS topic,
@@ -251,8 +252,10 @@ def all_oracles() -> dict[str, str]:
                        'CREATED' AS payment_status FROM ord""", "ord"),
         "prefixed_account_key": _messages(""),
         "request_status": status,
-        "fraud_verdicts": _with(
-            f"SELECT order_id AS key, {verdict} AS value FROM o", "o"),
+        "fraud_verdicts": verdicts,
+        "stream_fraud_verdicts": verdicts,
+        "stream_ledger_results": _with(changes, "o", "t", "clean", feed=_FEED),
+        "stream_order_state": _ORDER_STATE,
         "cleared_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},
                        'NOT_FRAUD' AS payment_status, order_date FROM clean""", "o", "clean"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,12 @@ from cardflow.functions import ids
 from cardflow.operators import decode, keyed, ledger
 from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, balances, fraud, lifecycle, orders
+from cardflow.session import checkpoint_root
 from cardflow.sources import fixtures as fx
 from cardflow.sources.topics import publish
+from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT
+from cardflow.streaming.state import streaming_ledger, streaming_order_state
+from cardflow.streaming.tables import KeyedTable, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -330,6 +335,33 @@ def order_lifecycle_raw(spark: SparkSession, d: str) -> DataFrame:
     return out(state, *ORDER_COLUMNS)
 
 
+# --- streams: the same results from Structured Streaming, run to the end of its input --
+def _streamed(spark: SparkSession, df: DataFrame, key: str, schema: str, mode: str) -> DataFrame:
+    root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
+    table = KeyedTable(f"{root}/table", key, schema)
+    return run_to_end(df, table, mode, f"{root}/checkpoint")
+
+
+def stream_fraud_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    created = fx.orders(spark, d, streaming=True)
+    verdicts = fraud.fraud_verdicts(created, "order_id", F.col("event_seq"))
+    return _streamed(spark, verdicts, "key", "key string, value string", "update")
+
+
+def stream_ledger_results(spark: SparkSession, d: str) -> DataFrame:
+    feed = lifecycle.ledger_feed(
+        fx.orders(spark, d, streaming=True), fx.topups(spark, d, streaming=True)
+    )
+    results = _streamed(spark, streaming_ledger(feed), "order_id", LEDGER_OUTPUT, "append")
+    return out(results, *_CHANGE)
+
+
+def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
+    events = fx.order_events(spark, d, streaming=True).withColumn("stage", F.lit(0))
+    state = streaming_order_state(events)
+    return out(_streamed(spark, state, "order_id", ORDER_OUTPUT, "update"), *ORDER_COLUMNS)
+
+
 def all_queries() -> dict[str, Query]:
     listed = [
         scan_raw_events, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
@@ -341,6 +373,7 @@ def all_queries() -> dict[str, Query]:
         account_balances, ledger_results, ledger_results_pooled, account_balances_pooled,
         lookup_accounts, lookup_requests, lookup_orders, lookup_balances, lookup_verdicts,
         account_onboarding, fraud_screen, balance_ledger, balance_ledger_dead_letters,
-        order_flow, order_lifecycle, order_lifecycle_raw,
+        order_flow, order_lifecycle, order_lifecycle_raw, stream_fraud_verdicts,
+        stream_ledger_results, stream_order_state,
     ]
     return {q.__name__: q for q in listed} | {"order_state": order_state_query}

@@ -7,6 +7,11 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 UTC = {"spark.sql.session.timeZone": "UTC"}
+# Stateful processors need it; its state lives on disk, not in the heap.
+ROCKSDB = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+}
 
 
 def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
@@ -19,8 +24,7 @@ def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
         "spark.ui.showConsoleProgress": "false",
-        "spark.sql.streaming.stateStore.providerClass":
-            "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        **ROCKSDB,
         **extra,
     }
     builder = SparkSession.builder.master(f"local[{cores}]").appName("cardflow")

@@ -110,9 +110,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _run(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
-    """Run a view's SQL straight on the table's file; no session-wide view is left."""
-    text = sql.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`")
+def _run(
+    spark: SparkSession, sf_dir: str, name: str, sql: str, streaming: bool = False
+) -> DataFrame:
+    """Run a view's SQL on the table's file, or on a stream that reads it."""
+    source = f"parquet.`{sf_dir}/{name}.parquet`"
+    if streaming:
+        source = f"cardflow_stream_{name}"
+        # One file per micro-batch bounds what one key can bring into a task.
+        reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
+        reader = reader.option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1)
+        reader.parquet(sf_dir).createOrReplaceTempView(source)
+    text = sql.replace(f"FROM {name}", f"FROM {source}")
     return use_utc(spark).sql(text.replace("{iso}", _ISO).replace("{ms}", _MS))
 
 
@@ -128,15 +137,16 @@ def _timed(df: DataFrame) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Created card orders with order columns, ``event_ts`` and ``event_seq``."""
-    return _timed(_run(spark, sf_dir, "events", ORDERS_SQL))
+    return _timed(_run(spark, sf_dir, "events", ORDERS_SQL, streaming))
 
 
-def topups(spark: SparkSession, sf_dir: str) -> DataFrame:
+def topups(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
     """Top-ups in the shape of orders, status ADD_BALANCE."""
     limit = F.lit(S.TOPUP_CREDIT_LIMIT).cast(S.MONEY)
-    return _timed(_run(spark, sf_dir, "events", TOPUPS_SQL)).withColumn("credit_limit", limit)
+    df = _timed(_run(spark, sf_dir, "events", TOPUPS_SQL, streaming))
+    return df.withColumn("credit_limit", limit)
 
 
 def pooled(df: DataFrame) -> DataFrame:
@@ -199,8 +209,8 @@ def account_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(keyed, S.ACCOUNTS_INPUT, F.timestamp_seconds(F.col("seq")))
 
 
-def order_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = _run(spark, sf_dir, "events", ORDER_EVENTS_SQL)
+def order_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+    df = _run(spark, sf_dir, "events", ORDER_EVENTS_SQL, streaming)
     date = F.timestamp_millis(F.unix_millis(F.col("order_date").cast("timestamp")))
     return df.withColumn("order_date", date)
 

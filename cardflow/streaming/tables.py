@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cardflow.operators.keyed import latest_per_key
 from cardflow.schemas import TOPIC_SCHEMA
+from cardflow.session import ROCKSDB
 from cardflow.sources.topics import read_topic, write_topic
 
 
@@ -22,6 +23,22 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream until its input is used up and return the table it keeps."""
+    spark = df.sparkSession
+    for key, value in ROCKSDB.items():
+        spark.conf.set(key, value)
+    query = (
+        df.writeStream.outputMode(mode)
+        .foreachBatch(lambda batch, n: table.write(batch, n))
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return table.read(spark)
+
+
 def write_once(df: DataFrame, path: str) -> None:
     """Write a folder unless an earlier attempt has completed it."""
     if not _exists(df.sparkSession, f"{path}/_SUCCESS"):
