@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cardflow.functions.rules import is_accepted_brand, is_other_brand, request_label
 from cardflow.operators.decode import dead_letters, decode_accounts, valid
 from cardflow.operators.keyed import latest_per_key, with_branch
+from cardflow.session import stored
 
 _ACCOUNT_COLUMNS = ["account_name", "account_last_update", "user_document_id",
                     "credit_card_number", "security_code", "expiration_date", "brand_name"]
@@ -60,7 +61,8 @@ def request_status(decoded: DataFrame) -> DataFrame:
 
 
 def onboarding(raw: DataFrame) -> Onboarding:
-    decoded = decode_accounts(raw)
+    """All three results; requests are decoded once and stored."""
+    decoded = stored(decode_accounts(raw))
     return Onboarding(
         accounts_state(decoded), request_status(decoded), dead_letters(decoded)
     )

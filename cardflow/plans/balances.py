@@ -12,6 +12,7 @@ from cardflow.functions.json_text import encode_json
 from cardflow.operators import ledger
 from cardflow.operators.decode import dead_letters, decode_orders, decode_topups, valid
 from cardflow.operators.keyed import merge
+from cardflow.session import stored
 
 
 @dataclass(frozen=True)
@@ -34,8 +35,13 @@ def timed(decoded: DataFrame) -> DataFrame:
 
 
 def ledger_from_topics(raw_orders: DataFrame, raw_topups: DataFrame) -> Ledger:
-    """Ledger over ``orders-output`` and ``balances-input`` records."""
-    orders, topups = decode_orders(raw_orders), decode_topups(raw_topups)
+    """Ledger over ``orders-output`` and ``balances-input`` records.
+
+    Counting, folding and dead letters read both feeds: they are decoded once and
+    stored.
+    """
+    orders = stored(decode_orders(raw_orders))
+    topups = stored(decode_topups(raw_topups))
     events = ledger.ledger_input(timed(valid(orders)), timed(valid(topups)))
     unfit = ledger.unfit_events(events).select("key", "value", "topic", "reason")
     return Ledger(events, merge(dead_letters(orders), dead_letters(topups), unfit))

@@ -20,6 +20,7 @@ from cardflow.operators.order_state import order_state
 from cardflow.plans.balances import timed
 from cardflow.plans.fraud import cleared_orders
 from cardflow.plans.orders import orders_in_progress
+from cardflow.session import stored
 
 _EVENT = ["order_id", "account_id", "credit_card_number", "order_amount", "payment_status",
           "order_date", "credit_limit"]
@@ -59,7 +60,11 @@ def _screened_events(created: DataFrame) -> DataFrame:
 
 
 def lifecycle_from_requests(raw_orders: DataFrame, raw_topups: DataFrame) -> DataFrame:
-    """The lifecycle from order and balance requests as they arrive in text form."""
-    created = timed(valid(order_intake(raw_orders)))
+    """The lifecycle from order and balance requests as they arrive in text form.
+
+    Ledger, stages and the second look at undated orders all read the orders:
+    these are decoded once and stored.
+    """
+    created = timed(valid(order_intake(raw_orders))).select(*_EVENT, "event_ts", "event_seq")
     topups = timed(valid(decode_topups(raw_topups)))
-    return order_lifecycle(created, topups)
+    return order_lifecycle(stored(created), topups)

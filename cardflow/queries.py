@@ -14,7 +14,7 @@ from cardflow.functions import ids
 from cardflow.operators import decode, keyed, ledger
 from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, balances, fraud, lifecycle, orders
-from cardflow.session import checkpoint_root
+from cardflow.session import checkpoint_root, stored
 from cardflow.sources import fixtures as fx
 from cardflow.sources.topics import publish
 from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT
@@ -318,7 +318,7 @@ def balance_ledger_dead_letters(spark: SparkSession, d: str) -> DataFrame:
 
 def order_flow(spark: SparkSession, d: str) -> DataFrame:
     """Order table from the order topic with the records of all three producers."""
-    decoded = decode.decode_orders(fx.full_orders_topic(spark, d, _changes(spark, d)))
+    decoded = stored(decode.decode_orders(fx.full_orders_topic(spark, d, _changes(spark, d))))
     return out(orders.order_flow_state(decoded), *ORDER_COLUMNS[:6])
 
 

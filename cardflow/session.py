@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,3 +68,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write a frame once as a table in the shared folder and read it from there.
+
+    For decoded records that several branches of a flow read: the text is parsed
+    once, and every branch reads only its columns and row groups.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4()}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
