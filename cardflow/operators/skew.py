@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.session import cut_lineage
+from cardflow.session import cut_lineage, estimated_bytes
 
 # Rows of one key that a single task may hold.
 HOT_ROWS = 5_000_000
@@ -28,8 +28,7 @@ def surely_small(df: DataFrame, hot_rows: int) -> bool:
     Saves the counting pass on small inputs.  A wrong estimate costs balance
     between tasks, never correctness.
     """
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes())) < hot_rows * _SMALL_ROW_BYTES
+    return estimated_bytes(df) < hot_rows * _SMALL_ROW_BYTES
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys | None:

@@ -10,6 +10,7 @@ from cardflow import schemas as S
 from cardflow.functions.json_text import encode_json
 from cardflow.operators import decode
 from cardflow.plans import accounts
+from cardflow.session import stored
 
 T3 = datetime(2024, 1, 1, 3)
 
@@ -154,3 +155,10 @@ def test_encode_decode_round_trip(spark, millis):
     fields = [f.column for f in S.ORDER]
     back = decode.decode_orders(again.select(*S.TOPIC_SCHEMA.fieldNames()))
     assert back.select(fields).collect() == one.select(fields).collect()
+
+
+def test_stored_frame_reads_back(spark):
+    df = decode.decode_orders(raw(spark, ['{"orderId":"a","orderAmount":1.5}', "bad"]))
+    again = stored(df, small_bytes=0)
+    assert "explode" not in again._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(again.collect(), key=repr) == sorted(df.collect(), key=repr)
