@@ -7,46 +7,32 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.session import cut_lineage, estimated_bytes
+from cardflow.session import cut_lineage
 
 # Rows of one key that a single task may hold.
 HOT_ROWS = 5_000_000
-# Bound on every broadcast list of hot keys, whatever the size of the data.
-MAX_HOT_KEYS = 100_000
-_SMALL_ROW_BYTES = 8
+# Above this many hot keys their rows are joined by key, and Spark splits large partitions.
+MAX_BROADCAST_KEYS = 100_000
 
 
 @dataclass(frozen=True)
 class HotKeys:
-    keys: DataFrame  # one column, at most MAX_HOT_KEYS rows
+    keys: DataFrame  # one column
+    count: int
     rows: int  # rows that have one of them
 
 
-def surely_small(df: DataFrame, hot_rows: int) -> bool:
-    """Whether the whole input is estimated below the size of one hot key.
-
-    Saves the counting pass on small inputs.  A wrong estimate costs balance
-    between tasks, never correctness.
-    """
-    return estimated_bytes(df) < hot_rows * _SMALL_ROW_BYTES
-
-
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> HotKeys | None:
     """Keys with more than ``hot_rows`` rows, if there are any.
 
-    The count reads the key column only and combines before its shuffle.  The limit
-    rises with the data so that at most MAX_HOT_KEYS keys can pass it; that is
-    what allows broadcasting the list.
+    One count that reads the key column only and combines before its shuffle.
     """
-    if df.isStreaming or surely_small(df, hot_rows):
+    if df.isStreaming:
         return None
     sizes = df.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n"))
-    total, biggest = sizes.agg(F.sum("n"), F.max("n")).first()
-    limit = max(hot_rows, (total or 0) // MAX_HOT_KEYS)
-    if (biggest or 0) <= limit:
-        return None
-    hot = cut_lineage(sizes.filter(F.col("n") > limit))
-    return HotKeys(hot.select(key), hot.agg(F.sum("n")).first()[0])
+    hot = cut_lineage(sizes.filter(F.col("n") > hot_rows))
+    count, rows = hot.agg(F.count("*"), F.sum("n")).first()
+    return HotKeys(hot.select(key), count, rows) if count else None
 
 
 def join_unique(
@@ -55,20 +41,19 @@ def join_unique(
     """Inner or left join to a side with one row per key, safe against hot keys.
 
     Rows with a hot key stay where they are and meet the few matching right rows
-    by broadcast; all others join by shuffle or as Spark sees fit.
+    by broadcast, if the hot keys are few enough for that; all others join by
+    shuffle.  Null keys match nothing and never meet in one task.
     """
+    unmatched = left.filter(F.col(key).isNull())
+    keyed = left.filter(F.col(key).isNotNull())
     found = hot_keys(left, key, hot_rows)
-    if found is None:
-        return left.join(right, key, how)
-    hot = F.broadcast(found.keys)
-    few = F.broadcast(right.join(hot, key, "left_semi"))
-    busy = left.join(hot, key, "left_semi").join(few, key, how)
-    usual = left.join(hot, key, "left_anti")
-    # A null key matches nothing: no need to gather all such rows in one task.
-    parts = [usual.filter(F.col(key).isNotNull()).join(right, key, how), busy]
-    joined = parts[0].unionByName(parts[1])
+    if found is None or found.count > MAX_BROADCAST_KEYS:
+        joined = keyed.join(right, key, how)
+    else:
+        hot = F.broadcast(found.keys)
+        few = right.join(hot, key, "left_semi").dropDuplicates([key])
+        busy = keyed.join(hot, key, "left_semi").join(F.broadcast(few), key, how)
+        joined = keyed.join(hot, key, "left_anti").join(right, key, how).unionByName(busy)
     if how == "left":
-        joined = joined.unionByName(
-            usual.filter(F.col(key).isNull()), allowMissingColumns=True
-        )
+        joined = joined.unionByName(unmatched, allowMissingColumns=True)
     return joined

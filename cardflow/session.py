@@ -70,20 +70,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's own upper estimate of a frame's size."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def stored(df: DataFrame, small_bytes: int = 64 << 20) -> DataFrame:
+def stored(df: DataFrame) -> DataFrame:
     """Write a frame once as a table in the shared folder and read it from there.
 
-    For decoded records that several branches of a flow read: the text is parsed
-    once, and every branch reads only its columns and row groups.  A frame that is
-    estimated to be small is cheaper to compute again and is returned as it is.
+    For records that several branches read: they are computed once, and every
+    branch reads only its columns and row groups.  The table outlives a lost executor.
     """
-    if estimated_bytes(df) < small_bytes:
-        return df
     spark = df.sparkSession
     path = f"{checkpoint_root(spark)}/tables/{uuid.uuid4()}"
     df.write.parquet(path)

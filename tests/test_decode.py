@@ -159,6 +159,6 @@ def test_encode_decode_round_trip(spark, millis):
 
 def test_stored_frame_reads_back(spark):
     df = decode.decode_orders(raw(spark, ['{"orderId":"a","orderAmount":1.5}', "bad"]))
-    again = stored(df, small_bytes=0)
+    again = stored(df)
     assert "explode" not in again._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(again.collect(), key=repr) == sorted(df.collect(), key=repr)
