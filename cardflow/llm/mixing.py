@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflow.llm.prefix import running_totals
-from cardflow.llm.text import word_count, words
+from cardflow.llm.text import row_keys, word_count, words
 from cardflow.session import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -122,13 +122,6 @@ def plan_sources(
     return out
 
 
-def row_keys(docs: DataFrame) -> list[Column]:
-    """128 bits that tell rows apart; rows with equal keys are equal in all columns but maps."""
-    cols = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
-    nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
-    return [F.xxhash64(nulls, *cols).alias("h1"), F.xxhash64(F.lit(1), nulls, *cols).alias("h2")]
-
-
 def sized(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
     return docs.select(
         F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"), *row_keys(docs))

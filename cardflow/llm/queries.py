@@ -5,10 +5,10 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import chat, mixing, quality_rules, url_filters
+from cardflow.llm import chat, decontamination, jaccard, language, mixing, quality, quality_rules, url_filters
 from cardflow.llm.token_counts import TokenRollup
 from cardflow.llm.tokens import default_path, token_count
 from cardflow.session import checkpoint_root, stored
@@ -64,6 +64,25 @@ def op3_url_filters(spark: SparkSession, d: str) -> DataFrame:
                          F.when(~own, F.col("rule")).alias("pattern"))
 
 
+def fold(n: int) -> Column:
+    """crc32 of the id as text, modulo n."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
+
+
+def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    scores = quality.classify(docs, table(spark, d, "labels"), fold(5))
+    return scores.select("doc_id", F.coalesce(fold(5) == 0, F.lit(True)).alias("held_out"), "score",
+                         (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(fold(4) == 2, F.lit(True))
+    model = language.fit(docs, ~held_out)
+    return language.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "ambiguous")
+
+
 def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     marked = quality_rules.ledger(table(spark, d, "documents").select("doc_id", "text"))
     failed_base, failed_any = quality_rules.failed(quality_rules.BASE), quality_rules.failed(quality_rules.FULL)
@@ -71,6 +90,16 @@ def op7_quality_rules(spark: SparkSession, d: str) -> DataFrame:
                          failed_base.alias("base_failed"), (~failed_any).alias("kept"), "fail_bits")
 
 
+def op8_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return decontamination.mark(docs, table(spark, d, "benchmark")).drop("text")
+
+
+def op9_ngram_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    found = jaccard.groups(table(spark, d, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.col("root_id").alias("component_id"))
+
+
 def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
     plan = mixing.mix(table(spark, d, "documents").select("doc_id", "source", "text"))
     return mixing.taken(plan).drop("source")
@@ -78,5 +107,6 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_token_counts, op2_chat_formatting, op3_url_filters, op7_quality_rules, op10_mixing,
+        op1_token_counts, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op6_language_id,
+        op7_quality_rules, op8_decontamination, op9_ngram_jaccard, op10_mixing,
     )}
