@@ -58,8 +58,9 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_cache) > 1_000_000:
         _cache.clear()
-    for w in set(words) - _cache.keys():
-        _cache[w] = xxhash.xxh3_64_intdigest(w)
+    for w in set(words):
+        if w not in _cache:
+            _cache[w] = xxhash.xxh3_64_intdigest(w)
     h = np.array([_cache[w] for w in words], np.uint64)
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)

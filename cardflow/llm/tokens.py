@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import os
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -12,51 +13,50 @@ from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
 # Words whose ids a Python worker remembers; beyond this it starts afresh.
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 400_000
 
 
 class WordEncoder:
-    """Ids of texts for tokenizers that never join words over white space.
+    """Ids of texts for a tokenizer that drops white space and so never joins words over it.
 
-    Equal words are encoded once.  A word that ends in one full stop or comma is
-    its stem's ids and the mark's, and ASCII words are looked up in lower case: the
+    Equal words are encoded once.  A word that ends in a full stop or comma after a letter
+    is its stem's ids and the mark's, and ASCII letters are looked up in lower case: the
     tokenizer lower-cases and splits punctuation from letters in any case.
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         # Strings of special tokens are ordinary text here.
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def word(self, w: str) -> tuple[int, ...]:
-        ids = self.known.get(w)
-        if ids is None:
-            if len(w) > 1 and w[-1] in ".," and w[-2].isalpha():
-                ids = self.word(w[:-1]) + self.word(w[-1])
-            elif w.isascii() and not w.islower() and w.isalpha():
-                ids = self.word(w.lower())
-            else:
-                ids = tuple(self.tokenizer.encode(w, add_special_tokens=False).ids)
-            if len(self.known) >= CACHED_WORDS:
-                self.known.clear()
-            self.known[w] = ids
-        return ids
+        self.known: dict[bytes, bytes] = {}
+
+    def learn(self, new: Sequence[bytes]) -> None:
+        """Encode words that are not known yet."""
+        if len(self.known) + len(new) > CACHED_WORDS:
+            self.known.clear()
+        known = self.known
+        cut = [(w, w[:-1].lower() if w[:-1].isalpha() and w[-1:] in (b".", b",") else w.lower() if w.isalpha() else w) for w in new]
+        stems = {s for _, s in cut} | {b".", b","}
+        stems = [s for s in stems if s not in known]
+        texts = [s.decode("utf-8", "surrogatepass") for s in stems]
+        for s, e in zip(stems, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+            known[s] = np.array(e.ids, np.uint32).tobytes()
+        for w, s in cut:
+            if w not in known:
+                known[w] = known[s] + (known[w[-1:]] if len(w) > len(s) else b"")
 
     def encode(self, text: str | None) -> np.ndarray:
-        """All ids of a text as 32-bit integers; none for a null text."""
-        known, out = self.known, []
-        # ASCII white space only: other spaces stay inside a word for the tokenizer to see.
-        for w in (text or "").translate(_SPACES).split(" "):
-            if w:
-                ids = known.get(w)
-                out.extend(self.word(w) if ids is None else ids)
-        return np.array(out, dtype=np.uint32)
-
-
-_SPACES = dict.fromkeys(range(9, 14), " ")
+        """All ids of a text; none for a null text."""
+        # Bytes split at ASCII white space only; other spaces are left to the tokenizer.
+        words = (text or "").encode("utf-8", "surrogatepass").split()
+        own = set(words)
+        for _ in range(2):  # again if the memory was emptied in between
+            if new := [w for w in own if w not in self.known]:
+                self.learn(new)
+        return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
 
 
 @lru_cache(maxsize=4)
