@@ -29,10 +29,13 @@ ROWS = 8192  # of counts for ids of more than 16 bits; exact for up to 16
 BEGIN = np.array([0, 1, 17, 273])
 STEP, LIMIT = 24, 4096  # added to a count, and the sum at which a row is halved
 FULL = np.uint64(1) << np.uint64(48)
-LOW32, B16, B32 = np.uint64(0xFFFFFFFF), np.uint64(16), np.uint64(32)
+LOW32, ONE32 = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
+B16, B32, MOST = np.uint64(16), np.uint64(32), np.uint64(1 << 24)
+# Running sums as a product; sums stay below 2^16, so single precision is exact.
+SUMS = np.triu(np.ones((16, 16), np.float32))
 LEVELS = 8  # of confidence
 # 256ths of the counts' sum that a prediction adds, by its success rate in 256ths.
-ODDS = np.minimum(6 * 256, (np.arange(256) * 256) // np.maximum(1, 256 - np.arange(256))).astype(np.uint32)
+ODDS = np.minimum(6 * 256, (np.arange(256) * 256) // np.maximum(1, 256 - np.arange(256))).astype(np.int32)
 
 
 class Damaged(ValueError):
@@ -40,76 +43,69 @@ class Damaged(ValueError):
 
 
 class _Models:
-    """State of the models of all lanes."""
+    """State of the models of all lanes; predictions of both orders are rows of one array."""
 
     def __init__(self, lanes: int, width: int):
         self.width, self.rows = width, 4369 if width <= 4 else ROWS
-        self.counts = np.ones((lanes * self.rows, 16), np.uint16)
+        self.counts = np.ones(lanes * self.rows * 16, np.uint16)
+        self.table = self.counts.reshape(-1, 16)
+        self.sums = np.full(lanes * self.rows, 16, np.int32)
         self.base = np.arange(lanes) * self.rows
-        self.guess = [np.zeros(lanes * SLOTS, np.uint32) for _ in range(2)]
-        self.trust = [np.zeros(lanes * SLOTS, np.uint8) for _ in range(2)]
-        self.slots = np.arange(lanes) * SLOTS
-        # Success rates by order, step and confidence, in 65536ths.
-        self.rate = [np.full(lanes * width * LEVELS, 32768, np.int32) for _ in range(2)]
-        self.rates = np.arange(lanes) * (width * LEVELS)
+        self.guess = np.zeros(2 * lanes * SLOTS, np.uint32)
+        self.trust = np.zeros(2 * lanes * SLOTS, np.uint8)
+        self.slots = np.arange(2 * lanes).reshape(2, lanes) * SLOTS
+        # Success rates by order, lane, step and confidence, in 65536ths.
+        self.rate = np.full(2 * lanes * width * LEVELS, 32768, np.int32)
+        self.rates = np.arange(2 * lanes).reshape(2, lanes) * (width * LEVELS)
         self.last = np.zeros((2, lanes), np.uint32)
+        self.sixteen = np.arange(lanes) * 16
 
     def open(self, n: int) -> None:
         """Look up the predictions for the next id of the first n lanes."""
         p1, p2 = self.last[0, :n], self.last[1, :n]
-        hashed = (p1 * np.uint32(0x9E3779B1), (p1 * np.uint32(0x85EBCA77)) ^ (p2 * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F)))
-        self.at = [self.slots[:n] + (h >> np.uint32(20)) for h in hashed]
-        self.said = [g[a] for g, a in zip(self.guess, self.at, strict=True)]
-        self.sure = [t[a] for t, a in zip(self.trust, self.at, strict=True)]
-        self.live = [s > 0 for s in self.sure]
+        hashed = np.stack([p1 * np.uint32(0x9E3779B1), p1 * np.uint32(0x85EBCA77) ^ (p2 * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F))])
+        self.at = self.slots[:, :n] + (hashed >> np.uint32(20))
+        self.said, self.sure = self.guess.take(self.at), self.trust.take(self.at)
+        self.live = self.sure > 0
         self.prefix = np.zeros(n, np.int64)
 
-    def frequencies(self, n: int, step: int) -> np.ndarray:
-        """Cumulative frequencies of the 16 values of the next step, lanes x 17."""
+    def frequencies(self, n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """Frequencies of the 16 values of the next step, and their running sums; lanes x 16."""
         if self.width <= 4:
-            self.row = self.base[:n] + BEGIN[step] + self.prefix
+            self.row = self.base[:n] + (self.prefix + BEGIN[step])
         else:
-            mixed = (self.prefix + step) * 0x9E3779B1 & 0xFFFFFFFF
-            self.row = self.base[:n] + (mixed >> 19)
-        own = self.counts[self.row]
-        mass = own.astype(np.uint32)
-        self.total = mass.sum(axis=1, dtype=np.uint32)
-        lane, shift = np.arange(n), 4 * (self.width - 1 - step)
-        self.value, self.place = [], []
+            self.row = self.base[:n] + (((self.prefix + step) * 0x9E3779B1 & 0xFFFFFFFF) >> 19)
+        mass = self.table.take(self.row, axis=0).astype(np.float32)
+        self.total = self.sums.take(self.row)
+        self.value = (self.said >> np.uint32(4 * (self.width - 1 - step))) & np.uint32(15)
+        self.place = self.rates[:, :n] + (self.sure + np.uint8(step * LEVELS))
+        self.known = self.rate.take(self.place)
+        weight = ((self.total * ODDS.take(self.known >> 8)) >> 8) * self.live
+        cell, flat = self.sixteen[:n] + self.value, mass.reshape(-1)
         for k in range(2):
-            value = (self.said[k] >> np.uint32(shift)) & np.uint32(15)
-            place = self.rates[:n] + (step * LEVELS + self.sure[k])
-            weight = (self.total * ODDS[self.rate[k][place] >> 8]) >> np.uint32(8)
-            mass[lane, value] += weight * self.live[k]
-            self.value.append(value)
-            self.place.append(place)
-        cum = np.zeros((n, 17), np.uint64)
-        np.cumsum(mass, axis=1, out=cum[:, 1:])
-        return cum
+            flat[cell[k]] = flat.take(cell[k]) + weight[k]
+        return mass, mass @ SUMS
 
     def learn(self, n: int, step: int, symbol: np.ndarray) -> None:
         """Adapt to the values that came."""
-        flat = self.counts.reshape(-1)
-        flat[self.row * 16 + symbol] += STEP
+        cell = self.row * 16 + symbol
+        self.counts[cell] = self.counts.take(cell) + np.uint16(STEP)
+        self.sums[self.row] = self.total + STEP
         full = np.flatnonzero(self.total > LIMIT - STEP)
         if len(full):
             rows = self.row[full]
-            self.counts[rows] = (self.counts[rows] >> 1) | 1
-        for k in range(2):
-            hit = self.value[k] == symbol
-            rate = self.rate[k][self.place[k]]
-            moved = rate + ((np.where(hit, 65535, 0) - rate) >> 5)
-            self.rate[k][self.place[k]] = np.where(self.live[k], moved, rate)
-            self.live[k] &= hit
+            self.table[rows] = (self.table[rows] >> 1) | 1
+            self.sums[rows] = self.table[rows].sum(axis=1)
+        hit = self.value == symbol
+        self.rate[self.place] = self.known + (((hit * 65535 - self.known) >> 5) * self.live).astype(np.int32)
+        self.live &= hit
         self.prefix = (self.prefix << 4) | symbol
 
     def close(self, n: int, ids: np.ndarray) -> None:
         """Store the ids that came as the next predictions of their contexts."""
-        for k in range(2):
-            right = self.said[k] == ids
-            sure = np.where(right, np.minimum(self.sure[k] + 1, LEVELS - 1), 1)
-            self.guess[k][self.at[k]] = ids
-            self.trust[k][self.at[k]] = np.where(self.sure[k] == 0, 1, sure)
+        right = (self.said == ids) & (self.sure > 0)
+        self.guess[self.at] = ids
+        self.trust[self.at] = np.where(right, np.minimum(self.sure + 1, LEVELS - 1), 1)
         self.last[1, :n] = self.last[0, :n]
         self.last[0, :n] = ids
 
@@ -129,18 +125,20 @@ def _encode_lanes(blocks: Sequence[np.ndarray], width: int) -> list[bytes]:
     for t in range(size[0]):
         n = int(np.searchsorted(-size, -t, side="left"))
         models.open(n)
-        lane = np.arange(n)
         for step in range(width):
             symbol = ((ids[t, :n] >> np.uint32(4 * (width - 1 - step))) & np.uint32(15)).astype(np.int64)
-            cum = models.frequencies(n, step)
-            begin = cum[lane, symbol]
-            unit = span[:n] // cum[:, 16]
-            new_low, new_span = low[:n] + begin * unit, unit * (cum[lane, symbol + 1] - begin)
-            short = new_span < (np.uint64(1) << B32)
+            mass, sums = models.frequencies(n, step)
+            cell = models.sixteen[:n] + symbol
+            own = mass.take(cell)
+            unit = span[:n] // sums[:, 15].astype(np.uint64)
+            new_low = low[:n] + (sums.take(cell) - own).astype(np.uint64) * unit
+            new_span = unit * own.astype(np.uint64)
+            short = new_span < ONE32
             flat[at[:n]] = new_low >> B32
-            at[:n] += np.where(short, lanes, 0)
-            low[:n] = np.where(short, (new_low & LOW32) << B16, new_low)
-            span[:n] = np.where(short, new_span << B16, new_span)
+            at[:n] += short * lanes
+            shift = short * B16
+            low[:n] = np.where(short, new_low & LOW32, new_low) << shift
+            span[:n] = new_span << shift
             models.learn(n, step, symbol)
         models.close(n, ids[t, :n])
     for _ in range(3):
@@ -155,29 +153,33 @@ def _encode_lanes(blocks: Sequence[np.ndarray], width: int) -> list[bytes]:
 
 def _decode_lanes(payloads: Sequence[bytes], size: np.ndarray, width: int) -> list[np.ndarray]:
     lanes = len(payloads)
-    words = np.zeros((max(len(p) for p in payloads) // 2 + width + 4, lanes), np.uint64)
+    words = np.zeros((max(len(p) for p in payloads) // 2 + width + 4, lanes), np.uint16)
     for i, p in enumerate(payloads):
         words[: len(p) // 2, i] = np.frombuffer(p, "<u2")
     flat, end = words.reshape(-1), words.size - lanes
     ids = np.zeros((size[0], lanes), np.uint32)
     models = _Models(lanes, width)
-    code = (words[0] << B32) | (words[1] << B16) | words[2]
+    first = words[:3].astype(np.uint64)
+    code = (first[0] << B32) | (first[1] << B16) | first[2]
     span, at = np.full(lanes, FULL), np.arange(lanes) + 3 * lanes
+    ones = np.ones(16, np.uint8)
     for t in range(size[0]):
         n = int(np.searchsorted(-size, -t, side="left"))
         models.open(n)
-        lane = np.arange(n)
         for step in range(width):
-            cum = models.frequencies(n, step)
-            unit = span[:n] // cum[:, 16]
-            seen = code[:n] // unit
-            symbol = np.minimum((cum[:, 1:] <= seen[:, None]).sum(axis=1), 15)
-            begin = cum[lane, symbol]
-            new_code, new_span = code[:n] - begin * unit, unit * (cum[lane, symbol + 1] - begin)
-            short = new_span < (np.uint64(1) << B32)
-            code[:n] = np.where(short, (new_code << B16) | flat[at[:n]], new_code)
-            span[:n] = np.where(short, new_span << B16, new_span)
-            at[:n] = np.minimum(at[:n] + np.where(short, lanes, 0), end)
+            mass, sums = models.frequencies(n, step)
+            unit = span[:n] // sums[:, 15].astype(np.uint64)
+            seen = np.minimum(code[:n] // unit, MOST).astype(np.float32)
+            symbol = np.minimum((sums <= seen[:, None]).view(np.uint8) @ ones, 15).astype(np.int64)
+            cell = models.sixteen[:n] + symbol
+            own = mass.take(cell)
+            new_code = code[:n] - (sums.take(cell) - own).astype(np.uint64) * unit
+            new_span = unit * own.astype(np.uint64)
+            short = new_span < ONE32
+            shift = short * B16
+            code[:n] = (new_code << shift) | (flat.take(at[:n]) * short)
+            span[:n] = new_span << shift
+            at[:n] = np.minimum(at[:n] + short * lanes, end)
             models.learn(n, step, symbol)
         ids[t, :n] = models.prefix
         models.close(n, ids[t, :n])

@@ -382,7 +382,8 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, d
 def groups(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """h1, h2 (key of the row), doc_id, n (set size) and root_id: the smallest doc_id that links reach.
+    """h1, h2 (key of the row), doc_id, n (set size), root and root_id: the component (null
+    without shingles) and the smallest doc_id in it.
 
     Rows with null or empty texts have n = 0 and their own id.  Rows that repeat an id are
     documents of their own; a null id counts as greater than any other.
@@ -412,6 +413,6 @@ def groups(
 
     named = ids.select("k1", "k2", "node", "doc_id").join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("doc_id").alias("root_id"))
-    label = named.join(least, "root").select("k1", "k2", "root_id")
+    label = named.join(least, "root").select("k1", "k2", "root", "root_id")
     full = own.join(label, ["k1", "k2"], "left")
-    return full.select("h1", "h2", "doc_id", "n", F.when(F.col("n") > 0, F.col("root_id")).otherwise(F.col("doc_id")).alias("root_id"))
+    return full.select("h1", "h2", "doc_id", "n", "root", F.when(F.col("n") > 0, F.col("root_id")).otherwise(F.col("doc_id")).alias("root_id"))

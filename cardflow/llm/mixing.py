@@ -28,7 +28,7 @@ MAX_REPEATS = 3
 BLOCK_WORDS = 128
 SHARD_SLOTS = 16_384
 # Rows of a source that are summed up in one task.
-CHUNK_ROWS = 65_536
+CHUNK_ROWS = 4_096
 # Sources are a dimension table: their totals and targets are handled on the driver.
 MAX_SOURCES = 100_000
 
@@ -265,6 +265,12 @@ def runs_of(parts: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
         yield begin, end - begin
 
 
+def one_of_equal(rows: DataFrame) -> DataFrame:
+    """One row for each key h1, h2; tasks drop their own copies before the shuffle."""
+    first = Window.partitionBy("h1", "h2").orderBy("h1")
+    return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+
+
 def mixed_texts(docs: DataFrame, plan: Mix, text: str = "text", block: int = BLOCK_WORDS) -> DataFrame:
     """The mix itself in the columns of ``docs``: a row per run of words that is taken.
 
@@ -275,9 +281,7 @@ def mixed_texts(docs: DataFrame, plan: Mix, text: str = "text", block: int = BLO
     spans = plan.pieces.join(used, ["src", "block"]).groupBy(
         "h1", "h2", F.expr(f"start % {block}").alias("cut"), "first", "n_words").agg(F.sum("times").alias("times"))
     listed = spans.groupBy("h1", "h2", "cut").agg(F.collect_list(F.struct("first", "n_words", "times")).alias("_parts"))
-    one = Window.partitionBy("h1", "h2").orderBy("h1")
-    rows = docs.select("*", *row_keys(docs)).withColumn("_rn", F.row_number().over(one)).filter("_rn = 1").drop("_rn")
-    joined = rows.join(listed.drop("cut"), ["h1", "h2"]).drop("h1", "h2")
+    joined = one_of_equal(docs.select("*", *row_keys(docs))).join(listed.drop("cut"), ["h1", "h2"]).drop("h1", "h2")
     runs = F.udf(lambda parts: [(int(a), int(n)) for a, n in runs_of([tuple(p) for p in parts])],
                  "array<struct<first:int,n:int>>")
     cut = joined.withColumn("_runs", runs("_parts")).drop("_parts").withColumn("_words", words(F.col(text)))

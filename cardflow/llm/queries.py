@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import chat, decontamination, jaccard, language, mixing, quality, quality_rules, url_filters
+from cardflow.llm import chat, decontamination, id_files, jaccard, language, mixing, quality, quality_rules, url_filters
 from cardflow.llm.token_counts import TokenRollup
 from cardflow.llm.tokens import default_path, token_count
 from cardflow.session import checkpoint_root, stored
@@ -76,6 +76,12 @@ def op4_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
                          (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_token_ids(spark: SparkSession, d: str) -> DataFrame:
+    path = f"{checkpoint_root(spark)}/ids/{uuid.uuid4()}"
+    id_files.write(table(spark, d, "documents"), path, default_path())
+    return id_files.digests(spark, path)
+
+
 def op6_language_id(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text", "lang")
     held_out = F.coalesce(fold(4) == 2, F.lit(True))
@@ -107,6 +113,6 @@ def op10_mixing(spark: SparkSession, d: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
-        op1_token_counts, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op6_language_id,
-        op7_quality_rules, op8_decontamination, op9_ngram_jaccard, op10_mixing,
+        op1_token_counts, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op5_token_ids,
+        op6_language_id, op7_quality_rules, op8_decontamination, op9_ngram_jaccard, op10_mixing,
     )}
