@@ -4,13 +4,16 @@ Texts are cut into tokens; numbers, names and units become typed placeholders.
 the resulting template are hash-joined with those of the benchmark items.  Matches
 on one diagonal (the same shift between text and item) must fill the slots
 consistently: one value in the text for each value in the item.  So a question with
-other numbers or names is still found.
+other numbers or names is still found.  Items are indexed a second time with their names
+as words, for texts in capitals or small letters throughout, where names don't show.
 
 Windows with few literal tokens say little; they count only with equal slot values.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,21 +39,21 @@ def tokens(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def template(found: Column) -> Column:
-    """Tokens with placeholders for numbers, names (capitals inside sentences) and units."""
+def template(found: Column, names: bool = True) -> Column:
+    """Tokens with placeholders for numbers, units and, if asked, names (capitals inside sentences)."""
     number = r"^\p{N}"
 
     def typed(t: Column, i: Column) -> Column:
         plain = F.lower(F.ltrim(t, F.lit(MARK)))
         after_number = F.coalesce(F.rlike(F.get(found, i - 1), F.lit(number)), F.lit(False))
         return (F.when(F.rlike(t, F.lit(number)), F.lit(NUM))
-                .when(F.rlike(t, F.lit(r"^\p{Lu}\p{Ll}")), F.lit(NAME))
+                .when(F.rlike(t, F.lit(r"^\p{Lu}\p{Ll}")) if names else F.lit(False), F.lit(NAME))
                 .when(plain.isin(*UNITS) & after_number, F.lit(UNIT)).otherwise(plain))
 
     return F.transform(found, typed)
 
 
-def template_windows(text: Column, width: int) -> Column:
+def template_windows(text: Column, width: int, names: bool = True) -> Column:
     """Array of (i, h, v, literals): place, hash of the template window, its slot values."""
 
     def of(found: Column, shape: Column) -> Column:
@@ -73,7 +76,7 @@ def template_windows(text: Column, width: int) -> Column:
             has_slots, let(slots, lambda s: F.transform(starts, lambda i: window(h, s, i)))
         ).otherwise(F.transform(starts, lambda i: plain(h, i))))
 
-    return let(tokens(text), lambda t: let(template(t), lambda s: of(t, s)))
+    return let(tokens(text), lambda t: let(template(t, names), lambda s: of(t, s)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -86,13 +89,11 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     parts = []
     for width in range(1, WINDOW + 1):
         rows = sized.filter(F.col("_n") >= width if width == WINDOW else F.col("_n") == width)
-        parts.append(rows.select("item_id", F.lit(width).alias("width"), template_windows(F.col("text"), width).alias("x"))
-                     .select("item_id", "width", F.size("x").alias("n_windows"), F.inline("x"))
-                     .select("width", "h", "item_id", F.col("i").alias("j"), F.col("v").alias("w"), "literals", "n_windows"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        for names in (True, False):
+            cut = rows.select("item_id", F.lit(width).alias("width"), template_windows(F.col("text"), width, names).alias("x"))
+            parts.append(cut.select("item_id", "width", F.size("x").alias("n_windows"), F.inline("x")).select(
+                "width", "h", "item_id", F.col("i").alias("j"), F.col("v").alias("w"), "literals", "n_windows"))
+    return reduce(DataFrame.unionByName, parts).distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
