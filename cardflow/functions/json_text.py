@@ -6,7 +6,7 @@ before, so that nothing is computed twice.  Costlier work sits behind ``when``
 guards and runs only for the rare rows that need it:
 
 * repeated or unknown property names,
-* a typed parse for money that a double cannot carry exactly,
+* the source digits of money that a double cannot carry exactly,
 * a variant parse where the text alone cannot tell a JSON string from a nested
   value or from a bare number.
 """
@@ -23,7 +23,9 @@ from cardflow.schemas import MONEY, Field
 _PARSE = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _MAP = "__json"
 _CLEAN = "__clean"
-_WIDE_MONEY = "decimal(38,12)"
+# Plain money, and any number: sign, whole digits, fraction digits, exponent.
+_SIMPLE = r"^[+-]?\d+([.]\d{1,6})?$"
+_NUMBER = r"^([+-]?)(\d+)(?:[.](\d*))?(?:[eE]([+-]?\d{1,3}))?$"
 
 # Date texts that are accepted.
 _DIGITS = r"^-?\d+$"
@@ -59,14 +61,37 @@ def _read_long(value: Column, text: Column, field: Field) -> Column:
 
 
 def _read_money(value: Column, text: Column, field: Field) -> Column:
+    """Exact money: at most 32 whole digits and six decimals, zeros at the ends aside.
+
+    The digits are counted on the text, as the source writes it, so nothing is rounded:
+    what does not fit is refused.  Numbers that a double would change are read again as text.
+    """
     beyond_double = (F.length(text) > 15) | F.lower(text).contains("e")
-    typed = F.from_json(value, f"`{field.json}` {_WIDE_MONEY}", _PARSE)[field.json]
-    wide = F.when(text.isNull() | ~beyond_double, text.try_cast(_WIDE_MONEY)).otherwise(
-        F.coalesce(typed, text.try_cast(_WIDE_MONEY))
-    )
-    narrow = wide.try_cast(MONEY)
-    # More than six decimals would have to be rounded: refuse instead.
-    return F.when(narrow.try_cast(_WIDE_MONEY) == wide, narrow)
+    # The last one, as of repeated names the last counts.
+    source = F.regexp_extract(
+        value, rf'(?s)^.*"{field.json}"\s*:\s*"?\s*([+-]?\d+(?:[.]\d*)?(?:[eE][+-]?\d+)?)\s*"?\s*[,}}]', 1)
+    exact = F.when(source != "", source).when(_is_json_string(value, field.json), text)
+
+    def part(i: int) -> Column:
+        return F.regexp_extract(exact, _NUMBER, i)
+
+    whole, fraction = part(2), part(3)
+    shift = F.coalesce(part(4).try_cast("int"), F.lit(0))
+    digits = F.concat(whole, fraction)
+    # Place of the decimal point in ``digits``; zeros are put in where it lies outside.
+    point = F.length(whole) + shift
+    padded = F.concat(
+        F.repeat(F.lit("0"), F.least(F.greatest(-point, F.lit(0)), F.lit(99))), digits,
+        F.repeat(F.lit("0"), F.least(F.greatest(point - F.length(digits), F.lit(0)), F.lit(99))),
+    )
+    at = F.greatest(point, F.lit(0))
+    left = F.ltrim(F.substring(padded, F.lit(1), at), F.lit("0"))
+    right = F.rtrim(F.substring(padded, at + 1, F.length(padded)), F.lit("0"))
+    fits = (F.length(left) <= 32) & (F.length(right) <= 6)
+    plain = F.concat(part(1), F.lit("0"), left, F.lit("."), right, F.lit("0"))
+    slow = F.when(exact.rlike(_NUMBER) & fits, plain.try_cast(MONEY))
+    simple = ~beyond_double & text.rlike(_SIMPLE)
+    return F.when(simple, text.try_cast(MONEY)).when(text.isNotNull(), slow)
 
 
 def _read_instant(value: Column, text: Column, field: Field) -> Column:

@@ -49,6 +49,22 @@ CASES = {
     '{"orderAmount":123456789012345678901.123456}': {
         "order_amount": Decimal("123456789012345678901.123456")},
     '{"orderAmount":1.0000001}': "bad_order_amount",
+    '{"orderAmount":1.0000000000000004}': "bad_order_amount",
+    '{"orderAmount":"1.0000000000001"}': "bad_order_amount",
+    '{"orderAmount":1000000000000000000000000000}': {"order_amount": Decimal(10**27)},
+    '{"orderAmount":"12345678901234567890123456789012.123456"}': {
+        "order_amount": Decimal("12345678901234567890123456789012.123456")},
+    '{"orderAmount":-12345678901234567890123456789012.1234560000}': {
+        "order_amount": Decimal("-12345678901234567890123456789012.123456")},
+    '{"orderAmount":123456789012345678901234567890123}': "bad_order_amount",
+    '{"orderAmount":0.00000100000000}': {"order_amount": Decimal("0.000001")},
+    '{"orderAmount":1e-6}': {"order_amount": Decimal("0.000001")},
+    '{"orderAmount":1.5E-6}': "bad_order_amount",
+    '{"orderAmount":"12.5e3"}': {"order_amount": Decimal("12500")},
+    '{"orderAmount":1e31}': {"order_amount": Decimal(10**31)},
+    '{"orderAmount":1e32}': "bad_order_amount",
+    '{"orderAmount":0e99}': {"order_amount": Decimal(0)},
+    '{"orderAmount":1,"orderAmount":20000000000.000001}': {"order_amount": Decimal("20000000000.000001")},
     '{"orderAmount":"x"}': "bad_order_amount",
     '{"orderAmount":" "}': {"order_amount": None},
     '{"orderDate":"2024-01-01T03:00:00.000+00:00"}': {"order_date": T3},
