@@ -125,20 +125,20 @@ def _with(body: str, *views: str, feed: str | None = None) -> str:
     return f"WITH {recursive}{', '.join(parts)} {body}" if parts else body
 
 
-_VALUE = "CAST(order_amount AS DOUBLE) AS order_amount"
+_VALUE = "CAST(order_amount AS DECIMAL(38,6))::VARCHAR AS order_amount"
 _BALANCES = """
-    SELECT account_id, credit_card_number, CAST(balance AS DOUBLE) AS balance,
-           CAST(credit_limit AS DOUBLE) AS credit_limit, order_id, status AS payment_status
+    SELECT account_id, credit_card_number, CAST(balance AS DECIMAL(38,6))::VARCHAR AS balance,
+           CAST(credit_limit AS DECIMAL(38,6))::VARCHAR AS credit_limit, order_id, status AS payment_status
     FROM res QUALIFY row_number() OVER (PARTITION BY account_id ORDER BY rn DESC) = 1"""
 _LIFECYCLE = f"""
     SELECT o.order_id, o.account_id, o.credit_card_number,
-           CAST(o.order_amount AS DOUBLE) AS order_amount,
+           CAST(o.order_amount AS DECIMAL(38,6))::VARCHAR AS order_amount,
            CASE WHEN r.status IS NULL THEN 'CREATED' ELSE 'COMPLETED-' || r.status END
-             AS payment_status, o.order_date
+             AS payment_status, o.order_date, CAST(NULL AS VARCHAR) AS credit_limit
     FROM o LEFT JOIN res r ON r.order_id = o.order_id AND NOT r.is_topup
     UNION ALL
-    SELECT order_id, account_id, credit_card_number, CAST(balance AS DOUBLE),
-           'COMPLETED-' || status, {{date}} FROM res WHERE is_topup"""
+    SELECT order_id, account_id, credit_card_number, CAST(balance AS DECIMAL(38,6))::VARCHAR,
+           'COMPLETED-' || status, {{date}}, NULL FROM res WHERE is_topup"""
 
 _LABEL = """CASE WHEN lower(coalesce(brand_name, '')) = 'netcard'
                  THEN 'Account id: ' || account_id ELSE 'Invalid Request' END"""
@@ -165,7 +165,7 @@ _ORDER_STATE = """
            arg_min(account_id, event_seq) FILTER (account_id IS NOT NULL) AS account_id,
            arg_min(credit_card_number, event_seq) FILTER (credit_card_number IS NOT NULL)
              AS credit_card_number,
-           CAST(arg_min(order_amount, event_seq) FILTER (order_amount IS NOT NULL) AS DOUBLE)
+           CAST(arg_min(order_amount, event_seq) FILTER (order_amount IS NOT NULL) AS DECIMAL(38,6))::VARCHAR
              AS order_amount,
            CASE arg_max_null(payment_status, event_seq)
              WHEN 'NOT_FRAUD' THEN 'PROGRESS' WHEN 'EXECUTED' THEN 'COMPLETED-EXECUTED'
@@ -173,7 +173,7 @@ _ORDER_STATE = """
              ELSE arg_max_null(payment_status, event_seq) END AS payment_status,
            arg_min(order_date, event_seq) FILTER (order_date IS NOT NULL) AS order_date,
            CAST(arg_max(credit_limit, event_seq)
-                FILTER (first_dated IS NULL OR event_seq < first_dated) AS DOUBLE) AS credit_limit
+                FILTER (first_dated IS NULL OR event_seq < first_dated) AS DECIMAL(38,6))::VARCHAR AS credit_limit
     FROM e JOIN d ON d.order_id = e.order_id GROUP BY e.order_id""" % fx.ORDER_EVENTS_SQL
 
 
@@ -187,8 +187,8 @@ def all_oracles() -> dict[str, str]:
     status = _with(f"SELECT key, {_LABEL} AS value FROM acc", "acc")
     verdict = f"CASE WHEN {_NIGHT} THEN 'FRAUD' ELSE 'NOT_FRAUD' END"
     report = f"'Authorities warned ' || {_order_json(_MILLIS)}"
-    changes = """SELECT account_id, order_id, CAST(order_amount AS DOUBLE) AS event_amount,
-                        is_topup, CAST(balance AS DOUBLE) AS balance, status AS payment_status
+    changes = """SELECT account_id, order_id, CAST(order_amount AS DECIMAL(38,6))::VARCHAR AS event_amount,
+                        is_topup, CAST(balance AS DECIMAL(38,6))::VARCHAR AS balance, status AS payment_status
                  FROM res"""
     verdicts = _with(f"SELECT order_id AS key, {verdict} AS value FROM o", "o")
     return {
@@ -207,6 +207,15 @@ def all_oracles() -> dict[str, str]:
                 FROM clean""", "o", "clean"),
         "frauds_output": _with(
             f"SELECT order_id AS key, {_order_json(_MILLIS)} AS value FROM o WHERE {_NIGHT}", "o"),
+        "cleared_orders_feed": _with(
+            f"""SELECT order_id AS key, {_order_json(_MILLIS, "'NOT_FRAUD'")} AS value
+                FROM clean""", "o", "clean"),
+        "ledger_results_feed": _with(
+            f"""SELECT order_id AS key, {_order_json(_MILLIS, "status", "'0.000000'")} AS value
+                FROM (SELECT order_id, account_id, credit_card_number, balance AS order_amount,
+                             status, date_trunc('milliseconds', event_ts) AS order_date FROM res)""",
+            "o", "t", "clean", feed=_FEED),
+        "topic_round_trip": _with("SELECT key, value, seq AS \"offset\" FROM breq", "breq"),
         "fraud_report": _with(
             f"SELECT order_id AS key, {report} AS report FROM o WHERE {_NIGHT}", "o"),
         "decode_accounts": _with(
@@ -214,14 +223,15 @@ def all_oracles() -> dict[str, str]:
                       credit_card_number, brand_name FROM acc""", "acc"),
         "decode_orders": _with(
             f"""SELECT seq AS "offset", account_id, credit_card_number, {_VALUE}, order_date,
-                       CAST(credit_limit AS DOUBLE) AS credit_limit FROM ord""", "ord"),
+                       CAST(credit_limit AS DECIMAL(38,6))::VARCHAR AS credit_limit FROM ord""", "ord"),
         "created_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},
-                       payment_status, order_date FROM o""", "o"),
+                       payment_status, order_date, CAST(NULL AS VARCHAR) AS credit_limit
+                FROM o""", "o"),
         "topup_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},
                        'ADD_BALANCE' AS payment_status, event_ts AS order_date,
-                       CAST(1000 AS DOUBLE) AS credit_limit FROM top""", "top"),
+                       CAST(1000 AS DECIMAL(38,6))::VARCHAR AS credit_limit FROM top""", "top"),
         "decode_outcome_counts": _with(
             """SELECT topic, outcome, count(*) AS n FROM (
                  SELECT 'accounts-input' AS topic,
@@ -258,9 +268,10 @@ def all_oracles() -> dict[str, str]:
         "stream_order_state": _ORDER_STATE,
         "cleared_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},
-                       'NOT_FRAUD' AS payment_status, order_date FROM clean""", "o", "clean"),
+                       'NOT_FRAUD' AS payment_status, order_date,
+                       CAST(NULL AS VARCHAR) AS credit_limit FROM clean""", "o", "clean"),
         "orders_finished": _with(
-            """SELECT order_id, account_id, CAST(balance AS DOUBLE) AS order_amount,
+            """SELECT order_id, account_id, CAST(balance AS DECIMAL(38,6))::VARCHAR AS order_amount,
                       'COMPLETED-' || status AS payment_status FROM res""",
             "o", "t", "clean", feed=_FEED),
         "accounts_netcard": _with(
@@ -286,9 +297,9 @@ def all_oracles() -> dict[str, str]:
         "account_balances": balances,
         "ledger_results": _with(
             """SELECT order_id, account_id, credit_card_number,
-                      CAST(balance AS DOUBLE) AS order_amount, status AS payment_status,
-                      CAST(0 AS DOUBLE) AS credit_limit,
-                      CAST(order_amount AS DOUBLE) AS event_amount, is_topup FROM res""",
+                      CAST(balance AS DECIMAL(38,6))::VARCHAR AS order_amount, status AS payment_status,
+                      CAST(0 AS DECIMAL(38,6))::VARCHAR AS credit_limit,
+                      CAST(order_amount AS DECIMAL(38,6))::VARCHAR AS event_amount, is_topup FROM res""",
             "o", "t", "clean", feed=_FEED),
         "ledger_results_pooled": _with(changes, "o", "t", "clean", feed=_POOLED_FEED),
         "account_balances_pooled": _with(_BALANCES, "o", "t", "clean", feed=_POOLED_FEED),
@@ -324,28 +335,28 @@ def all_oracles() -> dict[str, str]:
                 UNION ALL SELECT 'report', order_id, {report} FROM o WHERE {_NIGHT}""",
             "o", "clean"),
         "balance_ledger": _with(
-            f"""SELECT account_id, credit_card_number, balance, credit_limit, payment_status
-                FROM ({_BALANCES})""", "o", "clean", "top", feed=_TOPIC_FEED),
+            f"""SELECT account_id, credit_card_number, balance, credit_limit, order_id,
+                       payment_status FROM ({_BALANCES})""", "o", "clean", "top", feed=_TOPIC_FEED),
         "balance_ledger_dead_letters": _with(
-            """SELECT value, 'balances-input' AS topic,
+            """SELECT key, value, 'balances-input' AS topic,
                       CASE WHEN seq % 29 = 0 THEN 'malformed_json' ELSE 'null_amount' END AS reason
                FROM breq WHERE seq % 29 = 0 OR seq % 31 = 0""", "breq"),
         "order_flow": flow,
         "order_lifecycle": lifecycle,
         "order_lifecycle_raw": _with(
             f"""SELECT o.order_id, o.account_id, o.credit_card_number,
-                       CAST(o.order_amount AS DOUBLE) AS order_amount,
+                       CAST(o.order_amount AS DECIMAL(38,6))::VARCHAR AS order_amount,
                        CASE WHEN r.status IS NOT NULL THEN 'COMPLETED-' || r.status
                             WHEN o.order_date IS NULL OR {_NIGHT} THEN 'CREATED'
                             ELSE 'PROGRESS' END AS payment_status,
                        o.order_date,
-                       CAST(CASE WHEN o.order_date IS NULL THEN o.credit_limit END AS DOUBLE)
+                       CAST(CASE WHEN o.order_date IS NULL THEN o.credit_limit END AS DECIMAL(38,6))::VARCHAR
                          AS credit_limit
                 FROM (SELECT * FROM ord) o
                 LEFT JOIN (SELECT order_id, status FROM res WHERE NOT is_topup) r
                   ON r.order_id = o.order_id
                 UNION ALL
-                SELECT order_id, account_id, credit_card_number, CAST(balance AS DOUBLE),
+                SELECT order_id, account_id, credit_card_number, CAST(balance AS DECIMAL(38,6))::VARCHAR,
                        'COMPLETED-' || status, event_ts, NULL FROM res WHERE is_topup""",
             "ord", "top", feed=_RAW_FEED),
     }

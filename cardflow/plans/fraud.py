@@ -60,6 +60,13 @@ def frauds_output(created: DataFrame, key: str) -> DataFrame:
     )
 
 
+def cleared_feed(created: DataFrame, key: str) -> DataFrame:
+    """Cleared orders as text records for the order topic."""
+    return cleared_orders(created).select(
+        F.col(key).alias("key"), encode_json(S.ORDER, epoch_millis=True).alias("value")
+    )
+
+
 def fraud_reports(feed: DataFrame) -> DataFrame:
     return feed.select("key", fraud_report(F.col("value")).alias("report"))
 

@@ -16,7 +16,7 @@ from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, balances, fraud, lifecycle, orders
 from cardflow.session import checkpoint_root, stored
 from cardflow.sources import fixtures as fx
-from cardflow.sources.topics import publish
+from cardflow.sources.topics import publish, read_topic, write_topic
 from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT
 from cardflow.streaming.state import streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import KeyedTable, run_to_end
@@ -25,12 +25,12 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def out(df: DataFrame, *columns: str) -> DataFrame:
-    """Result columns in comparable types: money as double, times without zone."""
+    """Result columns in comparable types: money as exact text, times without zone."""
 
     def plain(name: str) -> Column:
         kind = df.schema[name].dataType
         if isinstance(kind, T.DecimalType):
-            return F.col(name).cast("double").alias(name)
+            return F.col(name).cast(S.MONEY).cast("string").alias(name)
         if isinstance(kind, T.TimestampType):
             return F.col(name).cast("timestamp_ntz").alias(name)
         return F.col(name)
@@ -68,6 +68,25 @@ def frauds_output(spark: SparkSession, d: str) -> DataFrame:
     return fraud.frauds_output(fx.orders(spark, d), "order_id")
 
 
+def cleared_orders_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Cleared orders as text, the way they go back to the order topic."""
+    return fraud.cleared_feed(fx.orders(spark, d), "order_id")
+
+
+def ledger_results_feed(spark: SparkSession, d: str) -> DataFrame:
+    """Ledger outcomes as text, the way they go back to the order topic."""
+    return balances.results_feed(_changes(spark, d))
+
+
+def topic_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Balance requests written to a folder topic in two appends, and read from there."""
+    path = f"{checkpoint_root(spark)}/topics/{uuid.uuid4()}"
+    records = fx.balance_requests(spark, d)
+    for half in (F.col("offset") % 2 == 0, F.col("offset") % 2 != 0):
+        write_topic(records.filter(half), S.BALANCES_INPUT, path=path)
+    return read_topic(spark, S.BALANCES_INPUT, path=path).select("key", "value", "offset")
+
+
 def fraud_report(spark: SparkSession, d: str) -> DataFrame:
     return fraud.fraud_reports(frauds_output(spark, d))
 
@@ -87,7 +106,7 @@ def decode_orders(spark: SparkSession, d: str) -> DataFrame:
 
 def created_orders(spark: SparkSession, d: str) -> DataFrame:
     decoded = decode.decode_orders(fx.orders_topic(spark, d))
-    return out(decode.created_orders(decoded), *ORDER_COLUMNS[:6])
+    return out(decode.created_orders(decoded), *ORDER_COLUMNS)
 
 
 def topup_orders(spark: SparkSession, d: str) -> DataFrame:
@@ -143,7 +162,7 @@ def fraud_verdicts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cleared_orders(spark: SparkSession, d: str) -> DataFrame:
-    return out(fraud.cleared_orders(fx.orders(spark, d)), *ORDER_COLUMNS[:6])
+    return out(fraud.cleared_orders(fx.orders(spark, d)), *ORDER_COLUMNS)
 
 
 def orders_finished(spark: SparkSession, d: str) -> DataFrame:
@@ -309,22 +328,22 @@ def _topic_ledger(spark: SparkSession, d: str) -> balances.Ledger:
 
 def balance_ledger(spark: SparkSession, d: str) -> DataFrame:
     return out(_topic_ledger(spark, d).balances(), "account_id", "credit_card_number",
-               "balance", "credit_limit", "payment_status")
+               "balance", "credit_limit", "order_id", "payment_status")
 
 
 def balance_ledger_dead_letters(spark: SparkSession, d: str) -> DataFrame:
-    return _topic_ledger(spark, d).dead_letters.select("value", "topic", "reason")
+    return _topic_ledger(spark, d).dead_letters.select("key", "value", "topic", "reason")
 
 
 def order_flow(spark: SparkSession, d: str) -> DataFrame:
     """Order table from the order topic with the records of all three producers."""
     decoded = stored(decode.decode_orders(fx.full_orders_topic(spark, d, _changes(spark, d))))
-    return out(orders.order_flow_state(decoded), *ORDER_COLUMNS[:6])
+    return out(orders.order_flow_state(decoded), *ORDER_COLUMNS)
 
 
 def order_lifecycle(spark: SparkSession, d: str) -> DataFrame:
     state = lifecycle.order_lifecycle(fx.orders(spark, d), fx.topups(spark, d))
-    return out(state, *ORDER_COLUMNS[:6])
+    return out(state, *ORDER_COLUMNS)
 
 
 def order_lifecycle_raw(spark: SparkSession, d: str) -> DataFrame:
@@ -365,7 +384,7 @@ def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     listed = [
         scan_raw_events, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
-        frauds_output, fraud_report, decode_accounts, decode_orders, created_orders,
+        frauds_output, fraud_report, cleared_orders_feed, ledger_results_feed, topic_round_trip, decode_accounts, decode_orders, created_orders,
         topup_orders, decode_outcome_counts, order_dead_letters, request_keys, order_intake,
         prefixed_account_key, request_status, fraud_verdicts, cleared_orders, orders_finished,
         accounts_netcard, accounts_other_brand, branch_accounts, branch_orders,

@@ -7,6 +7,8 @@ property, missing fields) so that strict decoding is exercised on all rows.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,7 @@ from cardflow.functions.json_text import encode_json
 from cardflow.operators.ledger import as_order_events
 from cardflow.plans.fraud import cleared_orders
 from cardflow.plans.orders import orders_in_progress
-from cardflow.session import use_utc
+from cardflow.session import checkpoint_root, use_utc
 
 ORDERS_SQL = """
 SELECT CAST(event_id AS STRING) AS order_id, CAST(user_id AS STRING) AS account_id,
@@ -110,17 +112,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Micro-batches of a registered stream: state is read back between them.
+SLICES = 4
+
+
+def sliced(events: DataFrame, time: str) -> str:
+    """Write a table as a folder of files in order of time, for a stream to read.
+
+    A file stream takes files in order of their age, so the slices are written one after
+    another.  Times are split at quantiles; equal times stay together.
+    """
+    spark = events.sparkSession
+    path = f"{checkpoint_root(spark)}/slices/{uuid.uuid4()}"
+    at = F.col(time).cast("timestamp").cast("double")
+    shares = [i / SLICES for i in range(1, SLICES)]
+    cuts = events.select(at.alias("t")).approxQuantile("t", shares, 0.01)
+    place = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    for i in range(SLICES):
+        events.filter(place == i).coalesce(1).write.parquet(f"{path}/slice-{i}")
+    return path
+
+
 def _run(
     spark: SparkSession, sf_dir: str, name: str, sql: str, streaming: bool = False
 ) -> DataFrame:
-    """Run a view's SQL on the table's file, or on a stream that reads it."""
+    """Run a view's SQL on the table, or on a stream over its rows in order of time."""
     source = f"parquet.`{sf_dir}/{name}.parquet`"
     if streaming:
         source = f"cardflow_stream_{name}"
+        events = table(spark, sf_dir, name)
         # One file per micro-batch bounds what one key can bring into a task.
-        reader = spark.readStream.schema(table(spark, sf_dir, name).schema)
-        reader = reader.option("pathGlobFilter", f"{name}.parquet").option("maxFilesPerTrigger", 1)
-        reader.parquet(sf_dir).createOrReplaceTempView(source)
+        reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
+        reader = reader.option("maxFilesPerTrigger", 1)
+        reader.parquet(sliced(events, "ts")).createOrReplaceTempView(source)
     text = sql.replace(f"FROM {name}", f"FROM {source}")
     return use_utc(spark).sql(text.replace("{iso}", _ISO).replace("{ms}", _MS))
 
