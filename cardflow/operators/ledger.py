@@ -22,8 +22,10 @@ from cardflow.session import cut_lineage
 
 # Accounts with more than HOT_ROWS events are cut into chunks of about this size.
 CHUNK_ROWS = 2_000_000
-# Bound on the chunk summaries, whatever the size of the data.
-MAX_CHUNKS = 10_000
+# Rounds over open chunks side by side; what is open then is settled in order, in one pass.
+MAX_ROUNDS = 3
+# Chunk summaries and accounts up to which a list of them is broadcast.
+MAX_BROADCAST_ROWS = 500_000
 
 ORDER = ("event_ts", "source_rank", "event_seq")
 _MONEY = "decimal(38,6)"
@@ -113,6 +115,11 @@ def _fold_accounts(df: DataFrame, last_only: bool) -> DataFrame:
     return _fold(placed, ["account_id"], last_only)
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """A stored list, marked for broadcast if it is short enough."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df
+
+
 def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) -> DataFrame:
     """Fold big accounts in contiguous chunks of their event order.
 
@@ -120,40 +127,60 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
     asks for it.  All chunks are simulated at once from a guessed opening balance.
     A chunk's summary then gives its closing exactly if the guess was right or if
     the opening covers everything; chunks that neither fits are run again from
-    the opening that now leads to them.  Every round settles at least the first
-    open chunk of each account, so the loop ends with exact openings.  Usually two
-    or three rounds do: a full chunk tends to forget where it started from.
+    the opening that now leads to them.  A full chunk tends to forget where it started
+    from, so a few rounds usually do.  Accounts that are still open after MAX_ROUNDS
+    are walked through once, in order, by a task each that holds one batch: the rows are
+    read MAX_ROUNDS + 2 times at most before the final fold, whatever the data.
     """
     keys = ["account_id", "chunk"]
-    chunks = min(MAX_CHUNKS, max(1, math.ceil(rows / chunk_rows)))
+    chunks = max(1, math.ceil(rows / chunk_rows))
     laid = cut_lineage(
         df.repartitionByRange(chunks, "account_id", *ORDER)
         .sortWithinPartitions("account_id", *ORDER)
         .withColumn("chunk", F.spark_partition_id())
     )
-    spine = laid.select(*keys, "is_topup", "delta")
+    # Rounds read these four columns, in the same partitions and order.
+    spine = cut_lineage(laid.select(*keys, "is_topup", "delta"))
     summary = "account_id string, chunk int, " + ", ".join(
         f"{c} {_MONEY}" for c in ("simulated_opening", "closing", "net", "need")
     )
 
     def linked(summaries: DataFrame) -> DataFrame:
-        # At most one row per chunk and account: MAX_CHUNKS + MAX_HOT_KEYS.
+        # At most one row per chunk and account; they stream through the task of an account.
         placed = summaries.repartition("account_id").sortWithinPartitions(*keys)
         schema = f"{summary}, opening {_MONEY}, settled boolean"
         return cut_lineage(placed.mapInArrow(ledger_fold.link, schema))
 
+    def opened(rows: DataFrame, openings: DataFrame, *order: str) -> DataFrame:
+        joined = rows.join(_few(openings), keys)
+        if openings.count() <= MAX_BROADCAST_ROWS:
+            return joined
+        # Beyond a broadcast the rows were shuffled and need their order back.
+        return joined.repartition(*keys).sortWithinPartitions(*keys, *order)
+
     def simulated(rows: DataFrame) -> DataFrame:
         return rows.mapInArrow(ledger_fold.simulate(keys), summary)
 
+    narrow = laid.select(*keys, *ORDER, "is_topup", "delta")
     plan = linked(simulated(spine.withColumn("opening", F.lit(0).cast(S.MONEY))))
-    while not plan.filter(~F.col("settled")).isEmpty():
+    for _ in range(MAX_ROUNDS):
         open_chunks = plan.filter(~F.col("settled")).select(*keys, "opening")
-        again = simulated(spine.join(F.broadcast(open_chunks), keys))
+        left = open_chunks.count()
+        if not left:
+            break
+        rows_again = spine if left <= MAX_BROADCAST_ROWS else narrow
+        again = simulated(opened(rows_again, open_chunks, *ORDER).select(*spine.columns, "opening"))
         known = plan.filter("settled").drop("opening", "settled")
         plan = linked(known.unionByName(again))
-
-    opened = laid.join(F.broadcast(plan.select(*keys, "opening")), keys)
-    return _fold(opened, keys, last_only)
+    stuck = cut_lineage(plan.filter(~F.col("settled")).select("account_id").distinct())
+    if not stuck.isEmpty():
+        walked = narrow.join(_few(stuck), "account_id", "left_semi").repartition("account_id")
+        walked = walked.sortWithinPartitions(*keys, *ORDER).select(*spine.columns)
+        done = walked.mapInArrow(ledger_fold.simulate(keys, chained=True), summary)
+        known = plan.join(_few(stuck), "account_id", "left_anti").drop("opening", "settled")
+        plan = linked(known.unionByName(done))
+
+    return _fold(opened(laid, plan.select(*keys, "opening"), *ORDER), keys, last_only)
 
 
 def _run(events: DataFrame, last_only: bool, hot_rows: int, chunk_rows: int) -> DataFrame:

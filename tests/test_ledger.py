@@ -117,6 +117,35 @@ def test_adversarial_chain_settles(spark):
     check(spark, events, hot_rows=5, chunk_rows=3)
 
 
+def grid_prices(n):
+    """Demand above supply on a price grid, after an odd first top-up: a chunk never forgets."""
+    events = [event("hot", 20, "ADD_BALANCE", 0, 0)]
+    for i in range(1, n):
+        status, amount = ("ADD_BALANCE", 50) if i % 3 == 1 else ("PROGRESS", 100)
+        events.append(event("hot", amount, status, i, i))
+    return events
+
+
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_passes_are_bounded(spark, monkeypatch, broadcast):
+    passes = []
+    simulate = ledger_fold.simulate
+    monkeypatch.setattr(ledger_fold, "simulate", lambda *a, **k: passes.append(k) or simulate(*a, **k))
+    monkeypatch.setattr(ledger, "MAX_BROADCAST_ROWS", broadcast)
+    df = spark.createDataFrame(grid_prices(400), SCHEMA)
+    ledger.ledger_changes(df, hot_rows=50, chunk_rows=20).collect()
+    assert len(passes) == 1 + ledger.MAX_ROUNDS + 1 and passes[-1] == {"chained": True}
+    monkeypatch.setattr(ledger_fold, "simulate", simulate)
+    check(spark, grid_prices(400), hot_rows=50, chunk_rows=20)
+
+
+def test_blocks_without_refusals_and_beyond_64_bits(spark):
+    events = [event("a", 10**6, "ADD_BALANCE", 0, 0)] + [event("a", i % 7, at=i, seq=i) for i in range(1, 1300)]
+    events += [event("b", 10**24, "ADD_BALANCE", i, 2000 + i) for i in range(40)]
+    events += [event("c", 2, "PROGRESS" if i % 2 else "ADD_BALANCE", i, 3000 + i) for i in range(700)]
+    check(spark, events)
+
+
 def test_input_order_does_not_matter(spark):
     events = random_events(400, 5, 0.2, 0.5, 800, seed=3)
     shuffled = random.Random(1).sample(events, len(events))
