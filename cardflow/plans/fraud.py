@@ -11,6 +11,7 @@ from cardflow import schemas as S
 from cardflow.functions.json_text import encode_json
 from cardflow.functions.rules import fraud_report, is_night, verdict
 from cardflow.operators.keyed import latest_per_key
+from cardflow.session import stored
 
 
 @dataclass(frozen=True)
@@ -72,6 +73,8 @@ def fraud_reports(feed: DataFrame) -> DataFrame:
 
 
 def fraud_screen(created: DataFrame, key: str, order: Column) -> FraudScreen:
+    """All four outputs; the orders are decoded once and stored for them."""
+    created = stored(created)
     return FraudScreen(
         fraud_verdicts(created, key, order),
         cleared_orders(created),

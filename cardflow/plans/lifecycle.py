@@ -62,9 +62,8 @@ def _screened_events(created: DataFrame) -> DataFrame:
 def lifecycle_from_requests(raw_orders: DataFrame, raw_topups: DataFrame) -> DataFrame:
     """The lifecycle from order and balance requests as they arrive in text form.
 
-    Ledger, stages and the second look at undated orders all read the orders:
-    these are decoded once and stored.
+    Several branches read both feeds: each is decoded once and stored.
     """
     created = timed(valid(order_intake(raw_orders))).select(*_EVENT, "event_ts", "event_seq")
     topups = timed(valid(decode_topups(raw_topups)))
-    return order_lifecycle(stored(created), topups)
+    return order_lifecycle(stored(created), stored(topups))

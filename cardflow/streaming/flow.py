@@ -20,7 +20,7 @@ from cardflow.operators.decode import (
     created_orders, dead_letters, decode_accounts, decode_orders, decode_topups, valid,
 )
 from cardflow.operators.keyed import merge
-from cardflow.operators.ledger import ledger_input, unfit_events
+from cardflow.operators.ledger import as_order_events, ledger_input, unfit_events
 from cardflow.plans import accounts, fraud, orders
 from cardflow.streaming.state import streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KafkaTopics, KeyedTable, write_once
@@ -197,16 +197,8 @@ class Flow:
         def sink(batch: DataFrame, n: int) -> None:
             order = F.struct("event_ts", "source_rank", "event_seq")
             self.balances.write(batch, n, order)
-            results = batch.select(
-                "order_id",
-                "account_id",
-                "credit_card_number",
-                F.col("balance").alias("order_amount"),
-                "payment_status",
-                F.col("event_ts").alias("order_date"),
-                F.lit(0).cast(S.MONEY).alias("credit_limit"),
-                F.col("event_seq").alias("offset"),
-                F.col("event_ts").alias("timestamp"),
+            results = as_order_events(batch).withColumns(
+                {"offset": F.col("event_seq"), "timestamp": F.col("event_ts")}
             )
             self.topics.append(
                 S.ORDERS_INPUT, _records(results, F.col("order_id"), LEDGER), "ledger", n

@@ -6,6 +6,7 @@ repeated after a failure finds its folder complete and leaves it alone.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,10 +18,15 @@ from cardflow.session import ROCKSDB
 from cardflow.sources.topics import read_topic, write_topic
 
 
+def _at(spark: SparkSession, path: str) -> tuple:
+    """Hadoop's file system and path object of a path."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+    files, target = _at(spark, path)
+    return files.exists(target)
 
 
 def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) -> DataFrame:
@@ -40,9 +46,22 @@ def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) ->
 
 
 def write_once(df: DataFrame, path: str) -> None:
-    """Write a folder unless an earlier attempt has completed it."""
-    if not _exists(df.sparkSession, f"{path}/_SUCCESS"):
-        df.write.mode("overwrite").parquet(path)
+    """Write a folder unless an earlier attempt has completed it.
+
+    Files are written to a hidden folder that no reader lists, which is then renamed: a
+    stream that watches the parent sees all files of a micro-batch or none, and an
+    attempt that broke off leaves nothing that could be read twice.
+    """
+    spark = df.sparkSession
+    files, target = _at(spark, path)
+    if files.exists(target):
+        return
+    hidden = f"{path.rpartition('/')[0]}/_staging/{uuid.uuid4()}"
+    df.write.parquet(hidden)
+    _, source = _at(spark, hidden)
+    # Another attempt may have won meanwhile; its folder is as good.
+    if not files.rename(source, target) and not files.exists(target):
+        raise OSError(f"cannot move {hidden} to {path}")
 
 
 @dataclass(frozen=True)
@@ -89,7 +108,8 @@ class KeyedTable:
     """Latest row per key as a log of changes, one folder per micro-batch.
 
     Writing costs the size of the micro-batch, whatever the size of the table.
-    ``compact`` folds the log so far into one folder that replaces it on reading.
+    ``compact`` folds the log so far into one folder and removes what it replaces; run it
+    while nothing reads the table.
     """
 
     path: str
@@ -126,5 +146,12 @@ class KeyedTable:
 
     def compact(self, spark: SparkSession) -> None:
         newest = self._log(spark, "log").agg(F.max("batch")).first()[0]
-        if newest is not None:
-            write_once(self.read(spark), f"{self.path}/folded/batch={newest}")
+        if newest is None:
+            return
+        write_once(self.read(spark), f"{self.path}/folded/batch={newest}")
+        for folder, last in (("log", newest), ("folded", newest - 1)):
+            files, target = _at(spark, f"{self.path}/{folder}")
+            for status in files.listStatus(target) if files.exists(target) else ():
+                name = status.getPath().getName()
+                if name.startswith("batch=") and int(name[6:]) <= last:
+                    files.delete(status.getPath(), True)

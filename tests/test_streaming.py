@@ -56,6 +56,28 @@ def test_latest_per_key_stream_equals_batch(spark, tmp_path):
     assert rows(table.read(spark), "key", "value") == expected
     table.compact(spark)
     assert rows(table.read(spark), "key", "value") == expected
+    assert not [p for p in (tmp_path / "t" / "log").iterdir() if p.name.startswith("batch=")]
+    table.compact(spark)
+    table.write(spark.createDataFrame([("new", "1")], "key string, value string"), 99)
+    assert rows(table.read(spark), "key", "value") == sorted([*expected, ("new", "1")])
+
+
+def test_attempt_that_broke_off_is_never_read(spark, tmp_path):
+    one = spark.createDataFrame([("k", "v")], "key string, value string")
+    topics = FileTopics(str(tmp_path))
+    stream = topics.read(spark, "t")
+    # What an attempt that died while writing leaves behind.
+    one.write.parquet(f"{tmp_path}/t/producer=p/_staging/dead")
+    record = one.withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long"),
+                              "timestamp": F.current_timestamp()})
+    for _ in range(2):
+        topics.append("t", record, "p", 0)
+    seen = []
+    query = (stream.writeStream.foreachBatch(lambda b, n: seen.extend(b.collect()))
+             .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
+    query.awaitTermination()
+    assert [(r.key, r.value) for r in seen] == [("k", "v")]
+    assert spark.read.parquet(f"{tmp_path}/t").filter("key is not null").count() == 1
 
 
 def test_ledger_stream_equals_batch(spark, tmp_path):
