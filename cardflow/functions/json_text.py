@@ -13,6 +13,7 @@ guards and runs only for the rare rows that need it:
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +24,8 @@ from cardflow.schemas import MONEY, Field
 _PARSE = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _MAP = "__json"
 _CLEAN = "__clean"
-# Plain money, and any number: sign, whole digits, fraction digits, exponent.
+# A fraction of 16 digits or more, plain money, and any number: sign, whole digits, fraction digits, exponent.
+_LONG = r"(?:^|[^\d.])(?=[\d.]{17})\d+[.]\d"
 _SIMPLE = r"^[+-]?\d+([.]\d{1,6})?$"
 _NUMBER = r"^([+-]?)(\d+)(?:[.](\d*))?(?:[eE]([+-]?\d{1,3}))?$"
 
@@ -60,36 +62,48 @@ def _read_long(value: Column, text: Column, field: Field) -> Column:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, and little generated code."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _read_money(value: Column, text: Column, field: Field) -> Column:
     """Exact money: at most 32 whole digits and six decimals, zeros at the ends aside.
 
     The digits are counted on the text, as the source writes it, so nothing is rounded:
     what does not fit is refused.  Numbers that a double would change are read again as text.
     """
-    beyond_double = (F.length(text) > 15) | F.lower(text).contains("e")
+    # Bare fractions come as a double prints them, so the record itself is searched for long ones.
+    beyond_double = (F.length(text) > 15) | F.lower(text).contains("e") | value.rlike(_LONG)
     # The last one, as of repeated names the last counts.
     source = F.regexp_extract(
         value, rf'(?s)^.*"{field.json}"\s*:\s*"?\s*([+-]?\d+(?:[.]\d*)?(?:[eE][+-]?\d+)?)\s*"?\s*[,}}]', 1)
     exact = F.when(source != "", source).when(_is_json_string(value, field.json), text)
 
-    def part(i: int) -> Column:
-        return F.regexp_extract(exact, _NUMBER, i)
-
-    whole, fraction = part(2), part(3)
-    shift = F.coalesce(part(4).try_cast("int"), F.lit(0))
-    digits = F.concat(whole, fraction)
-    # Place of the decimal point in ``digits``; zeros are put in where it lies outside.
-    point = F.length(whole) + shift
-    padded = F.concat(
-        F.repeat(F.lit("0"), F.least(F.greatest(-point, F.lit(0)), F.lit(99))), digits,
-        F.repeat(F.lit("0"), F.least(F.greatest(point - F.length(digits), F.lit(0)), F.lit(99))),
-    )
-    at = F.greatest(point, F.lit(0))
-    left = F.ltrim(F.substring(padded, F.lit(1), at), F.lit("0"))
-    right = F.rtrim(F.substring(padded, at + 1, F.length(padded)), F.lit("0"))
-    fits = (F.length(left) <= 32) & (F.length(right) <= 6)
-    plain = F.concat(part(1), F.lit("0"), left, F.lit("."), right, F.lit("0"))
-    slow = F.when(exact.rlike(_NUMBER) & fits, plain.try_cast(MONEY))
+    def digits_of(number: Column) -> Column:
+        part = [F.regexp_extract(number, _NUMBER, i) for i in range(5)]
+        # Place of the decimal point in the digits; zeros are put in where it lies outside.
+        point = F.length(part[2]) + F.coalesce(part[4].try_cast("int"), F.lit(0))
+        return F.struct(part[1].alias("sign"), F.concat(part[2], part[3]).alias("digits"), point.alias("point"))
+
+    def padded(x: Column) -> Column:
+        zeros = [F.repeat(F.lit("0"), F.least(F.greatest(n, F.lit(0)), F.lit(99)))
+                 for n in (-x["point"], x["point"] - F.length(x["digits"]))]
+        return F.struct(x["sign"].alias("sign"), F.concat(zeros[0], x["digits"], zeros[1]).alias("digits"),
+                        F.greatest(x["point"], F.lit(0)).alias("point"))
+
+    def cut(x: Column) -> Column:
+        whole = F.ltrim(F.substring(x["digits"], F.lit(1), x["point"]), F.lit("0"))
+        fraction = F.rtrim(F.substring(x["digits"], x["point"] + 1, F.length(x["digits"])), F.lit("0"))
+        return F.struct(whole.alias("whole"), fraction.alias("fraction"), x["sign"].alias("sign"))
+
+    def money(x: Column) -> Column:
+        fits = (F.length(x["whole"]) <= 32) & (F.length(x["fraction"]) <= 6)
+        text = F.concat(x["sign"], F.lit("0"), x["whole"], F.lit("."), x["fraction"], F.lit("0"))
+        return F.when(fits, text.try_cast(MONEY))
+
+    steps = reduce(_let, (digits_of, padded, cut, money), exact)
+    slow = F.when(exact.rlike(_NUMBER), steps)
     simple = ~beyond_double & text.rlike(_SIMPLE)
     return F.when(simple, text.try_cast(MONEY)).when(text.isNotNull(), slow)
 

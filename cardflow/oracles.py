@@ -224,6 +224,31 @@ def all_oracles() -> dict[str, str]:
         "decode_orders": _with(
             f"""SELECT seq AS "offset", account_id, credit_card_number, {_VALUE}, order_date,
                        CAST(credit_limit AS DECIMAL(38,6))::VARCHAR AS credit_limit FROM ord""", "ord"),
+        "decode_account_details": """
+            SELECT key, CASE WHEN ok THEN 'doc-' || n END AS user_document_id,
+                   CASE WHEN ok THEN 4000000000000000 + n END AS credit_card_number,
+                   CASE WHEN ok AND n % 3 <> 0 THEN CAST(n % 1000 AS VARCHAR) END
+                     AS security_code,
+                   CASE WHEN ok THEN TIMESTAMP '2030-01-01' END AS expiration_date,
+                   ok AS is_valid, reason
+            FROM (SELECT *, reason IS NULL AS ok FROM (
+              SELECT 'req-' || c_custkey AS key, c_custkey AS n,
+                     CASE WHEN c_custkey % 17 = 0 THEN 'bad_account_last_update'
+                          WHEN c_custkey % 7 = 0 THEN 'bad_credit_card_number'
+                          WHEN c_custkey % 11 = 0 THEN 'bad_security_code'
+                          WHEN c_custkey % 13 = 0 THEN 'bad_expiration_date' END AS reason
+              FROM customer))""",
+        "decode_money_edges": """
+            SELECT event_id AS "offset",
+                   CAST(CASE event_id % 6
+                     WHEN 0 THEN CAST(CAST(value AS DECIMAL(18,2)) AS DECIMAL(38,6))
+                     WHEN 2 THEN CAST(event_id || '0000000000000000000000' AS DECIMAL(38,6))
+                     WHEN 3 THEN CAST((event_id // 1000) || '.' || lpad(CAST(event_id % 1000
+                       AS VARCHAR), 3, '0') AS DECIMAL(38,6))
+                     WHEN 4 THEN CAST(event_id * 100 + 50 AS DECIMAL(38,6)) END AS VARCHAR)
+                     AS order_amount,
+                   CASE WHEN event_id % 6 IN (1, 5) THEN 'bad_order_amount' END AS reason
+            FROM events""",
         "created_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},
                        payment_status, order_date, CAST(NULL AS VARCHAR) AS credit_limit

@@ -104,6 +104,17 @@ def decode_orders(spark: SparkSession, d: str) -> DataFrame:
                "order_date", "credit_limit")
 
 
+def decode_account_details(spark: SparkSession, d: str) -> DataFrame:
+    """Requests with every account property, refused ones with their reason."""
+    return out(decode.decode_accounts(fx.account_details(spark, d)), "key", "user_document_id",
+               "credit_card_number", "security_code", "expiration_date", "is_valid", "reason")
+
+
+def decode_money_edges(spark: SparkSession, d: str) -> DataFrame:
+    decoded = decode.decode_orders(fx.money_edges(spark, d))
+    return out(decoded, "offset", "order_amount", "reason")
+
+
 def created_orders(spark: SparkSession, d: str) -> DataFrame:
     decoded = decode.decode_orders(fx.orders_topic(spark, d))
     return out(decode.created_orders(decoded), *ORDER_COLUMNS)
@@ -381,7 +392,7 @@ def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     listed = [
         scan_raw_events, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
-        frauds_output, fraud_report, cleared_orders_feed, ledger_results_feed, topic_round_trip, decode_accounts, decode_orders, created_orders,
+        frauds_output, fraud_report, cleared_orders_feed, ledger_results_feed, topic_round_trip, decode_accounts, decode_orders, decode_account_details, decode_money_edges, created_orders,
         topup_orders, decode_outcome_counts, order_dead_letters, request_keys, order_intake,
         prefixed_account_key, request_status, fraud_verdicts, cleared_orders, orders_finished,
         accounts_netcard, accounts_other_brand, branch_accounts, branch_orders,

@@ -89,6 +89,37 @@ FROM (SELECT *, CAST(CAST(value AS DECIMAL(18,2)) AS STRING) AS amount
       FROM events WHERE event_type = 'signup') signups
 """
 
+# Every account property, now and then with a value that does not read.
+ACCOUNT_DETAILS_SQL = """
+SELECT 'req-' || CAST(c_custkey AS STRING) AS key,
+  '{"accountName":"' || c_name || '","userDocumentId":"doc-' || CAST(c_custkey AS STRING)
+    || '","accountLastUpdate":' || CASE WHEN c_custkey % 17 = 0 THEN '"yesterday"'
+      WHEN c_custkey % 5 = 0 THEN '"2024-01-02T03:04:05"' ELSE '[2024,1,2,3,4]' END
+    || ',"creditCardNumber":' || CASE WHEN c_custkey % 7 = 0 THEN '"x"'
+      ELSE CAST(4000000000000000 + c_custkey AS STRING) END
+    || ',"securityCode":' || CASE WHEN c_custkey % 11 = 0 THEN '"abc"'
+      WHEN c_custkey % 3 = 0 THEN 'null' ELSE CAST(c_custkey % 1000 AS STRING) END
+    || ',"expirationDate":' || CASE WHEN c_custkey % 13 = 0 THEN '"soon"'
+      WHEN c_custkey % 2 = 0 THEN '"2030-01-01"' ELSE '1893456000000' END
+    || ',"brandName":"NetCard"}' AS value,
+  c_custkey AS seq
+FROM customer
+"""
+
+# Amounts at the edges: zeros at the end, many digits, exponents, too many decimals.
+MONEY_EDGES_SQL = """
+SELECT 'client-' || CAST(user_id AS STRING) AS key,
+  '{"accountId":"a","orderAmount":' || CASE event_id % 6
+    WHEN 0 THEN CAST(CAST(value AS DECIMAL(18,2)) AS STRING) || '0000000'
+    WHEN 1 THEN '"' || CAST(event_id AS STRING) || '.1234567"'
+    WHEN 2 THEN CAST(event_id AS STRING) || '0000000000000000000000'
+    WHEN 3 THEN CAST(event_id AS STRING) || 'e-3'
+    WHEN 4 THEN CAST(event_id AS STRING) || '.5e2'
+    ELSE CAST(event_id AS STRING) || '.1000000000000004' END || '}' AS value,
+  ts, event_id AS seq
+FROM events
+"""
+
 # All events of a user as events of one order: some dated, some not, any status.
 ORDER_EVENTS_SQL = """
 SELECT CAST(user_id AS STRING) AS order_id,
@@ -205,6 +236,16 @@ def balance_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(df, S.BALANCES_INPUT, F.col("ts").cast("timestamp"))
 
 
+def account_details(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _run(spark, sf_dir, "customer", ACCOUNT_DETAILS_SQL)
+    return _records(df, S.ACCOUNTS_INPUT, F.timestamp_seconds(F.col("seq")))
+
+
+def money_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = _run(spark, sf_dir, "events", MONEY_EDGES_SQL)
+    return _records(df, S.ORDERS_INPUT, F.col("ts").cast("timestamp"))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table in the shape of a topic, keyed by user."""
     return table(spark, sf_dir, "events").select(
