@@ -22,11 +22,11 @@ from collections.abc import Sequence
 import numpy as np
 
 BLOCK_IDS = 4096
-LANES = 1024  # blocks coded side by side; the models of one take about 180 kB
+LANES = 2048  # blocks coded side by side; models and buffers of one take about 120 kB
 MAGIC, HEADER = b"CM1", struct.Struct("<3sBIII")
-SLOTS = 4096  # of an order's predictions in a block
-ROWS = 8192  # of counts for ids of more than 16 bits; exact for up to 16
-BEGIN = np.array([0, 1, 17, 273])
+# Of an order's predictions, and of counts, in a block; contexts are hashed into both.
+SLOTS, ROWS = 1024, 1024
+BEGIN = (16 ** np.arange(8) - 1) // 15  # a number for each step and bits before it
 STEP, LIMIT = 24, 4096  # added to a count, and the sum at which a row is halved
 FULL = np.uint64(1) << np.uint64(48)
 LOW32, ONE32 = np.uint64(0xFFFFFFFF), np.uint64(1 << 32)
@@ -46,7 +46,7 @@ class _Models:
     """State of the models of all lanes; predictions of both orders are rows of one array."""
 
     def __init__(self, lanes: int, width: int):
-        self.width, self.rows = width, 4369 if width <= 4 else ROWS
+        self.width, self.rows = width, ROWS
         self.counts = np.ones(lanes * self.rows * 16, np.uint16)
         self.table = self.counts.reshape(-1, 16)
         self.sums = np.full(lanes * self.rows, 16, np.int32)
@@ -64,17 +64,14 @@ class _Models:
         """Look up the predictions for the next id of the first n lanes."""
         p1, p2 = self.last[0, :n], self.last[1, :n]
         hashed = np.stack([p1 * np.uint32(0x9E3779B1), p1 * np.uint32(0x85EBCA77) ^ (p2 * np.uint32(0xC2B2AE3D) + np.uint32(0x27D4EB2F))])
-        self.at = self.slots[:, :n] + (hashed >> np.uint32(20))
+        self.at = self.slots[:, :n] + (hashed >> np.uint32(22))
         self.said, self.sure = self.guess.take(self.at), self.trust.take(self.at)
         self.live = self.sure > 0
         self.prefix = np.zeros(n, np.int64)
 
     def frequencies(self, n: int, step: int) -> tuple[np.ndarray, np.ndarray]:
         """Frequencies of the 16 values of the next step, and their running sums; lanes x 16."""
-        if self.width <= 4:
-            self.row = self.base[:n] + (self.prefix + BEGIN[step])
-        else:
-            self.row = self.base[:n] + (((self.prefix + step) * 0x9E3779B1 & 0xFFFFFFFF) >> 19)
+        self.row = self.base[:n] + (((self.prefix + BEGIN[step]) * 0x9E3779B1 & 0xFFFFFFFF) >> 22)
         mass = self.table.take(self.row, axis=0).astype(np.float32)
         self.total = self.sums.take(self.row)
         self.value = (self.said >> np.uint32(4 * (self.width - 1 - step))) & np.uint32(15)
@@ -204,11 +201,13 @@ def encode_blocks(blocks: Sequence[np.ndarray]) -> list[bytes]:
 
 
 def _grouped(order: Sequence[int], widths: Sequence[int]):
-    """Runs of equal width, LANES at most."""
+    """Runs of equal width, cut evenly into LANES at most."""
     begin = 0
     for i in range(1, len(order) + 1):
-        if i == len(order) or widths[order[i]] != widths[order[begin]] or i - begin == LANES:
-            yield order[begin:i]
+        if i == len(order) or widths[order[i]] != widths[order[begin]]:
+            pieces = -(-(i - begin) // LANES)
+            for k in range(pieces):
+                yield order[begin + k * (i - begin) // pieces : begin + (k + 1) * (i - begin) // pieces]
             begin = i
 
 
