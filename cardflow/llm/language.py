@@ -108,8 +108,8 @@ def fit_bits(x: np.ndarray, label: np.ndarray, languages: tuple[str, ...]) -> Mo
 def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> Model | None:
     """Fit on rows where ``learn`` holds and text and language are not null.
 
-    At most PER_LANGUAGE rows of a language and about MAX_SAMPLE in all, those with the
-    smallest hashes of id and text length; None if there are none.
+    At most PER_LANGUAGE ids of a language and about MAX_SAMPLE in all, those with the
+    smallest hashes; of rows that share id and language one counts.  None if there are none.
     """
     rows = docs.filter(learn & F.col(lang).isNotNull() & F.col(text).isNotNull())
     names = rows.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
@@ -128,8 +128,8 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
             vec = [features(t).astype(np.float16).tobytes() for t in batch["text"]]
             yield pd.DataFrame({"lang": batch["lang"], "vec": vec})
 
-    picked = rows.join(ids, doc_id, "left_semi").select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    got = picked.mapInPandas(vectors, "lang string, vec binary").collect()
+    picked = rows.join(ids, doc_id, "left_semi").groupBy(doc_id, F.col(lang).alias("lang")).agg(F.min(text).alias("text"))
+    got = picked.select("lang", "text").mapInPandas(vectors, "lang string, vec binary").collect()
     x = np.stack([np.frombuffer(r["vec"], dtype=np.float16) for r in got]).astype(np.float32)
     place = {name: i for i, name in enumerate(languages)}
     return fit_bits(x, np.array([place[r["lang"]] for r in got]), languages)

@@ -94,7 +94,11 @@ def _key(seed: int, src: np.ndarray) -> np.ndarray:
 
 
 def taken_by_quota(quota: int, size: int, n_blocks: int, block: int, seed: int, src: int) -> int:
-    """Words of the first ``quota`` slots of a source; its last block may be short."""
+    """Words of the first ``quota`` slots of a source.
+
+    Its last block may be short; whether it is among them is looked up for small sources,
+    where a block matters.
+    """
     if not n_blocks:
         return 0
     rounds, rest = divmod(quota, n_blocks)

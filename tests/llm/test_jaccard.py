@@ -94,7 +94,7 @@ def test_bounds_never_drop_a_link():
         a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.97], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        x, y = (j.folded(j.bitmap(s), 32).view(np.uint64)[None] for s in (a, b))
+        x, y = (j.folded(j.bitmap(s), j.TREE_BITS // 8).view(np.uint64)[None] for s in (a, b))
         low = [np.bitwise_count(v).sum(axis=1).astype(np.int64) for v in (x, y)]
         if 100 * common >= 90 * (len(a) + len(b) - common):
             assert j._possible(np.array([len(a)]), np.array([len(b)]), x, y, *low, 90)[0]
