@@ -31,10 +31,11 @@ from cardflow.session import stored
 WIDTH, PERCENT = 3, 90
 PAGE, TWIG = 64, 8
 # Bitmaps in the trees, in longs; a class's own bitmap has about a bit per shingle.
-TREE = ("t0", "t1", "t2", "t3")
+TREE = tuple(f"t{i}" for i in range(8))
 TREE_BITS = 64 * len(TREE)
-# The order of shingles puts the most frequent last; any order gives the same result.
-FREQUENT, LOCALLY_FREQUENT = 50_000, 4
+# The order of shingles puts frequent ones last: those that occur twice or more in a sample of one
+# set in SAMPLE, at most FREQUENT of them.  It sets the work alone; any order gives the same result.
+FREQUENT, SAMPLE = 500_000, 16
 # Ids that are broadcast to fetch their texts; more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
 NO_ID = -(2**63)
@@ -90,28 +91,27 @@ def folded(b: np.ndarray, size: int) -> np.ndarray:
 
 def keyed(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
     """One row per document (kind 0): h1, h2, doc_id, k1, k2, n; and rows of kind 1 with
-    locally frequent shingles: k1 (hash), n (count)."""
+    the shingles of a sample of sets: k1 (hash), n (count in a part of it)."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = [], 0
 
-        def frequent() -> pd.DataFrame:
+        def counts() -> pd.DataFrame:
             token, count = np.unique(np.concatenate(held), return_counts=True)
-            often = count >= LOCALLY_FREQUENT
-            return pd.DataFrame({"kind": 1, "h1": 0, "h2": 0, "doc_id": None, "k1": token[often].view(np.int64), "k2": 0,
-                                 "n": count[often]})
+            return pd.DataFrame({"kind": 1, "h1": 0, "h2": 0, "doc_id": None, "k1": token.view(np.int64), "k2": 0, "n": count})
 
         for batch in batches:
             sets = [shingles(t, width) for t in batch["text"]]
             keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"kind": 0, "h1": batch["h1"], "h2": batch["h2"], "doc_id": batch["doc_id"],
                                 "k1": keys[:, 0], "k2": keys[:, 1], "n": [len(s) for s in sets]})
-            held, size = held + sets, size + sum(map(len, sets))
-            if size > 4_000_000:
-                yield frequent()
+            held += [s for s, k in zip(sets, keys, strict=True) if k[0] % SAMPLE == 0]
+            size = sum(map(len, held))
+            if size > 2_000_000:
+                yield counts()
                 held, size = [], 0
         if size:
-            yield frequent()
+            yield counts()
 
     own = docs.select(*row_keys(docs), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return own.mapInPandas(rows, "kind int, h1 long, h2 long, doc_id long, k1 long, k2 long, n long")
@@ -119,7 +119,7 @@ def keyed(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
 
 def signed(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, frequent: DataFrame) -> DataFrame:
     """Per document k1, k2, id, its first shingles in the global order, and its bitmap."""
-    last = np.sort(np.array([r["k1"] for r in frequent.collect()], np.int64).view(np.uint64))  # FREQUENT at most
+    last = np.sort(frequent.toArrow()["k1"].to_numpy().view(np.uint64))  # FREQUENT at most
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -144,22 +144,24 @@ def signed(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, fr
 def paged(classes: DataFrame) -> DataFrame:
     """Trees cut into pages: token, page, node, n, row by row in order of size.
 
-    Rows are range-partitioned by (token, n, node), so the tree of a frequent token spreads
-    over tasks.  Tokens of a single class are left out; at a partition's ends a single
+    Equal sizes are in an order of each tree's own, so that near copies get other neighbours
+    in every tree they share.  Rows are range-partitioned by this order, so the tree of a
+    frequent token spreads over tasks.  Tokens of a single class are left out; at a partition's ends a single
     row stays, as its tree may go on next door.
     """
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     each = classes.select(F.explode("first").alias("token"), "n", "node")
-    dealt = each.repartitionByRange(parts, "token", "n", "node").sortWithinPartitions("token", "n", "node")
+    each = each.withColumn("turn", F.xxhash64("token", "node"))
+    dealt = each.repartitionByRange(parts, "token", "n", "turn").sortWithinPartitions("token", "n", "turn", "node").drop("turn")
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        base, pages, rest, begun = TaskContext.get().partitionId() << 40, 0, None, False
+        base, pages, rest, before = TaskContext.get().partitionId() << 40, 0, None, None
 
         def cut(df: pd.DataFrame, ends: bool) -> pd.DataFrame:
-            nonlocal pages, begun
+            nonlocal pages, before
             token = df["token"].to_numpy()
             new = np.concatenate([[True], token[1:] != token[:-1]])
             start = np.flatnonzero(new)
@@ -168,10 +170,11 @@ def paged(classes: DataFrame) -> DataFrame:
             page = np.cumsum(new | (place % PAGE == 0)) - 1 + pages
             pages += int(page[-1] - pages) + 1
             keep = np.repeat(size > 1, size)
-            keep[: size[0]] |= not begun
+            if before is None or before == token[0]:  # the tree may have begun next door, or just before
+                keep[: size[0]] = True
             if ends:
                 keep[start[-1] :] = True
-            begun = True
+            before = token[-1]
             return df.assign(page=base + page)[keep]
 
         for batch in batches:
@@ -338,7 +341,7 @@ def _bound(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent: in
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
-    """node, members (sorted hashes as bytes) of the given classes (node, id, k1, k2)."""
+    """node, members (hashes) of the given classes (node, id, k1, k2)."""
     ids = nodes.select("id").distinct()
     ids = F.broadcast(ids) if ids.count() <= MAX_BROADCAST_IDS else ids
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
@@ -347,9 +350,9 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, width: i
         for batch in batches:
             sets = [shingles(t, width) for t in batch["text"]]
             keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
-            yield pd.DataFrame({"id": batch["id"], "k1": keys[:, 0], "k2": keys[:, 1], "members": [s.tobytes() for s in sets]})
+            yield pd.DataFrame({"id": batch["id"], "k1": keys[:, 0], "k2": keys[:, 1], "members": [s.view(np.int64) for s in sets]})
 
-    found = own.join(ids, "id", "left_semi").mapInPandas(rows, "id long, k1 long, k2 long, members binary")
+    found = own.join(ids, "id", "left_semi").mapInPandas(rows, "id long, k1 long, k2 long, members array<long>")
     # Rows that repeat an id with an equal text give their class once.
     return found.join(nodes, ["id", "k1", "k2"]).select("node", "members").dropDuplicates(["node"])
 
@@ -366,17 +369,11 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame, text: str, d
     nodes = near.select(F.col("u").alias("node")).union(near.select(F.col("v").alias("node"))).distinct()
     sets = stored(_sets_of(docs, classes.select("node", "id", "k1", "k2").join(nodes, "node", "left_semi"), text, doc_id, width))
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for p, q in zip(x, y, strict=True):
-            s, t = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            common = len(np.intersect1d(s, t, assume_unique=True))
-            out.append(100 * common >= percent * (len(s) + len(t) - common))
-        return pd.Series(out, dtype=bool)
-
     full = near.join(sets.toDF("u", "set_u"), "u").join(sets.toDF("v", "set_v"), "v")
-    return stored(full.filter(linked("set_u", "set_v")).select("u", "v"))
+    # 100 * common >= percent * union, the union being both sizes less what is common.
+    common = F.size(F.array_intersect("set_u", "set_v"))
+    linked = (100 + percent) * common >= percent * (F.size("set_u") + F.size("set_v"))
+    return stored(full.filter(linked).select("u", "v"))
 
 
 def groups(
@@ -390,7 +387,8 @@ def groups(
     """
     rows = stored(keyed(docs, text, doc_id, width))
     own = rows.filter("kind = 0").drop("kind")
-    frequent = rows.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "k1").limit(FREQUENT)
+    frequent = rows.filter("kind = 1").groupBy("k1").agg(F.sum("n").alias("n")).filter("n > 1").orderBy(
+        F.desc("n"), "k1").limit(FREQUENT).select("k1")
     ids = own.filter("n > 0").groupBy("k1", "k2").agg(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id())
     ids = stored(ids.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))))
