@@ -38,6 +38,7 @@ TREE_BITS = 64 * len(TREE)
 FREQUENT, SAMPLE = 500_000, 16
 # Ids that are broadcast to fetch their texts; more are joined by shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+CACHED_WORDS = 200_000  # whose hashes a Python worker remembers
 NO_ID = -(2**63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -57,7 +58,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_cache) > 1_000_000:
+    if len(_cache) > CACHED_WORDS:
         _cache.clear()
     for w in set(words):
         if w not in _cache:
@@ -198,7 +199,7 @@ def _compatible(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarra
 
 
 def neighbours(pages: DataFrame, percent: int) -> DataFrame:
-    """Pairs u < v for the first pass: every leaf with the one before it and the first of its page."""
+    """Pairs u < v for the first pass: every leaf with the three before it and the first of its page."""
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for df in batches:
@@ -206,9 +207,9 @@ def neighbours(pages: DataFrame, percent: int) -> DataFrame:
             if len(page) < 2:
                 continue
             first = np.repeat(*_starts(page))
-            near = np.arange(len(page)) - 1
-            for other in (near, first):
-                ok = (other >= 0) & (other < np.arange(len(page)))
+            here = np.arange(len(page))
+            for other in (here - 1, here - 2, here - 3, first):
+                ok = (other >= 0) & (other < here)
                 ok[ok] = (token[other[ok]] == token[ok]) & _compatible(n[other[ok]], n[ok], percent)
                 a, b = node[other[ok]], node[ok]
                 yield pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
