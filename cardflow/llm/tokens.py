@@ -28,9 +28,8 @@ class WordEncoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
+        # Strings of special tokens in a text get their ids; they hold no white space.
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens are ordinary text here.
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
 
     def learn(self, new: Sequence[bytes]) -> None:

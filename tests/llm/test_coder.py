@@ -73,3 +73,16 @@ def test_edges(spark, tmp_path, monkeypatch):
     assert got == want(rows)
     id_files.write(df.limit(0), f"{tmp_path}/b", default_path())
     assert id_files.digests(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_special_strings_keep_the_librarys_ids(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    library, start, expected = Tokenizer.from_file(default_path()), 0, []
+    rows = [(1, "First <|endoftext|> second."), (2, "x<|startoftext|>y <|endoftext|>"), (3, "the last")]
+    for i, text in rows:
+        ids = [*library.encode(text, add_special_tokens=False).ids, 1]
+        expected.append((i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        start += len(ids)
+    id_files.write(spark.createDataFrame(rows, "doc_id long, text string"), f"{tmp_path}/a", default_path())
+    assert sorted(tuple(r) for r in id_files.digests(spark, f"{tmp_path}/a").collect()) == expected

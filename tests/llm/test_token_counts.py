@@ -75,3 +75,15 @@ def test_query_matches_brute_force(spark):
         want[r.source, r.lang] = n + 1, k + len(enc.tokenizer.encode(text, add_special_tokens=False).ids)
     got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in op1_token_counts(spark, "/root/testdata/sf0.001").collect()}
     assert got == want
+
+
+def test_special_strings_are_encoded_as_the_library_does(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(default_path())
+    texts = ["<|endoftext|>", "One. <|endoftext|> Two", "a<|endoftext|>b. <|startoftext|>, <|ENDOFTEXT|> <|endof text|>", "x\u00a0<|endoftext|>\u2003y <|endoftext|>."]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[0] == [49407] and [encoder(default_path()).encode(t).tolist() for t in texts] == want
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.n for r in df.select("i", token_count(F.col("text"), default_path()).alias("n")).collect()}
+    assert [got[i] for i in range(len(texts))] == [len(w) for w in want]
