@@ -1,7 +1,8 @@
 """Corpus pipeline: five stages over documents, each written and read again by the next.
 
 1. language: documents without a language, or with an ambiguous one, go.
-2. near_duplicates: one document of each group of linked ones stays, the smallest id.
+2. near_duplicates: one document of each group of linked ones (80% of the runs of five words in
+   common) stays, the smallest id.
 3. decontamination: documents that hold a benchmark item go.
 4. mixing: runs of words of documents, so that sources come near their target weights.
 5. token_ids: the mix as token ids in files of range-coded blocks, read back per row.
@@ -23,6 +24,10 @@ from cardflow.llm.tokens import default_path
 from cardflow.session import checkpoint_root
 
 
+# Near copies share so many of their runs of words; op9's query has a setting of its own.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, F.lit(True))
     marked = language.identify(docs, model)
@@ -32,7 +37,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that are equal in all columns are one; documents without words are no one's copy."""
-    found = jaccard.groups(docs)
+    found = jaccard.groups(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
     group = F.when(F.col("n") > 0, F.struct(F.lit(0).alias("k"), F.col("root").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(
         F.struct(F.lit(1).alias("k"), F.col("h1").alias("a"), F.col("h2").alias("b")))
     key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h1", "h2")

@@ -75,3 +75,18 @@ def test_run_applies_all_stages(spark):
     out = p.run(spark, DATA)
     assert [n for n, _ in p.STAGES] == ["language", "near_duplicates", "decontamination", "mixing", "token_ids"]
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 150
+
+
+def test_near_duplicate_stage_links_from_four_fifths_of_five_words(spark):
+    from tests.llm.test_jaccard import brute, corpus
+
+    rows, at = corpus(3), 1000
+    # One word in the middle changed: 0.79 (48 words, not linked), 0.80 to 0.84, linked.
+    for k, n in enumerate((48, 50, 53, 57)):
+        base = [f"p{k}x{i}" for i in range(n)]
+        rows += [(at, " ".join(base)), (at + 1, " ".join(base[:25] + ["z"] + base[26:]))]
+        at += 2
+    want = {root for _, _, root in brute(rows, percent=80, width=5)}
+    assert {1000, 1001, 1002, 1004, 1006} <= want and not {1003, 1005, 1007} & want
+    out = p.near_duplicate_stage(spark, spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA), DATA)
+    assert sorted(r.doc_id for r in out.collect()) == sorted(want)
