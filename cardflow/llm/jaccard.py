@@ -239,7 +239,8 @@ def _possible(n_a, n_b, bits_a, bits_b, low_a, low_b, percent: int) -> np.ndarra
 def traversed(leaves: DataFrame, percent: int) -> DataFrame:
     """Pairs u < v of different components within each page, from a traversal of its twigs.
 
-    ``leaves`` are page, n, node, root and bitmap, grouped by page and in order of size.
+    ``leaves`` are page, n, node, root and bitmap, in any order: a stored page may have been cut
+    in two on reading, so pages are put together here, in order of size.
     """
 
     def walk(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
@@ -284,7 +285,9 @@ def traversed(leaves: DataFrame, percent: int) -> DataFrame:
         if rest is not None and len(rest):
             yield from walk(rest)
 
-    return leaves.mapInPandas(rows, "u long, v long")
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    whole_pages = leaves.repartition(parts, "page").sortWithinPartitions("page", "n", "node")
+    return whole_pages.mapInPandas(rows, "u long, v long")
 
 
 def across_pages(leaves: DataFrame, percent: int) -> DataFrame:

@@ -118,3 +118,27 @@ def test_connected_components(spark):
             root[max(x, y)] = min(x, y)
     assert found == {n: find(n) for n in root}
     assert components(spark.createDataFrame([(1, 1)], "u long, v long")).count() == 0
+
+
+def test_pages_cut_by_row_groups_keep_their_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from cardflow.session import stored
+
+    # Ten pages of one tree, in which every two sets of a page may reach the threshold.
+    leaves = spark.range(10 * j.PAGE).select(
+        F.expr(f"id div {j.PAGE}").alias("page"), F.lit(50).cast("long").alias("n"), F.col("id").alias("node"), F.col("id").alias("root"),
+        *[F.lit(3).cast("long").alias(c) for c in j.TREE]).coalesce(1)
+    small = {"parquet.block.size": "2000", "spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "2000"}
+    before = {k: spark.conf.get(k, None) for k in small}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        leaves = stored(leaves)
+        pages = leaves.withColumn("task", F.spark_partition_id()).groupBy("page").agg(F.count_distinct("task").alias("k"))
+        assert pages.filter("k > 1").count() > 0
+        got = sorted(map(tuple, j.traversed(leaves, 90).distinct().collect()))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert got == [(u, v) for u in range(10 * j.PAGE) for v in range(u + 1, (u // j.PAGE + 1) * j.PAGE)]
