@@ -4,31 +4,41 @@ Texts are cut into tokens; numbers, names and units become typed placeholders.
 the resulting template are hash-joined with those of the benchmark items.  Matches
 on one diagonal (the same shift between text and item) must fill the slots
 consistently: one value in the text for each value in the item.  So a question with
-other numbers or names is still found.  Items are indexed a second time with their names
-as words, for texts in capitals or small letters throughout, where names don't show.
+other numbers or names is still found.
 
-Windows with few literal tokens say little; they count only with equal slot values.
+Which capitals are names does not show everywhere: at the start of a sentence, in a title or in a text
+in capitals or small letters throughout.  So items and texts have three readings each: only
+capitals inside sentences are names, capitals at their start are too, or none are.  A first pass
+looks up the windows of all readings by hash; slot values are compared for texts with a hit.
+
+Windows with few tokens in common, literals or equal names and units, say little; they count only
+with equal slot values.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.llm.text import let, row_keys
+from cardflow.llm.text import let, row_keys, windows
+from cardflow.session import stored
 
 WINDOW = 8
 MIN_LITERALS = 5
 MIN_COVERAGE = 0.5
 # Benchmark windows up to which they are broadcast; beyond it Spark joins by shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
+# Texts with a hit up to which their keys are broadcast.
+MAX_BROADCAST_ROWS = 2_000_000
 # Unit tokens after a number (fixed values).
 UNITS = ("km", "m", "cm", "mm", "kg", "g", "mg", "t", "l", "ml", "s", "ms", "h", "min", "mph", "kmh", "ft", "lb", "lbs", "oz",
          "hours", "minutes", "seconds", "days", "weeks", "months", "years", "miles", "meters", "metres", "percent",
          "dollars", "euros", "pounds", "%", "$", "€", "£", "°")
 NUM, NAME, UNIT, MARK, GAP = "\x02num", "\x02name", "\x02unit", "\x01", "\x03"
+NUMBER = r"^\p{N}"
+# Names by reading: capitals inside sentences, those at their start too, none.
+INSIDE, ANYWHERE, NO_NAMES = r"^\p{Lu}\p{Ll}", rf"^{MARK}?\p{{Lu}}\p{{Ll}}", None
+READINGS = (INSIDE, ANYWHERE, NO_NAMES)
 
 
 def tokens(text: Column) -> Column:
@@ -39,44 +49,56 @@ def tokens(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
-def template(found: Column, names: bool = True) -> Column:
-    """Tokens with placeholders for numbers, units and, if asked, names (capitals inside sentences)."""
-    number = r"^\p{N}"
+def template(found: Column, names: str | None = INSIDE) -> Column:
+    """Tokens with placeholders for numbers, units and what a reading takes for names."""
 
     def typed(t: Column, i: Column) -> Column:
         plain = F.lower(F.ltrim(t, F.lit(MARK)))
-        after_number = F.coalesce(F.rlike(F.get(found, i - 1), F.lit(number)), F.lit(False))
-        return (F.when(F.rlike(t, F.lit(number)), F.lit(NUM))
-                .when(F.rlike(t, F.lit(r"^\p{Lu}\p{Ll}")) if names else F.lit(False), F.lit(NAME))
+        after_number = F.coalesce(F.rlike(F.get(found, i - 1), F.lit(NUMBER)), F.lit(False))
+        return (F.when(F.rlike(t, F.lit(NUMBER)), F.lit(NUM))
+                .when(F.rlike(t, F.lit(names)) if names else F.lit(False), F.lit(NAME))
                 .when(plain.isin(*UNITS) & after_number, F.lit(UNIT)).otherwise(plain))
 
     return F.transform(found, typed)
 
 
-def template_windows(text: Column, width: int, names: bool = True) -> Column:
-    """Array of (i, h, v, literals): place, hash of the template window, its slot values."""
+def template_windows(text: Column, width: int | None) -> Column:
+    """Array of (i, h, v, literals) of all readings: place, hash of the template window, its slot
+    values (a field per token, empty for literals).  Without a width, it is WINDOW or the text's own if less."""
 
     def of(found: Column, shape: Column) -> Column:
-        hashes = F.transform(shape, lambda x: F.xxhash64(x))
+        size = F.least(F.size(shape), F.lit(WINDOW)) if width is None else F.lit(width)
 
         def window(h: Column, slots: Column, i: Column) -> Column:
-            value = F.filter(F.slice(slots, i, width), lambda v: v.isNotNull())
-            return F.struct((i - 1).alias("i"), F.xxhash64(F.slice(h, i, width)).alias("h"),
-                            F.array_join(value, GAP).alias("v"), (width - F.size(value)).alias("literals"))
+            value = F.slice(slots, i, size)
+            return F.struct((i - 1).alias("i"), F.xxhash64(F.slice(h, i, size)).alias("h"), F.array_join(value, GAP, "").alias("v"),
+                            F.size(F.filter(value, lambda v: v.isNull())).alias("literals"))
 
-        def plain(h: Column, i: Column) -> Column:
-            return F.struct((i - 1).alias("i"), F.xxhash64(F.slice(h, i, width)).alias("h"),
-                            F.lit("").alias("v"), F.lit(width).alias("literals"))
-
-        last = F.size(shape) - width + 1
+        last = F.size(shape) - size + 1
         starts = F.when(last >= 1, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        slots = F.transform(shape, lambda x, i: F.when(x.startswith("\x02"), F.lower(F.get(found, i))))
-        has_slots = F.exists(shape, lambda x: x.startswith("\x02"))
-        return let(hashes, lambda h: F.when(
-            has_slots, let(slots, lambda s: F.transform(starts, lambda i: window(h, s, i)))
-        ).otherwise(F.transform(starts, lambda i: plain(h, i))))
+        hashes = F.transform(shape, lambda x: F.xxhash64(x))
+        slots = F.transform(shape, lambda x, i: F.when(x.startswith("\x02"), F.lower(F.ltrim(F.get(found, i), F.lit(MARK)))))
+        return let(hashes, lambda h: let(slots, lambda s: F.transform(starts, lambda i: window(h, s, i))))
+
+    return let(tokens(text), lambda t: F.flatten(F.transform(
+        F.array(*[template(t, names) for names in READINGS]), lambda s: of(t, s))))
+
+
+def window_hashes(text: Column, widths: list[int]) -> Column:
+    """Distinct hashes of the template windows of all readings of a text, as in ``template_windows``."""
+
+    def read(found: Column, plain: Column, names: str | None) -> Column:
+        # A name is no number, so its placeholder replaces what the reading without names has.
+        return plain if names is None else F.zip_with(
+            found, plain, lambda t, h: F.when(F.rlike(t, F.lit(names)), F.xxhash64(F.lit(NAME))).otherwise(h))
+
+    def cut(hashes: Column) -> Column:
+        return let(hashes, lambda h: F.concat(*[windows(h, w) for w in widths]))
+
+    def of(found: Column, plain: Column) -> Column:
+        return F.array_distinct(F.concat(*[cut(read(found, plain, names)) for names in READINGS]))
 
-    return let(tokens(text), lambda t: let(template(t, names), lambda s: of(t, s)))
+    return let(tokens(text), lambda t: let(F.transform(template(t, NO_NAMES), lambda x: F.xxhash64(x)), lambda p: of(t, p)))
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
@@ -86,35 +108,37 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     """
     sized = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         "item_id", "text", F.size(tokens(F.col("text"))).alias("_n"))
-    parts = []
-    for width in range(1, WINDOW + 1):
-        rows = sized.filter(F.col("_n") >= width if width == WINDOW else F.col("_n") == width)
-        for names in (True, False):
-            cut = rows.select("item_id", F.lit(width).alias("width"), template_windows(F.col("text"), width, names).alias("x"))
-            parts.append(cut.select("item_id", "width", F.size("x").alias("n_windows"), F.inline("x")).select(
-                "width", "h", "item_id", F.col("i").alias("j"), F.col("v").alias("w"), "literals", "n_windows"))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    rows = sized.filter("_n > 0").select(
+        "item_id", F.least("_n", F.lit(WINDOW)).alias("width"), F.greatest(F.col("_n") - WINDOW + 1, F.lit(1)).alias("n_windows"), "text")
+    cut = rows.select("item_id", "width", "n_windows", F.inline(template_windows(F.col("text"), None)))
+    return cut.select("width", "h", "item_id", F.col("i").alias("j"), F.col("v").alias("w"), "literals", "n_windows").distinct()
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Contaminating items: h1, h2 (key of the row), item_id, n_matched, coverage.
 
-    Every window of every text is looked up.  Equal rows of ``docs`` share a key.
+    Every window of every reading of every text is looked up.  Equal rows of ``docs`` share a key.
     """
     items = item_windows(benchmark).persist()
     widths = {r["width"]: r["count"] for r in items.groupBy("width").count().collect()}
     small = sum(widths.values()) <= MAX_BROADCAST_WINDOWS
     keyed = docs.select(*row_keys(docs), F.col(text).alias("text"))
+    known = items.select("h").distinct()
+    met = keyed.select("h1", "h2", F.explode(window_hashes(F.col("text"), sorted(widths) or [WINDOW])).alias("h"))
+    met = stored(met.join(F.broadcast(known) if small else known, "h", "left_semi").select("h1", "h2").distinct())
+    keyed = keyed.join(F.broadcast(met) if met.count() <= MAX_BROADCAST_ROWS else met, ["h1", "h2"], "left_semi")
     hits = None
     for width in sorted(widths) or [WINDOW]:
         own = items.filter(F.col("width") == width).drop("width")
         each = keyed.select("h1", "h2", F.inline(template_windows(F.col("text"), width))).drop("literals")
-        found = each.join(F.broadcast(own) if small else own, "h")
-        # Short of literals, the slots must be equal; a short item must be found word by word.
-        equal = F.col("literals") >= (MIN_LITERALS if width == WINDOW else WINDOW)
+        found = each.join(F.broadcast(own) if small else own, "h").withColumn("slots", F.arrays_zip(
+            F.split("w", GAP).alias("a"), F.split("v", GAP).alias("b")))
+        # Short of common tokens, the slots must be equal; a short item must be found word by word.
+        held = F.filter("slots", lambda s: (s["a"] != "") & (s["a"] == s["b"]) & ~F.rlike(s["a"], F.lit(NUMBER)))
+        equal = (F.col("literals") + F.size(held) >= MIN_LITERALS) if width == WINDOW else F.lit(False)
         found = found.filter(equal | (F.col("v") == F.col("w")))
         hits = found if hits is None else hits.unionByName(found)
-    pairs = F.when(F.col("w") != "", F.arrays_zip(F.split("w", GAP).alias("a"), F.split("v", GAP).alias("b")))
+    pairs = F.filter("slots", lambda s: s["a"] != "")
     lines = hits.groupBy("h1", "h2", "item_id", "n_windows", (F.col("i") - F.col("j")).alias("shift")).agg(
         F.collect_set("j").alias("js"), F.flatten(F.collect_set(pairs)).alias("pairs"))
     one_value = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))

@@ -58,3 +58,18 @@ def test_planted_passages_match_brute_force(spark):
     docs = spark.read.parquet(f"{d}/documents.parquet")
     for r in dc.mark(docs, spark.read.parquet(f"{d}/benchmark.parquet")).collect():
         assert r.contaminated == any(i in norm(r.text) for i in items), r.doc_id
+
+
+def test_names_at_the_start_of_sentences(spark):
+    item = "Anna buys 3 pens. Anna pays 4 euros each. How much does Anna pay?"
+    once = "Anna walks along the river with her old dog. Peter follows them home in the rain. Where do they all sleep at night?"
+    texts = [item, FILL + item.replace("Anna", "Boris"), FILL + item.replace("Anna", "Boris").replace("3", "6"),
+             once.replace("Anna", "Olga").replace("Peter", "Ivan"), f'"{once.replace("Anna", "Olga")}"', FILL * 3]
+    got = marked(spark, [(i, t, "", 0) for i, t in enumerate(texts)], [(1, item), (2, once)])
+    assert [got[i].item_id for i in range(len(texts))] == [1, 1, 1, 2, 2, None]
+
+
+def test_title_case_copies(spark):
+    got = marked(spark, [(1, FILL + ITEM.title(), "", 0), (2, (FILL * 2).title(), "", 0), (3, ITEM, "", 0)], [(1, ITEM)])
+    assert got[1].contaminated and got[1].coverage == 1.0 and not got[2].contaminated
+    assert marked(spark, [(1, FILL + ITEM, "", 0)], [(1, ITEM.title())])[1].coverage == 1.0
