@@ -3,7 +3,8 @@
 Texts are cut into tokens; numbers, names and units become typed placeholders.  Windows of
 the resulting template are hash-joined with those of the benchmark items.  Matches
 on one diagonal (the same shift between text and item) must fill the slots
-consistently: one value in the text for each value in the item.  So a question with
+consistently: windows that depart from the filling of most places (see ``filled``) don't count,
+those that are equal in all slots always do.  So a question with
 other numbers or names is still found.
 
 Which capitals are names does not show everywhere: at the start of a sentence, in a title or in a text
@@ -114,6 +115,22 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return cut.select("width", "h", "item_id", F.col("i").alias("j"), F.col("v").alias("w"), "literals", "n_windows").distinct()
 
 
+def filled(pairs: DataFrame, line: list[str]) -> DataFrame:
+    """Fillings of item values that hold on a diagonal: ``line``, a, b, good (true).
+
+    ``pairs`` are line, place, a (item's value) and b (text's).  The value that fills most places holds.
+    Among several, the item's own does; else numbers are slots that only happened to be equal in the
+    item, and all hold, while a name that became two others holds for neither.
+    """
+    counts = pairs.groupBy(*line, "a", "b").agg(F.count("*").alias("n"))
+    tops = counts.groupBy(*line, "a").agg(F.max("n").alias("top"))
+    best = counts.join(tops, [*line, "a"]).filter("n = top").drop("n", "top")
+    ties = best.groupBy(*line, "a").agg(F.count("*").alias("k"), F.max(F.col("a") == F.col("b")).alias("own"))
+    number = F.rlike("a", F.lit(NUMBER))
+    holds = (F.col("k") == 1) | F.when(F.col("own"), F.col("a") == F.col("b")).otherwise(number)
+    return best.join(ties, [*line, "a"]).filter(holds).select(*line, "a", "b", F.lit(True).alias("good"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Contaminating items: h1, h2 (key of the row), item_id, n_matched, coverage.
 
@@ -138,12 +155,16 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
         equal = (F.col("literals") + F.size(held) >= MIN_LITERALS) if width == WINDOW else F.lit(False)
         found = found.filter(equal | (F.col("v") == F.col("w")))
         hits = found if hits is None else hits.unionByName(found)
-    pairs = F.filter("slots", lambda s: s["a"] != "")
-    lines = hits.groupBy("h1", "h2", "item_id", "n_windows", (F.col("i") - F.col("j")).alias("shift")).agg(
-        F.collect_set("j").alias("js"), F.flatten(F.collect_set(pairs)).alias("pairs"))
-    one_value = F.size(F.array_distinct("pairs")) == F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    # A benchmark item has a bounded number of windows, so a row's diagonals stay small sets.
-    sums = lines.filter(one_value).select("h1", "h2", "item_id", "n_windows", F.explode("js").alias("j")).distinct()
+    line = ["h1", "h2", "item_id", "n_windows", "shift"]
+    hits = stored(hits.select(*line[:4], (F.col("i") - F.col("j")).alias("shift"), "j", "v", "w", "slots").distinct())
+    each = hits.select(*line, "j", "v", "w", F.posexplode("slots").alias("at", "slot")).select(
+        *line, "j", "v", "w", (F.col("j") + F.col("at")).alias("place"), F.col("slot.a").alias("a"), F.col("slot.b").alias("b")).filter("a <> ''")
+    own_pairs = each.select(*line, "place", "a", "b").distinct()
+    good = filled(own_pairs, line)
+    agrees = each.filter("v <> w").join(good, [*line, "a", "b"], "left").groupBy(*line, "j", "v", "w").agg(
+        F.min(F.coalesce("good", F.lit(False))).alias("good")).filter("good")
+    sums = hits.filter("v = w").select(*line, "j").unionByName(agrees.select(*line, "j")).distinct()
+    sums = sums.drop("shift").distinct()
     counted = sums.groupBy("h1", "h2", "item_id", "n_windows").agg(F.count("*").alias("n_matched"))
     coverage = F.col("n_matched") / F.col("n_windows")
     return counted.select("h1", "h2", "item_id", "n_matched", coverage.alias("coverage")).filter(coverage >= MIN_COVERAGE)

@@ -73,3 +73,11 @@ def test_title_case_copies(spark):
     got = marked(spark, [(1, FILL + ITEM.title(), "", 0), (2, (FILL * 2).title(), "", 0), (3, ITEM, "", 0)], [(1, ITEM)])
     assert got[1].contaminated and got[1].coverage == 1.0 and not got[2].contaminated
     assert marked(spark, [(1, FILL + ITEM, "", 0)], [(1, ITEM.title())])[1].coverage == 1.0
+
+
+def test_one_changed_place_leaves_the_other_windows(spark):
+    one = ITEM.replace("did Peter", "did Pete")
+    fruit = "Anna has 2 apples and 2 pears in her bag. How many pieces of fruit does Anna have in the bag?"
+    other = fruit.replace("2 apples", "3 apples").replace("2 pears", "5 pears")
+    got = marked(spark, [(1, FILL + one, "", 0), (2, FILL + other, "", 0), (3, MIXED, "", 0)], [(1, ITEM), (2, fruit)])
+    assert (got[1].item_id, got[2].item_id, got[3].item_id) == (1, 2, None) and got[1].coverage == 11 / 17
