@@ -13,12 +13,13 @@ capitals inside sentences are names, capitals at their start are too, or none ar
 looks up the windows of all readings by hash; slot values are compared for texts with a hit.
 
 Windows with few tokens in common, literals or equal names and units, say little; they count only
-with equal slot values.
+with equal slot values.  An item is found if half of its windows match, or if a run of matching
+windows has MIN_RUN tokens in common.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflow.llm.text import let, row_keys, windows
@@ -27,6 +28,8 @@ from cardflow.session import stored
 WINDOW = 8
 MIN_LITERALS = 5
 MIN_COVERAGE = 0.5
+# Tokens in common of a run of windows that are enough, whatever share of the item they are.
+MIN_RUN = 13
 # Benchmark windows up to which they are broadcast; beyond it Spark joins by shuffle.
 MAX_BROADCAST_WINDOWS = 2_000_000
 # Texts with a hit up to which their keys are broadcast.
@@ -131,6 +134,16 @@ def filled(pairs: DataFrame, line: list[str]) -> DataFrame:
     return best.join(ties, [*line, "a"]).filter(holds).select(*line, "a", "b", F.lit(True).alias("good"))
 
 
+def runs(sums: DataFrame, pairs: DataFrame, line: list[str]) -> DataFrame:
+    """Runs of consecutive matching windows: ``line``, first and last place, n_same (tokens of the
+    run that item and text have in common).  A short item is one window of less than MIN_RUN tokens."""
+    numbered = sums.withColumn("run", F.col("j") - F.row_number().over(Window.partitionBy(*line).orderBy("j")))
+    spans = numbered.groupBy(*line, "run").agg(F.min("j").alias("first"), (F.max("j") + WINDOW - 1).alias("last"))
+    other = pairs.filter("a <> b").select(*line, "place").distinct()
+    return spans.join(other, line, "left").groupBy(*line, "first", "last").agg(
+        (F.col("last") - F.col("first") + 1 - F.count_if(F.col("place").between(F.col("first"), F.col("last")))).alias("n_same"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Contaminating items: h1, h2 (key of the row), item_id, n_matched, coverage.
 
@@ -164,10 +177,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     agrees = each.filter("v <> w").join(good, [*line, "a", "b"], "left").groupBy(*line, "j", "v", "w").agg(
         F.min(F.coalesce("good", F.lit(False))).alias("good")).filter("good")
     sums = hits.filter("v = w").select(*line, "j").unionByName(agrees.select(*line, "j")).distinct()
-    sums = sums.drop("shift").distinct()
-    counted = sums.groupBy("h1", "h2", "item_id", "n_windows").agg(F.count("*").alias("n_matched"))
+    long = runs(sums, own_pairs, line).groupBy(*line[:4]).agg(F.max("n_same").alias("n_same"))
+    counted = sums.select(*line[:4], "j").distinct().groupBy(*line[:4]).agg(F.count("*").alias("n_matched"))
     coverage = F.col("n_matched") / F.col("n_windows")
-    return counted.select("h1", "h2", "item_id", "n_matched", coverage.alias("coverage")).filter(coverage >= MIN_COVERAGE)
+    held = counted.join(long, line[:4]).filter((coverage >= MIN_COVERAGE) | (F.col("n_same") >= MIN_RUN))
+    return held.select("h1", "h2", "item_id", "n_matched", coverage.alias("coverage"))
 
 
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:

@@ -81,3 +81,11 @@ def test_one_changed_place_leaves_the_other_windows(spark):
     other = fruit.replace("2 apples", "3 apples").replace("2 pears", "5 pears")
     got = marked(spark, [(1, FILL + one, "", 0), (2, FILL + other, "", 0), (3, MIXED, "", 0)], [(1, ITEM), (2, fruit)])
     assert (got[1].item_id, got[2].item_id, got[3].item_id) == (1, 2, None) and got[1].coverage == 11 / 17
+
+
+def test_long_runs_count_whatever_the_share(spark):
+    words = [f"{a}{b}" for a in ("lo", "ma", "ni", "pu", "re", "so") for b in ("bal", "cer", "dor", "fin", "gul", "hap", "jas", "kem", "lix", "mon")][:59]
+    run = " ".join(words[15:45])
+    short = " ".join(words[15:27])
+    got = marked(spark, [(1, FILL + run + " and " + FILL, "", 0), (2, FILL + short + " and " + FILL, "", 0)], [(1, " ".join(words))])
+    assert got[1].contaminated and got[1].coverage == 23 / 52 and not got[2].contaminated
