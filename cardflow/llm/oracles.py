@@ -76,5 +76,39 @@ FROM bits
 """
 
 
+OP13 = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS r, coalesce(text, '') AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list(struct_pack(r := r, x := x) ORDER BY pos) AS turns FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))),
+    lambda acc, b: list_reduce(list_prepend(xor(acc, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])),
+                               lambda v, z: xor(v >> 1, 3988292384 * (v & 1))))) % 6 AS h
+  FROM own),
+built AS (
+  SELECT a.conv_id, list_concat(b.turns[1:a.h], a.turns[a.h + 1:]) AS path
+  FROM heads a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 100),
+steps AS (SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS depth FROM built),
+nodes AS (
+  SELECT path[1:depth] AS pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256
+  FROM steps GROUP BY ALL),
+children AS (SELECT pre[1:depth - 1] AS pre, depth - 1 AS depth, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY ALL),
+own_sums AS (
+  SELECT n.*, coalesce(c.n_children, 0) AS n_children,
+    CASE WHEN depth > 0 THEN (n_convs - 1) * length(pre[depth].x) ELSE 0 END AS saved
+  FROM nodes n LEFT JOIN children c USING (pre, depth)),
+subtrees AS (
+  SELECT pre[1:d] AS pre, d AS depth, count(*) FILTER (n_children = 0) AS n_leaves, CAST(sum(saved) AS BIGINT) AS saved_tokens
+  FROM (SELECT *, unnest(range(0, depth + 1)) AS d FROM own_sums) GROUP BY ALL)
+SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, n.n_children, s.n_leaves, s.saved_tokens, n.ends_sha256
+FROM own_sums n JOIN subtrees s USING (pre, depth)
+LEFT JOIN nodes p ON n.depth > 0 AND p.depth = n.depth - 1 AND p.pre = n.pre[1:n.depth - 1]
+"""
+
+
 def all_oracles() -> dict[str, str]:
-    return {"op2_chat_formatting": OP2, "op3_url_filters": OP3, "op7_quality_rules": OP7}
+    return {"op2_chat_formatting": OP2, "op3_url_filters": OP3, "op7_quality_rules": OP7, "op13_prefix_trie": OP13}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cardflow.llm import chat, decontamination, id_files, jaccard, language, mixing, quality, quality_rules, simhash, url_filters, whitening
+from cardflow.llm import chat, decontamination, id_files, jaccard, language, mixing, quality, quality_rules, simhash, trie, url_filters, whitening
 from cardflow.llm.token_counts import TokenRollup
 from cardflow.llm.tokens import default_path, token_count
 from cardflow.session import checkpoint_root, stored
@@ -120,9 +120,13 @@ def op12_simhash_dedup(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", simhash.digits(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op13_prefix_trie(spark: SparkSession, d: str) -> DataFrame:
+    return trie.trie(table(spark, d, "conversations"))
+
+
 def all_queries() -> dict[str, Query]:
     return {q.__name__: q for q in (
         op1_token_counts, op2_chat_formatting, op3_url_filters, op4_quality_classifier, op5_token_ids,
         op6_language_id, op7_quality_rules, op8_decontamination, op9_ngram_jaccard, op10_mixing, op11_embedding_whitening,
-        op12_simhash_dedup,
+        op12_simhash_dedup, op13_prefix_trie,
     )}
