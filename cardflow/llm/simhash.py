@@ -262,7 +262,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """``doc_id, fp, component_id`` per row; the component's id is its smallest doc_id."""
     prints = stored(fingerprints(docs, doc_id, text))
     classes = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    tied = components(links(classes.select(F.col("fp").alias("code")), limit, node_codes))
+    tied = components(stored(links(classes.select(F.col("fp").alias("code")), limit, node_codes)))
     linked = classes.join(tied, classes["fp"] == tied["node"]).select("fp", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     named = linked.join(least, "root").select("fp", "least")
