@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 TOKENIZER = "word_bpe_49k.json"
-# Words whose ids a Python worker remembers; beyond this it starts afresh.
+# Words whose ids a Python worker remembers from text to text; beyond this it starts afresh.
 CACHED_WORDS = 400_000
 
 
@@ -34,8 +34,6 @@ class WordEncoder:
 
     def learn(self, new: Sequence[bytes]) -> None:
         """Encode words that are not known yet."""
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self.known.clear()
         known = self.known
         cut = [(w, w[:-1].lower() if w[:-1].isalpha() and w[-1:] in (b".", b",") else w.lower() if w.isalpha() else w) for w in new]
         stems = {s for _, s in cut} | {b".", b","}
@@ -51,10 +49,11 @@ class WordEncoder:
         """All ids of a text; none for a null text."""
         # Bytes split at ASCII white space only; other spaces are left to the tokenizer.
         words = (text or "").encode("utf-8", "surrogatepass").split()
-        own = set(words)
-        for _ in range(2):  # again if the memory was emptied in between
-            if new := [w for w in own if w not in self.known]:
-                self.learn(new)
+        # Between texts only: the words of one text stay until it is encoded.
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        if new := [w for w in set(words) if w not in self.known]:
+            self.learn(new)
         return np.frombuffer(b"".join(map(self.known.__getitem__, words)), np.uint32)
 
 

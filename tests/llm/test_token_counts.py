@@ -1,5 +1,6 @@
 import pytest
 
+from cardflow.llm import tokens
 from cardflow.llm.token_counts import TokenRollup
 from cardflow.llm.tokens import default_path, encoder, token_count
 from pyspark.sql import functions as F
@@ -87,3 +88,13 @@ def test_special_strings_are_encoded_as_the_library_does(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     got = {r.i: r.n for r in df.select("i", token_count(F.col("text"), default_path()).alias("n")).collect()}
     assert [got[i] for i in range(len(texts))] == [len(w) for w in want]
+
+
+def test_text_of_more_words_than_are_remembered(monkeypatch):
+    """A long text shares words with what a worker knows and has more than it may remember."""
+    monkeypatch.setattr(tokens, "CACHED_WORDS", 4000)
+    enc, plain = tokens.WordEncoder(tokens.default_path()), tokens.WordEncoder(tokens.default_path())
+    first = " ".join(f"word{i}." for i in range(1500))
+    long = " ".join(f"word{i}." for i in range(4500))
+    for text in (first, long, first, long, ""):
+        assert enc.encode(text).tolist() == plain.tokenizer.encode(text, add_special_tokens=False).ids
