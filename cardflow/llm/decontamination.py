@@ -22,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardflow.llm.text import let, row_keys, windows
+from cardflow.llm.text import let, row_keys, unused, windows
 from cardflow.session import stored
 
 WINDOW = 8
 MIN_LITERALS = 5
+MIN_ITEM = 5
 MIN_COVERAGE = 0.5
 # Tokens in common of a run of windows that are enough, whatever share of the item they are.
 MIN_RUN = 13
@@ -47,7 +48,8 @@ READINGS = (INSIDE, ANYWHERE, NO_NAMES)
 
 def tokens(text: Column) -> Column:
     """Letter runs, numbers and unit signs; a capital that starts a sentence is marked."""
-    marked = F.regexp_replace(text, r"(^\s*|[.!?:]\s+|\n\s*)(?=\p{Lu})", "$1" + MARK)
+    # Possessive, and tried at the start of a run of white space only: linear in any text.
+    marked = F.regexp_replace(text, r"(^\s*+|(?<=[.!?:])\s++|(?<!\s)[^\S\n]*+\n\s*+)(?=\p{Lu})", "$1" + MARK)
     found = F.regexp_extract_all(
         marked, F.lit(rf"{MARK}?\p{{L}}[\p{{L}}\p{{M}}]*|\p{{N}}+(?:[.,:/]\p{{N}}+)*|[%$€£°]"), F.lit(0))
     return F.coalesce(found, F.array().cast("array<string>"))
@@ -108,11 +110,12 @@ def window_hashes(text: Column, widths: list[int]) -> Column:
 def item_windows(benchmark: DataFrame) -> DataFrame:
     """Windows of the items: width, h, item_id, j (place), w (slot values), literals, n_windows.
 
-    An item shorter than a window is one window of its own width; null and empty items have none.
+    An item shorter than a window is one window of its own width.  Items of fewer than MIN_ITEM
+    tokens ("Yes") would mark every text with these words: they have no window and are never found.
     """
     sized = benchmark.filter(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(
         "item_id", "text", F.size(tokens(F.col("text"))).alias("_n"))
-    rows = sized.filter("_n > 0").select(
+    rows = sized.filter(F.col("_n") >= MIN_ITEM).select(
         "item_id", F.least("_n", F.lit(WINDOW)).alias("width"), F.greatest(F.col("_n") - WINDOW + 1, F.lit(1)).alias("n_windows"), "text")
     cut = rows.select("item_id", "width", "n_windows", F.inline(template_windows(F.col("text"), None)))
     return cut.select("width", "h", "item_id", F.col("i").alias("j"), F.col("v").alias("w"), "literals", "n_windows").distinct()
@@ -191,15 +194,19 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
     names are replaced.
     """
     own = ("contaminated", "item_id", "n_items", "coverage")
-    best = matches(docs, benchmark, text).groupBy("h1", "h2").agg(
-        F.max(F.struct("coverage", (-F.col("item_id")).alias("minus"))).alias("best"), F.count("*").alias("n_items"))
-    rows = docs.select("*", *row_keys(docs)).drop(*own)
-    return rows.join(best, ["h1", "h2"], "left").select(
-        *[c for c in docs.columns if c not in own], F.col("best").isNotNull().alias("contaminated"),
-        (-F.col("best.minus")).alias("item_id"), F.coalesce("n_items", F.lit(0)).alias("n_items"), F.col("best.coverage").alias("coverage"))
+    h1, h2, found = unused(docs, "h1", "h2", "best")
+    best = matches(docs, benchmark, text).groupBy(F.col("h1").alias(h1), F.col("h2").alias(h2)).agg(
+        F.struct(F.min(F.struct(-F.col("coverage"), "item_id"))["item_id"].alias("item_id"), F.max("coverage").alias("coverage"),
+                 F.count("*").alias("n_items")).alias(found))
+    kept = [c for c in docs.columns if c not in own]
+    rows = docs.select(*[F.col(f"`{c}`") for c in kept], *row_keys(docs, h1, h2))
+    return rows.join(best, [h1, h2], "left").select(
+        *[F.col(f"`{c}`") for c in kept], F.col(found).isNotNull().alias("contaminated"), F.col(f"{found}.item_id").alias("item_id"),
+        F.coalesce(f"{found}.n_items", F.lit(0)).alias("n_items"), F.col(f"{found}.coverage").alias("coverage"))
 
 
 def cleaned(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """Rows of ``docs`` that hold no benchmark item."""
-    bad = matches(docs, benchmark, text).select("h1", "h2").distinct()
-    return docs.select("*", *row_keys(docs)).join(bad, ["h1", "h2"], "left_anti").drop("h1", "h2")
+    h1, h2 = unused(docs, "h1", "h2")
+    bad = matches(docs, benchmark, text).select(F.col("h1").alias(h1), F.col("h2").alias(h2)).distinct()
+    return docs.select("*", *row_keys(docs, h1, h2)).join(bad, [h1, h2], "left_anti").drop(h1, h2)

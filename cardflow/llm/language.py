@@ -8,7 +8,7 @@ is flagged as ambiguous.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cardflow.llm.text import unused
+
 UNKNOWN = "und"
 DIM = 4096
 # Bound on the rows the classifiers are fitted on, shared evenly by the languages.
@@ -120,7 +122,7 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     languages = tuple(sorted(r[0] for r in names))
     each = max(1, min(PER_LANGUAGE, MAX_SAMPLE // len(languages)))
     order = Window.partitionBy(lang).orderBy(F.xxhash64(doc_id), doc_id)
-    chosen = rows.select(doc_id, lang).withColumn("_rn", F.row_number().over(order)).filter(F.col("_rn") <= each)
+    chosen = rows.select(doc_id, lang, F.row_number().over(order).alias("_rn")).filter(F.col("_rn") <= each)
     ids = F.broadcast(chosen.select(doc_id).distinct())  # at most MAX_SAMPLE ids
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,11 +137,15 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     return fit_bits(x, np.array([place[r["lang"]] for r in got]), languages)
 
 
-def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
+NAMES = ("lang_pred", "score", "ambiguous")
+
+
+def identify(docs: DataFrame, model: Model | None, text: str = "text", names: Sequence[str] = NAMES) -> DataFrame:
     """Add lang_pred, score (0 to 1) and ambiguous, from whole texts alone.
 
     Null texts and texts without a letter are ``und`` with score 0, and so is
-    everything without a model.  All rows and columns are kept; columns of these names are replaced.
+    everything without a model.  All rows and columns are kept; columns of these names (or of the
+    three given instead) are replaced.
     """
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")
@@ -155,5 +161,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text") -> DataFr
                 out.loc[at, "ambiguous"] = unsure
             yield out
 
-    kept = [c for c in docs.columns if c not in ("lang_pred", "score", "ambiguous", "_p")]
-    return docs.select(*kept, predicted(F.col(text)).alias("_p")).select(*kept, "_p.lang_pred", "_p.score", "_p.ambiguous")
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+    found, = unused(docs, "_p")
+    added = [F.col(f"{found}.{own}").alias(name) for own, name in zip(NAMES, names, strict=True)]
+    return docs.select(*kept, predicted(F.col(text)).alias(found)).select(*kept, *added)

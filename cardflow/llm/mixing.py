@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cardflow.llm.prefix import running_totals
-from cardflow.llm.text import row_keys, word_count, words
+from cardflow.llm.text import row_keys, unused, word_count, words
 from cardflow.session import stored
 
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -269,10 +269,11 @@ def runs_of(parts: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
         yield begin, end - begin
 
 
-def one_of_equal(rows: DataFrame) -> DataFrame:
+def one_of_equal(rows: DataFrame, h1: str = "h1", h2: str = "h2") -> DataFrame:
     """One row for each key h1, h2; tasks drop their own copies before the shuffle."""
-    first = Window.partitionBy("h1", "h2").orderBy("h1")
-    return rows.withColumn("_rn", F.row_number().over(first)).filter("_rn = 1").drop("_rn")
+    first = Window.partitionBy(h1, h2).orderBy(h1)
+    place, = unused(rows, "_rn")
+    return rows.withColumn(place, F.row_number().over(first)).filter(F.col(place) == 1).drop(place)
 
 
 def mixed_texts(docs: DataFrame, plan: Mix, text: str = "text", block: int = BLOCK_WORDS) -> DataFrame:
@@ -284,14 +285,15 @@ def mixed_texts(docs: DataFrame, plan: Mix, text: str = "text", block: int = BLO
     used = plan.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     spans = plan.pieces.join(used, ["src", "block"]).groupBy(
         "h1", "h2", F.expr(f"start % {block}").alias("cut"), "first", "n_words").agg(F.sum("times").alias("times"))
-    listed = spans.groupBy("h1", "h2", "cut").agg(F.collect_list(F.struct("first", "n_words", "times")).alias("_parts"))
-    joined = one_of_equal(docs.select("*", *row_keys(docs))).join(listed.drop("cut"), ["h1", "h2"]).drop("h1", "h2")
+    h1, h2, parts, spans_of, split, size_of, span = unused(docs, "h1", "h2", "_parts", "_runs", "_words", "_size", "_run")
+    listed = spans.groupBy(F.col("h1").alias(h1), F.col("h2").alias(h2), "cut").agg(
+        F.collect_list(F.struct("first", "n_words", "times")).alias(parts)).select(h1, h2, parts)
+    joined = one_of_equal(docs.select("*", *row_keys(docs, h1, h2)), h1, h2).join(listed, [h1, h2]).drop(h1, h2)
     runs = F.udf(lambda parts: [(int(a), int(n)) for a, n in runs_of([tuple(p) for p in parts])],
                  "array<struct<first:int,n:int>>")
-    cut = joined.withColumn("_runs", runs("_parts")).drop("_parts").withColumn("_words", words(F.col(text)))
-    size = F.size("_words")
-    each = cut.select(
-        *[c for c in docs.columns if c != text], text, "_words", size.alias("_size"), F.explode("_runs").alias("_run"))
-    taken_text = F.when((F.col("_run.first") == 0) & (F.col("_run.n") == F.col("_size")), F.col(text)).otherwise(
-        F.array_join(F.slice("_words", F.col("_run.first") + 1, F.col("_run.n")), " "))
-    return each.withColumn(text, taken_text).select(docs.columns)
+    cut = joined.withColumn(spans_of, runs(parts)).drop(parts).withColumn(split, words(F.col(text)))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    each = cut.select(*kept, split, F.size(split).alias(size_of), F.explode(spans_of).alias(span))
+    taken_text = F.when((F.col(f"{span}.first") == 0) & (F.col(f"{span}.n") == F.col(size_of)), F.col(text)).otherwise(
+        F.array_join(F.slice(split, F.col(f"{span}.first") + 1, F.col(f"{span}.n")), " "))
+    return each.withColumn(text, taken_text).select(kept)

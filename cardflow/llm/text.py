@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Words are runs of anything but space, tab, line feed, vertical tab, form feed and return.
@@ -40,8 +40,30 @@ def windows(hashes: Column, width: int) -> Column:
     return F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, width)))
 
 
-def row_keys(docs: DataFrame) -> list[Column]:
+# Bytes of an Arrow batch on its way to a Python worker; rows alone do not bound whole texts.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bound Arrow batches by bytes, as texts may be long."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return spark
+
+
+def unused(docs: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front where the frame has such a column already."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def row_keys(docs: DataFrame, h1: str = "h1", h2: str = "h2") -> list[Column]:
     """128 bits that tell rows apart; rows with equal keys are equal in all columns but maps."""
     cols = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
     nulls = F.concat(*[F.when(c.isNull(), "1").otherwise("0") for c in cols])
-    return [F.xxhash64(nulls, *cols).alias("h1"), F.xxhash64(F.lit(1), nulls, *cols).alias("h2")]
+    return [F.xxhash64(nulls, *cols).alias(h1), F.xxhash64(F.lit(1), nulls, *cols).alias(h2)]

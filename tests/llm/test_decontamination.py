@@ -89,3 +89,34 @@ def test_long_runs_count_whatever_the_share(spark):
     short = " ".join(words[15:27])
     got = marked(spark, [(1, FILL + run + " and " + FILL, "", 0), (2, FILL + short + " and " + FILL, "", 0)], [(1, " ".join(words))])
     assert got[1].contaminated and got[1].coverage == 23 / 52 and not got[2].contaminated
+
+
+def test_long_white_space_is_linear(spark):
+    """A text with a run of a million line feeds takes seconds, and is read as before."""
+    import time
+
+    text = "Anna said." + "\n" * 1_000_000 + ITEM + " \t" * 200_000 + "so"
+    begin = time.time()
+    got = marked(spark, [(1, text, "", 0), (2, "so" + " \n" * 300_000 + "now", "", 0)], [(1, ITEM)])
+    assert got[1].contaminated and not got[2].contaminated and time.time() - begin < 60
+    odd = ["A b", "  A", "x. B", "x.B", "x \n B", "x\n\nB", "x  B", "x.\n B", "É\nÈ", " \n A"]
+    df = spark.createDataFrame([(t,) for t in odd], "text string")
+    assert [r[0] for r in df.select(dc.tokens(df["text"])).collect()] == [
+        ["\x01A", "b"], ["\x01A"], ["x", "\x01B"], ["x", "B"], ["x", "\x01B"], ["x", "\x01B"], ["x", "B"], ["x", "\x01B"], ["\x01É", "\x01È"], ["\x01A"]]
+
+
+def test_tiny_items_mark_nothing_and_ids_may_be_texts(spark):
+    docs = spark.createDataFrame([(1, "the cat sat on the mat yes"), (2, FILL + ITEM)], "doc_id long, text string")
+    items = spark.createDataFrame([("mmlu-1", "Yes"), ("mmlu-2", "the cat"), ("z", ITEM), ("mmlu-3", ITEM)], "item_id string, text string")
+    got = {r.doc_id: r for r in dc.mark(docs, items).collect()}
+    assert not got[1].contaminated and (got[2].item_id, got[2].n_items) == ("mmlu-3", 2)
+    assert [r.doc_id for r in dc.cleaned(docs, items).collect()] == [1]
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, ITEM, 5, "a", 6, 7), (2, FILL, 8, "b", 9, 10)],
+                                 "doc_id long, text string, h1 int, h2 string, best int, `a.b` int")
+    items = spark.createDataFrame([(4, ITEM)], "item_id long, text string")
+    assert [tuple(r) for r in dc.cleaned(docs, items).collect()] == [(2, FILL, 8, "b", 9, 10)]
+    assert sorted((r.doc_id, r.h1, r.h2, r.best, r["a.b"], r.item_id) for r in dc.mark(docs, items).collect()) == [
+        (1, 5, "a", 6, 7, 4), (2, 8, "b", 9, 10, None)]
