@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow.llm import chat, decontamination, id_files, jaccard, language, mixing, quality, quality_rules, simhash, trie, url_filters, whitening
+from cardflow.llm.text import bounded_batches
 from cardflow.llm.token_counts import TokenRollup
 from cardflow.llm.tokens import default_path, token_count
 from cardflow.session import checkpoint_root, stored
@@ -17,7 +18,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
+    return bounded_batches(spark).read.parquet(f"{d}/{name}.parquet")
 
 
 def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
