@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow.llm import decontamination, id_files, jaccard, language, mixing
-from cardflow.llm.text import row_keys
+from cardflow.llm.text import bounded_batches, row_keys, unused
 from cardflow.llm.tokens import default_path
 from cardflow.session import checkpoint_root
 
@@ -30,9 +30,10 @@ NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language.fit(docs, F.lit(True))
-    marked = language.identify(docs, model)
-    known = (F.col("lang_pred") != language.UNKNOWN) & ~F.col("ambiguous")
-    return marked.filter(known).select(docs.columns)
+    names = unused(docs, *language.NAMES)
+    pred, _, ambiguous = names
+    known = (F.col(pred) != language.UNKNOWN) & ~F.col(ambiguous)
+    return language.identify(docs, model, names=names).filter(known).drop(*names)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +42,10 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     group = F.when(F.col("n") > 0, F.struct(F.lit(0).alias("k"), F.col("root").alias("a"), F.lit(0).cast("long").alias("b"))).otherwise(
         F.struct(F.lit(1).alias("k"), F.col("h1").alias("a"), F.col("h2").alias("b")))
     key = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h1", "h2")
-    kept = found.groupBy(group.alias("g")).agg(F.min(key).alias("one")).select("one.h1", "one.h2")
-    rows = docs.select("*", *row_keys(docs)).join(kept, ["h1", "h2"], "left_semi")
-    return mixing.one_of_equal(rows).select(docs.columns)
+    h1, h2 = unused(docs, "h1", "h2")
+    kept = found.groupBy(group.alias("g")).agg(F.min(key).alias("one")).select(F.col("one.h1").alias(h1), F.col("one.h2").alias(h2))
+    rows = docs.select("*", *row_keys(docs, h1, h2)).join(kept, [h1, h2], "left_semi")
+    return mixing.one_of_equal(rows, h1, h2).drop(h1, h2)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,7 +77,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages in turn, from the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = bounded_batches(spark).read.parquet(f"{sf_dir}/documents.parquet")
     work = f"{checkpoint_root(spark)}/pipeline/{uuid.uuid4()}"
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{work}/{name}")
