@@ -90,3 +90,17 @@ def test_near_duplicate_stage_links_from_four_fifths_of_five_words(spark):
     assert {1000, 1001, 1002, 1004, 1006} <= want and not {1003, 1005, 1007} & want
     out = p.near_duplicate_stage(spark, spark.createDataFrame([(*r, "en", "a", 1) for r in rows], SCHEMA), DATA)
     assert sorted(r.doc_id for r in out.collect()) == sorted(want)
+
+
+def test_extra_columns_pass_all_filtering_stages(spark):
+    """Columns that clash with the stages' own names keep their values."""
+    extra = {"score": 42.0, "ambiguous": "q", "lang_pred": "no", "h1": 1, "h2": 2, "_words": 3, "_runs": 4, "_parts": 5,
+             "_size": 6, "_rn": 7, "_p": 8, "n": 9, "root": 10, "best": 11, "kind": 12, "coverage": 13, "start": 14, "src": 15}
+    now = docs(spark).select("*", *[F.lit(v).alias(c) for c, v in extra.items()])
+    columns = now.columns
+    for name, stage in p.STAGES[:-1]:
+        now = stage(spark, now, DATA)
+        assert now.columns == columns, name
+        rows = now.collect()
+        assert rows and all({c: r[c] for c in extra} == extra for r in rows), name
+        now = spark.createDataFrame(rows, now.schema)
