@@ -9,8 +9,9 @@ into contiguous chunks that are folded side by side as well (``_fold_chunks``).
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,12 +19,14 @@ from cardflow import schemas as S
 from cardflow.operators import ledger_fold
 from cardflow.operators.keyed import merge
 from cardflow.operators.skew import HOT_ROWS, hot_keys
-from cardflow.session import cut_lineage
+from cardflow.session import cut_lineage, stored
 
 # Accounts with more than HOT_ROWS events are cut into chunks of about this size.
 CHUNK_ROWS = 2_000_000
-# Rounds over open chunks side by side; what is open then is settled in order, in one pass.
+# Rounds over open chunks side by side; accounts that are open then get transfer functions.
 MAX_ROUNDS = 3
+# Pieces of a chunk's transfer function, and intervals of balances it is made for.
+MAX_PIECES, MAX_INTERVALS = 4096, 256
 # Chunk summaries and accounts up to which a list of them is broadcast.
 MAX_BROADCAST_ROWS = 500_000
 
@@ -128,9 +131,8 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
     A chunk's summary then gives its closing exactly if the guess was right or if
     the opening covers everything; chunks that neither fits are run again from
     the opening that now leads to them.  A full chunk tends to forget where it started
-    from, so a few rounds usually do.  Accounts that are still open after MAX_ROUNDS
-    are walked through once, in order, by a task each that holds one batch: the rows are
-    read MAX_ROUNDS + 2 times at most before the final fold, whatever the data.
+    from, so a few rounds usually do.  ``_settled`` takes the accounts that are still open
+    after MAX_ROUNDS.  No task reads more than its chunks, one after the other.
     """
     keys = ["account_id", "chunk"]
     chunks = max(1, math.ceil(rows / chunk_rows))
@@ -142,7 +144,7 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
     # Rounds read these four columns, in the same partitions and order.
     spine = cut_lineage(laid.select(*keys, "is_topup", "delta"))
     summary = "account_id string, chunk int, " + ", ".join(
-        f"{c} {_MONEY}" for c in ("simulated_opening", "closing", "net", "need")
+        f"{c} {_MONEY}" for c in ("simulated_opening", "closing", "net", "need", "top")
     )
 
     def linked(summaries: DataFrame) -> DataFrame:
@@ -173,14 +175,64 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
         known = plan.filter("settled").drop("opening", "settled")
         plan = linked(known.unionByName(again))
     stuck = cut_lineage(plan.filter(~F.col("settled")).select("account_id").distinct())
+    openings = plan.select(*keys, "opening")
     if not stuck.isEmpty():
-        walked = narrow.join(_few(stuck), "account_id", "left_semi").repartition("account_id")
-        walked = walked.sortWithinPartitions(*keys, *ORDER).select(*spine.columns)
-        done = walked.mapInArrow(ledger_fold.simulate(keys, chained=True), summary)
-        known = plan.join(_few(stuck), "account_id", "left_anti").drop("opening", "settled")
-        plan = linked(known.unionByName(done))
+        own = stored(narrow.join(_few(stuck), "account_id", "left_semi"), "chunk")
+        known = plan.join(_few(stuck), "account_id", "left_semi")
+        rest = openings.join(_few(stuck), "account_id", "left_anti")
+        openings = rest.unionByName(_settled(own, known, simulated))
 
-    return _fold(opened(laid, plan.select(*keys, "opening"), *ORDER), keys, last_only)
+    return _fold(opened(laid, openings, *ORDER), keys, last_only)
+
+
+def _settled(rows: DataFrame, plan: DataFrame, simulated: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Openings of all chunks of accounts whose chunks never forget where they started from.
+
+    ``rows`` is a table partitioned by chunk.  Each chunk gets its transfer function, from opening to
+    closing, as pieces of slope one.  It is worked out for the openings that the chunk before can
+    leave behind, if that one starts from no more than twice its greatest order: a first
+    pass finds these balances, a second the pieces.  Chaining the functions then settles every chunk
+    side by side.  An opening outside the pieces is exact by then, and its chunk is run
+    from it, alone, before the rest is chained again.
+    """
+    keys = ["account_id", "chunk"]
+    piece = "account_id string, chunk int, " + ", ".join(f"{c} {_MONEY}" for c in ("low", "high", "shift"))
+    plan = cut_lineage(plan)
+    zero, none = F.lit(0).cast(S.MONEY), F.lit(None).cast(S.MONEY)
+
+    def run(intervals: DataFrame, limit: int, merge: bool) -> DataFrame:
+        start = intervals.select(*keys, F.lit(0).alias("kind"), "low", "high", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ORDER],
+                                 F.lit(True).alias("is_topup"), zero.alias("delta"))
+        events = rows.select(*keys, F.lit(1).alias("kind"), zero.alias("low"), zero.alias("high"), *ORDER, "is_topup", "delta")
+        placed = start.unionByName(events).repartition(*keys).sortWithinPartitions(*keys, "kind", *ORDER)
+        return cut_lineage(placed.mapInArrow(ledger_fold.transfer(keys, limit, merge), piece))
+
+    def known(summaries: DataFrame) -> DataFrame:
+        run_from = F.col("simulated_opening")
+        exact = summaries.select(*keys, run_from.alias("low"), run_from.alias("high"), (F.col("closing") - run_from).cast(S.MONEY).alias("shift"))
+        return exact.unionByName(summaries.select(*keys, F.col("need").alias("low"), none.alias("high"), F.col("net").alias("shift")))
+
+    def linked(pieces: DataFrame) -> DataFrame:
+        placed = pieces.repartition("account_id").sortWithinPartitions(*keys)
+        return cut_lineage(placed.mapInArrow(ledger_fold.link_pieces, f"account_id string, chunk int, opening {_MONEY}, settled boolean, exact boolean"))
+
+    reach = (2 * F.coalesce(F.greatest("top", zero), zero)).cast(S.MONEY)
+    left = run(plan.select(*keys, zero.alias("low"), reach.alias("high")), MAX_INTERVALS, True)
+    after = F.lead("chunk").over(Window.partitionBy("account_id").orderBy("chunk"))
+    follows = plan.select(*keys, after.alias("next")).filter("next IS NOT NULL")
+    given = left.join(follows, keys).select("account_id", F.col("next").alias("chunk"), "low", "high")
+    guessed = plan.select(*keys, F.col("opening").alias("low"), F.col("opening").alias("high"))
+    pieces = run(given.unionByName(guessed), MAX_PIECES, False).unionByName(known(plan))
+    chain = linked(pieces)
+    # The first chunk of an account that is not settled has an exact opening.
+    while first := chain.filter("exact AND NOT settled").select(*keys, "opening").collect():  # one an account at most
+        chunks = sorted({r["chunk"] for r in first})
+        exact = F.broadcast(rows.sparkSession.createDataFrame(first, f"account_id string, chunk int, opening {_MONEY}"))
+        again = rows.filter(F.col("chunk").isin(chunks)).join(exact, keys)
+        again = again.repartition(*keys).sortWithinPartitions(*keys, *ORDER)
+        pieces = cut_lineage(pieces.unionByName(known(simulated(again.select(*keys, "is_topup", "delta", "opening")))))
+        chain = linked(pieces)
+    return chain.select(*keys, "opening")
 
 
 def _run(events: DataFrame, last_only: bool, hot_rows: int, chunk_rows: int) -> DataFrame:

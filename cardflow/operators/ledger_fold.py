@@ -73,6 +73,7 @@ def _runs(batch: pa.RecordBatch, keys: list[str]) -> list[int]:
 
 _BLOCK = 512
 _SAFE = 1 << 52
+_WIDE = 1 << 60
 
 
 def _apply(
@@ -152,64 +153,281 @@ def fold(keys: list[str], last_only: bool) -> Callable:
     return run
 
 
-def simulate(keys: list[str], chained: bool = False) -> Callable:
-    """Summary per run: where it closes from one opening, and when all is accepted.
+def _advance(deltas: list[int], topups: list[bool], lo: int, hi: int, balance: int, net: int, need: int | None):
+    """Balance, net and need (see ``simulate``) after one run of events; blocks are summed up at once."""
+    for at in range(lo, hi, _BLOCK):
+        end = min(at + _BLOCK, hi)
+        block, flags_ = deltas[at:end], topups[at:end]
+        if max(abs(balance), abs(net), max(block), -min(block)) < _SAFE:
+            sums, orders = np.cumsum(np.array(block, dtype=np.int64)), ~np.array(flags_)
+            if orders.any():
+                most = -net - int(sums[orders].min())
+                need = most if need is None or most > need else need
+            refused = (sums < -balance) & orders
+            total = int(sums[-1])
+            net += total
+            if not refused.any():
+                balance += total
+                continue
+            first = int(refused.argmax())
+            if first:
+                balance += int(sums[first - 1])
+            block, flags_ = block[first:], flags_[first:]
+        else:
+            for delta, topup in zip(block, flags_):
+                net += delta
+                # balance >= amount is balance + delta >= 0, whatever the sign
+                if not topup and (need is None or -net > need):
+                    need = -net
+        for delta, topup in zip(block, flags_):
+            if topup or balance + delta >= 0:
+                balance += delta
+    return balance, net, need
+
 
-    ``keys`` are the account and its chunk.  The opening is the rows' own, or, if
-    ``chained``, the closing of the account's chunk before (zero for the first).
+def simulate(keys: list[str]) -> Callable:
+    """Summary per run: where it closes from its rows' ``opening``, and when all is accepted.
 
     ``need`` is the smallest opening from which no event of the run is refused
-    (null: any); from there on the closing is the opening plus ``net``.
+    (null: any); from there on the closing is the opening plus ``net``.  ``top`` is the
+    greatest amount of an order (null: no order).
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current = None
         opening = balance = net = 0
         need: int | None = None
+        top: int | None = None
         done: list[tuple] = []
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             deltas = unscaled(batch.column("delta"))
             topups = flags(batch.column("is_topup"))
-            openings = None if chained else unscaled(batch.column("opening"))
+            openings = unscaled(batch.column("opening"))
             key_lists = [batch.column(k) for k in keys]
             starts = _runs(batch, keys)
             for lo, hi in zip(starts, starts[1:]):
                 key = tuple(c[lo].as_py() for c in key_lists)
                 if key != current:
-                    same = current is not None and current[0] == key[0]
                     if current is not None:
-                        done.append((*current, opening, balance, net, need))
-                    current, net, need = key, 0, None
-                    if openings is not None:
-                        balance = openings[lo]
-                    elif not same:
-                        balance = 0
-                    opening = balance
-                for delta, topup in zip(deltas[lo:hi], topups[lo:hi]):
-                    net += delta
-                    if topup:
-                        balance += delta
-                        continue
-                    # balance >= amount is balance + delta >= 0, whatever the sign
-                    if need is None or -net > need:
-                        need = -net
-                    if balance + delta >= 0:
-                        balance += delta
+                        done.append((*current, opening, balance, net, need, top))
+                    current, net, need, top = key, 0, None, None
+                    opening = balance = openings[lo]
+                most = max((-d for d, t in zip(deltas[lo:hi], topups[lo:hi]) if not t), default=top)
+                top = most if top is None else max(top, most)
+                balance, net, need = _advance(deltas, topups, lo, hi, balance, net, need)
         if current is not None:
-            done.append((*current, opening, balance, net, need))
+            done.append((*current, opening, balance, net, need, top))
         if done:
             accounts, chunks, *sums = (list(c) for c in zip(*done))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(accounts, pa.string()), pa.array(chunks, pa.int32()),
                  *[money(s) for s in sums]],
-                names=[*keys, "simulated_opening", "closing", "net", "need"],
+                names=[*keys, "simulated_opening", "closing", "net", "need", "top"],
             )
 
     return run
 
 
+class Pieces:
+    """What a run of events makes of a set of openings, as intervals that keep their width.
+
+    An order is accepted from its amount on, so it cuts the interval that holds the amount and
+    moves what lies above.  ``low`` and ``high`` are balances less ``base``; ``shift`` leads from
+    the opening to them.
+    """
+
+    def __init__(self, intervals: list[tuple[int, int]], limit: int, merge: bool) -> None:
+        wide = any(max(abs(lo), abs(hi)) >= _WIDE for lo, hi in intervals)
+        kind = object if wide else np.int64
+        self.low = np.array([lo for lo, _ in intervals], dtype=kind)
+        self.high = np.array([hi for _, hi in intervals], dtype=kind)
+        self.shift = self.low - self.low
+        self.base, self.limit, self.merge = 0, limit, merge
+        self.compress()
+
+    def _bounds(self) -> None:
+        self.least = int(self.low.min()) if len(self.low) else 0
+        self.most = int(self.high.max()) if len(self.low) else -1
+        if self.low.dtype != object and max(-self.least, self.most) >= _WIDE:
+            self.low, self.high, self.shift = (x.astype(object) for x in (self.low, self.high, self.shift))
+
+    def compress(self) -> None:
+        """Join intervals that are one, at most ``limit`` of them.
+
+        With ``merge`` they are a set of balances: those that touch are one, and beyond the limit the
+        closest are, which adds balances.  Else they are a function of the opening, which keeps
+        its first pieces and is then unknown for other openings.
+        """
+        if not len(self.low):
+            self.next_check = self.limit
+            self._bounds()
+            return
+        start = self.low if self.merge else self.low - self.shift
+        order = np.argsort(start, kind="stable")
+        low, high, shift = self.low[order], self.high[order], self.shift[order]
+        if self.merge:
+            ends = np.maximum.accumulate(high)
+            apart = low[1:] - ends[:-1]
+            cut = apart > 1
+            if cut.sum() >= self.limit:
+                cut = np.zeros(len(apart), dtype=bool)
+                cut[np.argsort(-apart, kind="stable")[: self.limit - 1]] = True
+            first = np.concatenate([[True], cut])
+            last = np.concatenate([cut, [True]])
+            self.low, self.high, self.shift = low[first], ends[last], shift[first]
+        else:
+            cut = (shift[1:] != shift[:-1]) | (low[1:] != high[:-1] + 1)
+            first = np.concatenate([[True], cut])
+            last = np.concatenate([cut, [True]])
+            self.low, self.high, self.shift = (x[: self.limit] for x in (low[first], high[last], shift[first]))
+        self.next_check = max(2 * len(self.low), 64)
+        self._bounds()
+
+    def step(self, delta: int, topup: bool) -> None:
+        need = -delta - self.base
+        if topup or need <= self.least:
+            self.base += delta
+            return
+        if need > self.most:
+            return
+        if abs(delta) >= _WIDE and self.low.dtype != object:
+            self.low, self.high, self.shift = (x.astype(object) for x in (self.low, self.high, self.shift))
+        cut = (self.low < need) & (self.high >= need)
+        if cut.any():
+            above = self.high[cut]
+            self.high[cut] = need - 1
+            self.low = np.concatenate([self.low, np.full(len(above), need, dtype=self.low.dtype)])
+            self.shift = np.concatenate([self.shift, self.shift[cut]])
+            self.high = np.concatenate([self.high, above])
+        up = self.low >= need
+        for x in (self.low, self.high, self.shift):
+            x[up] += delta
+        if len(self.low) > self.next_check:
+            self.compress()
+        else:
+            self._bounds()
+
+    def rows(self) -> list[tuple[int, int, int]]:
+        """(first, last, shift): balances, if merged, else openings and what leads to the closing."""
+        self.compress()
+        low, high, shift = (x.tolist() for x in (self.low, self.high, self.shift))
+        if self.merge:
+            return [(a + self.base, b + self.base, 0) for a, b in zip(low, high)]
+        return [(a - s, b - s, s + self.base) for a, b, s in zip(low, high, shift)]
+
+
+def transfer(keys: list[str], limit: int, merge: bool) -> Callable:
+    """Pieces of every run's transfer function, or with ``merge`` the balances it can close with.
+
+    Rows of a run begin with intervals of openings (``kind`` 0, ``low``, ``high``); its events follow.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, given, pieces = None, [], None
+        done: list[tuple] = []
+
+        def emit() -> pa.RecordBatch:
+            accounts, chunks, *sums = (list(c) for c in zip(*done))
+            done.clear()
+            return pa.RecordBatch.from_arrays(
+                [pa.array(accounts, pa.string()), pa.array(chunks, pa.int32()), *[money(s) for s in sums]],
+                names=[*keys, "low", "high", "shift"])
+
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            deltas, topups, kinds = unscaled(batch.column("delta")), flags(batch.column("is_topup")), batch.column("kind").to_pylist()
+            lows, highs = unscaled(batch.column("low")), unscaled(batch.column("high"))
+            key_lists = [batch.column(k) for k in keys]
+            starts = _runs(batch, keys)
+            for lo, hi in zip(starts, starts[1:]):
+                key = tuple(c[lo].as_py() for c in key_lists)
+                if key != current:
+                    if pieces is not None:
+                        done.extend((*current, *row) for row in pieces.rows())
+                    current, given, pieces = key, [], None
+                for i in range(lo, hi):
+                    if kinds[i] == 0:
+                        given.append((lows[i], highs[i]))
+                        continue
+                    if pieces is None:
+                        pieces = Pieces(_disjoint(given), limit, merge)
+                    pieces.step(deltas[i], topups[i])
+            if len(done) > limit:
+                yield emit()
+        if pieces is not None:
+            done.extend((*current, *row) for row in pieces.rows())
+        if done:
+            yield emit()
+
+    return run
+
+
+def _disjoint(intervals: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for lo, hi in sorted(intervals):
+        if out and lo <= out[-1][1] + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], hi))
+        else:
+            out.append((lo, hi))
+    return out
+
+
+def link_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Chain the chunks of every account through what is known of their transfer functions.
+
+    Rows (sorted by account and chunk) say that openings from ``low`` (null: all below as well) to
+    ``high`` (null: all above) lead to the opening plus ``shift``.  A chunk is ``settled`` if its
+    opening is exact and one of its rows holds it.  After one that is not, openings of its account
+    are guesses, from the row whose ``low`` is nearest.
+    """
+    account, chunk, exact, balance = None, None, True, 0
+    opening, closing, nearest = 0, None, None
+    done: list[tuple] = []
+
+    def close() -> None:
+        nonlocal exact, balance
+        settled = exact and closing is not None
+        done.append((account, chunk, opening, settled, exact))
+        exact, balance = settled, closing if closing is not None else opening + nearest[1]
+
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        names, chunks = batch.column("account_id").to_pylist(), batch.column("chunk").to_pylist()
+        lows, highs, shifts = (unscaled(batch.column(c)) for c in ("low", "high", "shift"))
+        for i, name in enumerate(names):
+            if (name, chunks[i]) != (account, chunk):
+                if account is not None:
+                    close()
+                if name != account:
+                    exact, balance = True, 0
+                account, chunk = name, chunks[i]
+                opening, closing, nearest = balance, None, None
+            low, high = lows[i], highs[i]
+            if (low is None or low <= opening) and (high is None or opening <= high):
+                closing = opening + shifts[i]
+            far = 0 if low is None else abs(opening - low)
+            if nearest is None or far < nearest[0]:
+                nearest = (far, shifts[i])
+        if len(done) > 10_000:
+            yield _openings(done)
+    if account is not None:
+        close()
+    if done:
+        yield _openings(done)
+
+
+def _openings(done: list[tuple]) -> pa.RecordBatch:
+    accounts, chunks, opens, settled, exact = (list(c) for c in zip(*done))
+    done.clear()
+    return pa.RecordBatch.from_arrays(
+        [pa.array(accounts, pa.string()), pa.array(chunks, pa.int32()), money(opens), pa.array(settled), pa.array(exact)],
+        names=["account_id", "chunk", "opening", "settled", "exact"])
+
+
 def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Chain the chunks of every account, sorted by chunk, from a zero balance.
 

@@ -6,6 +6,8 @@ from decimal import Decimal, getcontext
 
 import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from cardflow.operators import ledger, ledger_fold
@@ -127,18 +129,74 @@ def grid_prices(n):
 
 
 @pytest.mark.parametrize("broadcast", [500_000, 0])
-def test_passes_are_bounded(spark, monkeypatch, broadcast):
+def test_stuck_account_is_settled_by_transfer_functions(spark, monkeypatch, broadcast):
+    """No walk through the account: two more passes over its chunks, side by side, settle all."""
     passes = []
-    simulate = ledger_fold.simulate
-    monkeypatch.setattr(ledger_fold, "simulate", lambda *a, **k: passes.append(k) or simulate(*a, **k))
+    for name in ("simulate", "transfer"):
+        made = getattr(ledger_fold, name)
+        monkeypatch.setattr(ledger_fold, name, lambda *a, made=made, name=name: passes.append(name) or made(*a))
     monkeypatch.setattr(ledger, "MAX_BROADCAST_ROWS", broadcast)
     df = spark.createDataFrame(grid_prices(400), SCHEMA)
     ledger.ledger_changes(df, hot_rows=50, chunk_rows=20).collect()
-    assert len(passes) == 1 + ledger.MAX_ROUNDS + 1 and passes[-1] == {"chained": True}
-    monkeypatch.setattr(ledger_fold, "simulate", simulate)
+    assert passes == ["simulate"] * (1 + ledger.MAX_ROUNDS) + ["transfer"] * 2
     check(spark, grid_prices(400), hot_rows=50, chunk_rows=20)
 
 
+@pytest.mark.parametrize("pieces, intervals", [(1, 1), (2, 3)])
+def test_openings_outside_the_pieces_are_run_alone(spark, monkeypatch, pieces, intervals):
+    monkeypatch.setattr(ledger, "MAX_ROUNDS", 0)
+    monkeypatch.setattr(ledger, "MAX_PIECES", pieces)
+    monkeypatch.setattr(ledger, "MAX_INTERVALS", intervals)
+    rich = [event("hot", 10**6, "ADD_BALANCE", 200, 200)]
+    events = [e for e in grid_prices(240) if e[8] != 200] + rich
+    events += [event("other", e[3], e[5], e[8], 1000 + e[8]) for e in grid_prices(90)]
+    check(spark, events, hot_rows=50, chunk_rows=30)
+
+
+def test_stuck_accounts_of_random_amounts(spark, monkeypatch):
+    monkeypatch.setattr(ledger, "MAX_ROUNDS", 0)
+    check(spark, random_events(900, 2, 0.6, 0.4, 900, seed=11), hot_rows=50, chunk_rows=40)
+
+
+def closing(events, balance):
+    for delta, topup in events:
+        if topup or balance + delta >= 0:
+            balance += delta
+    return balance
+
+
+@given(st.lists(st.tuples(st.integers(-30, 30), st.booleans()), min_size=1, max_size=60), st.integers(0, 80), st.integers(1, 6),
+       st.sampled_from([1, 2**61]))
+@settings(max_examples=80, deadline=None)
+def test_pieces_are_the_transfer_function(events, wide, limit, scale):
+    """Every piece leads each of its openings to its closing; with merging no closing is missed."""
+    events = [(d * scale, t) for d, t in events]
+    function = ledger_fold.Pieces([(-5 * scale, wide * scale)], 10_000, False)
+    closings = ledger_fold.Pieces([(-5 * scale, wide * scale)], limit, True)
+    for event_ in events:
+        function.step(*event_)
+        closings.step(*event_)
+    pieces, reached = function.rows(), closings.rows()
+    assert len(reached) <= limit
+    for opening in range(-5, wide + 1):
+        opening *= scale
+        (shift,) = [s for lo, hi, s in pieces if lo <= opening <= hi]
+        assert opening + shift == closing(events, opening)
+        assert any(lo <= opening + shift <= hi for lo, hi, _ in reached)
+
+
+@given(st.lists(st.tuples(st.integers(-40, 40), st.booleans()), min_size=1, max_size=1500), st.integers(-50, 50))
+@settings(max_examples=40, deadline=None)
+def test_blocks_of_a_summary_equal_a_plain_loop(events, opening):
+    balance, net, need = opening, 0, None
+    for delta, topup in events:
+        net += delta
+        if not topup:
+            need = -net if need is None else max(need, -net)
+    deltas, topups = [d for d, _ in events], [t for _, t in events]
+    assert ledger_fold._advance(deltas, topups, 0, len(events), opening, 0, None) == (closing(events, opening), net, need)
+
+
 def test_blocks_without_refusals_and_beyond_64_bits(spark):
     events = [event("a", 10**6, "ADD_BALANCE", 0, 0)] + [event("a", i % 7, at=i, seq=i) for i in range(1, 1300)]
     events += [event("b", 10**24, "ADD_BALANCE", i, 2000 + i) for i in range(40)]
