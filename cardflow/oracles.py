@@ -82,6 +82,10 @@ _FEED = f"""
 _POOLED_FEED = f"""
     SELECT * REPLACE (CASE WHEN CAST(account_id AS BIGINT) % 3 = 0 THEN 'pooled'
                            ELSE account_id END AS account_id) FROM ({_FEED})"""
+_GRID_FEED = f"""
+    SELECT * REPLACE (CAST(CASE WHEN is_topup THEN CASE WHEN event_seq % 97 = 0 THEN 70 ELSE 50 END
+                                ELSE ceil(order_amount / 100) * 100 END AS DECIMAL(18,2)) AS order_amount)
+    FROM ({_POOLED_FEED})"""
 _TOPIC_FEED = f"""
     SELECT {", ".join(_EVENT)}, CAST(NULL AS DECIMAL(18,2)) AS credit_limit,
            FALSE AS is_topup, 1 AS source_rank, event_seq FROM clean
@@ -327,6 +331,7 @@ def all_oracles() -> dict[str, str]:
                       CAST(order_amount AS DECIMAL(38,6))::VARCHAR AS event_amount, is_topup FROM res""",
             "o", "t", "clean", feed=_FEED),
         "ledger_results_pooled": _with(changes, "o", "t", "clean", feed=_POOLED_FEED),
+        "ledger_results_grid": _with(changes, "o", "t", "clean", feed=_GRID_FEED),
         "account_balances_pooled": _with(_BALANCES, "o", "t", "clean", feed=_POOLED_FEED),
         "lookup_accounts": _with(
             f"""SELECT a.account_id, s.account_name, s.brand_name

@@ -257,6 +257,7 @@ def _pooled_feed(spark: SparkSession, d: str) -> DataFrame:
 
 # Fixed and small, so that the pooled account is folded in chunks on the test tables.
 POOL_LIMITS = {"hot_rows": 1_000, "chunk_rows": 500}
+GRID_LIMITS = {"hot_rows": 200, "chunk_rows": 100}
 
 
 def ledger_results_pooled(spark: SparkSession, d: str) -> DataFrame:
@@ -270,6 +271,12 @@ def account_balances_pooled(spark: SparkSession, d: str) -> DataFrame:
     return out(state, *_BALANCE)
 
 
+def ledger_results_grid(spark: SparkSession, d: str) -> DataFrame:
+    """A busy account whose chunks keep what they started from: settled by transfer functions."""
+    changes = ledger.ledger_changes(fx.gridded(_pooled_feed(spark, d)), **GRID_LIMITS)
+    return out(changes, *_CHANGE)
+
+
 # --- lookups ----------------------------------------------------------------------
 def lookup_accounts(spark: SparkSession, d: str) -> DataFrame:
     raw = fx.account_requests(spark, d)
@@ -397,7 +404,7 @@ def all_queries() -> dict[str, Query]:
         prefixed_account_key, request_status, fraud_verdicts, cleared_orders, orders_finished,
         accounts_netcard, accounts_other_brand, branch_accounts, branch_orders,
         rekey_by_account, events_per_key, ledger_input_union, accounts_state,
-        account_balances, ledger_results, ledger_results_pooled, account_balances_pooled,
+        account_balances, ledger_results, ledger_results_pooled, account_balances_pooled, ledger_results_grid,
         lookup_accounts, lookup_requests, lookup_orders, lookup_balances, lookup_verdicts,
         account_onboarding, fraud_screen, balance_ledger, balance_ledger_dead_letters,
         order_flow, order_lifecycle, order_lifecycle_raw, stream_fraud_verdicts,
