@@ -195,6 +195,22 @@ def all_oracles() -> dict[str, str]:
                         is_topup, CAST(balance AS DECIMAL(38,6))::VARCHAR AS balance, status AS payment_status
                  FROM res"""
     verdicts = _with(f"SELECT order_id AS key, {verdict} AS value FROM o", "o")
+    raw = _with(
+        f"""SELECT o.order_id, o.account_id, o.credit_card_number,
+                   CAST(o.order_amount AS DECIMAL(38,6))::VARCHAR AS order_amount,
+                   CASE WHEN r.status IS NOT NULL THEN 'COMPLETED-' || r.status
+                        WHEN o.order_date IS NULL OR {_NIGHT} THEN 'CREATED'
+                        ELSE 'PROGRESS' END AS payment_status,
+                   o.order_date,
+                   CAST(CASE WHEN o.order_date IS NULL THEN o.credit_limit END AS DECIMAL(38,6))::VARCHAR
+                     AS credit_limit
+            FROM (SELECT * FROM ord) o
+            LEFT JOIN (SELECT order_id, status FROM res WHERE NOT is_topup) r
+              ON r.order_id = o.order_id
+            UNION ALL
+            SELECT order_id, account_id, credit_card_number, CAST(balance AS DECIMAL(38,6))::VARCHAR,
+                   'COMPLETED-' || status, event_ts, NULL FROM res WHERE is_topup""",
+        "ord", "top", feed=_RAW_FEED)
     return {
         "scan_raw_events": """
             SELECT CAST(user_id AS VARCHAR) AS key, props AS value, 'events' AS topic,
@@ -373,20 +389,7 @@ def all_oracles() -> dict[str, str]:
                FROM breq WHERE seq % 29 = 0 OR seq % 31 = 0""", "breq"),
         "order_flow": flow,
         "order_lifecycle": lifecycle,
-        "order_lifecycle_raw": _with(
-            f"""SELECT o.order_id, o.account_id, o.credit_card_number,
-                       CAST(o.order_amount AS DECIMAL(38,6))::VARCHAR AS order_amount,
-                       CASE WHEN r.status IS NOT NULL THEN 'COMPLETED-' || r.status
-                            WHEN o.order_date IS NULL OR {_NIGHT} THEN 'CREATED'
-                            ELSE 'PROGRESS' END AS payment_status,
-                       o.order_date,
-                       CAST(CASE WHEN o.order_date IS NULL THEN o.credit_limit END AS DECIMAL(38,6))::VARCHAR
-                         AS credit_limit
-                FROM (SELECT * FROM ord) o
-                LEFT JOIN (SELECT order_id, status FROM res WHERE NOT is_topup) r
-                  ON r.order_id = o.order_id
-                UNION ALL
-                SELECT order_id, account_id, credit_card_number, CAST(balance AS DECIMAL(38,6))::VARCHAR,
-                       'COMPLETED-' || status, event_ts, NULL FROM res WHERE is_topup""",
-            "ord", "top", feed=_RAW_FEED),
+        "order_lifecycle_raw": raw,
+        "flow_orders": f"SELECT * EXCLUDE (order_date) FROM ({raw})",
+        "flow_balances": _with(_BALANCES, "ord", "top", feed=_RAW_FEED),
     }

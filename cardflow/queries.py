@@ -11,15 +11,17 @@ from pyspark.sql import types as T
 
 from cardflow import schemas as S
 from cardflow.functions import ids
+from cardflow.functions.json_text import encode_json
 from cardflow.operators import decode, keyed, ledger
 from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, balances, fraud, lifecycle, orders
-from cardflow.session import checkpoint_root, stored
+from cardflow.session import ROCKSDB, checkpoint_root, stored
 from cardflow.sources import fixtures as fx
 from cardflow.sources.topics import publish, read_topic, write_topic
+from cardflow.streaming.flow import Flow
 from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT
 from cardflow.streaming.state import streaming_ledger, streaming_order_state
-from cardflow.streaming.tables import KeyedTable, run_to_end
+from cardflow.streaming.tables import FileTopics, KeyedTable, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,6 +42,7 @@ def out(df: DataFrame, *columns: str) -> DataFrame:
 
 ORDER_COLUMNS = ("order_id", "account_id", "credit_card_number", "order_amount",
                  "payment_status", "order_date", "credit_limit")
+FLOW_ORDER = tuple(c for c in ORDER_COLUMNS if c != "order_date")
 
 
 # --- scans, sinks, encoding -------------------------------------------------
@@ -396,6 +399,43 @@ def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
     return out(_streamed(spark, state, "order_id", ORDER_OUTPUT, "update"), *ORDER_COLUMNS)
 
 
+# --- the running flow: services that feed each other, until nothing moves -----------------
+FLOW_SLICES = 2
+
+
+def _flow(spark: SparkSession, d: str) -> Flow:
+    """All services over shared topics; clients send requests in slices of time.
+
+    Each slice goes round the loop (screen, ledger and back) before the next is sent.
+    """
+    root = f"{checkpoint_root(spark)}/flows/{uuid.uuid4()}"
+    for key, value in ROCKSDB.items():
+        spark.conf.set(key, value)
+    flow = Flow(spark, FileTopics(f"{root}/topics"), root, {"availableNow": True})
+    taken = stored(decode.valid(decode.order_intake(fx.order_requests(spark, d))).select(
+        F.col("order_id").alias("key"), encode_json(S.ORDER).alias("value"), "offset", "timestamp"))
+    topups = fx.balance_requests(spark, d).drop("topic", "partition")
+    at = F.col("timestamp").cast("double")
+    cuts = taken.select(at.alias("t")).approxQuantile("t", [i / FLOW_SLICES for i in range(1, FLOW_SLICES)], 0.01)
+    place = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    seen = None
+    for i in range(FLOW_SLICES):
+        flow.submit(S.ORDERS_INPUT, taken.filter(place == i), i)
+        flow.submit(S.BALANCES_INPUT, topups.filter(place == i), i)
+        seen = flow.settle(seen)
+    return flow
+
+
+def flow_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Order table of the running flow; equals the unrolled lifecycle."""
+    return out(_flow(spark, d).orders.read(spark), *FLOW_ORDER)
+
+
+def flow_balances(spark: SparkSession, d: str) -> DataFrame:
+    """Balance table of the running flow."""
+    return out(_flow(spark, d).balances.read(spark), *_BALANCE)
+
+
 def all_queries() -> dict[str, Query]:
     listed = [
         scan_raw_events, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
@@ -408,6 +448,6 @@ def all_queries() -> dict[str, Query]:
         lookup_accounts, lookup_requests, lookup_orders, lookup_balances, lookup_verdicts,
         account_onboarding, fraud_screen, balance_ledger, balance_ledger_dead_letters,
         order_flow, order_lifecycle, order_lifecycle_raw, stream_fraud_verdicts,
-        stream_ledger_results, stream_order_state,
+        stream_ledger_results, stream_order_state, flow_orders, flow_balances,
     ]
     return {q.__name__: q for q in listed} | {"order_state": order_state_query}

@@ -224,6 +224,39 @@ class Flow:
             self.start_ledger_refusals(),
         ]
 
+    def services(self) -> dict[str, tuple[Callable[[], StreamingQuery], tuple[str, ...]]]:
+        """Every query by name with the topics it reads, causes before effects."""
+        return {
+            "accounts": (self.start_accounts, (S.ACCOUNTS_INPUT,)),
+            "screen": (self.start_screen, (S.ORDERS_INPUT,)),
+            "report": (self.start_report, (S.FRAUDS_OUTPUT,)),
+            "progress": (self.start_progress, (S.ORDERS_INPUT,)),
+            "ledger": (self.start_ledger, (S.ORDERS_OUTPUT, S.BALANCES_INPUT)),
+            "ledger_refusals": (self.start_ledger_refusals, (S.ORDERS_OUTPUT, S.BALANCES_INPUT)),
+            "order_table": (self.start_order_table, (S.ORDERS_INPUT,)),
+        }
+
+    def settle(self, seen: dict[str, dict[str, int]] | None = None) -> dict[str, dict[str, int]]:
+        """Run the services in rounds until no topic has records that its readers have not seen.
+
+        A service runs only if one of its topics has grown since its last run, with a trigger
+        that ends when the input is used up.  What it writes to a shared topic is input of the
+        same round for the services after it and of the next one for itself and those before.
+        Rounds end because every service reacts only to statuses it does not produce.  Returns the
+        ends of topics that each service has seen, to be handed to the next call.
+        """
+        seen = dict(seen or {})
+        moved = True
+        while moved:
+            moved = False
+            for name, (start, topics) in self.services().items():
+                ends = {t: self.topics.end(self.spark, t) for t in topics}
+                if ends == seen.get(name, dict.fromkeys(topics, 0)):
+                    continue
+                start().awaitTermination()
+                seen[name], moved = ends, True
+        return seen
+
     # --- requests -------------------------------------------------------------
     def submit(self, topic: str, records: DataFrame, batch: int) -> None:
         """Client requests: key, value and their place and time in the topic."""

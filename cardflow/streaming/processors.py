@@ -1,15 +1,20 @@
 """Stateful processors: the balance ledger and the order merge, event by event.
 
-Rows of one key arrive unordered within a micro-batch and are sorted here, so a
-task holds one key's share of one micro-batch; the source's rate limit bounds it.
-Between micro-batches the order of arrival counts.
+Rows of one key arrive unordered within a micro-batch and are sorted here, at most
+``PIECE`` of them at a time: a key with more leaves sorted pieces on the task's own disk,
+as Spark's sort does, and they are merged while they are applied.  Between micro-batches
+the order of arrival counts.
 """
 
 from __future__ import annotations
 
+import heapq
+import pickle
 import sys
-from collections.abc import Iterator
+import tempfile
+from collections.abc import Callable, Iterable, Iterator
 from decimal import Context, Decimal
+from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -35,32 +40,63 @@ ORDER_STATE = (
 ORDER_OUTPUT = f"order_id string, {ORDER_STATE}"
 
 
+# Rows of one key that a task holds at once.
+PIECE = 20_000
+
+
+def in_order(rows: Iterable[Row], fields: tuple[str, ...], place: Callable, piece: int) -> Iterator[tuple]:
+    """The ``fields`` of rows by ``place`` (a function of them), holding ``piece`` rows at most."""
+    taken = (tuple(r[f] for f in fields) for r in rows)
+    first = sorted(islice(taken, piece), key=place)
+    if len(first) < piece:
+        yield from first
+        return
+    runs, now = [], first
+    while now:
+        run = tempfile.TemporaryFile()
+        for row in now:
+            pickle.dump(row, run, pickle.HIGHEST_PROTOCOL)
+        run.seek(0)
+        runs.append((run, len(now)))
+        now = sorted(islice(taken, piece), key=place)
+
+    def read(run, n: int) -> Iterator[tuple]:
+        with run:
+            for _ in range(n):
+                yield pickle.load(run)
+
+    yield from heapq.merge(*[read(*r) for r in runs], key=place)
+
+
 class LedgerProcessor(StatefulProcessor):
     """One output row per event; the state is the account's balance."""
 
-    def __init__(self, topup_status: str, executed: str, refused: str) -> None:
-        self.topup_status, self.executed, self.refused = topup_status, executed, refused
+    FIELDS = ("event_ts", "source_rank", "event_seq", "order_id", "credit_card_number", "credit_limit",
+              "order_amount", "payment_status")
+
+    def __init__(self, topup_status: str, executed: str, refused: str, piece: int = PIECE) -> None:
+        self.topup_status, self.executed, self.refused, self.piece = topup_status, executed, refused, piece
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.balance = handle.getValueState("balance", LEDGER_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         balance = self.balance.get()[0] if self.balance.exists() else Decimal(0)
-        for e in sorted(rows, key=lambda r: (r.event_ts, r.source_rank, r.event_seq)):
-            topup = e.payment_status == self.topup_status
-            after = (_EXACT.add if topup else _EXACT.subtract)(balance, e.order_amount)
+        for ts, rank, seq, order_id, card, limit, amount, status in in_order(rows, self.FIELDS, lambda e: e[:3], self.piece):
+            topup = status == self.topup_status
+            after = (_EXACT.add if topup else _EXACT.subtract)(balance, amount)
             accepted = topup or after >= 0
             balance = after if accepted else balance
             yield Row(
                 account_id=key[0],
-                order_id=e.order_id,
-                credit_card_number=e.credit_card_number,
-                credit_limit=e.credit_limit,
-                event_amount=e.order_amount,
+                order_id=order_id,
+                credit_card_number=card,
+                credit_limit=limit,
+                event_amount=amount,
                 is_topup=topup,
-                event_ts=e.event_ts,
-                source_rank=e.source_rank,
-                event_seq=e.event_seq,
+                event_ts=ts,
+                source_rank=rank,
+                event_seq=seq,
                 balance=balance,
                 payment_status=self.executed if accepted else self.refused,
             )
@@ -73,6 +109,11 @@ class LedgerProcessor(StatefulProcessor):
 class OrderStateProcessor(StatefulProcessor):
     """One output row per order and micro-batch: the order's state after it."""
 
+    FIELDS = ("stage", "event_seq", *_FIRST_FIELDS, "credit_limit", "payment_status")
+
+    def __init__(self, piece: int = PIECE) -> None:
+        self.piece = piece
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("order", ORDER_STATE)
 
@@ -80,14 +121,14 @@ class OrderStateProcessor(StatefulProcessor):
         names = [part.strip().split(" ")[0] for part in ORDER_STATE.split(", ")]
         known = self.state.get() if self.state.exists() else [None] * len(names)
         order = dict(zip(names, known))
-        for e in sorted(rows, key=lambda r: (r.stage, r.event_seq)):
-            for name in _FIRST_FIELDS:
+        for _, _, *first, limit, status in in_order(rows, self.FIELDS, lambda e: e[:2], self.piece):
+            for name, value in zip(_FIRST_FIELDS, first):
                 if order[name] is None:
-                    order[name] = e[name]
+                    order[name] = value
             # The limit follows the events for as long as the order has no date.
             if order["order_date"] is None:
-                order["credit_limit"] = e.credit_limit
-            order["payment_status"] = e.payment_status
+                order["credit_limit"] = limit
+            order["payment_status"] = status
         self.state.update(tuple(order[n] for n in names))
         yield Row(order_id=key[0], **order)
 

@@ -11,11 +11,11 @@ from cardflow.operators.ledger import fit_events
 from cardflow.streaming import processors as P
 
 
-def streaming_ledger(events: DataFrame) -> DataFrame:
+def streaming_ledger(events: DataFrame, piece: int = P.PIECE) -> DataFrame:
     """Ledger changes, one row per event (append); see ``ledger_changes``.
 
     ``event_seq`` is a long here.  The key is the account, so one account's events
-    of a micro-batch meet in one task; bound the micro-batch at the source.
+    of a micro-batch meet in one task, which holds ``piece`` of them at a time.
     """
     columns = ["account_id", "order_id", "credit_card_number", "credit_limit", "order_amount",
                "payment_status", "event_ts", "source_rank", "event_seq"]
@@ -24,7 +24,7 @@ def streaming_ledger(events: DataFrame) -> DataFrame:
         .select(*columns)
         .groupBy("account_id")
         .transformWithState(
-            statefulProcessor=P.LedgerProcessor(S.ADD_BALANCE, S.EXECUTED, S.NOT_EXECUTED),
+            statefulProcessor=P.LedgerProcessor(S.ADD_BALANCE, S.EXECUTED, S.NOT_EXECUTED, piece),
             outputStructType=P.LEDGER_OUTPUT,
             outputMode="Append",
             timeMode="None",
@@ -32,7 +32,7 @@ def streaming_ledger(events: DataFrame) -> DataFrame:
     )
 
 
-def streaming_order_state(events: DataFrame) -> DataFrame:
+def streaming_order_state(events: DataFrame, piece: int = P.PIECE) -> DataFrame:
     """Order state after every micro-batch that touches the order (update).
 
     ``stage`` and ``event_seq`` order the events of one micro-batch.
@@ -44,7 +44,7 @@ def streaming_order_state(events: DataFrame) -> DataFrame:
         .select(*fields, stored_status(F.col("payment_status")).alias("payment_status"))
         .groupBy("order_id")
         .transformWithState(
-            statefulProcessor=P.OrderStateProcessor(),
+            statefulProcessor=P.OrderStateProcessor(piece),
             outputStructType=P.ORDER_OUTPUT,
             outputMode="Update",
             timeMode="None",

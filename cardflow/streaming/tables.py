@@ -84,6 +84,11 @@ class FileTopics:
         stream = read_topic(spark, topic, path=path, streaming=True, **self.options)
         return stream.select(*TOPIC_SCHEMA.fieldNames())
 
+    def end(self, spark: SparkSession, topic: str) -> int:
+        """Records of a topic so far, counted from the files' footers."""
+        path = f"{self.root}/{topic}"
+        return spark.read.schema(TOPIC_SCHEMA).parquet(path).count() if _exists(spark, path) else 0
+
 
 @dataclass(frozen=True)
 class KafkaTopics:

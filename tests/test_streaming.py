@@ -10,6 +10,7 @@ from cardflow.operators.keyed import latest_per_key
 from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, lifecycle
 from cardflow.sources import fixtures as fx
+from cardflow.streaming import processors
 from cardflow.streaming.flow import Flow
 from cardflow.streaming.state import read_state, streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KeyedTable
@@ -142,3 +143,38 @@ def test_running_flow_equals_lifecycle(spark, tmp_path):
     letters = spark.read.parquet(flow.dead_letters)
     assert {r.reason for r in letters.select("reason").distinct().collect()} >= {
         "unknown_property", "malformed_json", "null_order_date", "null_key", "null_amount"}
+
+
+def test_one_key_with_a_whole_micro_batch(spark, tmp_path):
+    """A key's rows are sorted in small pieces and give the batch result."""
+    columns = ("order_id", "account_id", "balance", "payment_status")
+    feed = lifecycle.ledger_feed(fx.orders(spark, DATA), fx.topups(spark, DATA))
+    feed = feed.withColumn("account_id", F.lit("one")).orderBy(F.rand(3)).cache()
+    feed.repartition(1).write.parquet(f"{tmp_path}/in")
+    table = KeyedTable(f"{tmp_path}/t", "order_id",
+                       "order_id string, account_id string, balance decimal(38,6), payment_status string")
+    stream = spark.readStream.schema(feed.schema).parquet(f"{tmp_path}/in")
+    run(streaming_ledger(stream, piece=7).writeStream.outputMode("append"), f"{tmp_path}/cp",
+        lambda batch, n: table.write(batch, n))
+    assert feed.count() > 70
+    assert rows(table.read(spark), *columns) == rows(ledger.ledger_changes(feed), *columns)
+
+
+def test_pieces_merge_in_order():
+    from random import Random
+
+    from pyspark.sql import Row
+
+    rng = Random(1)
+    made = [Row(a=rng.randrange(50), b=i, c=None) for i in range(500)]
+    for piece in (1, 7, 499, 500, 501):
+        held = [0]
+
+        def counted(held=held):
+            for r in made:
+                held[0] += 1
+                yield r
+
+        got = list(processors.in_order(counted(), ("a", "b", "c"), lambda e: e[:2], piece))
+        assert got == sorted(map(tuple, made), key=lambda e: e[:2]) and held == [500]
+    assert list(processors.in_order(iter([]), ("a",), lambda e: e, 5)) == []
