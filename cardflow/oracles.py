@@ -215,6 +215,10 @@ def all_oracles() -> dict[str, str]:
         "scan_raw_events": """
             SELECT CAST(user_id AS VARCHAR) AS key, props AS value, 'events' AS topic,
                    0 AS partition, event_id AS "offset", ts AS "timestamp" FROM events""",
+        "topic_range_scan": """
+            SELECT event_id, user_id, ts, log_offset
+            FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) - 1 AS log_offset, count(*) OVER () AS n FROM events)
+            WHERE log_offset >= n // 4 AND log_offset < 3 * n // 4""",
         "publish_order_json": _with(
             "SELECT order_id AS key, "
             + _order_json("'\"' || " + _ISO.format(t="order_date") + " || '\"'")
@@ -310,6 +314,13 @@ def all_oracles() -> dict[str, str]:
         "fraud_verdicts": verdicts,
         "stream_fraud_verdicts": verdicts,
         "stream_ledger_results": _with(changes, "o", "t", "clean", feed=_FEED),
+        "stream_ledger_restarted": _with(changes, "o", "t", "clean", feed=_FEED),
+        "live_balances": f"""
+            SELECT CAST(c_custkey AS VARCHAR) AS account_id, s.balance
+            FROM customer LEFT JOIN ({balances}) s ON s.account_id = CAST(c_custkey AS VARCHAR)""",
+        "live_orders": f"""
+            SELECT CAST(c_custkey AS VARCHAR) AS order_id, s.* EXCLUDE (order_id)
+            FROM customer LEFT JOIN ({_ORDER_STATE}) s ON s.order_id = CAST(c_custkey AS VARCHAR)""",
         "stream_order_state": _ORDER_STATE,
         "cleared_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},

@@ -17,10 +17,11 @@ from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, balances, fraud, lifecycle, orders
 from cardflow.session import ROCKSDB, checkpoint_root, stored
 from cardflow.sources import fixtures as fx
+from cardflow.sources.topic_log import OFFSET, read_log
 from cardflow.sources.topics import publish, read_topic, write_topic
 from cardflow.streaming.flow import Flow
 from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT
-from cardflow.streaming.state import streaming_ledger, streaming_order_state
+from cardflow.streaming.state import lookup_state, streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KeyedTable, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -50,6 +51,15 @@ def scan_raw_events(spark: SparkSession, d: str) -> DataFrame:
     return out(fx.raw_events(spark, d))
 
 
+def topic_range_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The middle half of the events by offset in a log ordered by time."""
+    events = fx.table(spark, d, "events")
+    n = events.count()
+    schema = T.StructType([*events.schema.fields, T.StructField(OFFSET, T.LongType())])
+    log = read_log(spark, fx.event_log(spark, d), schema, startingOffset=n // 4, endingOffset=3 * n // 4)
+    return log.select("event_id", "user_id", "ts", OFFSET)
+
+
 def publish_order_json(spark: SparkSession, d: str) -> DataFrame:
     return publish(fx.orders(spark, d), F.col("order_id"), S.ORDER)
 
@@ -380,25 +390,55 @@ def _streamed(spark: SparkSession, df: DataFrame, key: str, schema: str, mode: s
 
 
 def stream_fraud_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    created = fx.orders(spark, d, streaming=True)
+    created = fx.orders(spark, d, fx.event_log(spark, d))
     verdicts = fraud.fraud_verdicts(created, "order_id", F.col("event_seq"))
     return _streamed(spark, verdicts, "key", "key string, value string", "update")
 
 
 def stream_ledger_results(spark: SparkSession, d: str) -> DataFrame:
-    feed = lifecycle.ledger_feed(
-        fx.orders(spark, d, streaming=True), fx.topups(spark, d, streaming=True)
-    )
+    log = fx.event_log(spark, d)
+    feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
     results = _streamed(spark, streaming_ledger(feed), "order_id", LEDGER_OUTPUT, "append")
     return out(results, *_CHANGE)
 
 
 def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
-    events = fx.order_events(spark, d, streaming=True).withColumn("stage", F.lit(0))
+    events = fx.order_events(spark, d, fx.event_log(spark, d)).withColumn("stage", F.lit(0))
     state = streaming_order_state(events)
     return out(_streamed(spark, state, "order_id", ORDER_OUTPUT, "update"), *ORDER_COLUMNS)
 
 
+def stream_ledger_restarted(spark: SparkSession, d: str) -> DataFrame:
+    """The streaming ledger stopped halfway and started again from its checkpoint."""
+    root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
+    table = KeyedTable(f"{root}/table", "order_id", LEDGER_OUTPUT)
+    log = None
+    for part in range(2):
+        log = fx.event_log(spark, d, part, 2, log)
+        feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
+        results = run_to_end(streaming_ledger(feed), table, "append", f"{root}/checkpoint")
+    return out(results, *_CHANGE)
+
+
+def live_balances(spark: SparkSession, d: str) -> DataFrame:
+    """Balances of all customers, asked from the state of the streaming ledger."""
+    root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
+    log = fx.event_log(spark, d)
+    feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
+    run_to_end(streaming_ledger(feed), KeyedTable(f"{root}/table", "order_id", LEDGER_OUTPUT), "append", f"{root}/checkpoint")
+    asked = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("account_id"))
+    return out(lookup_state(asked, f"{root}/checkpoint", "balance", "account_id"), "account_id", "balance")
+
+
+def live_orders(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of all customers, asked from the state of the streaming order merge."""
+    root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
+    events = fx.order_events(spark, d, fx.event_log(spark, d)).withColumn("stage", F.lit(0))
+    run_to_end(streaming_order_state(events), KeyedTable(f"{root}/table", "order_id", ORDER_OUTPUT), "update", f"{root}/checkpoint")
+    asked = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("order_id"))
+    return out(lookup_state(asked, f"{root}/checkpoint", "order", "order_id"), *ORDER_COLUMNS)
+
+
 # --- the running flow: services that feed each other, until nothing moves -----------------
 FLOW_SLICES = 2
 
@@ -438,7 +478,7 @@ def flow_balances(spark: SparkSession, d: str) -> DataFrame:
 
 def all_queries() -> dict[str, Query]:
     listed = [
-        scan_raw_events, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
+        scan_raw_events, topic_range_scan, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
         frauds_output, fraud_report, cleared_orders_feed, ledger_results_feed, topic_round_trip, decode_accounts, decode_orders, decode_account_details, decode_money_edges, created_orders,
         topup_orders, decode_outcome_counts, order_dead_letters, request_keys, order_intake,
         prefixed_account_key, request_status, fraud_verdicts, cleared_orders, orders_finished,
@@ -449,5 +489,6 @@ def all_queries() -> dict[str, Query]:
         account_onboarding, fraud_screen, balance_ledger, balance_ledger_dead_letters,
         order_flow, order_lifecycle, order_lifecycle_raw, stream_fraud_verdicts,
         stream_ledger_results, stream_order_state, flow_orders, flow_balances,
+        stream_ledger_restarted, live_balances, live_orders,
     ]
     return {q.__name__: q for q in listed} | {"order_state": order_state_query}

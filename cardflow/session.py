@@ -13,6 +13,8 @@ ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 }
+# Checkpoints of state as changes since the last snapshot: small, and readable as a change feed.
+CHANGELOG = {"spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
 
 def local_session(cores: int | str = 8, **extra: str) -> SparkSession:

@@ -8,6 +8,7 @@ property, missing fields) so that strict decoding is exercised on all rows.
 from __future__ import annotations
 
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from cardflow.operators.ledger import as_order_events
 from cardflow.plans.fraud import cleared_orders
 from cardflow.plans.orders import orders_in_progress
 from cardflow.session import checkpoint_root, use_utc
+from cardflow.sources.topic_log import append_log, read_log
 
 ORDERS_SQL = """
 SELECT CAST(event_id AS STRING) AS order_id, CAST(user_id AS STRING) AS account_id,
@@ -143,39 +145,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Micro-batches of a registered stream: state is read back between them.
-SLICES = 4
+# Rows of a micro-batch of a registered stream, and of a file of its log.
+STREAM_ROWS = 5_000
 
 
-def sliced(events: DataFrame, time: str) -> str:
-    """Write a table as a folder of files in order of time, for a stream to read.
+def event_log(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1, path: str | None = None) -> str:
+    """Append the events, or one of so many slices of their time, to a log; equal times stay together.
 
-    A file stream takes files in order of their age, so the slices are written one after
-    another.  Times are split at quantiles; equal times stay together.
+    Streams of one query share it, so that their micro-batches cover the same times.
     """
-    spark = events.sparkSession
-    path = f"{checkpoint_root(spark)}/slices/{uuid.uuid4()}"
-    at = F.col(time).cast("timestamp").cast("double")
-    shares = [i / SLICES for i in range(1, SLICES)]
-    cuts = events.select(at.alias("t")).approxQuantile("t", shares, 0.01)
-    place = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
-    for i in range(SLICES):
-        events.filter(place == i).coalesce(1).write.parquet(f"{path}/slice-{i}")
+    path = path or f"{checkpoint_root(spark)}/logs/{uuid.uuid4()}"
+    events = table(spark, sf_dir, "events")
+    if parts > 1:
+        at = F.col("ts").cast("timestamp").cast("double")
+        cuts = events.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
+        place = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+        events = events.filter(place == part)
+    append_log(events, path, "ts", "event_id", file_rows=STREAM_ROWS)
     return path
 
 
 def _run(
-    spark: SparkSession, sf_dir: str, name: str, sql: str, streaming: bool = False
+    spark: SparkSession, sf_dir: str, name: str, sql: str, log: str | None = None
 ) -> DataFrame:
-    """Run a view's SQL on the table, or on a stream over its rows in order of time."""
+    """Run a view's SQL on the table, or on a stream over its log."""
     source = f"parquet.`{sf_dir}/{name}.parquet`"
-    if streaming:
+    if log is not None:
         source = f"cardflow_stream_{name}"
-        events = table(spark, sf_dir, name)
-        # One file per micro-batch bounds what one key can bring into a task.
-        reader = spark.readStream.schema(events.schema).option("recursiveFileLookup", "true")
-        reader = reader.option("maxFilesPerTrigger", 1)
-        reader.parquet(sliced(events, "ts")).createOrReplaceTempView(source)
+        # A fixed number of rows per micro-batch bounds what one key can bring into a task.
+        stream = read_log(spark, log, table(spark, sf_dir, name).schema, streaming=True, maxRowsPerTrigger=STREAM_ROWS,
+                          position=f"{log}/position-{zlib.crc32(sql.encode())}.json")
+        stream.createOrReplaceTempView(source)
     text = sql.replace(f"FROM {name}", f"FROM {source}")
     return use_utc(spark).sql(text.replace("{iso}", _ISO).replace("{ms}", _MS))
 
@@ -192,15 +192,15 @@ def _timed(df: DataFrame) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def orders(spark: SparkSession, sf_dir: str, log: str | None = None) -> DataFrame:
     """Created card orders with order columns, ``event_ts`` and ``event_seq``."""
-    return _timed(_run(spark, sf_dir, "events", ORDERS_SQL, streaming))
+    return _timed(_run(spark, sf_dir, "events", ORDERS_SQL, log))
 
 
-def topups(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
+def topups(spark: SparkSession, sf_dir: str, log: str | None = None) -> DataFrame:
     """Top-ups in the shape of orders, status ADD_BALANCE."""
     limit = F.lit(S.TOPUP_CREDIT_LIMIT).cast(S.MONEY)
-    df = _timed(_run(spark, sf_dir, "events", TOPUPS_SQL, streaming))
+    df = _timed(_run(spark, sf_dir, "events", TOPUPS_SQL, log))
     return df.withColumn("credit_limit", limit)
 
 
@@ -282,8 +282,8 @@ def account_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(keyed, S.ACCOUNTS_INPUT, F.timestamp_seconds(F.col("seq")))
 
 
-def order_events(spark: SparkSession, sf_dir: str, streaming: bool = False) -> DataFrame:
-    df = _run(spark, sf_dir, "events", ORDER_EVENTS_SQL, streaming)
+def order_events(spark: SparkSession, sf_dir: str, log: str | None = None) -> DataFrame:
+    df = _run(spark, sf_dir, "events", ORDER_EVENTS_SQL, log)
     date = F.timestamp_millis(F.unix_millis(F.col("order_date").cast("timestamp")))
     return df.withColumn("order_date", date)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow import schemas as S
@@ -52,13 +52,38 @@ def streaming_order_state(events: DataFrame, piece: int = P.PIECE) -> DataFrame:
     )
 
 
-def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None) -> DataFrame:
+def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None, batch: int | None = None) -> DataFrame:
     """Live keyed state of a streaming query, for bulk or single lookups.
 
     Name the ``variable`` (``balance`` or ``order``) for the stateful processors;
     the latest-per-key aggregates have none.
     """
+    return _state(spark, variable, batch).load(checkpoint)
+
+
+def _state(spark: SparkSession, variable: str | None, batch: int | None) -> DataFrameReader:
     reader = spark.read.format("statestore")
-    if variable is None:
-        return reader.load(checkpoint)
-    return reader.option("stateVarName", variable).load(checkpoint)
+    if batch is not None:
+        reader = reader.option("batchId", batch)
+    return reader if variable is None else reader.option("stateVarName", variable)
+
+
+def lookup_state(asked: DataFrame, checkpoint: str, variable: str, key: str, batch: int | None = None) -> DataFrame:
+    """Asked keys with the live state of a running query, null where it has none.
+
+    One bulk join with the state store, as it was after micro-batch ``batch`` or is after the last
+    one; the query need not stop.
+    """
+    state = read_state(asked.sparkSession, checkpoint, variable, batch)
+    return asked.join(state.select(F.col("key")[key].alias(key), "value.*"), key, "left")
+
+
+def state_changes(spark: SparkSession, checkpoint: str, variable: str, key: str, first: int, last: int | None = None) -> DataFrame:
+    """Changes of the state from micro-batch ``first`` on: batch_id, change_type, key and value.
+
+    Needs changelog checkpoints (``CHANGELOG`` in the session).
+    """
+    reader = _state(spark, variable, None).option("readChangeFeed", True).option("changeStartBatchId", first)
+    if last is not None:
+        reader = reader.option("changeEndBatchId", last)
+    return reader.load(checkpoint).select("batch_id", "change_type", F.col("key")[key].alias(key), "value.*")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cardflow.operators.keyed import latest_per_key
 from cardflow.schemas import TOPIC_SCHEMA
-from cardflow.session import ROCKSDB
+from cardflow.session import CHANGELOG, ROCKSDB
 from cardflow.sources.topics import read_topic, write_topic
 
 
@@ -32,16 +32,18 @@ def _exists(spark: SparkSession, path: str) -> bool:
 def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream until its input is used up and return the table it keeps."""
     spark = df.sparkSession
-    for key, value in ROCKSDB.items():
+    for key, value in {**ROCKSDB, **CHANGELOG}.items():
         spark.conf.set(key, value)
     query = (
         df.writeStream.outputMode(mode)
         .foreachBatch(lambda batch, n: table.write(batch, n))
         .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
     return table.read(spark)
 
 

@@ -12,7 +12,8 @@ from cardflow.plans import accounts, lifecycle
 from cardflow.sources import fixtures as fx
 from cardflow.streaming import processors
 from cardflow.streaming.flow import Flow
-from cardflow.streaming.state import read_state, streaming_ledger, streaming_order_state
+from cardflow.session import CHANGELOG
+from cardflow.streaming.state import lookup_state, read_state, state_changes, streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KeyedTable
 from tests.conftest import DATA
 
@@ -178,3 +179,83 @@ def test_pieces_merge_in_order():
         got = list(processors.in_order(counted(), ("a", "b", "c"), lambda e: e[:2], piece))
         assert got == sorted(map(tuple, made), key=lambda e: e[:2]) and held == [500]
     assert list(processors.in_order(iter([]), ("a",), lambda e: e, 5)) == []
+
+
+def test_killed_ledger_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    """Sinks that die leave state, table and input as they were; another layout replays the batch.
+
+    State at an earlier micro-batch and the changes since can be read from the checkpoint.
+    """
+    for key, value in CHANGELOG.items():
+        spark.conf.set(key, value)
+    monkeypatch.setattr(fx, "STREAM_ROWS", 250)
+    log, checkpoint = fx.event_log(spark, DATA), f"{tmp_path}/cp"
+    table = KeyedTable(f"{tmp_path}/t", "order_id",
+                       "order_id string, account_id string, balance decimal(38,6), payment_status string")
+    died = []
+
+    def attempt(layout):
+        feed = lifecycle.ledger_feed(fx.orders(spark, DATA, log), fx.topups(spark, DATA, log))
+
+        def sink(batch, n):
+            if n in (1, 3) and n not in died:
+                died.append(n)
+                if n == 3:  # after half of the work
+                    table.write(batch, n)
+                raise RuntimeError("killed")
+            table.write(batch, n)
+
+        query = (streaming_ledger(feed.repartition(layout)).writeStream.outputMode("append").foreachBatch(sink)
+                 .option("checkpointLocation", checkpoint).start())
+        try:
+            query.processAllAvailable()
+        except Exception as e:
+            assert "killed" in str(e)
+        finally:
+            query.stop()
+
+    for layout in (2, 5, 3):
+        attempt(layout)
+    assert died == [1, 3]
+    columns = ("order_id", "account_id", "balance", "payment_status")
+    events = lifecycle.ledger_feed(fx.orders(spark, DATA), fx.topups(spark, DATA))
+    assert rows(table.read(spark), *columns) == rows(ledger.ledger_changes(events), *columns)
+
+    final = rows(ledger.account_balances(events), "account_id", "balance")
+    asked = spark.createDataFrame([(a,) for a, _ in final] + [("nobody",)], "account_id string")
+    assert rows(lookup_state(asked, checkpoint, "balance", "account_id")) == sorted([*final, ("nobody", None)], key=repr)
+    first = rows(lookup_state(asked, checkpoint, "balance", "account_id", batch=0))
+    assert first != rows(lookup_state(asked, checkpoint, "balance", "account_id")) and len(first) == len(final) + 1
+    known = {a: b for a, b in first if b is not None}
+    for change in sorted(state_changes(spark, checkpoint, "balance", "account_id", 1).collect()):
+        assert change.change_type == "update"
+        known[change.account_id] = change.balance
+    assert sorted(known.items()) == final
+
+
+def test_results_appear_between_ticks(spark, tmp_path):
+    """With a processing-time trigger, a table follows its topic at the next tick, and idle ticks pass."""
+    import time
+
+    topics = FileTopics(f"{tmp_path}/topics")
+    flow = Flow(spark, topics, f"{tmp_path}/flow", {"processingTime": "1 second"})
+    requests = fx.account_requests(spark, DATA).drop("topic", "partition")
+    expected = accounts.request_status(decode_accounts(fx.account_requests(spark, DATA)))
+    n, halves = expected.count(), (F.col("offset") % 2 == 0, F.col("offset") % 2 == 1)
+    flow.submit(S.ACCOUNTS_INPUT, requests.filter(halves[0]), 0)
+    query = flow.start_accounts()
+    try:
+        counts = []
+        for half in (None, halves[1]):
+            if half is not None:
+                flow.submit(S.ACCOUNTS_INPUT, requests.filter(half), 1)
+            begin = time.time()
+            while flow.requests.read(spark).count() <= (counts[-1] if counts else 0) and time.time() - begin < 60:
+                time.sleep(0.5)
+            assert query.isActive
+            counts.append(flow.requests.read(spark).count())
+        assert 0 < counts[0] < counts[1] == n
+        ticks = [p.batchId for p in query.recentProgress if p.numInputRows]
+        assert len(ticks) == 2
+    finally:
+        query.stop()
