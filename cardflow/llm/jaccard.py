@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm.components import components
-from cardflow.llm.text import row_keys
+from cardflow.llm.text import released, row_keys
 from cardflow.session import stored
 
 WIDTH, PERCENT = 3, 90
@@ -115,7 +115,7 @@ def keyed(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
             yield counts()
 
     own = docs.select(*row_keys(docs), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInPandas(rows, "kind int, h1 long, h2 long, doc_id long, k1 long, k2 long, n long")
+    return own.mapInPandas(released(rows), "kind int, h1 long, h2 long, doc_id long, k1 long, k2 long, n long")
 
 
 def signed(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, frequent: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def signed(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, fr
             yield pd.DataFrame(out, columns=["id", "k1", "k2", "first", "bits", *TREE])
 
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    return own.mapInPandas(rows, f"id long, k1 long, k2 long, first array<long>, bits binary, {', '.join(f'{c} long' for c in TREE)}")
+    return own.mapInPandas(released(rows), f"id long, k1 long, k2 long, first array<long>, bits binary, {', '.join(f'{c} long' for c in TREE)}")
 
 
 def paged(classes: DataFrame) -> DataFrame:
@@ -191,7 +191,7 @@ def paged(classes: DataFrame) -> DataFrame:
         if rest is not None and len(rest):
             yield cut(rest, True)
 
-    return dealt.mapInPandas(rows, "token long, n long, node long, page long")
+    return dealt.mapInPandas(released(rows), "token long, n long, node long, page long")
 
 
 def _compatible(small: np.ndarray, large: np.ndarray, percent: int) -> np.ndarray:
@@ -214,7 +214,7 @@ def neighbours(pages: DataFrame, percent: int) -> DataFrame:
                 a, b = node[other[ok]], node[ok]
                 yield pd.DataFrame({"u": np.minimum(a, b), "v": np.maximum(a, b)})
 
-    return pages.mapInPandas(rows, "u long, v long").filter("u <> v").distinct()
+    return pages.mapInPandas(released(rows), "u long, v long").filter("u <> v").distinct()
 
 
 def _starts(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +287,7 @@ def traversed(leaves: DataFrame, percent: int) -> DataFrame:
 
     parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     whole_pages = leaves.repartition(parts, "page").sortWithinPartitions("page", "n", "node")
-    return whole_pages.mapInPandas(rows, "u long, v long")
+    return whole_pages.mapInPandas(released(rows), "u long, v long")
 
 
 def across_pages(leaves: DataFrame, percent: int) -> DataFrame:
@@ -356,7 +356,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, text: str, doc_id: str, width: i
             keys = np.array([set_key(s) for s in sets], np.int64).reshape(-1, 2)
             yield pd.DataFrame({"id": batch["id"], "k1": keys[:, 0], "k2": keys[:, 1], "members": [s.view(np.int64) for s in sets]})
 
-    found = own.join(ids, "id", "left_semi").mapInPandas(rows, "id long, k1 long, k2 long, members array<long>")
+    found = own.join(ids, "id", "left_semi").mapInPandas(released(rows), "id long, k1 long, k2 long, members array<long>")
     # Rows that repeat an id with an equal text give their class once.
     return found.join(nodes, ["id", "k1", "k2"]).select("node", "members").dropDuplicates(["node"])
 

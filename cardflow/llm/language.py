@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardflow.llm.text import unused
+from cardflow.llm.text import release_memory, unused
 
 UNKNOWN = "und"
 DIM = 4096
@@ -160,6 +160,7 @@ def identify(docs: DataFrame, model: Model | None, text: str = "text", names: Se
                 out.loc[at, "score"] = score
                 out.loc[at, "ambiguous"] = unsure
             yield out
+        release_memory()
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
     found, = unused(docs, "_p")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import ctypes
+import gc
+import sys
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +45,30 @@ def windows(hashes: Column, width: int) -> Column:
 
 
 # Bytes of an Arrow batch on its way to a Python worker; rows alone do not bound whole texts.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
+
+
+def release_memory() -> None:
+    """Give a Python worker's unused memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def released(step: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's step that gives its memory back to the system at the end.
+
+    Python workers are kept for later tasks; without this they also keep what the largest one took.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from step(batches)
+        finally:
+            release_memory()
+
+    return run
 
 
 def bounded_batches(spark: SparkSession) -> SparkSession:
