@@ -88,7 +88,7 @@ class Index:
         return self.files[-1].base + self.files[-1].rows if self.files else 0
 
 
-def _read(root: str, schema: T.StructType, part: LogFile) -> Iterator[pa.RecordBatch]:
+def read_part(root: str, schema: T.StructType, part: LogFile) -> Iterator[pa.RecordBatch]:
     fs, _ = files_of(root)
     wanted = to_arrow_schema(schema)
     columns = [f.name for f in wanted if f.name != OFFSET]
@@ -126,7 +126,7 @@ class LogReader(DataSourceReader):
         return [p for f in files if (p := f.cut(self.start, end))] or [LogFile("", 0, 0)]
 
     def read(self, partition: LogFile) -> Iterator[pa.RecordBatch]:
-        return _read(self.path, self.schema, partition) if partition.path else iter(())
+        return read_part(self.path, self.schema, partition) if partition.path else iter(())
 
 
 class LogStream(DataSourceStreamReader):
@@ -179,7 +179,7 @@ class LogStream(DataSourceStreamReader):
         return [p for f in files if (p := f.cut(start["row"], end["row"]))] or [LogFile("", 0, 0)]
 
     def read(self, partition: LogFile) -> Iterator[pa.RecordBatch]:
-        return _read(self.path, self.schema, partition) if partition.path else iter(())
+        return read_part(self.path, self.schema, partition) if partition.path else iter(())
 
     def commit(self, end: dict) -> None:
         pass

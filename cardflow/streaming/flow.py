@@ -22,8 +22,9 @@ from cardflow.operators.decode import (
 from cardflow.operators.keyed import merge
 from cardflow.operators.ledger import as_order_events, ledger_input, unfit_events
 from cardflow.plans import accounts, fraud, orders
+from cardflow.sources.commits import CommitTable
 from cardflow.streaming.state import streaming_ledger, streaming_order_state
-from cardflow.streaming.tables import FileTopics, KafkaTopics, KeyedTable, write_once
+from cardflow.streaming.tables import FileTopics, KafkaTopics, KeyedTable
 
 # Who wrote a record of the order topic, in the causal order of one order's events.
 CLIENT, SCREEN, LEDGER = 0, 1, 2
@@ -37,6 +38,8 @@ _ORDER = ("order_id string, account_id string, credit_card_number bigint, "
           "credit_limit decimal(38,6)")
 _BALANCE = ("account_id string, credit_card_number bigint, balance decimal(38,6), "
             "credit_limit decimal(38,6), order_id string, payment_status string")
+REPORT = "key string, report string"
+LETTER = "key string, value string, topic string, reason string"
 _ARRIVAL = ("partition", "offset")
 
 
@@ -83,12 +86,13 @@ class Flow:
         return self._table("balances", "account_id", _BALANCE)
 
     @property
-    def reports(self) -> str:
-        return f"{self.root}/tables/reports"
+    def reports(self) -> CommitTable:
+        return CommitTable(f"{self.root}/tables/reports")
 
     @property
-    def dead_letters(self) -> str:
-        return f"{self.root}/tables/dead_letters"
+    def dead_letters(self) -> CommitTable:
+        """Refused records; the producer of a commit is the stage that refused them."""
+        return CommitTable(f"{self.root}/tables/dead_letters")
 
     # --- queries --------------------------------------------------------------
     def checkpoint(self, name: str) -> str:
@@ -111,7 +115,7 @@ class Flow:
 
     def _refuse(self, letters: DataFrame, stage: str, batch: int) -> None:
         columns = letters.select("key", "value", "topic", "reason")
-        write_once(columns, f"{self.dead_letters}/stage={stage}/batch={batch}")
+        self.dead_letters.write(columns, stage, batch)
 
     def start_accounts(self) -> StreamingQuery:
         raw = self.topics.read(self.spark, S.ACCOUNTS_INPUT)
@@ -152,7 +156,7 @@ class Flow:
         feed = self.topics.read(self.spark, S.FRAUDS_OUTPUT)
 
         def sink(batch: DataFrame, n: int) -> None:
-            write_once(fraud.fraud_reports(batch), f"{self.reports}/batch={n}")
+            self.reports.write(fraud.fraud_reports(batch), "report", n)
 
         return self._start("report", feed, sink, "append")
 

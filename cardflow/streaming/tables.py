@@ -1,12 +1,11 @@
 """Storage of the running flow: file-backed topics and keyed tables.
 
-Both keep one folder per producer or table and micro-batch.  A micro-batch that is
-repeated after a failure finds its folder complete and leaves it alone.
+Both grow by commits of a producer's micro-batch.  A micro-batch that is repeated after a
+failure finds its commit and leaves it alone.
 """
 
 from __future__ import annotations
 
-import uuid
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,20 +14,10 @@ from pyspark.sql import functions as F
 from cardflow.operators.keyed import latest_per_key
 from cardflow.schemas import TOPIC_SCHEMA
 from cardflow.session import CHANGELOG, ROCKSDB
+from cardflow.sources.commits import Commit, CommitTable
 from cardflow.sources.topics import read_topic, write_topic
 
 
-def _at(spark: SparkSession, path: str) -> tuple:
-    """Hadoop's file system and path object of a path."""
-    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), target
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    files, target = _at(spark, path)
-    return files.exists(target)
-
-
 def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) -> DataFrame:
     """Run a stream until its input is used up and return the table it keeps."""
     spark = df.sparkSession
@@ -47,49 +36,25 @@ def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) ->
     return table.read(spark)
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """Write a folder unless an earlier attempt has completed it.
-
-    Files are written to a hidden folder that no reader lists, which is then renamed: a
-    stream that watches the parent sees all files of a micro-batch or none, and an
-    attempt that broke off leaves nothing that could be read twice.
-    """
-    spark = df.sparkSession
-    files, target = _at(spark, path)
-    if files.exists(target):
-        return
-    hidden = f"{path.rpartition('/')[0]}/_staging/{uuid.uuid4()}"
-    df.write.parquet(hidden)
-    _, source = _at(spark, hidden)
-    # Another attempt may have won meanwhile; its folder is as good.
-    if not files.rename(source, target) and not files.exists(target):
-        raise OSError(f"cannot move {hidden} to {path}")
-
-
 @dataclass(frozen=True)
 class FileTopics:
-    """Topics as folders of parquet files, ``topic/producer=.../batch=...``."""
+    """Topics as tables that grow by commits, one folder each."""
 
     root: str
-    options: dict[str, str] = field(default_factory=dict)
+
+    def table(self, topic: str) -> CommitTable:
+        return CommitTable(f"{self.root}/{topic}")
 
     def append(self, topic: str, records: DataFrame, producer: str, batch: int) -> None:
         columns = records.withColumn("topic", F.lit(topic)).select(*TOPIC_SCHEMA.fieldNames())
-        write_once(columns, f"{self.root}/{topic}/producer={producer}/batch={batch}")
+        self.table(topic).write(columns, producer, batch)
 
     def read(self, spark: SparkSession, topic: str) -> DataFrame:
-        # The folder must exist before a stream can watch it.
-        path = f"{self.root}/{topic}"
-        if not _exists(spark, path):
-            empty = spark.createDataFrame([], TOPIC_SCHEMA)
-            write_once(empty, f"{path}/producer=none/batch=0")
-        stream = read_topic(spark, topic, path=path, streaming=True, **self.options)
-        return stream.select(*TOPIC_SCHEMA.fieldNames())
+        return self.table(topic).stream(spark, TOPIC_SCHEMA)
 
     def end(self, spark: SparkSession, topic: str) -> int:
-        """Records of a topic so far, counted from the files' footers."""
-        path = f"{self.root}/{topic}"
-        return spark.read.schema(TOPIC_SCHEMA).parquet(path).count() if _exists(spark, path) else 0
+        """Records of a topic so far, as its commits state them."""
+        return self.table(topic).rows()
 
 
 @dataclass(frozen=True)
@@ -112,10 +77,10 @@ class KafkaTopics:
 
 @dataclass(frozen=True)
 class KeyedTable:
-    """Latest row per key as a log of changes, one folder per micro-batch.
+    """Latest row per key as a log of changes, one commit per micro-batch.
 
     Writing costs the size of the micro-batch, whatever the size of the table.
-    ``compact`` folds the log so far into one folder and removes what it replaces; run it
+    ``compact`` folds the log so far into one commit and removes what it replaces; run it
     while nothing reads the table.
     """
 
@@ -123,6 +88,10 @@ class KeyedTable:
     key: str
     schema: str
 
+    @property
+    def commits(self) -> CommitTable:
+        return CommitTable(self.path)
+
     def write(self, changes: DataFrame, batch: int, order: Column | None = None) -> None:
         """Store a micro-batch's changes; with ``order``, only the latest per key."""
         columns = self._columns(changes.sparkSession)
@@ -130,35 +99,26 @@ class KeyedTable:
             values = [c for c in columns if c != self.key]
             changes = latest_per_key(changes.withColumn("__o", order), self.key, values,
                                      F.col("__o"))
-        write_once(changes.select(*columns), f"{self.path}/log/batch={batch}")
+        self.commits.write(changes.select(*columns), "log", batch)
 
     def _columns(self, spark: SparkSession) -> list[str]:
         return spark.createDataFrame([], self.schema).columns
 
-    def _log(self, spark: SparkSession, folder: str) -> DataFrame:
-        if not _exists(spark, f"{self.path}/{folder}"):
-            return spark.createDataFrame([], f"{self.schema}, batch int")
-        reader = spark.read.schema(f"{self.schema}, batch int")
-        return reader.parquet(f"{self.path}/{folder}")
+    def _current(self) -> list[Commit]:
+        """The newest folded commit and the log after it."""
+        folded = self.commits.batches("folded")[-1:]
+        log = [n for n in self.commits.batches("log") if not folded or n > folded[0]]
+        return [self.commits.commit("folded", n) for n in folded] + [self.commits.commit("log", n) for n in log]
 
     def read(self, spark: SparkSession) -> DataFrame:
-        folded = self._log(spark, "folded")
-        newest = folded.agg(F.max("batch")).first()[0]
-        log = self._log(spark, "log")
-        if newest is not None:
-            log = log.filter(F.col("batch") > newest)
-            log = log.unionByName(folded.filter(F.col("batch") == newest))
+        log = self.commits.read(spark, self.schema, self._current())
         values = [c for c in self._columns(spark) if c != self.key]
         return latest_per_key(log, self.key, values, F.col("batch"))
 
     def compact(self, spark: SparkSession) -> None:
-        newest = self._log(spark, "log").agg(F.max("batch")).first()[0]
-        if newest is None:
+        log = self.commits.commits("log")
+        if not log:
             return
-        write_once(self.read(spark), f"{self.path}/folded/batch={newest}")
-        for folder, last in (("log", newest), ("folded", newest - 1)):
-            files, target = _at(spark, f"{self.path}/{folder}")
-            for status in files.listStatus(target) if files.exists(target) else ():
-                name = status.getPath().getName()
-                if name.startswith("batch=") and int(name[6:]) <= last:
-                    files.delete(status.getPath(), True)
+        newest = log[-1].batch
+        self.commits.write(self.read(spark), "folded", newest)
+        self.commits.forget(log + [c for c in self.commits.commits("folded") if c.batch < newest])

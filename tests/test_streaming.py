@@ -11,7 +11,7 @@ from cardflow.operators.order_state import order_state
 from cardflow.plans import accounts, lifecycle
 from cardflow.sources import fixtures as fx
 from cardflow.streaming import processors
-from cardflow.streaming.flow import Flow
+from cardflow.streaming.flow import LETTER, REPORT, Flow
 from cardflow.session import CHANGELOG
 from cardflow.streaming.state import lookup_state, read_state, state_changes, streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KeyedTable
@@ -58,7 +58,7 @@ def test_latest_per_key_stream_equals_batch(spark, tmp_path):
     assert rows(table.read(spark), "key", "value") == expected
     table.compact(spark)
     assert rows(table.read(spark), "key", "value") == expected
-    assert not [p for p in (tmp_path / "t" / "log").iterdir() if p.name.startswith("batch=")]
+    assert not table.commits.batches("log") and len(list((tmp_path / "t" / "data").iterdir())) == 1
     table.compact(spark)
     table.write(spark.createDataFrame([("new", "1")], "key string, value string"), 99)
     assert rows(table.read(spark), "key", "value") == sorted([*expected, ("new", "1")])
@@ -69,7 +69,7 @@ def test_attempt_that_broke_off_is_never_read(spark, tmp_path):
     topics = FileTopics(str(tmp_path))
     stream = topics.read(spark, "t")
     # What an attempt that died while writing leaves behind.
-    one.write.parquet(f"{tmp_path}/t/producer=p/_staging/dead")
+    one.write.parquet(f"{tmp_path}/t/data/attempt=dead/batch=0")
     record = one.withColumns({"partition": F.lit(0), "offset": F.lit(0).cast("long"),
                               "timestamp": F.current_timestamp()})
     for _ in range(2):
@@ -79,7 +79,9 @@ def test_attempt_that_broke_off_is_never_read(spark, tmp_path):
              .option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start())
     query.awaitTermination()
     assert [(r.key, r.value) for r in seen] == [("k", "v")]
-    assert spark.read.parquet(f"{tmp_path}/t").filter("key is not null").count() == 1
+    table = topics.table("t")
+    assert table.rows() == table.read(spark, S.TOPIC_SCHEMA).count() == 1
+    assert table.sweep() == 1 and table.read(spark, S.TOPIC_SCHEMA).count() == 1
 
 
 def test_ledger_stream_equals_batch(spark, tmp_path):
@@ -137,11 +139,11 @@ def test_running_flow_equals_lifecycle(spark, tmp_path):
 
     requests = accounts.request_status(decode_accounts(fx.account_requests(spark, DATA)))
     assert flow.requests.read(spark).count() == requests.count()
-    reports = spark.read.parquet(flow.reports)
+    reports = flow.reports.read(spark, REPORT)
     fraud = flow.verdicts.read(spark).filter("value = 'FRAUD'")
     assert sorted(r.key for r in reports.collect()) == sorted(r.key for r in fraud.collect())
     assert all(r.report.startswith("Authorities warned {") for r in reports.collect())
-    letters = spark.read.parquet(flow.dead_letters)
+    letters = flow.dead_letters.read(spark, LETTER)
     assert {r.reason for r in letters.select("reason").distinct().collect()} >= {
         "unknown_property", "malformed_json", "null_order_date", "null_key", "null_amount"}
 
