@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from cardflow.operators.skew import HOT_ROWS, join_unique
+from cardflow.session import stored
 
 
 def rekey(df: DataFrame, new_key: Column, key: str = "key") -> DataFrame:
@@ -41,6 +43,30 @@ def split(df: DataFrame, *predicates: Column) -> list[DataFrame]:
     return [marked.filter(F.col("branch") == i).drop("branch") for i in range(len(predicates))]
 
 
+@dataclass(frozen=True)
+class Branches:
+    """Stored rows by branch; reading some branches reads their files only."""
+
+    table: DataFrame
+    counts: dict[str, int]  # rows per branch, in order of number
+
+    def of(self, *names: str) -> DataFrame:
+        """Rows of the named branches, with the number of each row's branch."""
+        return self.table.filter(F.col("branch").isin([list(self.counts).index(n) for n in names]))
+
+
+def stored_branches(df: DataFrame, **predicates: Column) -> Branches:
+    """Split by the first predicate that holds, in one pass: one write, a folder per branch.
+
+    Rows are counted by branch while they are written.  Rows that match none drop out.
+    """
+    seen = Observation()
+    marked = with_branch(df, *predicates.values()).observe(
+        seen, *[F.count_if(F.col("branch") == i).alias(name) for i, name in enumerate(predicates)])
+    table = stored(marked, "branch")
+    return Branches(table, {name: seen.get[name] for name in predicates})
+
+
 def ordering(*columns: str) -> Column:
     """One comparable value out of one or several ordering columns."""
     return F.col(columns[0]) if len(columns) == 1 else F.struct(*columns)

@@ -381,6 +381,19 @@ def all_oracles() -> dict[str, str]:
             f"""SELECT CAST(e.event_id AS VARCHAR) AS key,
                        CASE WHEN o.order_id IS NOT NULL THEN {verdict} END AS value
                 FROM events e LEFT JOIN o ON o.order_id = CAST(e.event_id AS VARCHAR)""", "o"),
+        "lookup_bucketed": _with(
+            f"""SELECT a.part, a.key, CASE WHEN o.order_id IS NOT NULL THEN {verdict} END AS value
+                FROM (SELECT 'event' AS part, CAST(event_id AS VARCHAR) AS key FROM events
+                      UNION ALL SELECT 'customer', CAST(c_custkey AS VARCHAR) FROM customer) a
+                LEFT JOIN o ON o.order_id = a.key""", "o"),
+        "branch_counts": _with(
+            f"""SELECT 'accounts' AS flow, 'accepted' AS branch, count(*) AS n FROM acc WHERE {_ACCEPTED}
+                UNION ALL SELECT 'accounts', 'other', count(*) FROM acc WHERE ({_ACCEPTED}) IS NOT TRUE
+                UNION ALL SELECT 'accounts', 'dead', count(*) FROM ({_DLQ})
+                UNION ALL SELECT 'orders', 'clean', count(*) FROM clean
+                UNION ALL SELECT 'orders', 'night', count(*) FROM o WHERE {_NIGHT}
+                UNION ALL SELECT 'orders', 'undated', count(*) FROM o WHERE order_date IS NULL""",
+            "acc", "areq", "o", "clean"),
         "account_onboarding": _with(
             f"""SELECT 'account' AS part, account_id AS key, account_name AS value
                 FROM acc WHERE {_ACCEPTED}

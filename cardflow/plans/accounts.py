@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from cardflow.functions.rules import is_accepted_brand, is_other_brand, request_label
 from cardflow.operators.decode import dead_letters, decode_accounts, valid
-from cardflow.operators.keyed import latest_per_key, with_branch
-from cardflow.session import stored
+from cardflow.operators.keyed import latest_per_key, stored_branches, with_branch
 
 _ACCOUNT_COLUMNS = ["account_name", "account_last_update", "user_document_id",
                     "credit_card_number", "security_code", "expiration_date", "brand_name"]
@@ -21,6 +20,7 @@ class Onboarding:
     accounts: DataFrame
     requests: DataFrame
     dead_letters: DataFrame
+    counts: dict[str, int]  # requests by outcome: accepted, other, dead
 
 
 def branch_accounts(decoded: DataFrame) -> DataFrame:
@@ -39,9 +39,11 @@ def rejected_accounts(decoded: DataFrame) -> DataFrame:
 
 def accounts_state(decoded: DataFrame) -> DataFrame:
     """Latest account per account id; one topic's offset is the order."""
-    return latest_per_key(
-        accepted_accounts(decoded), "account_id", _ACCOUNT_COLUMNS, F.struct("partition", "offset")
-    )
+    return _latest_accounts(accepted_accounts(decoded))
+
+
+def _latest_accounts(accepted: DataFrame) -> DataFrame:
+    return latest_per_key(accepted, "account_id", _ACCOUNT_COLUMNS, F.struct("partition", "offset"))
 
 
 def request_status(decoded: DataFrame) -> DataFrame:
@@ -50,7 +52,11 @@ def request_status(decoded: DataFrame) -> DataFrame:
     Both branches are labelled in one pass; only the new account id (null for a
     refusal) goes through the aggregate and the text is made afterwards.
     """
-    marked = branch_accounts(decoded).select(
+    return _latest_status(branch_accounts(decoded))
+
+
+def _latest_status(branched: DataFrame) -> DataFrame:
+    marked = branched.select(
         "key",
         F.when(F.col("branch") == 0, F.col("account_id")).alias("accepted_id"),
         F.struct("partition", "offset").alias("seq"),
@@ -61,8 +67,11 @@ def request_status(decoded: DataFrame) -> DataFrame:
 
 
 def onboarding(raw: DataFrame) -> Onboarding:
-    """All three results; requests are decoded once and stored."""
-    decoded = stored(decode_accounts(raw))
+    """All three results; requests are decoded once and stored by outcome."""
+    ok, brand = F.col("is_valid"), F.col("brand_name")
+    parts = stored_branches(decode_accounts(raw), accepted=ok & is_accepted_brand(brand),
+                            other=ok & is_other_brand(brand), dead=~ok)
     return Onboarding(
-        accounts_state(decoded), request_status(decoded), dead_letters(decoded)
+        _latest_accounts(parts.of("accepted")), _latest_status(parts.of("accepted", "other")),
+        dead_letters(parts.of("dead")), parts.counts,
     )

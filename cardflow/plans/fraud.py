@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from cardflow import schemas as S
 from cardflow.functions.json_text import encode_json
 from cardflow.functions.rules import fraud_report, is_night, verdict
-from cardflow.operators.keyed import latest_per_key
-from cardflow.session import stored
+from cardflow.operators.keyed import latest_per_key, stored_branches
 
 
 @dataclass(frozen=True)
@@ -20,6 +19,7 @@ class FraudScreen:
     cleared: DataFrame
     frauds: DataFrame
     dead_letters: DataFrame
+    counts: dict[str, int]  # orders by outcome: clean, night, undated
 
 
 def branch_orders(created: DataFrame) -> DataFrame:
@@ -31,7 +31,11 @@ def branch_orders(created: DataFrame) -> DataFrame:
 
 def fraud_verdicts(created: DataFrame, key: str, order: Column) -> DataFrame:
     """Latest verdict per order key; the text is made after the aggregate."""
-    marked = branch_orders(created).select(
+    return _latest_verdicts(branch_orders(created), key, order)
+
+
+def _latest_verdicts(branched: DataFrame, key: str, order: Column) -> DataFrame:
+    marked = branched.select(
         F.col(key).alias("key"), (F.col("branch") == 1).alias("is_fraud"), order.alias("seq")
     )
     latest = latest_per_key(marked, "key", ["is_fraud"], F.col("seq"))
@@ -40,6 +44,10 @@ def fraud_verdicts(created: DataFrame, key: str, order: Column) -> DataFrame:
 
 def cleared_orders(created: DataFrame) -> DataFrame:
     clean = branch_orders(created).filter("branch = 0").drop("branch")
+    return _cleared(clean)
+
+
+def _cleared(clean: DataFrame) -> DataFrame:
     return clean.withColumn("payment_status", F.lit(S.NOT_FRAUD))
 
 
@@ -49,23 +57,27 @@ def fraudulent_orders(created: DataFrame) -> DataFrame:
 
 
 def undated_orders(created: DataFrame) -> DataFrame:
-    return created.filter(F.col("order_date").isNull()).withColumn(
-        "reason", F.lit("null_order_date")
-    )
+    return _undated(created.filter(F.col("order_date").isNull()))
+
+
+def _undated(undated: DataFrame) -> DataFrame:
+    return undated.withColumn("reason", F.lit("null_order_date"))
 
 
 def frauds_output(created: DataFrame, key: str) -> DataFrame:
     """Fraud feed: order key and order text, dates as epoch milliseconds."""
-    return fraudulent_orders(created).select(
+    return _feed(fraudulent_orders(created), key)
+
+
+def _feed(found: DataFrame, key: str) -> DataFrame:
+    return found.select(
         F.col(key).alias("key"), encode_json(S.ORDER, epoch_millis=True).alias("value")
     )
 
 
 def cleared_feed(created: DataFrame, key: str) -> DataFrame:
     """Cleared orders as text records for the order topic."""
-    return cleared_orders(created).select(
-        F.col(key).alias("key"), encode_json(S.ORDER, epoch_millis=True).alias("value")
-    )
+    return _feed(cleared_orders(created), key)
 
 
 def fraud_reports(feed: DataFrame) -> DataFrame:
@@ -73,11 +85,13 @@ def fraud_reports(feed: DataFrame) -> DataFrame:
 
 
 def fraud_screen(created: DataFrame, key: str, order: Column) -> FraudScreen:
-    """All four outputs; the orders are decoded once and stored for them."""
-    created = stored(created)
+    """All four outputs; the orders are decoded once and stored for them by outcome."""
+    dated, night = F.col("order_date").isNotNull(), is_night(F.col("order_date"))
+    parts = stored_branches(created, clean=dated & ~night, night=dated & night, undated=~dated)
     return FraudScreen(
-        fraud_verdicts(created, key, order),
-        cleared_orders(created),
-        frauds_output(created, key),
-        undated_orders(created),
+        _latest_verdicts(parts.of("clean", "night"), key, order),
+        _cleared(parts.of("clean").drop("branch")),
+        _feed(parts.of("night"), key),
+        _undated(parts.of("undated").drop("branch")),
+        parts.counts,
     )

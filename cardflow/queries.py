@@ -14,6 +14,7 @@ from cardflow.functions import ids
 from cardflow.functions.json_text import encode_json
 from cardflow.operators import decode, keyed, ledger
 from cardflow.operators.order_state import order_state
+from cardflow.operators.state_table import StateTable
 from cardflow.plans import accounts, balances, fraud, lifecycle, orders
 from cardflow.session import ROCKSDB, checkpoint_root, stored
 from cardflow.sources import fixtures as fx
@@ -322,6 +323,24 @@ def lookup_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return keyed.lookup(asked, fraud_verdicts(spark, d), "key")
 
 
+def lookup_bucketed(spark: SparkSession, d: str) -> DataFrame:
+    """One stored table of verdicts, asked by all events and by all customers."""
+    verdicts = StateTable.write(fraud_verdicts(spark, d), "key")
+    events = fx.raw_events(spark, d).select(F.col("offset").cast("string").alias("key"))
+    customers = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("key"))
+    return keyed.merge(*[_part(verdicts.lookup(asked), part, "key", "value")
+                         for part, asked in (("event", events), ("customer", customers))])
+
+
+def branch_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Rows by outcome of onboarding and screening, counted while they are stored."""
+    done = accounts.onboarding(fx.account_requests(spark, d))
+    screen = fraud.fraud_screen(fx.orders(spark, d), "order_id", F.col("event_seq"))
+    counted = [("accounts", name, n) for name, n in done.counts.items()]
+    counted += [("orders", name, n) for name, n in screen.counts.items()]
+    return spark.createDataFrame(counted, "flow string, branch string, n long")
+
+
 # --- flows ------------------------------------------------------------------------
 def _part(df: DataFrame, part: str, key: str, value: str) -> DataFrame:
     return df.select(
@@ -485,7 +504,7 @@ def all_queries() -> dict[str, Query]:
         accounts_netcard, accounts_other_brand, branch_accounts, branch_orders,
         rekey_by_account, events_per_key, ledger_input_union, accounts_state,
         account_balances, ledger_results, ledger_results_pooled, account_balances_pooled, ledger_results_grid,
-        lookup_accounts, lookup_requests, lookup_orders, lookup_balances, lookup_verdicts,
+        lookup_accounts, lookup_requests, lookup_orders, lookup_balances, lookup_verdicts, lookup_bucketed, branch_counts,
         account_onboarding, fraud_screen, balance_ledger, balance_ledger_dead_letters,
         order_flow, order_lifecycle, order_lifecycle_raw, stream_fraud_verdicts,
         stream_ledger_results, stream_order_state, flow_orders, flow_balances,
