@@ -6,7 +6,8 @@ whose whole hash is a proper prefix of another is dropped by an anti-join, and o
 conversations the smallest id stays.  What is left is rendered.
 
 The rolling hash is a sum of turn hashes that include the turn's place, so it is
-a running total: a conversation with very many turns is cut into chunks like any hot group.
+a running total: a conversation with very many turns is cut into chunks like any hot group, by
+ranges of the turns' order and then by place, so that equal and null turns are cut as well.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardflow.llm.prefix import running_totals
+from cardflow.session import stored
 
 CHUNK_TURNS = 4096
 # Bits of a turn's hash; sums of 2^31 of them fit a long.  Two such sums name a prefix.
@@ -22,15 +24,18 @@ HASH_BITS = 32
 
 
 def numbered(turns: DataFrame) -> DataFrame:
-    """Turns with their place in the conversation, from 0.
+    """Turns with their place in the conversation, from 0; stored.
 
-    Order is by turn, role and text; null turns come first.  Rows without a conv_id
-    belong to no conversation and are left out.
+    Order is by turn, role and text; null turns come first.  Repeated rows are turns of their own.
+    Rows without a conv_id belong to no conversation and are left out.
     """
     own = turns.filter(F.col("conv_id").isNotNull()).select(
-        "conv_id", "turn", "role", "text", F.lit(1).cast("long").alias("one"),
-        F.floor(F.coalesce("turn", F.lit(0)) / CHUNK_TURNS).alias("chunk"))
-    return running_totals(own, ["conv_id"], "chunk", ["turn", "role", "text"], {"one": "place"})
+        "conv_id", "turn", "role", "text", F.lit(1).cast("long").alias("one"))
+    order = ["turn", "role", "text"]
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Stored before it is used: the numbers of ranges must not change if a task is repeated.
+    laid = stored(own.repartitionByRange(parts, "conv_id", *order).withColumn("chunk", F.spark_partition_id()))
+    return stored(running_totals(laid, ["conv_id"], "chunk", order, {"one": "place"}))
 
 
 def turn_hash(seed: int) -> Column:
@@ -49,8 +54,12 @@ def prefixes(placed: DataFrame) -> DataFrame:
 
 def maximal(turns: DataFrame) -> DataFrame:
     """Conversations (conv_id, n_turns) that are no prefix of a longer one, nor a later copy."""
-    each = prefixes(numbered(turns))
-    size = each.groupBy("conv_id").agg(F.max("length").alias("n_turns"))
+    return _maximal(numbered(turns))
+
+
+def _maximal(placed: DataFrame) -> DataFrame:
+    each = prefixes(placed)
+    size = placed.groupBy("conv_id").agg((F.max("place") + 1).alias("n_turns"))
     marked = each.join(size, "conv_id")
     whole = marked.filter("length = n_turns").groupBy("p1", "p2", "n_turns").agg(F.min("conv_id").alias("conv_id"))
     longer = marked.filter("length < n_turns").select("p1", "p2", F.col("length").alias("n_turns")).distinct()
@@ -58,17 +67,14 @@ def maximal(turns: DataFrame) -> DataFrame:
 
 
 def rendered(turns: DataFrame) -> DataFrame:
-    """Maximal conversations as text: conv_id, part, n_turns, text.
+    """Maximal conversations as text, a row each: conv_id, n_turns, text.
 
     A turn becomes ``<|im_start|>role\\ntext<|im_end|>\\n``; null roles and texts are
-    empty.  A part holds up to CHUNK_TURNS turns, so all but enormous conversations have one.
+    empty.  An empty table gives no rows.
     """
     line = F.concat(F.lit("<|im_start|>"), F.coalesce("role", F.lit("")), F.lit("\n"),
                     F.coalesce("text", F.lit("")), F.lit("<|im_end|>\n"))
-    placed = numbered(turns).select("conv_id", "place", line.alias("line"),
-                                    F.expr(f"place div {CHUNK_TURNS}").alias("part"))
-    kept = placed.join(maximal(turns), "conv_id")
-    parts = kept.groupBy("conv_id", "part", "n_turns").agg(
-        F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
-    return parts.select("conv_id", "part", "n_turns",
-                        F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text"))
+    placed = numbered(turns)
+    kept = placed.join(_maximal(placed), "conv_id").select("conv_id", "n_turns", "place", line.alias("line"))
+    whole = kept.groupBy("conv_id", "n_turns").agg(F.sort_array(F.collect_list(F.struct("place", "line"))).alias("lines"))
+    return whole.select("conv_id", "n_turns", F.array_join(F.transform("lines", lambda x: x["line"]), "").alias("text"))

@@ -50,7 +50,8 @@ def op1_token_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op2_chat_formatting(spark: SparkSession, d: str) -> DataFrame:
-    return chat.rendered(table(spark, d, "conversations"))
+    # A conversation is one row; the column of its parts stays for readers of the table.
+    return chat.rendered(table(spark, d, "conversations")).withColumn("part", F.lit(0).cast("long"))
 
 
 # Host and path rules of the query (fixed values).

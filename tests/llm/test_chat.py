@@ -38,10 +38,8 @@ def test_collapse_matches_brute_force(spark, monkeypatch, chunk):
     monkeypatch.setattr(chat, "CHUNK_TURNS", chunk)
     rows = conversations(chunk)
     random.Random(1).shuffle(rows)
-    got = {}
-    for r in chat.rendered(spark.createDataFrame(rows, SCHEMA)).orderBy("conv_id", "part").collect():
-        got[r.conv_id] = got.get(r.conv_id, "") + r.text
-    assert got == brute(rows)
+    got = chat.rendered(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert len({r.conv_id for r in got}) == len(got) and {r.conv_id: r.text for r in got} == brute(rows)
 
 
 def test_null_and_empty_texts_differ_and_order_counts(spark):
@@ -53,3 +51,12 @@ def test_empty_table_extra_columns_and_long_text(spark):
     assert chat.rendered(spark.createDataFrame([], SCHEMA)).count() == 0
     df = spark.createDataFrame([(1, 0, "user", "x" * 300_000, 5, 6)], SCHEMA + ", part int, place int")
     assert len(chat.rendered(df).first().text) == 300_000 + len("<|im_start|>user\n<|im_end|>\n")
+
+
+@pytest.mark.parametrize("turn", [lambda i: i, lambda i: None, lambda i: 7])
+def test_one_row_for_a_conversation_of_any_length(spark, turn):
+    """More turns than a chunk has, also with null or equal numbers, are one row."""
+    n = chat.CHUNK_TURNS + 104
+    rows = [(1, turn(i), "u", f"{i:06d}") for i in range(n)] + [(2, turn(i), "u", f"{i:06d}") for i in range(n - 1)]
+    (row,) = chat.rendered(spark.createDataFrame(rows, SCHEMA).repartition(8)).collect()
+    assert (row.conv_id, row.n_turns) == (1, n) and row.text == brute(rows)[1]
