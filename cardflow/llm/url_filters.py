@@ -20,10 +20,14 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.llm.text import ascii_lower, let
+from cardflow.llm.text import ascii_lower, let, unused
+from cardflow.operators.skew import join_unique
 
-# The compiled rules travel in the plan to every task, like a broadcast of this bound.
-MAX_RULES = 20_000
+# So many compiled rules travel in the plan to every task, like a broadcast of this bound; more are a
+# table that URL tokens are joined with.  The verdicts are the same.
+LITERAL_RULES = 20_000
+# Parts of the rules without a token, which every URL has to meet.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -91,6 +95,10 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def subject_of(url: Column) -> Column:
+    return F.concat(host_of(url), path_of(url))
+
+
 def url_tokens(subject: Column) -> Column:
     return F.array_distinct(F.array_remove(F.split(ascii_lower(subject), "[^a-z0-9]+"), ""))
 
@@ -110,18 +118,11 @@ def rarest_tokens(rules: Sequence[Rule], counts: dict[str, int]) -> list[str | N
     return [min(k, key=lambda t: (counts.get(t, 0), t)) if k else None for k in keys]
 
 
-def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
-    """Add host, path, rule (name of the deciding rule or null), rank and verdict.
-
-    Null URLs and URLs without ``://`` have an empty host and path and match only rules
-    that fit an empty subject.  All rows and columns of ``pages`` are kept; columns of these
-    names are replaced.  An empty table gives an empty result.
-    """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} travel with the plan")
-    subject = F.concat(host_of(F.col(url)), path_of(F.col(url)))
+def _literally(urls: DataFrame, url: str, rules: Sequence[Rule]) -> Column:
+    """The best rule of a URL (struct of rank, size, name and action, or null), by an index in the plan."""
+    subject = subject_of(F.col(url))
     wanted = sorted({t for r in rules for t in literal_tokens(r.pattern)})
-    counts = token_counts(pages.select(url), url_tokens(subject), wanted)
+    counts = token_counts(urls.select(url), url_tokens(subject), wanted)
     chosen = rarest_tokens(rules, counts)
 
     buckets: list[list[dict]] = [[] for _ in range(max(1, 2 * len(rules)))]
@@ -149,12 +150,54 @@ def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: st
         return F.array_max(F.transform(hits, lambda r: let(F.get(table, r), lambda x: F.struct(
             x["rank"].alias("rank"), x["size"].alias("size"), x["name"].alias("name"), x["action"].alias("action")))))
 
-    kept = [c for c in pages.columns if c not in ("host", "path", "rule", "rank", "verdict", "_best")]
-    judged = pages.select(
-        *kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"),
-        let(subject, decided).alias("_best"),
-    )
+    return let(subject, decided)
+
+
+def _by_join(pages: DataFrame, url: str, rules: Sequence[Rule], subject: str, best: str) -> DataFrame:
+    """``pages`` with columns ``subject`` and ``best`` as of ``_literally``, for any number of rules.
+
+    Tokens of the distinct subjects are counted and joined with the rules filed under them.  Rules without
+    a token are filed under every salt, so that no task meets all subjects for them.
+    """
+    spark = pages.sparkSession
+    known = pages.withColumn(subject, subject_of(F.col(url)))
+    each = known.select(F.col(subject).alias("subject")).distinct()
+    tokens = each.select("subject", F.explode(url_tokens(F.col("subject"))).alias("token"))
+
+    listed = spark.createDataFrame(
+        [(i, to_regex(r.pattern), r.rank, len(r.name), r.name, r.action, literal_tokens(r.pattern)) for i, r in enumerate(rules)],
+        "id int, regex string, rank int, size int, name string, action string, tokens array<string>")
+    own = listed.select("id", F.explode("tokens").alias("token"))
+    used = own.select("token").distinct()
+    seen = tokens.join(used, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    filed = own.join(seen, "token", "left").groupBy("id").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("rarest"))
+    index = listed.drop("tokens").join(filed, "id", "left")
+    by_token = index.filter("rarest IS NOT NULL").withColumn("token", F.col("rarest.token")).drop("rarest", "id")
+    always = index.filter("rarest IS NULL").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).drop("rarest", "id")
+
+    salted = each.withColumn("salt", F.pmod(F.xxhash64("subject"), F.lit(SALTS)).cast("int"))
+    candidates = tokens.join(by_token, "token").drop("token").unionByName(salted.join(always, "salt").drop("salt"))
+    hits = candidates.filter(F.rlike(F.col("subject"), F.col("regex"))).groupBy("subject").agg(
+        F.max(F.struct("rank", "size", "name", "action")).alias(best))
+    return join_unique(known, hits.withColumnRenamed("subject", subject), subject, "left")
+
+
+def judge(pages: DataFrame, rules: Sequence[Rule], url: str = "url", default: str = "allow") -> DataFrame:
+    """Add host, path, rule (name of the deciding rule or null), rank and verdict.
+
+    Null URLs and URLs without ``://`` have an empty host and path and match only rules
+    that fit an empty subject.  All rows and columns of ``pages`` are kept; columns of these
+    names are replaced.  An empty table gives an empty result.
+    """
+    subject, best = unused(pages, "_subject", "_best")
+    if len(rules) <= LITERAL_RULES:
+        found = pages.withColumn(best, _literally(pages, url, rules))
+    else:
+        found = _by_join(pages, url, rules, subject, best)
+    kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("host", "path", "rule", "rank", "verdict")]
+    judged = found.select(*kept, host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), F.col(best).alias(best))
     return judged.select(
-        *kept, "host", "path", F.col("_best.name").alias("rule"), F.col("_best.rank").alias("rank"),
-        F.coalesce("_best.action", F.lit(default)).alias("verdict"),
+        *kept, "host", "path", F.col(f"{best}.name").alias("rule"), F.col(f"{best}.rank").alias("rank"),
+        F.coalesce(f"{best}.action", F.lit(default)).alias("verdict"),
     )

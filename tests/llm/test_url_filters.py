@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from cardflow.llm import url_filters as u
 from cardflow.llm.queries import HOST_RULES
@@ -66,3 +67,22 @@ def test_empty_table_clashing_columns_repeats_and_no_rules(spark):
     assert {(r.host, r.extra, r.verdict) for r in out.collect()} == {("a.net", 3, "block")} and out.count() == 2
     assert u.judge(df.limit(0), RULES).count() == 0
     assert u.judge(df, []).first().verdict == "allow"
+
+
+def test_a_table_of_rules_judges_alike(spark, monkeypatch):
+    rules = RULES + [u.Rule("gif", "*.gif^", "block"), u.Rule("any", "*z*", "block", 1), u.Rule("none", "/never/", "block", 9)]
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("page_id", "url")
+    pages = pages.union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "http://h/zoo.gif"), (-3, "http://h/zoo.gif")], pages.schema))
+    pages = pages.withColumns({"_best": F.lit(1), "subject": F.lit("s"), "token": F.lit("t")})
+    want = sorted(map(repr, u.judge(pages, rules).collect()))
+    monkeypatch.setattr(u, "LITERAL_RULES", 0)
+    assert sorted(map(repr, u.judge(pages, rules).collect())) == want
+    assert u.judge(pages.limit(0), rules).count() == 0
+
+
+def test_fifty_thousand_rules(spark):
+    rules = [u.host_path_rule(f"h{i}.net/p{i % 7}/", "block") for i in range(50_000)] + RULES
+    urls = [f"http://www.h{i}.net/p{i % 5}/x" for i in range(0, 50_000, 997)]
+    for i, (_, _, rule, verdict) in zip(range(0, 50_000, 997), judged(spark, urls, rules), strict=True):
+        own = f"h{i}.net/p{i % 7}/" if i % 7 == i % 5 else "net/"
+        assert (rule, verdict) == (own, "block")
