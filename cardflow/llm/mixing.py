@@ -93,19 +93,27 @@ def _key(seed: int, src: np.ndarray) -> np.ndarray:
     return _mixed(src.astype(np.uint64), np.full(len(src), seed, dtype=np.uint64))
 
 
-def taken_by_quota(quota: int, size: int, n_blocks: int, block: int, seed: int, src: int) -> int:
-    """Words of the first ``quota`` slots of a source.
+def place_of(at: int, n: int, key: np.ndarray) -> int:
+    """The place that ``permuted`` sends to ``at``: the same rounds, backwards."""
+    half = np.uint64(max(1, math.ceil(math.log2(max(n, 2)) / 2)))
+    mask = (np.uint64(1) << half) - np.uint64(1)
+    x = np.array([at], dtype=np.uint64)
+    while True:
+        left, right = x >> half, x & mask
+        for r in reversed(range(4)):
+            left, right = right ^ (_mixed(left, key + np.uint64(r * 0x632BE59B)) & mask), left
+        x = (left << half) | right
+        if x[0] < n:
+            return int(x[0])
 
-    Its last block may be short; whether it is among them is looked up for small sources,
-    where a block matters.
-    """
+
+def taken_by_quota(quota: int, size: int, n_blocks: int, block: int, seed: int, src: int) -> int:
+    """Words of the first ``quota`` slots of a source; its last block may be short."""
     if not n_blocks:
         return 0
     rounds, rest = divmod(quota, n_blocks)
-    places = np.arange(rest)
-    at = permuted(places, np.full(rest, n_blocks), _key(seed, np.full(rest, src))) if rest < 4096 else None
     short = n_blocks * block - size
-    has_last = bool((at == n_blocks - 1).any()) if at is not None else False
+    has_last = place_of(n_blocks - 1, n_blocks, _key(seed, np.array([src]))) < rest
     return rounds * size + rest * block - short * has_last
 
 

@@ -35,6 +35,18 @@ def test_permutation_is_one(n):
         assert out.tolist() != list(range(n))
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 17, 256, 9001])
+def test_words_of_a_quota_are_those_of_its_slots(n):
+    """At every size, with a short last block: no source is too large to be exact."""
+    key, size = m._key(3, np.full(n, 4)), 16 * n - 5
+    out = m.permuted(np.arange(n), np.full(n, n), key)
+    for at in {0, n // 2, n - 1}:
+        assert out[m.place_of(at, n, key[:1])] == at
+    for quota in {0, 1, n // 2, n - 1, n, n + 1, 2 * n + n // 3}:
+        blocks = out[np.arange(quota) % n]
+        assert m.taken_by_quota(quota, size, n, 16, 3, 4) == int(np.where(blocks == n - 1, 11, 16).sum())
+
+
 def test_shares_limits_and_reruns(spark):
     df = docs(spark)
     rows = m.taken(m.mix(df, block=16, shard_slots=256)).collect()
