@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardflow.schemas import MONEY, Field
+from cardflow.schemas import DAY_MS, MONEY, Field
 
 _PARSE = {"mode": "PERMISSIVE", "allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 _MAP = "__json"
@@ -34,6 +34,10 @@ _DIGITS = r"^-?\d+$"
 _FULL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}([.]\d{1,9})?(Z|[+-]\d{2}(:?\d{2})?)$"
 _DAY = r"^\d{4}-\d{2}-\d{2}$"
 _SHORT = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?(Z|[+-]\d{2}(:?\d{2})?)?$"
+_MONTHS = "JanFebMarAprMayJunJulAugSepOctNovDec"
+_RFC_1123 = (r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun), (\d{1,2}) (Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) (\d{4}) "
+             r"(\d{2}:\d{2}:\d{2}) (?:GMT|UTC)?([+-]\d{2}:?\d{2})?$")
+_UNUSUAL = r"^\d{4}-\d{2}-(?:29|3[01])|^[A-Z][a-z]{2}, "
 _LOCAL = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}(:\d{2}([.]\d{1,9})?)?Z?$"
 _ISO_MILLIS = "yyyy-MM-dd'T'HH:mm:ss.SSSxxx"
 _MIN_MILLIS, _MAX_MILLIS = -62135596800000, 253402300799999  # years 1 to 9999
@@ -108,19 +112,42 @@ def _read_money(value: Column, text: Column, field: Field) -> Column:
     return F.when(simple, text.try_cast(MONEY)).when(text.isNotNull(), slow)
 
 
+def _from_rfc_1123(text: Column) -> Column:
+    """ISO text of a date such as ``Tue, 03 Jun 2008 11:05:30 GMT``; the weekday is not checked."""
+    day, month, year, time, zone = (F.regexp_extract(text, _RFC_1123, i) for i in range(1, 6))
+    number = F.lpad(F.floor((F.instr(F.lit(_MONTHS), month) + 2) / 3).cast("string"), 2, "0")
+    return F.concat(year, F.lit("-"), number, F.lit("-"), F.lpad(day, 2, "0"), F.lit("T"), time,
+                    F.when(zone == "", "Z").otherwise(zone))
+
+
 def _read_instant(value: Column, text: Column, field: Field) -> Column:
+    """Epoch milliseconds, ISO text or RFC 1123; the 29th to 31st of a shorter month roll over."""
+
     def millis_of(iso: Column) -> Column:
         return F.unix_millis(iso.try_cast("timestamp"))
 
-    seconds = F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
-    zoned = F.when(seconds.rlike(_FULL), seconds).otherwise(F.concat(seconds, F.lit("Z")))
+    def zoned(text: Column) -> Column:
+        seconds = F.regexp_replace(text, r"(T\d{2}:\d{2})(Z|[+-]|$)", "$1:00$2")
+        return F.when(seconds.rlike(_FULL), seconds).otherwise(F.concat(seconds, F.lit("Z")))
+
+    def as_iso(text: Column) -> Column:
+        return (F.when(text.rlike(_DAY), F.concat(text, F.lit("T00:00:00Z"))).when(text.rlike(_SHORT), zoned(text))
+                .when(text.rlike(_RFC_1123), _from_rfc_1123(text)))
+
+    def rolled(iso: Column) -> Column:
+        day = F.substring(iso, 9, 2)
+        first = F.concat(F.substring(iso, 1, 8), F.lit("01"), F.substring(iso, 11, 40))
+        late = millis_of(first) + (day.try_cast("bigint") - 1) * DAY_MS
+        return F.coalesce(millis_of(iso), F.when(day.isin("29", "30", "31"), late))
+
     # Patterns first: a failed cast costs far more than a failed match.
-    millis = (
+    usual = (
         F.when(text.rlike(_FULL), millis_of(text))
         .when(text.rlike(_DIGITS), text.try_cast("bigint"))
         .when(text.rlike(_DAY), millis_of(F.concat(text, F.lit("T00:00:00Z"))))
-        .when(text.rlike(_SHORT), millis_of(zoned))
+        .when(text.rlike(_SHORT), millis_of(zoned(text)))
     )
+    millis = F.coalesce(usual, F.when(text.rlike(_UNUSUAL), _let(_let(text, as_iso), rolled)))
     return F.when(millis.between(_MIN_MILLIS, _MAX_MILLIS), F.timestamp_millis(millis))
 
 

@@ -273,6 +273,16 @@ def all_oracles() -> dict[str, str]:
                      AS order_amount,
                    CASE WHEN event_id % 6 IN (1, 5) THEN 'bad_order_amount' END AS reason
             FROM events""",
+        "decode_date_edges": """
+            SELECT event_id AS "offset",
+                   CAST(CASE event_id % 6
+                     WHEN 0 THEN TIMESTAMP '2023-03-01' + to_days(CAST((event_id // 6) % 3 AS INTEGER))
+                     WHEN 2 THEN date_trunc('second', ts) - INTERVAL 2 HOUR
+                     WHEN 3 THEN TIMESTAMP '2024-05-01' + (date_trunc('second', ts) - date_trunc('day', ts))
+                     WHEN 4 THEN NULL
+                     ELSE date_trunc('second', ts) END AS TIMESTAMP) AS order_date,
+                   CASE WHEN event_id % 6 = 4 THEN 'bad_order_date' END AS reason
+            FROM events""",
         "created_orders": _with(
             f"""SELECT order_id, account_id, credit_card_number, {_VALUE},
                        payment_status, order_date, CAST(NULL AS VARCHAR) AS credit_limit

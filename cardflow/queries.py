@@ -129,6 +129,10 @@ def decode_money_edges(spark: SparkSession, d: str) -> DataFrame:
     return out(decoded, "offset", "order_amount", "reason")
 
 
+def decode_date_edges(spark: SparkSession, d: str) -> DataFrame:
+    return out(decode.decode_orders(fx.date_edges(spark, d)), "offset", "order_date", "reason")
+
+
 def created_orders(spark: SparkSession, d: str) -> DataFrame:
     decoded = decode.decode_orders(fx.orders_topic(spark, d))
     return out(decode.created_orders(decoded), *ORDER_COLUMNS)
@@ -498,7 +502,7 @@ def flow_balances(spark: SparkSession, d: str) -> DataFrame:
 def all_queries() -> dict[str, Query]:
     listed = [
         scan_raw_events, topic_range_scan, publish_order_json, accounts_dlq, account_messages_dlq, orders_output,
-        frauds_output, fraud_report, cleared_orders_feed, ledger_results_feed, topic_round_trip, decode_accounts, decode_orders, decode_account_details, decode_money_edges, created_orders,
+        frauds_output, fraud_report, cleared_orders_feed, ledger_results_feed, topic_round_trip, decode_accounts, decode_orders, decode_account_details, decode_money_edges, decode_date_edges, created_orders,
         topup_orders, decode_outcome_counts, order_dead_letters, request_keys, order_intake,
         prefixed_account_key, request_status, fraud_verdicts, cleared_orders, orders_finished,
         accounts_netcard, accounts_other_brand, branch_accounts, branch_orders,

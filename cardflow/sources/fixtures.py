@@ -254,6 +254,24 @@ def money_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _records(df, S.ORDERS_INPUT, F.col("ts").cast("timestamp"))
 
 
+DATE_EDGES_SQL = """
+    SELECT CAST(event_id AS STRING) AS key, event_id AS seq, ts,
+           concat('{"orderDate":"', CASE event_id % 6
+             WHEN 0 THEN concat('2023-02-', 29 + (event_id DIV 6) % 3)
+             WHEN 1 THEN concat(date_format(ts, 'EEE, dd MMM yyyy HH:mm:ss'), ' GMT')
+             WHEN 2 THEN concat(date_format(ts, 'EEE, d MMM yyyy HH:mm:ss'), ' +0200')
+             WHEN 3 THEN concat('2024-04-31T', date_format(ts, 'HH:mm:ss'), 'Z')
+             WHEN 4 THEN concat('2024-', 13 + event_id % 80, '-01')
+             ELSE date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'") END, '"}') AS value
+    FROM events"""
+
+
+def date_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders with a date only: beyond a month's end, RFC 1123, impossible months, plain ones."""
+    df = _run(spark, sf_dir, "events", DATE_EDGES_SQL)
+    return _records(df, S.ORDERS_INPUT, F.col("ts").cast("timestamp"))
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table in the shape of a topic, keyed by user."""
     return table(spark, sf_dir, "events").select(

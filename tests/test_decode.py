@@ -78,6 +78,16 @@ CASES = {
     '{"orderDate":2024}': {"order_date": datetime(1970, 1, 1, 0, 0, 2, 24000)},
     '{"orderDate":"2024-01-01T03:00:00.0009Z"}': {"order_date": T3},
     '{"orderDate":"2024-13-01"}': "bad_order_date",
+    '{"orderDate":"2024-02-30"}': {"order_date": datetime(2024, 3, 1)},
+    '{"orderDate":"2023-02-29T03:00Z"}': {"order_date": datetime(2023, 3, 1, 3)},
+    '{"orderDate":"2024-04-31T23:00:00.500-0300"}': {"order_date": datetime(2024, 5, 2, 2, 0, 0, 500000)},
+    '{"orderDate":"2024-02-32"}': "bad_order_date",
+    '{"orderDate":"Mon, 01 Jan 2024 03:00:00 GMT"}': {"order_date": T3},
+    '{"orderDate":"Fri, 1 Jan 2024 00:00:00 -0300"}': {"order_date": T3},
+    '{"orderDate":"Mon, 01 Jan 2024 05:00:00 GMT+02:00"}': {"order_date": T3},
+    '{"orderDate":"Mon, 30 Feb 2024 05:00:00 UTC"}': {"order_date": datetime(2024, 3, 1, 5)},
+    '{"orderDate":"Mon, 01 Jan 2024 03:00:00"}': "bad_order_date",
+    '{"orderDate":"Mo, 01 Jan 2024 03:00:00 GMT"}': "bad_order_date",
     '{"orderDate":"soon"}': "bad_order_date",
     '{"orderDate":99999999999999999}': "bad_order_date",
     '{"orderId":"a","orderId":"b"}': {"order_id": "b"},
