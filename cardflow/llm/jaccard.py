@@ -3,11 +3,13 @@
 Documents with equal shingle sets form a class; classes are the nodes of the join.
 Two sets that reach the threshold share one of their first few shingles in any fixed order
 (rare ones first here), so each such shingle roots a tree of the classes that have it.
-A tree's leaves are classes in order of size; leaves form twigs, twigs pages, pages the tree.
-Twigs and pages hold the OR of their token bitmaps and their range of sizes.  The tree
-is traversed against itself, pages first; a pair of nodes is dropped when its largest
-possible overlap is too small, or when all below it is already linked.  What is left
-is verified on the full sets.
+A tree's leaves are classes in order of size; leaves form twigs, twigs pages, and 2^FAN_BITS
+neighbours the node above them, up to a node or two at the top.  Nodes hold the OR of their
+token bitmaps and their range of sizes.  The tree is traversed against itself from the top;
+a pair of nodes is dropped when its largest possible overlap is too small, or when all
+below it is already linked, and only pairs that are left are expanded.  Pairs of leaves are
+judged by their parity bitmaps, which differ in at most as many bits as the sets differ in
+shingles, however full they are.  What is left is verified on the full sets.
 
 Two passes: the first verifies only neighbours in each tree and joins what they link into
 components, which is enough for groups of near copies of any size; the second traverses
@@ -30,8 +32,11 @@ from cardflow.session import stored
 
 WIDTH, PERCENT = 3, 90
 PAGE, TWIG = 64, 8
-# Bitmaps in the trees, in longs; a class's own bitmap has about a bit per shingle.
+FAN_BITS = 4
+# Bitmaps in the trees, in longs: TREE has the bits that are set, ODD those set an odd number of times.
+# A class's own parity bitmap has about a bit per shingle.
 TREE = tuple(f"t{i}" for i in range(8))
+ODD = tuple(f"p{i}" for i in range(8))
 TREE_BITS = 64 * len(TREE)
 # The order of shingles puts frequent ones last: those that occur twice or more in a sample of one
 # set in SAMPLE, at most FREQUENT of them.  It sets the work alone; any order gives the same result.
@@ -42,7 +47,17 @@ CACHED_WORDS = 200_000  # whose hashes a Python worker remembers
 NO_ID = -(2**63)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _K1, _K2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
-_cache: dict[bytes, int] = {}
+
+
+class _Hashes(dict):
+    """Hashes of words, computed when first asked for."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
+_cache = _Hashes()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -60,10 +75,7 @@ def shingles(text: str | None, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(_cache) > CACHED_WORDS:
         _cache.clear()
-    for w in set(words):
-        if w not in _cache:
-            _cache[w] = xxhash.xxh3_64_intdigest(w)
-    h = np.array([_cache[w] for w in words], np.uint64)
+    h = np.fromiter(map(_cache.__getitem__, words), np.uint64, len(words))
     k = min(width, len(h))
     out = np.full(len(h) - k + 1, k, np.uint64)
     for i in range(k):
@@ -77,17 +89,18 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(digest, np.int64).tolist())
 
 
-def bitmap(s: np.ndarray) -> np.ndarray:
-    """Bit per hash value; as many bits as the next power of two of the size, TREE_BITS at least."""
+def bitmaps(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bitmaps of a set of hashes, in bytes: TREE_BITS bits that are set, and the parity of
+    each bit's count, with as many bits as the next power of two of the size, TREE_BITS at least."""
     bits = max(TREE_BITS, 1 << int(len(s) - 1).bit_length())
-    out = np.zeros(bits, np.uint8)
-    out[(s >> np.uint64(40)) & np.uint64(bits - 1)] = 1
-    return np.packbits(out, bitorder="little")
+    count = np.bincount((s >> np.uint64(40)).astype(np.int64) & (bits - 1), minlength=bits)
+    either = (count > 0).reshape(-1, TREE_BITS).any(axis=0)
+    return np.packbits(either, bitorder="little"), np.packbits((count & 1).astype(np.uint8), bitorder="little")
 
 
 def folded(b: np.ndarray, size: int) -> np.ndarray:
-    """A bitmap OR-folded to ``size`` bytes: the bitmap the set has at that width."""
-    return np.bitwise_or.reduce(b.reshape(-1, size), axis=0) if len(b) > size else b
+    """A parity bitmap folded to ``size`` bytes: the one the set has at that width."""
+    return np.bitwise_xor.reduce(b.reshape(-1, size), axis=0) if len(b) > size else b
 
 
 def keyed(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
@@ -119,7 +132,7 @@ def keyed(docs: DataFrame, text: str, doc_id: str, width: int) -> DataFrame:
 
 
 def signed(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, frequent: DataFrame) -> DataFrame:
-    """Per document k1, k2, id, its first shingles in the global order, and its bitmap."""
+    """Per document k1, k2, id, its first shingles in the global order, and its bitmaps."""
     last = np.sort(frequent.toArrow()["k1"].to_numpy().view(np.uint64))  # FREQUENT at most
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -133,13 +146,14 @@ def signed(docs: DataFrame, text: str, doc_id: str, width: int, percent: int, fr
                 at = np.searchsorted(last, s)
                 often = (last[np.minimum(at, len(last) - 1)] == s) if len(last) else np.zeros(len(s), bool)
                 first = np.concatenate([s[~often], s[often]])[:count]
-                bits = bitmap(s)
-                tree = folded(bits, TREE_BITS // 8).view(np.int64)
-                out.append((i, *set_key(s), first.view(np.int64), bits.tobytes(), *tree.tolist()))
-            yield pd.DataFrame(out, columns=["id", "k1", "k2", "first", "bits", *TREE])
+                tree, bits = bitmaps(s)
+                odd = folded(bits, TREE_BITS // 8)
+                longs = np.concatenate([tree, odd]).view(np.int64)
+                out.append((i, *set_key(s), first.view(np.int64), bits.tobytes(), *longs.tolist()))
+            yield pd.DataFrame(out, columns=["id", "k1", "k2", "first", "bits", *TREE, *ODD])
 
     own = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text).alias("text"))
-    return own.mapInPandas(released(rows), f"id long, k1 long, k2 long, first array<long>, bits binary, {', '.join(f'{c} long' for c in TREE)}")
+    return own.mapInPandas(released(rows), f"id long, k1 long, k2 long, first array<long>, bits binary, {', '.join(f'{c} long' for c in TREE + ODD)}")
 
 
 def paged(classes: DataFrame) -> DataFrame:
@@ -236,16 +250,22 @@ def _possible(n_a, n_b, bits_a, bits_b, low_a, low_b, percent: int) -> np.ndarra
     return missing * (100 + percent) <= (n_a + n_b) * (100 - percent)
 
 
+def _alike(n_a, n_b, odd_a, odd_b, percent: int) -> np.ndarray:
+    """May two sets reach the threshold?  Every bit in which their parity bitmaps differ is a
+    shingle that only one of them has."""
+    return _popcount(odd_a ^ odd_b) * (100 + percent) <= (n_a + n_b) * (100 - percent)
+
+
 def traversed(leaves: DataFrame, percent: int) -> DataFrame:
     """Pairs u < v of different components within each page, from a traversal of its twigs.
 
-    ``leaves`` are page, n, node, root and bitmap, in any order: a stored page may have been cut
-    in two on reading, so pages are put together here, in order of size.
+    ``leaves`` are page, n, node, root and bitmaps, in any order; pages are put together here, in order of size.
     """
 
     def walk(df: pd.DataFrame) -> Iterator[pd.DataFrame]:
         page, n, node, root = (df[c].to_numpy() for c in ("page", "n", "node", "root"))
         bits = df[list(TREE)].to_numpy().view(np.uint64)
+        odd = df[list(ODD)].to_numpy().view(np.uint64)
         low = _popcount(bits)
         start, size = _starts(page)
         place = np.arange(len(page)) - np.repeat(start, size)
@@ -268,7 +288,7 @@ def traversed(leaves: DataFrame, percent: int) -> DataFrame:
                     x, y = at[a[both]] + i, at[b[both]] + j
                     keep = (root[x] != root[y]) & _compatible(n[x], n[y], percent)
                     x, y = x[keep], y[keep]
-                    keep = _possible(n[x], n[y], bits[x], bits[y], low[x], low[y], percent)
+                    keep = _alike(n[x], n[y], odd[x], odd[y], percent)
                     x, y = x[keep], y[keep]
                     if len(x):
                         yield pd.DataFrame({"u": np.minimum(node[x], node[y]), "v": np.maximum(node[x], node[y])})
@@ -290,46 +310,84 @@ def traversed(leaves: DataFrame, percent: int) -> DataFrame:
     return whole_pages.mapInPandas(released(rows), "u long, v long")
 
 
+def _levels(pages: DataFrame) -> list[int]:
+    """By how many bits a page's number is shifted to name the nodes above it, level by level.
+
+    Numbers of a tree's pages are consecutive within a partition, whose own number begins at
+    bit 40; at the last level a tree has two nodes at most.
+    """
+    within = pages.groupBy("token", F.shiftright("page", 40).alias("part")).agg(
+        (F.max("page") - F.min("page")).alias("span"))
+    each = within.groupBy("token").agg(F.max("span").alias("span"), (F.max("part") - F.min("part")).alias("parts"))
+    span, parts = each.agg(F.coalesce(F.max("span"), F.lit(0)), F.coalesce(F.max("parts"), F.lit(0))).first()
+    out = [FAN_BITS]
+    while span >> out[-1]:
+        out.append(out[-1] + FAN_BITS)
+    if parts:
+        out.append(40 + FAN_BITS)
+        while parts >> (out[-1] - 40):
+            out.append(out[-1] + FAN_BITS)
+    return out
+
+
 def across_pages(leaves: DataFrame, percent: int) -> DataFrame:
     """Pairs u < v of different components on different pages of one tree.
 
-    Trees of one page and trees that are one component are left out first; then pairs of
-    pages, then pairs of leaves.
+    ``leaves`` are token, page, n, node, root and bitmaps of the trees of several pages.  Their
+    nodes are traversed in pairs from the top; a level's pairs that may hold a link are
+    expanded to the pairs of the nodes below, down to pages and then leaves.
     """
-    low = sum((F.bit_count(c) for c in TREE[1:]), F.bit_count(TREE[0]))
-    nodes = leaves.groupBy("token", "page").agg(
-        F.min("n").alias("least"), F.max("n").alias("most"), F.min("root").alias("root"), F.max("root").alias("other"),
-        F.min(low).alias("low"), *[F.bit_or(c).alias(c) for c in TREE])
-    trees = nodes.groupBy("token").agg(F.count("*").alias("k"), F.min("root").alias("a"), F.max("other").alias("b"))
-    nodes = nodes.join(trees.filter("k > 1 AND a <> b").select("token"), "token", "left_semi")
 
     def side(df: DataFrame, mark: str) -> DataFrame:
         return df.select(*[F.col(c).alias(c + mark) for c in df.columns])
 
-    def possible(n_a: str, n_b: str, low_a: Column, low_b: Column) -> Column:
-        common = sum((F.bit_count(F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b"))) for c in TREE[1:]),
-                     F.bit_count(F.col("t0_a").bitwiseAND(F.col("t0_b"))))
-        missing = F.greatest(low_a - common, F.lit(0)) + F.greatest(low_b - common, F.lit(0))
-        return missing * (100 + percent) <= (F.col(n_a) + F.col(n_b)) * (100 - percent)
-
-    apart = ~((F.col("root_a") == F.col("other_a")) & (F.col("root_b") == F.col("other_b")) & (F.col("root_a") == F.col("root_b")))
-    # Pages of a tree are in order of size, so the first of two has the smaller sets.
-    pairs = side(nodes, "_a").join(
-        side(nodes, "_b"),
-        (F.col("token_a") == F.col("token_b")) & (F.col("least_a") <= F.col("least_b")) & (F.col("page_a") != F.col("page_b"))
-        & (100 * F.col("most_a") >= percent * F.col("least_b")) & apart
-        & possible("most_a", "most_b", F.col("low_a"), F.col("low_b"))).select("page_a", "page_b")
-    leaf = leaves.select("page", "n", "node", "root", low.cast("long").alias("low"), *TREE)
-    met = pairs.join(side(leaf, "_a"), "page_a").join(
-        side(leaf, "_b").withColumnRenamed("page_b", "at_b"),
-        (F.col("page_b") == F.col("at_b")) & (F.col("root_a") != F.col("root_b"))
+    def bits_of(columns, how) -> Column:
+        return sum((F.bit_count(how(c)) for c in columns[1:]), F.bit_count(how(columns[0]))).cast("long")
+
+    low = bits_of(TREE, F.col)
+    summary = [F.min("least").alias("least"), F.max("most").alias("most"), F.min("root").alias("root"),
+               F.max("other").alias("other"), F.min("low").alias("low"), *[F.bit_or(c).alias(c) for c in TREE]]
+    own = leaves.select("token", "page", F.col("n").alias("least"), F.col("n").alias("most"), "root",
+                        F.col("root").alias("other"), low.alias("low"), *TREE)
+    pages = stored(own.groupBy("token", "page").agg(*summary))
+    levels = _levels(pages)
+
+    def nodes(shift: int, above: int) -> DataFrame:
+        """The nodes of a level, by place, and the place of the one above."""
+        at = pages.groupBy("token", F.shiftright("page", shift).alias("place")).agg(*summary) if shift else (
+            pages.withColumnRenamed("page", "place"))
+        return at.withColumn("above", F.shiftright("place", above - shift))
+
+    common = bits_of(TREE, lambda c: F.col(f"{c}_a").bitwiseAND(F.col(f"{c}_b")))
+    missing = F.greatest(F.col("low_a") - common, F.lit(0)) + F.greatest(F.col("low_b") - common, F.lit(0))
+    one = (F.col("root_a") == F.col("other_a")) & (F.col("root_b") == F.col("other_b")) & (F.col("root_a") == F.col("root_b"))
+    may_link = (
+        (100 * F.col("most_a") >= percent * F.col("least_b")) & (100 * F.col("most_b") >= percent * F.col("least_a"))
+        & ~one & (missing * (100 + percent) <= (F.col("most_a") + F.col("most_b")) * (100 - percent)))
+
+    top = nodes(levels[-1], levels[-1])
+    met = side(top, "_a").join(side(top, "_b"), (F.col("token_a") == F.col("token_b"))
+                               & (F.col("place_a") <= F.col("place_b")) & may_link)
+    for shift, above in zip([0, *levels][-2::-1], levels[::-1], strict=True):
+        pairs = met.select(F.col("token_a").alias("token"), F.col("place_a").alias("up_a"), F.col("place_b").alias("up_b"))
+        below = nodes(shift, above)
+        # A page meets itself within `traversed`.
+        order = F.col("place_a") <= F.col("place_b") if shift else F.col("place_a") < F.col("place_b")
+        met = pairs.join(side(below, "_a"), (F.col("token") == F.col("token_a")) & (F.col("up_a") == F.col("above_a"))).join(
+            side(below, "_b"), (F.col("token") == F.col("token_b")) & (F.col("up_b") == F.col("above_b")) & order & may_link)
+
+    leaf = leaves.select("page", "n", "node", "root", *ODD)
+    apart = bits_of(ODD, lambda c: F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
+    found = met.select("place_a", "place_b").join(side(leaf, "_a"), F.col("place_a") == F.col("page_a")).join(
+        side(leaf, "_b"),
+        (F.col("place_b") == F.col("page_b")) & (F.col("root_a") != F.col("root_b"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-        & possible("n_a", "n_b", F.col("low_a"), F.col("low_b")))
-    return met.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
+        & (apart * (100 + percent) <= (F.col("n_a") + F.col("n_b")) * (100 - percent)))
+    return found.select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v"))
 
 
 def _bound(n_a: Column, n_b: Column, bits_a: Column, bits_b: Column, percent: int) -> Column:
-    """May two classes reach the threshold, by their own bitmaps?"""
+    """May two classes reach the threshold, by their own parity bitmaps?"""
 
     @F.pandas_udf("boolean")
     def possible(n_a: pd.Series, n_b: pd.Series, bits_a: pd.Series, bits_b: pd.Series) -> pd.Series:
@@ -397,18 +455,23 @@ def groups(
         F.min("doc_id").alias("doc_id"), F.max("n").alias("n")).withColumn("node", F.monotonically_increasing_id())
     ids = stored(ids.withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))))
     signs = signed(docs, text, doc_id, width, percent, frequent)
-    classes = stored(signs.join(ids.drop("doc_id"), ["id", "k1", "k2"]).dropDuplicates(["node"]))
+    wanted = ids.drop("doc_id")
+    wanted = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_IDS else wanted
+    classes = stored(signs.join(wanted, ["id", "k1", "k2"]).dropDuplicates(["node"]))
 
     pages = stored(paged(classes))
     links = verified(docs, classes, neighbours(pages, percent), text, doc_id, width, percent)
     tied = stored(components(links))
 
-    in_tree = pages.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    leaves = in_tree.join(classes.select("node", *TREE), "node")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    leaves = stored(leaves.repartitionByRange(parts, "token", "page").sortWithinPartitions("token", "page", "n", "node"))
-    pairs = traversed(leaves.select("page", "n", "node", "root", *TREE), percent).unionByName(
-        across_pages(leaves, percent)).distinct()
+    # Trees that are one component by now hold no link that is needed.
+    in_tree = stored(pages.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    trees = in_tree.groupBy("token").agg(
+        (F.min("root") < F.max("root")).alias("open"), (F.min("page") < F.max("page")).alias("wide"))
+    open_trees = stored(in_tree.join(trees.filter("open").drop("open"), "token"))
+    bits = classes.select("node", *TREE, *ODD)
+    leaves = open_trees.join(bits, "node").select("page", "n", "node", "root", *TREE, *ODD)
+    wide = stored(open_trees.filter("wide").drop("wide").join(bits, "node"))
+    pairs = traversed(leaves, percent).unionByName(across_pages(wide, percent)).distinct()
     more = verified(docs, classes, stored(pairs), text, doc_id, width, percent)
     if not more.isEmpty():
         tied = stored(components(links.union(more)))

@@ -94,10 +94,70 @@ def test_bounds_never_drop_a_link():
         a = np.unique(rng.integers(0, 2**63, int(rng.integers(1, 400))).astype(np.uint64))
         b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.97], rng.integers(0, 2**63, int(rng.integers(0, 12))).astype(np.uint64)]))
         common = len(np.intersect1d(a, b))
-        x, y = (j.folded(j.bitmap(s), j.TREE_BITS // 8).view(np.uint64)[None] for s in (a, b))
+        maps = [j.bitmaps(v) for v in (a, b)]
+        x, y = (tree.view(np.uint64)[None] for tree, _ in maps)
+        odd = [j.folded(own, j.TREE_BITS // 8).view(np.uint64)[None] for _, own in maps]
         low = [np.bitwise_count(v).sum(axis=1).astype(np.int64) for v in (x, y)]
-        if 100 * common >= 90 * (len(a) + len(b) - common):
-            assert j._possible(np.array([len(a)]), np.array([len(b)]), x, y, *low, 90)[0]
+        n = np.array([len(a)]), np.array([len(b)])
+        for percent in (90, 80):
+            if 100 * common >= percent * (len(a) + len(b) - common):
+                assert j._possible(*n, x, y, *low, percent)[0]
+                assert j._alike(*n, *odd, percent)[0]
+
+
+def test_parity_bitmaps_tell_full_sets_apart():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    a = np.unique(rng.integers(0, 2**63, 2000).astype(np.uint64))
+    b = np.concatenate([a[400:], rng.integers(0, 2**63, 400).astype(np.uint64)])
+    n = np.array([2000])
+    (x, own_x), (y, own_y) = j.bitmaps(a), j.bitmaps(b)
+    x, y = (v.view(np.uint64)[None] for v in (x, y))
+    assert j._possible(n, n, x, y, *(np.bitwise_count(v).sum(axis=1).astype(np.int64) for v in (x, y)), 90)[0]
+    assert not j._alike(n, n, *(j.folded(v, j.TREE_BITS // 8).view(np.uint64)[None] for v in (own_x, own_y)), 90)[0]
+
+
+@pytest.mark.parametrize("fan, partitions", [(1, 1), (1, 5), (2, 3), (4, 40)])
+def test_traversal_meets_all_pages_of_a_tree(spark, fan, partitions, monkeypatch):
+    """Every pair of leaves on different pages that may link comes out, whatever levels lie above."""
+    import numpy as np
+
+    monkeypatch.setattr(j, "FAN_BITS", fan)
+    rng = np.random.default_rng(fan + partitions)
+    rows, page, sets = [], 0, {}
+    for token in (3, 4, 5):
+        sizes = sorted(int(v) for v in rng.integers(20, 60, 60))
+        base = rng.integers(0, 2**63, 60).astype(np.uint64)
+        for i, n in enumerate(sizes):
+            if i % 3 == 0:
+                page += 1
+                if rng.random() < partitions / 20 and (page >> 40) < partitions:
+                    page = ((page >> 40) + 1) << 40
+            s = base[:n].copy()
+            s[rng.random(n) < 0.04] += np.uint64(1 << 45)
+            tree, own = j.bitmaps(s)
+            node = len(rows)
+            sets[node] = (token, page, n, own)
+            rows.append((token, page, n, node, node // 2, *tree.view(np.int64).tolist(), *own.view(np.int64).tolist()))
+    names = ["token", "page", "n", "node", "root", *j.TREE, *j.ODD]
+    leaves = spark.createDataFrame([tuple(map(int, r)) for r in rows], ", ".join(f"{c} long" for c in names))
+    found = sorted(map(tuple, j.across_pages(leaves, 90).collect()))
+    expected = [
+        (u, v) for u in sets for v in sets
+        if u < v and sets[u][0] == sets[v][0] and sets[u][1] != sets[v][1] and u // 2 != v // 2
+        and 100 * min(sets[u][2], sets[v][2]) >= 90 * max(sets[u][2], sets[v][2])
+        and int(np.bitwise_count(sets[u][3] ^ sets[v][3]).sum()) * 190 <= (sets[u][2] + sets[v][2]) * 10]
+    assert expected and found == expected
+    assert j.across_pages(leaves.filter("false"), 90).count() == 0
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_five_words_at_80_percent_match_brute_force(spark, seed):
+    rows = corpus(seed, 160)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((r.doc_id, r.n, r.root_id) for r in j.groups(df, width=5, percent=80).collect()), key=str)
+    assert found == brute(rows, 80, 5)
 
 
 def test_connected_components(spark):
@@ -128,7 +188,7 @@ def test_pages_cut_by_row_groups_keep_their_pairs(spark):
     # Ten pages of one tree, in which every two sets of a page may reach the threshold.
     leaves = spark.range(10 * j.PAGE).select(
         F.expr(f"id div {j.PAGE}").alias("page"), F.lit(50).cast("long").alias("n"), F.col("id").alias("node"), F.col("id").alias("root"),
-        *[F.lit(3).cast("long").alias(c) for c in j.TREE]).coalesce(1)
+        *[F.lit(3).cast("long").alias(c) for c in j.TREE + j.ODD]).coalesce(1)
     small = {"parquet.block.size": "2000", "spark.sql.files.maxPartitionBytes": "2000", "spark.sql.files.openCostInBytes": "2000"}
     before = {k: spark.conf.get(k, None) for k in small}
     for k, v in small.items():
