@@ -7,6 +7,7 @@ property, missing fields) so that strict decoding is exercised on all rows.
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 
@@ -145,8 +146,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return use_utc(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-# Rows of a micro-batch of a registered stream, and of a file of its log.
+# Rows of a file of a registered stream's log, and so of its smallest micro-batch.
 STREAM_ROWS = 5_000
+# Every micro-batch has a fixed cost: a longer log is read in about this many larger ones, of so many files each.
+MICRO_BATCHES, BATCH_FILES = 10, 24
+
+
+def stream_rows(rows: int) -> int:
+    """Rows of a micro-batch over a log of so many rows."""
+    return max(STREAM_ROWS, math.ceil(rows / MICRO_BATCHES))
 
 
 def event_log(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1, path: str | None = None) -> str:
@@ -156,12 +164,13 @@ def event_log(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1, p
     """
     path = path or f"{checkpoint_root(spark)}/logs/{uuid.uuid4()}"
     events = table(spark, sf_dir, "events")
+    file_rows = max(STREAM_ROWS, stream_rows(events.count()) // BATCH_FILES)
     if parts > 1:
         at = F.col("ts").cast("timestamp").cast("double")
         cuts = events.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
         place = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
         events = events.filter(place == part)
-    append_log(events, path, "ts", "event_id", file_rows=STREAM_ROWS)
+    append_log(events, path, "ts", "event_id", file_rows=file_rows)
     return path
 
 
@@ -172,8 +181,9 @@ def _run(
     source = f"parquet.`{sf_dir}/{name}.parquet`"
     if log is not None:
         source = f"cardflow_stream_{name}"
-        # A fixed number of rows per micro-batch bounds what one key can bring into a task.
-        stream = read_log(spark, log, table(spark, sf_dir, name).schema, streaming=True, maxRowsPerTrigger=STREAM_ROWS,
+        # What one key brings into a task is sorted in pieces, whatever the rows of a micro-batch.
+        rows = table(spark, sf_dir, name)
+        stream = read_log(spark, log, rows.schema, streaming=True, maxRowsPerTrigger=stream_rows(rows.count()),
                           position=f"{log}/position-{zlib.crc32(sql.encode())}.json")
         stream.createOrReplaceTempView(source)
     text = sql.replace(f"FROM {name}", f"FROM {source}")

@@ -81,7 +81,7 @@ class LedgerProcessor(StatefulProcessor):
         self.balance = handle.getValueState("balance", LEDGER_STATE)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        balance = self.balance.get()[0] if self.balance.exists() else Decimal(0)
+        balance, = self.balance.get() or (Decimal(0),)
         for ts, rank, seq, order_id, card, limit, amount, status in in_order(rows, self.FIELDS, lambda e: e[:3], self.piece):
             topup = status == self.topup_status
             after = (_EXACT.add if topup else _EXACT.subtract)(balance, amount)
@@ -119,8 +119,7 @@ class OrderStateProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         names = [part.strip().split(" ")[0] for part in ORDER_STATE.split(", ")]
-        known = self.state.get() if self.state.exists() else [None] * len(names)
-        order = dict(zip(names, known))
+        order = dict(zip(names, self.state.get() or [None] * len(names)))
         for _, _, *first, limit, status in in_order(rows, self.FIELDS, lambda e: e[:2], self.piece):
             for name, value in zip(_FIRST_FIELDS, first):
                 if order[name] is None:

@@ -89,3 +89,19 @@ def test_equal_times_stay_together(spark, tmp_path):
     assert files.groupBy("ts").agg(F.countDistinct("file").alias("n")).filter("n > 1").count() == 0
     assert files.select("file").distinct().count() > 1
     assert read_log(spark, log, events.schema).exceptAll(events).count() == 0
+
+
+def test_micro_batches_grow_with_the_log(spark, tmp_path, monkeypatch):
+    """A registered stream reads a log of any length in about as many micro-batches, each row once."""
+    monkeypatch.setattr(fx, "STREAM_ROWS", 10)
+    log = fx.event_log(spark, DATA)
+    seen = []
+    query = (fx.orders(spark, DATA, log).writeStream
+             .foreachBatch(lambda batch, n: seen.append([r.order_id for r in batch.select("order_id").collect()]))
+             .option("checkpointLocation", f"{tmp_path}/cp").start())
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert fx.MICRO_BATCHES / 2 < len(seen) <= 2 * fx.MICRO_BATCHES
+    assert sorted(i for ids in seen for i in ids) == sorted(r.order_id for r in fx.orders(spark, DATA).select("order_id").collect())
