@@ -23,6 +23,8 @@ from cardflow.session import cut_lineage, stored
 
 # Accounts with more than HOT_ROWS events are cut into chunks of about this size.
 CHUNK_ROWS = 2_000_000
+# Smaller chunks, if asked for, grow up to CHUNK_ROWS so that there are no more than these; each is a task.
+MAX_CHUNKS = 96
 # Rounds over open chunks side by side; accounts that are open then get transfer functions.
 MAX_ROUNDS = 3
 # Pieces of a chunk's transfer function, and intervals of balances it is made for.
@@ -135,6 +137,7 @@ def _fold_chunks(df: DataFrame, rows: int, last_only: bool, chunk_rows: int) ->
     after MAX_ROUNDS.  No task reads more than its chunks, one after the other.
     """
     keys = ["account_id", "chunk"]
+    chunk_rows = max(chunk_rows, min(CHUNK_ROWS, math.ceil(rows / MAX_CHUNKS)))
     chunks = max(1, math.ceil(rows / chunk_rows))
     laid = cut_lineage(
         df.repartitionByRange(chunks, "account_id", *ORDER)

@@ -251,3 +251,19 @@ def test_account_across_arrow_batches():
     last = pa.Table.from_batches(ledger_fold.fold(["account_id"], True)(iter(batches)))
     assert last["account_id"].to_pylist() == ["a", "b"]
     assert ledger_fold.unscaled(last["balance"].combine_chunks()) == [0, 4]
+
+
+def test_small_chunks_grow_to_a_bounded_number(spark, monkeypatch):
+    """However small the chunks that are asked for, an account is not cut into a task for each few rows."""
+    monkeypatch.setattr(ledger, "MAX_CHUNKS", 4)
+    laid, real = [], ledger.cut_lineage
+
+    def spied(df):
+        cut = real(df)
+        if {"chunk", "order_id"} <= set(df.columns):
+            laid.append(cut.select("chunk").distinct().count())
+        return cut
+
+    monkeypatch.setattr(ledger, "cut_lineage", spied)
+    check(spark, grid_prices(400), hot_rows=50, chunk_rows=5)
+    assert laid and all(1 < n <= 4 for n in laid)
