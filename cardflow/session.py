@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,10 @@ ROCKSDB = {
 # Checkpoints of state as changes since the last snapshot: small, and readable as a change feed.
 CHANGELOG = {"spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
 
+PARTITIONS = "spark.sql.shuffle.partitions"
+# Rows of a micro-batch that give a partition of a stream's state enough to do.
+STATE_ROWS = 25_000
+
 
 def local_session(cores: int | str = 8, **extra: str) -> SparkSession:
     """Session for tests and benchmarks on one machine."""
@@ -46,6 +53,22 @@ def use_utc(spark: SparkSession) -> SparkSession:
     return spark
 
 
+@contextmanager
+def state_partitions(spark: SparkSession, rows: int) -> Iterator[int]:
+    """Streams started inside keep their state in partitions for micro-batches of so many rows.
+
+    Each partition is opened and committed by every micro-batch, whatever it holds, and Spark neither merges
+    them nor changes their number later.  One a core at least, the session's number at most.
+    """
+    given = spark.conf.get(PARTITIONS)
+    needed = max(spark.sparkContext.defaultParallelism, math.ceil(rows / STATE_ROWS))
+    spark.conf.set(PARTITIONS, str(min(int(given), needed)))
+    try:
+        yield min(int(given), needed)
+    finally:
+        spark.conf.set(PARTITIONS, given)
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """Shared folder for checkpoints, as the session names it.
 

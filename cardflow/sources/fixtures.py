@@ -157,6 +157,11 @@ def stream_rows(rows: int) -> int:
     return max(STREAM_ROWS, math.ceil(rows / MICRO_BATCHES))
 
 
+def batch_rows(spark: SparkSession, sf_dir: str, name: str = "events") -> int:
+    """Rows of a micro-batch of a registered stream over the table."""
+    return stream_rows(table(spark, sf_dir, name).count())
+
+
 def event_log(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1, path: str | None = None) -> str:
     """Append the events, or one of so many slices of their time, to a log; equal times stay together.
 
@@ -182,8 +187,8 @@ def _run(
     if log is not None:
         source = f"cardflow_stream_{name}"
         # What one key brings into a task is sorted in pieces, whatever the rows of a micro-batch.
-        rows = table(spark, sf_dir, name)
-        stream = read_log(spark, log, rows.schema, streaming=True, maxRowsPerTrigger=stream_rows(rows.count()),
+        stream = read_log(spark, log, table(spark, sf_dir, name).schema, streaming=True,
+                          maxRowsPerTrigger=batch_rows(spark, sf_dir, name),
                           position=f"{log}/position-{zlib.crc32(sql.encode())}.json")
         stream.createOrReplaceTempView(source)
     text = sql.replace(f"FROM {name}", f"FROM {source}")

@@ -13,22 +13,26 @@ from pyspark.sql import functions as F
 
 from cardflow.operators.keyed import latest_per_key
 from cardflow.schemas import TOPIC_SCHEMA
-from cardflow.session import CHANGELOG, ROCKSDB
+from cardflow.session import CHANGELOG, ROCKSDB, state_partitions
 from cardflow.sources.commits import Commit, CommitTable
 from cardflow.sources.topics import read_topic, write_topic
 
 
-def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream until its input is used up and return the table it keeps."""
+def run_to_end(df: DataFrame, table: KeyedTable, mode: str, checkpoint: str, rows: int) -> DataFrame:
+    """Run a stream until its input is used up and return the table it keeps.
+
+    A micro-batch has about so many ``rows``; the partitions of the state are as many as these need.
+    """
     spark = df.sparkSession
     for key, value in {**ROCKSDB, **CHANGELOG}.items():
         spark.conf.set(key, value)
-    query = (
+    writer = (
         df.writeStream.outputMode(mode)
         .foreachBatch(lambda batch, n: table.write(batch, n))
         .option("checkpointLocation", checkpoint)
-        .start()
     )
+    with state_partitions(spark, rows):
+        query = writer.start()
     try:
         query.processAllAvailable()
     finally:

@@ -12,9 +12,9 @@ from cardflow.plans import accounts, lifecycle
 from cardflow.sources import fixtures as fx
 from cardflow.streaming import processors
 from cardflow.streaming.flow import LETTER, REPORT, Flow
-from cardflow.session import CHANGELOG
+from cardflow.session import CHANGELOG, PARTITIONS, STATE_ROWS, state_partitions
 from cardflow.streaming.state import lookup_state, read_state, state_changes, streaming_ledger, streaming_order_state
-from cardflow.streaming.tables import FileTopics, KeyedTable
+from cardflow.streaming.tables import FileTopics, KeyedTable, run_to_end
 from tests.conftest import DATA
 
 
@@ -261,3 +261,25 @@ def test_results_appear_between_ticks(spark, tmp_path):
         assert len(ticks) == 2
     finally:
         query.stop()
+
+
+def test_state_partitions_follow_the_rows(spark, tmp_path):
+    """Small micro-batches don't open and commit all partitions that the session has for large shuffles."""
+    raw = fx.raw_events(spark, DATA).drop("topic", "partition")
+    raw.write.parquet(f"{tmp_path}/in")
+    given = spark.conf.get(PARTITIONS)
+    spark.conf.set(PARTITIONS, "60")
+    try:
+        stream = latest_per_key(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in"), "key", ["value"], F.col("offset"))
+        table = KeyedTable(f"{tmp_path}/t", "key", "key string, value string")
+        read = run_to_end(stream, table, "update", f"{tmp_path}/cp", 1000)
+        assert spark.conf.get(PARTITIONS) == "60"
+        made = [p for p in (tmp_path / "cp" / "state" / "0").iterdir() if p.name.isdigit()]
+        assert len(made) == min(60, spark.sparkContext.defaultParallelism)
+        with state_partitions(spark, 30 * STATE_ROWS) as n:
+            assert n == max(30, spark.sparkContext.defaultParallelism) and spark.conf.get(PARTITIONS) == str(n)
+        with state_partitions(spark, 1000 * STATE_ROWS) as n:
+            assert n == 60
+    finally:
+        spark.conf.set(PARTITIONS, given)
+    assert rows(read, "key", "value") == rows(latest_per_key(raw, "key", ["value"], F.col("offset")), "key", "value")
