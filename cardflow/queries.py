@@ -21,7 +21,7 @@ from cardflow.sources import fixtures as fx
 from cardflow.sources.topic_log import OFFSET, read_log
 from cardflow.sources.topics import publish, read_topic, write_topic
 from cardflow.streaming.flow import Flow
-from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT
+from cardflow.streaming.processors import LEDGER_OUTPUT, ORDER_OUTPUT, state_buckets
 from cardflow.streaming.state import lookup_state, streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KeyedTable, run_to_end
 
@@ -406,6 +406,10 @@ def order_lifecycle_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- streams: the same results from Structured Streaming, run to the end of its input --
+def _buckets(spark: SparkSession, d: str) -> int:
+    return state_buckets(fx.batch_rows(spark, d))
+
+
 def _streamed(spark: SparkSession, d: str, df: DataFrame, key: str, schema: str, mode: str) -> DataFrame:
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
     table = KeyedTable(f"{root}/table", key, schema)
@@ -421,13 +425,13 @@ def stream_fraud_verdicts(spark: SparkSession, d: str) -> DataFrame:
 def stream_ledger_results(spark: SparkSession, d: str) -> DataFrame:
     log = fx.event_log(spark, d)
     feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
-    results = _streamed(spark, d, streaming_ledger(feed), "order_id", LEDGER_OUTPUT, "append")
+    results = _streamed(spark, d, streaming_ledger(feed, buckets=_buckets(spark, d)), "order_id", LEDGER_OUTPUT, "append")
     return out(results, *_CHANGE)
 
 
 def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
     events = fx.order_events(spark, d, fx.event_log(spark, d)).withColumn("stage", F.lit(0))
-    state = streaming_order_state(events)
+    state = streaming_order_state(events, buckets=_buckets(spark, d))
     return out(_streamed(spark, d, state, "order_id", ORDER_OUTPUT, "update"), *ORDER_COLUMNS)
 
 
@@ -439,7 +443,7 @@ def stream_ledger_restarted(spark: SparkSession, d: str) -> DataFrame:
     for part in range(2):
         log = fx.event_log(spark, d, part, 2, log)
         feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
-        results = run_to_end(streaming_ledger(feed), table, "append", f"{root}/checkpoint", fx.batch_rows(spark, d))
+        results = run_to_end(streaming_ledger(feed, buckets=_buckets(spark, d)), table, "append", f"{root}/checkpoint", fx.batch_rows(spark, d))
     return out(results, *_CHANGE)
 
 
@@ -448,7 +452,7 @@ def live_balances(spark: SparkSession, d: str) -> DataFrame:
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
     log = fx.event_log(spark, d)
     feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
-    run_to_end(streaming_ledger(feed), KeyedTable(f"{root}/table", "order_id", LEDGER_OUTPUT), "append",
+    run_to_end(streaming_ledger(feed, buckets=_buckets(spark, d)), KeyedTable(f"{root}/table", "order_id", LEDGER_OUTPUT), "append",
                f"{root}/checkpoint", fx.batch_rows(spark, d))
     asked = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("account_id"))
     return out(lookup_state(asked, f"{root}/checkpoint", "balance", "account_id"), "account_id", "balance")
@@ -458,7 +462,7 @@ def live_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders of all customers, asked from the state of the streaming order merge."""
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
     events = fx.order_events(spark, d, fx.event_log(spark, d)).withColumn("stage", F.lit(0))
-    run_to_end(streaming_order_state(events), KeyedTable(f"{root}/table", "order_id", ORDER_OUTPUT), "update",
+    run_to_end(streaming_order_state(events, buckets=_buckets(spark, d)), KeyedTable(f"{root}/table", "order_id", ORDER_OUTPUT), "update",
                f"{root}/checkpoint", fx.batch_rows(spark, d))
     asked = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("order_id"))
     return out(lookup_state(asked, f"{root}/checkpoint", "order", "order_id"), *ORDER_COLUMNS)
@@ -476,7 +480,8 @@ def _flow(spark: SparkSession, d: str) -> Flow:
     root = f"{checkpoint_root(spark)}/flows/{uuid.uuid4()}"
     for key, value in ROCKSDB.items():
         spark.conf.set(key, value)
-    flow = Flow(spark, FileTopics(f"{root}/topics"), root, {"availableNow": True})
+    rows = fx.table(spark, d, "events").count() // FLOW_SLICES
+    flow = Flow(spark, FileTopics(f"{root}/topics"), root, {"availableNow": True}, state_buckets(rows))
     taken = stored(decode.valid(decode.order_intake(fx.order_requests(spark, d))).select(
         F.col("order_id").alias("key"), encode_json(S.ORDER).alias("value"), "offset", "timestamp"))
     topups = fx.balance_requests(spark, d).drop("topic", "partition")

@@ -23,6 +23,7 @@ from cardflow.operators.keyed import merge
 from cardflow.operators.ledger import as_order_events, ledger_input, unfit_events
 from cardflow.plans import accounts, fraud, orders
 from cardflow.sources.commits import CommitTable
+from cardflow.streaming.processors import BUCKETS
 from cardflow.streaming.state import streaming_ledger, streaming_order_state
 from cardflow.streaming.tables import FileTopics, KafkaTopics, KeyedTable
 
@@ -60,6 +61,7 @@ class Flow:
     topics: FileTopics | KafkaTopics
     root: str  # tables and checkpoints, on storage that all executors share
     trigger: dict
+    buckets: int = BUCKETS  # of the ledger's and the order table's state, for the life of their checkpoints
 
     # --- tables ---------------------------------------------------------------
     def _table(self, name: str, key: str, schema: str) -> KeyedTable:
@@ -179,7 +181,7 @@ class Flow:
         )
         return self._start(
             "order_table",
-            streaming_order_state(events),
+            streaming_order_state(events, buckets=self.buckets),
             lambda batch, n: self.orders.write(batch, n),
             "update",
         )
@@ -208,7 +210,7 @@ class Flow:
                 S.ORDERS_INPUT, _records(results, F.col("order_id"), LEDGER), "ledger", n
             )
 
-        return self._start("ledger", streaming_ledger(events), sink, "append")
+        return self._start("ledger", streaming_ledger(events, buckets=self.buckets), sink, "append")
 
     def start_ledger_refusals(self) -> StreamingQuery:
         events, undecoded = self._ledger_events()

@@ -1,8 +1,8 @@
 """Stateful processors: the balance ledger and the order merge, event by event.
 
-Rows of one key arrive unordered within a micro-batch and are sorted here, at most
-``PIECE`` of them at a time: a key with more leaves sorted pieces on the task's own disk,
-as Spark's sort does, and they are merged while they are applied.  Between micro-batches
+Keys share buckets.  Rows of one bucket arrive unordered within a micro-batch and are sorted
+here, at most ``PIECE`` of them at a time: a bucket with more leaves sorted pieces on the task's
+own disk, as Spark's sort does, and they are merged while they are applied.  Between micro-batches
 the order of arrival counts.
 """
 
@@ -12,9 +12,9 @@ import heapq
 import pickle
 import sys
 import tempfile
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Generator, Iterable, Iterator
 from decimal import Context, Decimal
-from itertools import islice
+from itertools import groupby, islice
 
 from pyspark import cloudpickle
 from pyspark.sql import Row
@@ -40,8 +40,17 @@ ORDER_STATE = (
 ORDER_OUTPUT = f"order_id string, {ORDER_STATE}"
 
 
-# Rows of one key that a task holds at once.
+# Rows of one bucket that a task holds at once.
 PIECE = 20_000
+# Field of a bucket's state that holds its rows.
+BUCKET_ROWS = "rows"
+# Buckets if nothing is known about the input, and rows of a micro-batch for each otherwise.
+BUCKETS, ROWS_PER_BUCKET = 1_024, 100
+
+
+def state_buckets(rows: int) -> int:
+    """Buckets of state for micro-batches of so many rows."""
+    return max(64, -(-rows // ROWS_PER_BUCKET))
 
 
 def in_order(rows: Iterable[Row], fields: tuple[str, ...], place: Callable, piece: int) -> Iterator[tuple]:
@@ -68,27 +77,59 @@ def in_order(rows: Iterable[Row], fields: tuple[str, ...], place: Callable, piec
     yield from heapq.merge(*[read(*r) for r in runs], key=place)
 
 
-class LedgerProcessor(StatefulProcessor):
+class Bucketed(StatefulProcessor):
+    """State of all keys of a bucket as one value, a row per key.
+
+    A value costs a request to Spark to read and one to write, and a group costs a batch of output, far more
+    than a row: a bucket shares these among its keys.  Rows that this micro-batch set are marked ``changed``.
+    """
+
+    VARIABLE: str
+    STATE: str  # fields after the key
+    FIELDS: tuple[str, ...]  # of the input: the key, then ``PLACES`` fields that order its events, then others
+    PLACES: int
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        fields = ", ".join(f"{f.split(' ')[0]}: {f.split(' ')[1]}" for f in [f"{self.FIELDS[0]} string", *self.STATE.split(", ")])
+        self.state = handle.getValueState(self.VARIABLE, f"{BUCKET_ROWS} array<struct<{fields}, changed: boolean>>")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        held, = self.state.get() or ([],)
+        known = {row[0]: tuple(row)[1:-1] for row in held}
+        changed = set()
+        events = in_order(rows, self.FIELDS, lambda e: e[:1 + self.PLACES], self.piece)
+        for name, own in groupby(events, key=lambda e: e[0]):
+            known[name] = yield from self.apply(name, known.get(name), own)
+            changed.add(name)
+        self.state.update(([(name, *state, name in changed) for name, state in known.items()],))
+
+    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[Row, None, tuple]:
+        """Output rows of a key's events in order; returns its state after them."""
+        raise NotImplementedError
+
+    def close(self) -> None:
+        pass
+
+
+class LedgerProcessor(Bucketed):
     """One output row per event; the state is the account's balance."""
 
-    FIELDS = ("event_ts", "source_rank", "event_seq", "order_id", "credit_card_number", "credit_limit",
+    VARIABLE, STATE, PLACES = "balance", LEDGER_STATE, 3
+    FIELDS = ("account_id", "event_ts", "source_rank", "event_seq", "order_id", "credit_card_number", "credit_limit",
               "order_amount", "payment_status")
 
     def __init__(self, topup_status: str, executed: str, refused: str, piece: int = PIECE) -> None:
         self.topup_status, self.executed, self.refused, self.piece = topup_status, executed, refused, piece
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.balance = handle.getValueState("balance", LEDGER_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        balance, = self.balance.get() or (Decimal(0),)
-        for ts, rank, seq, order_id, card, limit, amount, status in in_order(rows, self.FIELDS, lambda e: e[:3], self.piece):
+    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[Row, None, tuple]:
+        balance, = state or (Decimal(0),)
+        for account, ts, rank, seq, order_id, card, limit, amount, status in events:
             topup = status == self.topup_status
             after = (_EXACT.add if topup else _EXACT.subtract)(balance, amount)
             accepted = topup or after >= 0
             balance = after if accepted else balance
             yield Row(
-                account_id=key[0],
+                account_id=account,
                 order_id=order_id,
                 credit_card_number=card,
                 credit_limit=limit,
@@ -100,36 +141,28 @@ class LedgerProcessor(StatefulProcessor):
                 balance=balance,
                 payment_status=self.executed if accepted else self.refused,
             )
-        self.balance.update((balance,))
-
-    def close(self) -> None:
-        pass
+        return (balance,)
 
 
-class OrderStateProcessor(StatefulProcessor):
+class OrderStateProcessor(Bucketed):
     """One output row per order and micro-batch: the order's state after it."""
 
-    FIELDS = ("stage", "event_seq", *_FIRST_FIELDS, "credit_limit", "payment_status")
+    VARIABLE, STATE, PLACES = "order", ORDER_STATE, 2
+    FIELDS = ("order_id", "stage", "event_seq", *_FIRST_FIELDS, "credit_limit", "payment_status")
 
     def __init__(self, piece: int = PIECE) -> None:
         self.piece = piece
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("order", ORDER_STATE)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = [part.strip().split(" ")[0] for part in ORDER_STATE.split(", ")]
-        order = dict(zip(names, self.state.get() or [None] * len(names)))
-        for _, _, *first, limit, status in in_order(rows, self.FIELDS, lambda e: e[:2], self.piece):
-            for name, value in zip(_FIRST_FIELDS, first):
-                if order[name] is None:
-                    order[name] = value
+    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[Row, None, tuple]:
+        names = [part.split(" ")[0] for part in ORDER_STATE.split(", ")]
+        order = dict(zip(names, state or [None] * len(names)))
+        for _, _, _, *first, limit, status in events:
+            for field, value in zip(_FIRST_FIELDS, first):
+                if order[field] is None:
+                    order[field] = value
             # The limit follows the events for as long as the order has no date.
             if order["order_date"] is None:
                 order["credit_limit"] = limit
             order["payment_status"] = status
-        self.state.update(tuple(order[n] for n in names))
-        yield Row(order_id=key[0], **order)
-
-    def close(self) -> None:
-        pass
+        yield Row(order_id=name, **order)
+        return tuple(order[n] for n in names)

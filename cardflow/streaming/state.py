@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow import schemas as S
@@ -11,18 +11,23 @@ from cardflow.operators.ledger import fit_events
 from cardflow.streaming import processors as P
 
 
-def streaming_ledger(events: DataFrame, piece: int = P.PIECE) -> DataFrame:
+def _bucket(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def streaming_ledger(events: DataFrame, piece: int = P.PIECE, buckets: int = P.BUCKETS) -> DataFrame:
     """Ledger changes, one row per event (append); see ``ledger_changes``.
 
-    ``event_seq`` is a long here.  The key is the account, so one account's events
-    of a micro-batch meet in one task, which holds ``piece`` of them at a time.
+    ``event_seq`` is a long here.  Accounts are dealt to ``buckets`` that share their state's
+    value, so one bucket's events of a micro-batch meet in one task, which holds ``piece`` of them
+    at a time.  A bucket with news is read and written whole; a checkpoint keeps its number of buckets.
     """
     columns = ["account_id", "order_id", "credit_card_number", "credit_limit", "order_amount",
                "payment_status", "event_ts", "source_rank", "event_seq"]
     return (
         fit_events(events)
-        .select(*columns)
-        .groupBy("account_id")
+        .select(*columns, _bucket("account_id", buckets))
+        .groupBy("bucket")
         .transformWithState(
             statefulProcessor=P.LedgerProcessor(S.ADD_BALANCE, S.EXECUTED, S.NOT_EXECUTED, piece),
             outputStructType=P.LEDGER_OUTPUT,
@@ -32,17 +37,18 @@ def streaming_ledger(events: DataFrame, piece: int = P.PIECE) -> DataFrame:
     )
 
 
-def streaming_order_state(events: DataFrame, piece: int = P.PIECE) -> DataFrame:
+def streaming_order_state(events: DataFrame, piece: int = P.PIECE, buckets: int = P.BUCKETS) -> DataFrame:
     """Order state after every micro-batch that touches the order (update).
 
-    ``stage`` and ``event_seq`` order the events of one micro-batch.
+    ``stage`` and ``event_seq`` order the events of one micro-batch.  For ``piece`` and ``buckets``
+    see the ledger.
     """
     fields = ["order_id", "account_id", "credit_card_number", "order_amount", "order_date",
               "credit_limit", "stage", "event_seq"]
     return (
         events.filter(F.col("order_id").isNotNull())
-        .select(*fields, stored_status(F.col("payment_status")).alias("payment_status"))
-        .groupBy("order_id")
+        .select(*fields, stored_status(F.col("payment_status")).alias("payment_status"), _bucket("order_id", buckets))
+        .groupBy("bucket")
         .transformWithState(
             statefulProcessor=P.OrderStateProcessor(piece),
             outputStructType=P.ORDER_OUTPUT,
@@ -58,7 +64,18 @@ def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None
     Name the ``variable`` (``balance`` or ``order``) for the stateful processors;
     the latest-per-key aggregates have none.
     """
-    return _state(spark, variable, batch).load(checkpoint)
+    return _by_key(_state(spark, variable, batch).load(checkpoint))
+
+
+def _by_key(state: DataFrame, *more: str) -> DataFrame:
+    """State of buckets as a row per key: ``more`` columns, key, value and whether the last write set it."""
+    value = state.schema["value"].dataType
+    if P.BUCKET_ROWS not in value.names:
+        return state
+    key, *fields, changed = value[P.BUCKET_ROWS].dataType.elementType.names
+    rows = state.select(*more, "partition_id", F.explode(F.col("value")[P.BUCKET_ROWS]).alias("row"))
+    return rows.select(*more, F.struct(F.col("row")[key].alias(key)).alias("key"),
+                       F.struct(*[F.col("row")[f].alias(f) for f in fields]).alias("value"), "partition_id", F.col("row")[changed].alias(changed))
 
 
 def _state(spark: SparkSession, variable: str | None, batch: int | None) -> DataFrameReader:
@@ -86,4 +103,7 @@ def state_changes(spark: SparkSession, checkpoint: str, variable: str, key: str,
     reader = _state(spark, variable, None).option("readChangeFeed", True).option("changeStartBatchId", first)
     if last is not None:
         reader = reader.option("changeEndBatchId", last)
-    return reader.load(checkpoint).select("batch_id", "change_type", F.col("key")[key].alias(key), "value.*")
+    found = _by_key(reader.load(checkpoint), "batch_id", "change_type")
+    if "changed" in found.columns:
+        found = found.filter("changed")
+    return found.select("batch_id", "change_type", F.col("key")[key].alias(key), "value.*")

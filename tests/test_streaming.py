@@ -283,3 +283,30 @@ def test_state_partitions_follow_the_rows(spark, tmp_path):
     finally:
         spark.conf.set(PARTITIONS, given)
     assert rows(read, "key", "value") == rows(latest_per_key(raw, "key", ["value"], F.col("offset")), "key", "value")
+
+
+def test_orders_share_the_state_of_a_bucket(spark, tmp_path):
+    """A bucket costs one value, whatever its orders; lookups and changes are by order as before."""
+    spark.conf.set(next(iter(CHANGELOG)), "true")
+    money = {c: F.col(c).cast(S.MONEY) for c in ("order_amount", "credit_limit")}
+    events = fx.order_events(spark, DATA).withColumns({"stage": F.lit(0), **money}).cache()
+    late = events.filter("event_seq % 5 = 0 AND CAST(order_id AS INT) < 5").withColumn("event_seq", F.col("event_seq") + 10**6)
+    checkpoint, seen = f"{tmp_path}/cp", []
+    for part in (events, late):
+        part.write.mode("append").parquet(f"{tmp_path}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
+        run(streaming_order_state(stream, piece=9, buckets=3).writeStream.outputMode("update"), checkpoint,
+            lambda batch, n: seen.append(sorted(r.order_id for r in batch.select("order_id").collect())))
+    orders = sorted(r.order_id for r in events.select("order_id").distinct().collect())
+    touched = sorted(r.order_id for r in late.select("order_id").distinct().collect())
+    assert seen == [orders, touched] and 0 < len(touched) < len(orders)
+    raw = spark.read.format("statestore").option("stateVarName", "order").load(checkpoint)
+    assert raw.count() <= 3 < len(orders)
+    asked = spark.createDataFrame([(o,) for o in [*orders, "nobody"]], "order_id string")
+    live = lookup_state(asked, checkpoint, "order", "order_id")
+    columns = live.columns
+    whole = events.unionByName(late)
+    expected = rows(order_state(whole, F.col("event_seq")), *columns)
+    assert rows(live.filter("order_id <> 'nobody'"), *columns) == expected
+    assert live.filter("order_id = 'nobody' AND payment_status IS NULL").count() == 1
+    assert sorted(r.order_id for r in state_changes(spark, checkpoint, "order", "order_id", 1).collect()) == touched
