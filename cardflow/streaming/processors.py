@@ -9,21 +9,25 @@ the order of arrival counts.
 from __future__ import annotations
 
 import heapq
+import json
 import pickle
 import sys
 import tempfile
 from collections.abc import Callable, Generator, Iterable, Iterator
+from datetime import datetime, timedelta, timezone
 from decimal import Context, Decimal
 from itertools import groupby, islice
 
 from pyspark import cloudpickle
 from pyspark.sql import Row
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # Executors need no installed copy of this module.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _EXACT = Context(prec=80)
+_MOST = Decimal(10) ** 32  # what decimal(38,6) cannot hold
 _FIRST_FIELDS = ("account_id", "credit_card_number", "order_amount", "order_date")
 
 LEDGER_STATE = "balance decimal(38,6)"
@@ -42,6 +46,8 @@ ORDER_OUTPUT = f"order_id string, {ORDER_STATE}"
 
 # Rows of one bucket that a task holds at once.
 PIECE = 20_000
+# Columns that carry rows as texts between Spark and the processors, and rows of one output text.
+PACKED, PACKS, PACK_ROWS = "packed", "packs", 1_000
 # Field of a bucket's state that holds its rows.
 BUCKET_ROWS = "rows"
 # Buckets if nothing is known about the input, and rows of a micro-batch for each otherwise.
@@ -53,7 +59,7 @@ def state_buckets(rows: int) -> int:
     return max(64, -(-rows // ROWS_PER_BUCKET))
 
 
-def in_order(rows: Iterable[Row], fields: tuple[str, ...], place: Callable, piece: int) -> Iterator[tuple]:
+def in_order(rows: Iterable, fields: Iterable, place: Callable, piece: int) -> Iterator[tuple]:
     """The ``fields`` of rows by ``place`` (a function of them), holding ``piece`` rows at most."""
     taken = (tuple(r[f] for f in fields) for r in rows)
     first = sorted(islice(taken, piece), key=place)
@@ -82,6 +88,9 @@ class Bucketed(StatefulProcessor):
 
     A value costs a request to Spark to read and one to write, and a group costs a batch of output, far more
     than a row: a bucket shares these among its keys.  Rows that this micro-batch set are marked ``changed``.
+
+    Spark hands rows over cell by cell, which costs far more than what is done with them.  So a row comes
+    as one JSON array of texts (times as microseconds) and results leave as arrays of such rows.
     """
 
     VARIABLE: str
@@ -93,18 +102,36 @@ class Bucketed(StatefulProcessor):
         fields = ", ".join(f"{f.split(' ')[0]}: {f.split(' ')[1]}" for f in [f"{self.FIELDS[0]} string", *self.STATE.split(", ")])
         self.state = handle.getValueState(self.VARIABLE, f"{BUCKET_ROWS} array<struct<{fields}, changed: boolean>>")
 
+    def unpack(self, row: Row) -> list:
+        event = json.loads(row[PACKED])
+        for i in range(1, 1 + self.PLACES):
+            event[i] = None if event[i] is None else int(event[i])
+        return event
+
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         held, = self.state.get() or ([],)
         known = {row[0]: tuple(row)[1:-1] for row in held}
         changed = set()
-        events = in_order(rows, self.FIELDS, lambda e: e[:1 + self.PLACES], self.piece)
+        events = in_order(map(self.unpack, rows), range(len(self.FIELDS)), lambda e: e[:1 + self.PLACES], self.piece)
+        out = []
         for name, own in groupby(events, key=lambda e: e[0]):
-            known[name] = yield from self.apply(name, known.get(name), own)
+            results = self.apply(name, known.get(name), own)
+            while True:
+                try:
+                    out.append(next(results))
+                except StopIteration as end:
+                    known[name] = end.value
+                    break
+                if len(out) == PACK_ROWS:
+                    yield Row(**{PACKS: json.dumps(out)})
+                    out = []
             changed.add(name)
+        if out:
+            yield Row(**{PACKS: json.dumps(out)})
         self.state.update(([(name, *state, name in changed) for name, state in known.items()],))
 
-    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[Row, None, tuple]:
-        """Output rows of a key's events in order; returns its state after them."""
+    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[list, None, tuple]:
+        """Output rows of a key's events in order, as texts; returns its state after them."""
         raise NotImplementedError
 
     def close(self) -> None:
@@ -121,29 +148,33 @@ class LedgerProcessor(Bucketed):
     def __init__(self, topup_status: str, executed: str, refused: str, piece: int = PIECE) -> None:
         self.topup_status, self.executed, self.refused, self.piece = topup_status, executed, refused, piece
 
-    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[Row, None, tuple]:
+    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[list, None, tuple]:
         balance, = state or (Decimal(0),)
         for account, ts, rank, seq, order_id, card, limit, amount, status in events:
             topup = status == self.topup_status
-            after = (_EXACT.add if topup else _EXACT.subtract)(balance, amount)
+            after = (_EXACT.add if topup else _EXACT.subtract)(balance, Decimal(amount))
             accepted = topup or after >= 0
             balance = after if accepted else balance
-            yield Row(
-                account_id=account,
-                order_id=order_id,
-                credit_card_number=card,
-                credit_limit=limit,
-                event_amount=amount,
-                is_topup=topup,
-                event_ts=ts,
-                source_rank=rank,
-                event_seq=seq,
-                balance=balance,
-                payment_status=self.executed if accepted else self.refused,
-            )
+            if abs(balance) >= _MOST:
+                raise OverflowError(f"balance of account {account}: {balance}")
+            # As in LEDGER_OUTPUT.
+            yield [account, order_id, card, limit, amount, "true" if topup else "false", str(ts), str(rank), str(seq),
+                   str(balance), self.executed if accepted else self.refused]
         return (balance,)
 
 
+def _text(value: object) -> str | None:
+    """A field of the state as it comes in an event."""
+    if isinstance(value, datetime):
+        return str(T.TimestampType().toInternal(value))
+    return None if value is None else str(value)
+
+
+# Fields of the state from what comes in an event.
+_EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
+_READ = {"bigint": int, "decimal(38,6)": Decimal, "timestamp": lambda t: _EPOCH + timedelta(microseconds=int(t)), "string": str}
+
+
 class OrderStateProcessor(Bucketed):
     """One output row per order and micro-batch: the order's state after it."""
 
@@ -153,9 +184,9 @@ class OrderStateProcessor(Bucketed):
     def __init__(self, piece: int = PIECE) -> None:
         self.piece = piece
 
-    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[Row, None, tuple]:
-        names = [part.split(" ")[0] for part in ORDER_STATE.split(", ")]
-        order = dict(zip(names, state or [None] * len(names)))
+    def apply(self, name: str, state: tuple | None, events: Iterator[tuple]) -> Generator[list, None, tuple]:
+        kinds = dict(part.split(" ") for part in ORDER_STATE.split(", "))
+        order = dict(zip(kinds, map(_text, state or [None] * len(kinds))))
         for _, _, _, *first, limit, status in events:
             for field, value in zip(_FIRST_FIELDS, first):
                 if order[field] is None:
@@ -164,5 +195,5 @@ class OrderStateProcessor(Bucketed):
             if order["order_date"] is None:
                 order["credit_limit"] = limit
             order["payment_status"] = status
-        yield Row(order_id=name, **order)
-        return tuple(order[n] for n in names)
+        yield [name, *order.values()]  # as in ORDER_OUTPUT
+        return tuple(None if value is None else _READ[kinds[field]](value) for field, value in order.items())

@@ -15,6 +15,26 @@ def _bucket(key: str, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
 
 
+def _packed(events: DataFrame, processor: P.Bucketed, bucket: Column) -> DataFrame:
+    """Bucket and one text per event that holds the fields its processor reads."""
+    kinds = dict(events.dtypes)
+    fields = [F.unix_micros(F.col(f).cast("timestamp")) if kinds[f].startswith("timestamp") else F.col(f) for f in processor.FIELDS]
+    return events.select(bucket, F.to_json(F.array(*[f.cast("string") for f in fields])).alias(P.PACKED))
+
+
+def _applied(events: DataFrame, processor: P.Bucketed, schema: str, mode: str, bucket: Column) -> DataFrame:
+    """Results of a processor over the packed events, a row each."""
+    packs = _packed(events, processor, bucket).groupBy("bucket").transformWithState(
+        statefulProcessor=processor, outputStructType=f"{P.PACKS} string", outputMode=mode, timeMode="None")
+    row = F.explode(F.from_json(P.PACKS, "array<array<string>>")).alias("row")
+
+    def field(i: int, name: str, kind: str) -> Column:
+        text = F.col("row")[i]
+        return (F.timestamp_micros(text.cast("bigint")) if kind == "timestamp" else text.cast(kind)).alias(name)
+
+    return packs.select(row).select(*[field(i, *part.split(" ")) for i, part in enumerate(schema.split(", "))])
+
+
 def streaming_ledger(events: DataFrame, piece: int = P.PIECE, buckets: int = P.BUCKETS) -> DataFrame:
     """Ledger changes, one row per event (append); see ``ledger_changes``.
 
@@ -22,19 +42,8 @@ def streaming_ledger(events: DataFrame, piece: int = P.PIECE, buckets: int = P.B
     value, so one bucket's events of a micro-batch meet in one task, which holds ``piece`` of them
     at a time.  A bucket with news is read and written whole; a checkpoint keeps its number of buckets.
     """
-    columns = ["account_id", "order_id", "credit_card_number", "credit_limit", "order_amount",
-               "payment_status", "event_ts", "source_rank", "event_seq"]
-    return (
-        fit_events(events)
-        .select(*columns, _bucket("account_id", buckets))
-        .groupBy("bucket")
-        .transformWithState(
-            statefulProcessor=P.LedgerProcessor(S.ADD_BALANCE, S.EXECUTED, S.NOT_EXECUTED, piece),
-            outputStructType=P.LEDGER_OUTPUT,
-            outputMode="Append",
-            timeMode="None",
-        )
-    )
+    processor = P.LedgerProcessor(S.ADD_BALANCE, S.EXECUTED, S.NOT_EXECUTED, piece)
+    return _applied(fit_events(events), processor, P.LEDGER_OUTPUT, "Append", _bucket("account_id", buckets))
 
 
 def streaming_order_state(events: DataFrame, piece: int = P.PIECE, buckets: int = P.BUCKETS) -> DataFrame:
@@ -43,19 +52,8 @@ def streaming_order_state(events: DataFrame, piece: int = P.PIECE, buckets: int
     ``stage`` and ``event_seq`` order the events of one micro-batch.  For ``piece`` and ``buckets``
     see the ledger.
     """
-    fields = ["order_id", "account_id", "credit_card_number", "order_amount", "order_date",
-              "credit_limit", "stage", "event_seq"]
-    return (
-        events.filter(F.col("order_id").isNotNull())
-        .select(*fields, stored_status(F.col("payment_status")).alias("payment_status"), _bucket("order_id", buckets))
-        .groupBy("bucket")
-        .transformWithState(
-            statefulProcessor=P.OrderStateProcessor(piece),
-            outputStructType=P.ORDER_OUTPUT,
-            outputMode="Update",
-            timeMode="None",
-        )
-    )
+    known = events.filter(F.col("order_id").isNotNull()).withColumn("payment_status", stored_status(F.col("payment_status")))
+    return _applied(known, P.OrderStateProcessor(piece), P.ORDER_OUTPUT, "Update", _bucket("order_id", buckets))
 
 
 def read_state(spark: SparkSession, checkpoint: str, variable: str | None = None, batch: int | None = None) -> DataFrame:

@@ -310,3 +310,25 @@ def test_orders_share_the_state_of_a_bucket(spark, tmp_path):
     assert rows(live.filter("order_id <> 'nobody'"), *columns) == expected
     assert live.filter("order_id = 'nobody' AND payment_status IS NULL").count() == 1
     assert sorted(r.order_id for r in state_changes(spark, checkpoint, "order", "order_id", 1).collect()) == touched
+
+
+def test_packed_rows_keep_any_value(spark, tmp_path, monkeypatch):
+    """Rows pass to the processors and back as texts: one column, and nothing of a value is lost."""
+    odd = ['q"uote', "back\\slash", "line\nfeed", "tab\t,[]{}", "é \U0001f600", "", " ", "null"]
+    made = [(o, i, a, d) for i, o in enumerate(odd) for a, d in
+            [(None, None), ("-12.345678", "1901-02-03 04:05:06.789123"), ("0.000001", "2024-06-07 08:09:10")]]
+    events = (spark.createDataFrame(made, "order_id string, n int, amount string, at string")
+              .select("order_id", F.concat("order_id", F.lit("/a")).alias("account_id"), (F.lit(2) ** 62).cast("bigint").alias("credit_card_number"),
+                      F.col("amount").cast(S.MONEY).alias("order_amount"), F.lit(S.CREATED).alias("payment_status"),
+                      F.col("at").cast("timestamp").alias("order_date"), F.lit(None).cast(S.MONEY).alias("credit_limit"),
+                      F.lit(0).alias("stage"), F.monotonically_increasing_id().alias("event_seq")).cache())
+    events.write.parquet(f"{tmp_path}/in")
+    stream = streaming_order_state(spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in"), buckets=2)
+    assert stream.columns[0] == "order_id" and processors.PACKED not in stream.columns
+    table = KeyedTable(f"{tmp_path}/t", "order_id", processors.ORDER_OUTPUT)
+    run(stream.writeStream.outputMode("update"), f"{tmp_path}/cp", lambda batch, n: table.write(batch, n))
+    columns = [c.split(" ")[0] for c in processors.ORDER_OUTPUT.split(", ")]
+    expected = rows(order_state(events, F.struct("stage", "event_seq")), *columns)
+    assert rows(table.read(spark), *columns) == expected and len(expected) == len(odd)
+    state = read_state(spark, f"{tmp_path}/cp", "order").select("key.order_id", "value.*")
+    assert rows(state, *columns) == expected
