@@ -406,33 +406,35 @@ def order_lifecycle_raw(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- streams: the same results from Structured Streaming, run to the end of its input --
-def _buckets(spark: SparkSession, d: str) -> int:
-    return state_buckets(fx.batch_rows(spark, d))
+def _buckets(log: fx.EventLog) -> int:
+    return state_buckets(log.batch_rows)
 
 
-def _streamed(spark: SparkSession, d: str, df: DataFrame, key: str, schema: str, mode: str) -> DataFrame:
+def _streamed(spark: SparkSession, log: fx.EventLog, df: DataFrame, key: str, schema: str, mode: str) -> DataFrame:
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
     table = KeyedTable(f"{root}/table", key, schema)
-    return run_to_end(df, table, mode, f"{root}/checkpoint", fx.batch_rows(spark, d))
+    return run_to_end(df, table, mode, f"{root}/checkpoint", log.batch_rows)
 
 
 def stream_fraud_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    created = fx.orders(spark, d, fx.event_log(spark, d))
+    log = fx.event_log(spark, d)
+    created = fx.orders(spark, d, log)
     verdicts = fraud.fraud_verdicts(created, "order_id", F.col("event_seq"))
-    return _streamed(spark, d, verdicts, "key", "key string, value string", "update")
+    return _streamed(spark, log, verdicts, "key", "key string, value string", "update")
 
 
 def stream_ledger_results(spark: SparkSession, d: str) -> DataFrame:
     log = fx.event_log(spark, d)
     feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
-    results = _streamed(spark, d, streaming_ledger(feed, buckets=_buckets(spark, d)), "order_id", LEDGER_OUTPUT, "append")
+    results = _streamed(spark, log, streaming_ledger(feed, buckets=_buckets(log)), "order_id", LEDGER_OUTPUT, "append")
     return out(results, *_CHANGE)
 
 
 def stream_order_state(spark: SparkSession, d: str) -> DataFrame:
-    events = fx.order_events(spark, d, fx.event_log(spark, d)).withColumn("stage", F.lit(0))
-    state = streaming_order_state(events, buckets=_buckets(spark, d))
-    return out(_streamed(spark, d, state, "order_id", ORDER_OUTPUT, "update"), *ORDER_COLUMNS)
+    log = fx.event_log(spark, d)
+    events = fx.order_events(spark, d, log).withColumn("stage", F.lit(0))
+    state = streaming_order_state(events, buckets=_buckets(log))
+    return out(_streamed(spark, log, state, "order_id", ORDER_OUTPUT, "update"), *ORDER_COLUMNS)
 
 
 def stream_ledger_restarted(spark: SparkSession, d: str) -> DataFrame:
@@ -443,7 +445,7 @@ def stream_ledger_restarted(spark: SparkSession, d: str) -> DataFrame:
     for part in range(2):
         log = fx.event_log(spark, d, part, 2, log)
         feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
-        results = run_to_end(streaming_ledger(feed, buckets=_buckets(spark, d)), table, "append", f"{root}/checkpoint", fx.batch_rows(spark, d))
+        results = run_to_end(streaming_ledger(feed, buckets=_buckets(log)), table, "append", f"{root}/checkpoint", log.batch_rows)
     return out(results, *_CHANGE)
 
 
@@ -452,8 +454,8 @@ def live_balances(spark: SparkSession, d: str) -> DataFrame:
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
     log = fx.event_log(spark, d)
     feed = lifecycle.ledger_feed(fx.orders(spark, d, log), fx.topups(spark, d, log))
-    run_to_end(streaming_ledger(feed, buckets=_buckets(spark, d)), KeyedTable(f"{root}/table", "order_id", LEDGER_OUTPUT), "append",
-               f"{root}/checkpoint", fx.batch_rows(spark, d))
+    run_to_end(streaming_ledger(feed, buckets=_buckets(log)), KeyedTable(f"{root}/table", "order_id", LEDGER_OUTPUT), "append",
+               f"{root}/checkpoint", log.batch_rows)
     asked = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("account_id"))
     return out(lookup_state(asked, f"{root}/checkpoint", "balance", "account_id"), "account_id", "balance")
 
@@ -461,9 +463,10 @@ def live_balances(spark: SparkSession, d: str) -> DataFrame:
 def live_orders(spark: SparkSession, d: str) -> DataFrame:
     """Orders of all customers, asked from the state of the streaming order merge."""
     root = f"{checkpoint_root(spark)}/streams/{uuid.uuid4()}"
-    events = fx.order_events(spark, d, fx.event_log(spark, d)).withColumn("stage", F.lit(0))
-    run_to_end(streaming_order_state(events, buckets=_buckets(spark, d)), KeyedTable(f"{root}/table", "order_id", ORDER_OUTPUT), "update",
-               f"{root}/checkpoint", fx.batch_rows(spark, d))
+    log = fx.event_log(spark, d)
+    events = fx.order_events(spark, d, log).withColumn("stage", F.lit(0))
+    run_to_end(streaming_order_state(events, buckets=_buckets(log)), KeyedTable(f"{root}/table", "order_id", ORDER_OUTPUT), "update",
+               f"{root}/checkpoint", log.batch_rows)
     asked = fx.table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("order_id"))
     return out(lookup_state(asked, f"{root}/checkpoint", "order", "order_id"), *ORDER_COLUMNS)
 

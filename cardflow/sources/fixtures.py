@@ -162,20 +162,30 @@ def batch_rows(spark: SparkSession, sf_dir: str, name: str = "events") -> int:
     return stream_rows(table(spark, sf_dir, name).count())
 
 
-def event_log(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1, path: str | None = None) -> str:
+class EventLog(str):
+    """Path of a log that knows the rows of its table's micro-batches, so that these are counted once."""
+
+    batch_rows: int
+
+
+def event_log(spark: SparkSession, sf_dir: str, part: int = 0, parts: int = 1, path: str | None = None) -> EventLog:
     """Append the events, or one of so many slices of their time, to a log; equal times stay together.
 
     Streams of one query share it, so that their micro-batches cover the same times.
     """
-    path = path or f"{checkpoint_root(spark)}/logs/{uuid.uuid4()}"
     events = table(spark, sf_dir, "events")
-    file_rows = max(STREAM_ROWS, stream_rows(events.count()) // BATCH_FILES)
+    total = None
+    if not isinstance(path, EventLog):
+        total = events.count()
+        path = EventLog(path or f"{checkpoint_root(spark)}/logs/{uuid.uuid4()}")
+        path.batch_rows = stream_rows(total)
+    file_rows = max(STREAM_ROWS, path.batch_rows // BATCH_FILES)
     if parts > 1:
         at = F.col("ts").cast("timestamp").cast("double")
         cuts = events.select(at.alias("t")).approxQuantile("t", [i / parts for i in range(1, parts)], 0.01)
         place = sum((F.coalesce((at > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
-        events = events.filter(place == part)
-    append_log(events, path, "ts", "event_id", file_rows=file_rows)
+        events, total = events.filter(place == part), None
+    append_log(events, path, "ts", "event_id", file_rows=file_rows, rows=total)
     return path
 
 
@@ -188,7 +198,7 @@ def _run(
         source = f"cardflow_stream_{name}"
         # What one key brings into a task is sorted in pieces, whatever the rows of a micro-batch.
         stream = read_log(spark, log, table(spark, sf_dir, name).schema, streaming=True,
-                          maxRowsPerTrigger=batch_rows(spark, sf_dir, name),
+                          maxRowsPerTrigger=log.batch_rows if isinstance(log, EventLog) else batch_rows(spark, sf_dir, name),
                           position=f"{log}/position-{zlib.crc32(sql.encode())}.json")
         stream.createOrReplaceTempView(source)
     text = sql.replace(f"FROM {name}", f"FROM {source}")

@@ -205,15 +205,16 @@ def use_logs(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def append_log(df: DataFrame, path: str, *order: str, file_rows: int = FILE_ROWS) -> None:
+def append_log(df: DataFrame, path: str, *order: str, file_rows: int = FILE_ROWS, rows: int | None = None) -> None:
     """Append all rows, ordered by the columns; rows equal in the first one stay in one file.
 
-    Files come from many tasks side by side and have about ``file_rows`` rows each.
+    Files come from many tasks side by side and have about ``file_rows`` rows each.  The number of ``rows``
+    is counted if it is not given.
     """
     fs, root = files_of(path)
     found = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
     done = [int(i.base_name.rpartition("-")[2]) for i in found if i.base_name.startswith("segment-")]
-    parts = max(1, math.ceil(df.count() / file_rows))
+    parts = max(1, math.ceil((df.count() if rows is None else rows) / file_rows))
     laid = df.repartitionByRange(parts, order[0]) if parts > 1 else df.coalesce(1)
     laid.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{path}/segment-{max(done, default=-1) + 1:08d}")
 

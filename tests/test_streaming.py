@@ -332,3 +332,9 @@ def test_packed_rows_keep_any_value(spark, tmp_path, monkeypatch):
     assert rows(table.read(spark), *columns) == expected and len(expected) == len(odd)
     state = read_state(spark, f"{tmp_path}/cp", "order").select("key.order_id", "value.*")
     assert rows(state, *columns) == expected
+
+
+def test_log_counts_its_table_once(spark):
+    log = fx.event_log(spark, DATA, 0, 2)
+    assert log.batch_rows == fx.batch_rows(spark, DATA)
+    assert fx.event_log(spark, DATA, 1, 2, log) is log
