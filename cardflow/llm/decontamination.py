@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cardflow.llm.text import let, row_keys, unused, windows
+from cardflow.llm.text import let, row_keys, unused
 from cardflow.session import stored
 
 WINDOW = 8
@@ -55,14 +55,19 @@ def tokens(text: Column) -> Column:
     return F.coalesce(found, F.array().cast("array<string>"))
 
 
+def _matches(token: Column, pattern: str) -> Column:
+    """Whether a token is a number or name; few regular expressions run, as most tokens start with a to z."""
+    return ~((token >= F.lit("a")) & (token < F.lit("{"))) & F.rlike(token, F.lit(pattern))
+
+
 def template(found: Column, names: str | None = INSIDE) -> Column:
     """Tokens with placeholders for numbers, units and what a reading takes for names."""
 
     def typed(t: Column, i: Column) -> Column:
         plain = F.lower(F.ltrim(t, F.lit(MARK)))
         after_number = F.coalesce(F.rlike(F.get(found, i - 1), F.lit(NUMBER)), F.lit(False))
-        return (F.when(F.rlike(t, F.lit(NUMBER)), F.lit(NUM))
-                .when(F.rlike(t, F.lit(names)) if names else F.lit(False), F.lit(NAME))
+        return (F.when(_matches(t, NUMBER), F.lit(NUM))
+                .when(_matches(t, names) if names else F.lit(False), F.lit(NAME))
                 .when(plain.isin(*UNITS) & after_number, F.lit(UNIT)).otherwise(plain))
 
     return F.transform(found, typed)
@@ -91,18 +96,41 @@ def template_windows(text: Column, width: int | None) -> Column:
 
 
 def window_hashes(text: Column, widths: list[int]) -> Column:
-    """Distinct hashes of the template windows of all readings of a text, as in ``template_windows``."""
+    """Hashes of the template windows of all readings of a text, as in ``template_windows``.
 
-    def read(found: Column, plain: Column, names: str | None) -> Column:
+    Readings differ at names only.  So each of them adds just its windows that hold a name the reading
+    before it has not: none, capitals inside sentences, capitals at their start too.
+    """
+
+    def read(found: Column, plain: Column, names: str) -> Column:
         # A name is no number, so its placeholder replaces what the reading without names has.
-        return plain if names is None else F.zip_with(
-            found, plain, lambda t, h: F.when(F.rlike(t, F.lit(names)), F.xxhash64(F.lit(NAME))).otherwise(h))
+        return F.zip_with(found, plain, lambda t, h: F.when(_matches(t, names), F.xxhash64(F.lit(NAME))).otherwise(h))
+
+    def places(found: Column, names: str, known: str | None) -> Column:
+        """Places of the names that are none in the ``known`` reading."""
+        new = (lambda t: _matches(t, names) & ~_matches(t, known)) if known else (lambda t: _matches(t, names))
+        return F.filter(F.transform(found, lambda t, i: F.when(new(t), i)), lambda i: i.isNotNull())
+
+    def between(first: Column, last: Column) -> Column:
+        return F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+
+    def holding(at: Column, width: int, last: Column) -> Column:
+        """Starts of the windows that hold one of the places, each once: from its first place on."""
+        return F.flatten(F.transform(at, lambda k, j: between(
+            F.greatest(k - (width - 1), F.coalesce(F.get(at, j - 1) + 1, F.lit(0)), F.lit(0)), F.least(k, last))))
+
+    def hashed(hashes: Column, starts: Column, width: int) -> Column:
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(hashes, i + n) for n in range(width)]))
+
+    def added(found: Column, plain: Column, names: str, known: str | None) -> Column:
+        def cut(hashes: Column, at: Column) -> Column:
+            return F.concat(*[hashed(hashes, holding(at, w, F.size(hashes) - w), w) for w in widths])
 
-    def cut(hashes: Column) -> Column:
-        return let(hashes, lambda h: F.concat(*[windows(h, w) for w in widths]))
+        return let(read(found, plain, names), lambda h: let(places(found, names, known), lambda at: cut(h, at)))
 
     def of(found: Column, plain: Column) -> Column:
-        return F.array_distinct(F.concat(*[cut(read(found, plain, names)) for names in READINGS]))
+        own = [hashed(plain, between(F.lit(0), F.size(plain) - w), w) for w in widths]
+        return F.concat(*own, added(found, plain, INSIDE, None), added(found, plain, ANYWHERE, INSIDE))
 
     return let(tokens(text), lambda t: let(F.transform(template(t, NO_NAMES), lambda x: F.xxhash64(x)), lambda p: of(t, p)))
 
