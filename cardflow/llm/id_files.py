@@ -7,7 +7,8 @@ blocks of a segment hold its documents' ids back to back.  Segments are ordered
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from cardflow.llm.coder import BLOCK_IDS, LANES, decode_blocks, encode_blocks, split_blocks
 from cardflow.llm.prefix import running_totals
+from cardflow.llm.text import released
 from cardflow.llm.tokens import encoder
 
 END_ID = 1
@@ -80,18 +82,15 @@ def encoded(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "
                                 "counts": [s[1] for s in group], "data": data})
             seq += len(group)
 
-    return dealt.mapInPandas(rows, FILE)
+    return dealt.mapInPandas(released(rows), FILE)
 
 
 def write(docs: DataFrame, path: str, tokenizer: str, **names: str) -> None:
     encoded(docs, tokenizer, **names).write.parquet(path)
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids.
-
-    ``ids`` are little-endian unsigned 32-bit integers.  A damaged block fails the read.
-    """
+def _documents(spark: SparkSession, path: str, name: str, kind: str, value: Callable[[bytes], object]) -> DataFrame:
+    """doc_id, start, n_tokens and a column made of each document's ids in the task that decodes them."""
     files = spark.read.schema(FILE).parquet(path)
     total = F.aggregate("counts", F.lit(0).cast("long"), lambda a, c: a + c)
     sizes = files.select("part", "seq", total.alias("total"), F.lit(0).alias("all"))
@@ -108,13 +107,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 begin = ends - s.counts
                 yield pd.DataFrame({
                     "part": s.part, "seq": s.seq, "doc_id": pd.array(list(s.doc_ids), dtype="Int64"), "inner": begin,
-                    "n_tokens": s.counts, "ids": [ids[a:b].tobytes() for a, b in zip(begin, ends, strict=True)]})
+                    "n_tokens": s.counts, name: [value(ids[a:b].tobytes()) for a, b in zip(begin, ends, strict=True)]})
+
+    schema = f"part int, seq int, doc_id long, inner long, n_tokens long, {name} {kind}"
+    return files.mapInPandas(released(rows), schema).join(starts, ["part", "seq"]).select(
+        "doc_id", (F.col("begin") + F.col("inner")).alias("start"), "n_tokens", name)
 
-    schema = "part int, seq int, doc_id long, inner long, n_tokens long, ids binary"
-    return files.mapInPandas(rows, schema).join(starts, ["part", "seq"]).select(
-        "doc_id", (F.col("begin") + F.col("inner")).alias("start"), "n_tokens", "ids")
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Documents from the files: doc_id, start (ids of all documents before it), n_tokens, ids.
+
+    ``ids`` are little-endian unsigned 32-bit integers.  A damaged block fails the read.
+    """
+    return _documents(spark, path, "ids", "binary", bytes)
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of every document in the files."""
-    return read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return _documents(spark, path, "ids_crc32", "long", zlib.crc32)

@@ -6,7 +6,7 @@ import pytest
 from cardflow.llm import coder as c
 from cardflow.llm import id_files
 from cardflow.llm.queries import op5_token_ids
-from cardflow.llm.tokens import default_path, encoder
+from cardflow.llm.tokens import WordEncoder, default_path, encoder
 
 
 def around(blocks):
@@ -49,6 +49,38 @@ def test_damage_is_noticed():
         c.split_blocks(bytes(data[:-1]))
 
 
+def test_an_id_is_one_step_of_the_range(monkeypatch):
+    steps, part = [], c._Models.part
+    monkeypatch.setattr(c._Models, "part", lambda self, *a: steps.append(1) or part(self, *a))
+    around([np.arange(70000, 70900, dtype=np.uint32), np.zeros(400, np.uint32)])
+    assert len(steps) == 2 * 900  # there and back, both blocks at a time
+
+
+def test_damage_of_any_byte_is_noticed():
+    data = around([np.array([5, 9, 5, 9, 5, 9, 70000, 5], np.uint32), np.zeros(0, np.uint32)])
+    for at in range(len(data)):
+        for bit in (1, 128):
+            bad = bytearray(data)
+            bad[at] ^= bit
+            with pytest.raises(c.Damaged):
+                c.decode_blocks(c.split_blocks(bytes(bad)))
+
+
+def test_words_of_letters_are_encoded_together():
+    enc = WordEncoder(default_path())
+    words = ["abc!!", "ABC's.", "Éa..", "ß!", "a×", "İstanbul", "ab<|endoftext|>", "ab<|", "ab'", "ab's'", "1a.", "a-b", "µ", "ﬁn", "a\u0301",
+             "中文.", "ẞX", "Zürich###", "zürich"]
+    for text in [*words, " ".join(words)]:
+        assert enc.encode(text).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"zürich".encode(), b"###"} <= set(enc.known)
+
+
+def test_digests_shuffle_no_ids(spark, tmp_path):
+    id_files.write(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), f"{tmp_path}/a", default_path())
+    plan = id_files.digests(spark, f"{tmp_path}/a")._jdf.queryExecution().executedPlan().toString()
+    assert "ids_crc32#" in plan and " ids#" not in plan and ",ids#" not in plan
+
+
 def want(rows):
     enc, start, out = encoder(default_path()), 0, []
     for i, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or "")):
