@@ -180,7 +180,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
 
     Every window of every reading of every text is looked up.  Equal rows of ``docs`` share a key.
     """
-    items = item_windows(benchmark).persist()
+    items = stored(item_windows(benchmark))  # not cached: nobody knows when the result was read
     widths = {r["width"]: r["count"] for r in items.groupBy("width").count().collect()}
     small = sum(widths.values()) <= MAX_BROADCAST_WINDOWS
     keyed = docs.select(*row_keys(docs), F.col(text).alias("text"))

@@ -369,7 +369,8 @@ def across_pages(leaves: DataFrame, percent: int) -> DataFrame:
     met = side(top, "_a").join(side(top, "_b"), (F.col("token_a") == F.col("token_b"))
                                & (F.col("place_a") <= F.col("place_b")) & may_link)
     for shift, above in zip([0, *levels][-2::-1], levels[::-1], strict=True):
-        pairs = met.select(F.col("token_a").alias("token"), F.col("place_a").alias("up_a"), F.col("place_b").alias("up_b"))
+        # Level by level, as one plan of all takes the driver's memory each time that it is planned anew.
+        pairs = stored(met.select(F.col("token_a").alias("token"), F.col("place_a").alias("up_a"), F.col("place_b").alias("up_b")))
         below = nodes(shift, above)
         # A page meets itself within `traversed`.
         order = F.col("place_a") <= F.col("place_b") if shift else F.col("place_a") < F.col("place_b")
@@ -378,7 +379,7 @@ def across_pages(leaves: DataFrame, percent: int) -> DataFrame:
 
     leaf = leaves.select("page", "n", "node", "root", *ODD)
     apart = bits_of(ODD, lambda c: F.col(f"{c}_a").bitwiseXOR(F.col(f"{c}_b")))
-    found = met.select("place_a", "place_b").join(side(leaf, "_a"), F.col("place_a") == F.col("page_a")).join(
+    found = stored(met.select("place_a", "place_b")).join(side(leaf, "_a"), F.col("place_a") == F.col("page_a")).join(
         side(leaf, "_b"),
         (F.col("place_b") == F.col("page_b")) & (F.col("root_a") != F.col("root_b"))
         & (100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cardflow.llm import decontamination, id_files, jaccard, language, mixing
-from cardflow.llm.text import bounded_batches, row_keys, unused
+from cardflow.llm.text import bounded_batches, release_memory, row_keys, unused
 from cardflow.llm.tokens import default_path
 from cardflow.session import checkpoint_root
 
@@ -82,4 +82,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{work}/{name}")
         docs = spark.read.parquet(f"{work}/{name}")
+        release_memory()
     return docs

@@ -137,3 +137,13 @@ def test_readings_add_only_windows_with_new_names(spark):
         assert len(low["got"]) == sum(15 - w + 1 for w in widths)
     plain = dc.window_hashes(F.col("text"), [8])._jc.toString()
     assert "array_distinct" not in plain and "slice" not in plain
+
+
+def test_nothing_stays_cached(spark):
+    def held():
+        return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+    before, docs = held(), spark.createDataFrame([(1, ITEM), (2, FILL)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(4, ITEM)], "item_id long, text string")
+    assert [r.doc_id for r in dc.cleaned(docs, benchmark).collect()] == [2]
+    assert held() == before

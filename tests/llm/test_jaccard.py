@@ -202,3 +202,15 @@ def test_pages_cut_by_row_groups_keep_their_pairs(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert got == [(u, v) for u in range(10 * j.PAGE) for v in range(u + 1, (u // j.PAGE + 1) * j.PAGE)]
+
+
+def test_levels_are_planned_one_by_one(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(j, "FAN_BITS", 1)
+    leaves = spark.range(12).select(
+        F.lit(1).cast("long").alias("token"), F.col("id").alias("page"), F.lit(50).cast("long").alias("n"), F.col("id").alias("node"),
+        F.col("id").alias("root"), *[F.lit(3).cast("long").alias(c) for c in j.TREE + j.ODD])
+    found = j.across_pages(leaves, 90)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2  # the leaves of both sides
+    assert sorted(map(tuple, found.collect())) == [(u, v) for u in range(12) for v in range(u + 1, 12)]
